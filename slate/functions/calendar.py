@@ -49,7 +49,7 @@ def parse_page_date(text: str | Column) -> Column:
     """
     t = F.trim(_col(text))
     body = F.regexp_replace(t, r"^[A-Za-z]{3},\s*", "")
-    return F.try_to_date(body, F.lit("MMM d, yyyy"))
+    return F.try_to_date(body, "MMM d, yyyy")
 
 
 def combine_date_time(date: str | Column, time_24h: str | Column) -> Column:

@@ -148,12 +148,223 @@ SELECT {REPORT_COLS} FROM (
 ) x WHERE sum_fantasy_points IS NOT NULL {extra_where}"""
 
 
+def _weekday_pivot(value: str, source: str) -> str:
+    days = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+    return ", ".join(f"MIN(CASE WHEN day_of_week = {i} THEN {value} END) AS {n}" for i, n in enumerate(days))
+
+
+def _team_horizons(days: int) -> str:
+    start = _d(AS_OF)
+    return f"""
+th AS (
+  SELECT s.team_abbrev, h.i AS days, COUNT(*) AS games
+  FROM schedule s JOIN range(1, {days + 1}) h(i)
+    ON s.date >= {start} AND s.date <= {start} + CAST(h.i AS INTEGER)
+  GROUP BY s.team_abbrev, h.i
+)"""
+
+
+def _player_report(where: str, side_expr: str | None = None) -> str:
+    side = f"{side_expr} AS side, " if side_expr else ""
+    return f"""
+  SELECT {side}p.*, a.games, a.sum_avg_points, a.sum_proj_avg_points,
+         p.fantasy_points * a.games AS sum_fantasy_points
+  FROM player p LEFT JOIN agg a ON p.name = a.name
+  WHERE {where}"""
+
+
+def _uuid5(text: str) -> str:
+    ns = "6ba7b8109dad11d180b400c04fd430c8"
+    h = f"sha1(unhex('{ns}') || encode({text}))"
+    return f"""(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+      || substr('89ab', ((position(substr(h, 17, 1) IN '0123456789abcdef') - 1) % 4) + 1, 1)
+      || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT {h} AS h))"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Every oracle statement by query key."""
     q: dict[str, str] = {}
+    start = _d(AS_OF)
+
+    q["calendar_attributes"] = """
+SELECT date, CAST(week(date) AS INTEGER) AS week, CAST(dayofyear(date) AS INTEGER) AS day_of_year,
+       CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, dayname(date) AS day_name
+FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem) d"""
+
+    q["clock_24h"] = """
+WITH c AS (
+  SELECT event_id,
+    CASE WHEN event_type = 'error' THEN strftime(ts, '%H:%M')
+         ELSE CAST((hour(ts) + 11) % 12 + 1 AS VARCHAR) || ':' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0')
+              || CASE WHEN hour(ts) >= 12 THEN 'p' ELSE 'a' END END AS clock_text
+  FROM events)
+SELECT event_id, clock_text,
+  CASE WHEN clock_text LIKE '%p' THEN
+         lpad(CAST(CAST(split_part(clock_text, ':', 1) AS INTEGER) % 12 + 12 AS VARCHAR), 2, '0') || ':'
+         || substr(split_part(clock_text, ':', 2), 1, 2)
+       WHEN clock_text LIKE '%a' THEN
+         lpad(CAST(CAST(split_part(clock_text, ':', 1) AS INTEGER) % 12 AS VARCHAR), 2, '0') || ':'
+         || substr(split_part(clock_text, ':', 2), 1, 2)
+       ELSE clock_text END AS time
+FROM c"""
+
+    q["date_parse_coerce"] = """
+WITH t AS (
+  SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Date' ELSE strftime(o_orderdate, '%a, %b %-d, %Y') END
+    AS date_text FROM orders)
+SELECT o_orderkey, date_text, CAST(try_strptime(date_text, '%a, %b %d, %Y') AS DATE) AS parsed_date,
+       CAST(try_strptime(date_text, '%a, %b %d, %Y') AS TIMESTAMP) + INTERVAL 19 HOUR + INTERVAL 30 MINUTE
+         AS start_ts
+FROM t"""
+
+    q["eastern_as_of"] = """
+WITH e AS (SELECT event_id, CAST(timezone('America/New_York', timezone('UTC', ts)) AS TIMESTAMP) AS local_ts
+           FROM events)
+SELECT event_id, local_ts, CAST(local_ts AS DATE) AS local_date, CAST(week(local_ts) AS INTEGER) AS local_week,
+       CAST(dayofyear(local_ts) AS INTEGER) AS local_day_of_year,
+       strftime(local_ts, '%A, %B %d, %I:%M') AS pretty
+FROM e"""
+
+    q["team_lookup_passthrough"] = """
+WITH dict AS (SELECT n_name AS name, 'T' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS abbrev
+              FROM nation WHERE n_regionkey IN (0, 1, 2))
+SELECT c.c_custkey, n.n_name AS team_name, COALESCE(d.abbrev, n.n_name) AS team_abbrev
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN dict d ON n.n_name = d.name"""
+
+    q["schedule_unpivot"] = f"""{with_views('games')}
+SELECT game_date AS date, home AS team_abbrev, visitor AS opponent_abbrev, visitor || '@' || home AS matchup,
+       0 AS is_visitor FROM games
+UNION ALL
+SELECT game_date, visitor, home, visitor || '@' || home, 1 FROM games"""
+
+    q["schedule_table"] = f"{with_views('schedule')} SELECT * FROM schedule"
+    q["player_table"] = f"{with_views('player')} SELECT * FROM player"
+    q["player_schedule_mart"] = f"{with_views('mart')} SELECT * FROM mart"
+
+    q["window_aggregate"] = f"""{with_views('player', 'schedule')},{_window_agg()}
+SELECT * FROM agg"""
+
+    q["date_range_scan"] = f"""{with_views('mart')}
+SELECT * FROM mart WHERE date BETWEEN {start} AND {start} + 7"""
+
     q["free_agent_report"] = free_agent_report_sql()
     q["rising_stars"] = free_agent_report_sql(
         "AND avg_last_7 > 25 AND avg_last_7 > avg_last_30 * CAST(1.3 AS DOUBLE)")
+
+    q["roster_report"] = f"""{with_views('player', 'schedule')},{_window_agg()}
+SELECT {REPORT_COLS} FROM ({_player_report(
+        "p.is_free_agent = 0 AND p.fantasy_roster_name = 'Roster 2' "
+        "AND p.injury_status IN ('ACTIVE', 'DAY_TO_DAY')")}) x"""
+
+    side = """
+  SELECT 1 AS side, * FROM player WHERE fantasy_roster_name = 'Roster 1' AND injury_status IN ('ACTIVE')
+  UNION ALL
+  SELECT 2 AS side, * FROM player WHERE fantasy_roster_name = 'Roster 3' AND injury_status IN ('ACTIVE')"""
+    matchup = f"""
+  SELECT s.side, s.*, a.games, a.sum_avg_points, a.sum_proj_avg_points,
+         s.fantasy_points * a.games AS sum_fantasy_points
+  FROM ({side}) s LEFT JOIN agg a ON s.name = a.name"""
+    q["matchup_report"] = f"""{with_views('player', 'schedule')},{_window_agg()}
+SELECT side, {REPORT_COLS} FROM ({matchup}) x"""
+    q["matchup_totals"] = f"""{with_views('player', 'schedule')},{_window_agg()},
+m AS ({matchup})
+SELECT k.side, k.fantasy_roster_name,
+       CAST(trunc(COALESCE((SELECT SUM(sum_fantasy_points) FROM m WHERE m.side = k.side), 0.0)) AS BIGINT)
+         AS total_fantasy_points
+FROM (VALUES (1, 'Roster 1'), (2, 'Roster 3')) k(side, fantasy_roster_name)"""
+
+    q["week_grid"] = f"""{with_views('schedule')}
+SELECT *, CAST((Monday IS NOT NULL)::INTEGER + (Tuesday IS NOT NULL)::INTEGER + (Wednesday IS NOT NULL)::INTEGER
+  + (Thursday IS NOT NULL)::INTEGER + (Friday IS NOT NULL)::INTEGER + (Saturday IS NOT NULL)::INTEGER
+  + (Sunday IS NOT NULL)::INTEGER AS INTEGER) AS Games
+FROM (SELECT team_abbrev, week, {_weekday_pivot('opponent_abbrev', 'schedule')}
+      FROM schedule GROUP BY team_abbrev, week) g"""
+
+    rest = """
+rest AS (
+  SELECT *, CAST(CASE WHEN datediff('day', date, LEAD(date) OVER (PARTITION BY team_abbrev ORDER BY date)) > 1
+                 THEN datediff('day', date, LEAD(date) OVER (PARTITION BY team_abbrev ORDER BY date)) - 1
+                 ELSE 0 END AS INTEGER) AS no_game_days_following
+  FROM schedule)"""
+    q["rest_days"] = f"""{with_views('schedule')},{rest}
+SELECT team_abbrev, date, week, day_of_week, no_game_days_following FROM rest"""
+    q["rest_grid"] = f"""{with_views('schedule')},{rest}
+SELECT team_abbrev, week, {_weekday_pivot('no_game_days_following', 'rest')}
+FROM rest GROUP BY team_abbrev, week"""
+
+    q["horizon_detailed"] = f"""{with_views('player', 'schedule')},{_team_horizons(7)}
+SELECT p.player_id, p.name, p.team_abbrev, p.fantasy_roster_name, p.position,
+       SUM(p.avg_points * th.games) AS avg_points, SUM(p.projected_avg_points * th.games) AS projected_avg_points,
+       {start} AS start_date, CAST(dayofyear({start}) AS INTEGER) AS start_day_of_year,
+       CAST({start} + CAST(th.days AS INTEGER) AS DATE) AS end_date,
+       CAST(dayofyear({start} + CAST(th.days AS INTEGER)) AS INTEGER) AS end_day_of_year,
+       CAST(th.days AS INTEGER) AS days
+FROM player p JOIN th ON p.team_abbrev = th.team_abbrev
+GROUP BY p.player_id, p.name, p.team_abbrev, p.fantasy_roster_name, p.position, th.days"""
+    q["horizon_slim"] = f"""{with_views('player', 'schedule')},{_team_horizons(7)}
+SELECT p.player_id, p.name,
+       SUM(p.avg_points * th.games) AS avg_points, SUM(p.projected_avg_points * th.games) AS projected_avg_points,
+       {start} AS start_date, CAST({start} + CAST(th.days AS INTEGER) AS DATE) AS end_date,
+       CAST(th.days AS INTEGER) AS days
+FROM player p JOIN th ON p.team_abbrev = th.team_abbrev
+GROUP BY p.player_id, p.name, th.days"""
+
+    q["blended_score"] = f"""{with_views('player')}
+SELECT player_id, name, avg_points, avg_last_7, avg_last_15, avg_last_30, fantasy_points FROM player"""
+    q["nested_stat_lookup"] = f"""{with_views('player')}
+SELECT player_id, avg_last_7, avg_last_15, avg_last_30, injury_status FROM player"""
+    q["topn_pull"] = f"""{with_views('player')}
+SELECT player_id, name, fantasy_points FROM player WHERE is_free_agent = 1
+ORDER BY fantasy_points DESC, player_id LIMIT {FREE_AGENT_PULL_SIZE}"""
+    q["topn_per_team"] = f"""{with_views('player')}
+SELECT team_abbrev, player_id, name, fantasy_points FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY team_abbrev ORDER BY fantasy_points DESC, player_id) AS rn
+  FROM player) r WHERE rn <= 3"""
+
+    orders = """SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate, o_totalprice,
+         CASE WHEN o_orderdate < TIMESTAMP '1998-01-01 00:00:00' THEN 0 ELSE 1 END AS batch FROM orders"""
+    q["insert_or_ignore"] = f"""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate, o_totalprice FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey, o_orderstatus, o_orderpriority
+                               ORDER BY batch, o_orderkey) AS rn
+  FROM ({orders}) b) r WHERE rn = 1"""
+    q["upsert_latest"] = f"""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate, o_totalprice FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY batch DESC, o_orderdate DESC, o_orderkey DESC) AS rn
+  FROM ({orders}) b) r WHERE rn = 1"""
+
+    season = ("o.o_orderdate >= TIMESTAMP '1997-10-01 00:00:00' "
+              "AND o.o_orderdate < TIMESTAMP '1998-05-01 00:00:00'")
+    q["existing_keys"] = f"""
+SELECT c_custkey, c_name FROM customer c
+WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND {season})"""
+    q["new_keys"] = f"""
+SELECT c_custkey, c_name FROM customer c
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND {season})"""
+    q["orphan_keys"] = f"""{with_views('player')}
+SELECT player_id, name, team_abbrev FROM player p
+WHERE team_abbrev IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM nation n WHERE n.n_regionkey IN (0, 1, 2) AND n.n_name = p.team_abbrev)"""
+
+    q["filter_options"] = f"""{with_views('player')}
+SELECT DISTINCT 'name' AS option, CAST(name AS VARCHAR) AS value FROM player
+UNION SELECT DISTINCT 'team_abbrev', CAST(team_abbrev AS VARCHAR) FROM player
+UNION SELECT DISTINCT 'position', CAST(position AS VARCHAR) FROM player"""
+    q["roster_names"] = f"""{with_views('player')}
+SELECT DISTINCT fantasy_roster_name AS name FROM player WHERE fantasy_roster_name <> 'Free Agent'"""
+
+    text = ("COALESCE(CAST(o_custkey AS VARCHAR), 'None') || COALESCE(o_orderstatus, 'None') || "
+            "COALESCE(strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d'), 'None') || COALESCE(o_orderpriority, 'None')")
+    q["content_key"] = f"SELECT o_orderkey, {_uuid5(text)} AS content_uuid FROM orders"
+
+    q["union_pages"] = "SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders"
+    q["csv_round_trip"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders"""
+    q["table_round_trip"] = f"""{with_views('schedule')}
+SELECT CAST(date AS TIMESTAMP) AS date, day_of_year, week, day_of_week, time, opponent_abbrev, team_abbrev,
+       matchup, is_visitor FROM schedule"""
+    q["enforced_schema"] = f"""{with_views('player')}
+SELECT * FROM player WHERE player_id IS NOT NULL AND name IS NOT NULL AND is_free_agent IS NOT NULL"""
     return q
 
 

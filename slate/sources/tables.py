@@ -34,9 +34,14 @@ def register_views(spark: SparkSession, frames: Mapping[str, DataFrame]) -> None
         df.createOrReplaceTempView(name)
 
 
-def run_sql(spark: SparkSession, query: str, args: Mapping[str, object] | None = None) -> DataFrame:
-    """S1 + S2: run SQL with named, bound parameters (``:name`` markers)."""
-    return spark.sql(query, args=dict(args) if args else None)
+def run_sql(spark: SparkSession, query: str, args: Mapping[str, object] | None = None,
+            **frames: DataFrame) -> DataFrame:
+    """S1 + S2: run SQL with named, bound parameters (``:name`` markers).
+
+    DataFrames passed as keywords are referenced as ``{name}`` in the text
+    (no global temp view is registered).
+    """
+    return spark.sql(query, args=dict(args) if args else None, **frames)
 
 
 def date_range_scan(df: DataFrame, start: dt.date, days: int, date_col: str = "date") -> DataFrame:
