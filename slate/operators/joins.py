@@ -1,9 +1,14 @@
 """Join operators (J1-J5) and the join strategies they share.
 
-Broadcasting is only done behind a row-count check (``limit(n + 1).count()``
-stops after n + 1 rows, so the check is cheap even on a large input).  Above the
-bound the join is left to Spark (sort-merge with AQE skew splitting), or
-salted when the caller knows a key is hot.
+A side is broadcast only behind a size check, with a shuffle join beyond it:
+
+* base dimension scans: an explicit row-count check (``limit(n + 1).count()``
+  reads at most n + 1 rows), then ``broadcast``;
+* derived sides (aggregates of big tables): no eager count, which would run
+  the lineage twice; AQE measures the materialised side at run time and
+  converts to a broadcast hash join only under its threshold;
+* beyond the bound: sort-merge join with AQE skew splitting, or an explicit
+  salted join when the caller knows a key is hot.
 """
 
 from __future__ import annotations
@@ -53,16 +58,26 @@ def join_small(
     small: DataFrame,
     on: Sequence[str] | str,
     how: str = "inner",
-    max_rows: int = BROADCAST_MAX_ROWS,
+    max_rows: int | None = None,
     salts: int | None = None,
 ) -> DataFrame:
     """Join a large input to a side that is usually small.
 
-    Broadcast when the small side is within ``max_rows``; otherwise a salted
-    join when ``salts`` is given, else a plain shuffle join (AQE handles skew).
+    * ``max_rows`` given: count-check the small side (reads at most
+      ``max_rows + 1`` rows) and broadcast it when within the bound.  Use this
+      for base dimension scans, where the check is a tiny read.
+    * ``salts`` given: salted join, for a small side that may exceed memory
+      while the large side has hot keys.
+    * otherwise: a plain equi-join.  For a *derived* small side (an aggregate
+      of a big table) this is the right default: counting it first would run
+      its whole lineage twice.  Spark still decides with a size check — the
+      static estimate first, then AQE, which measures the materialised shuffle
+      of the small side and switches to a broadcast hash join only when it is
+      under ``spark.sql.adaptive.autoBroadcastJoinThreshold``; above it the
+      sort-merge join stays and AQE splits skewed partitions.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if fits(small, max_rows):
+    if max_rows is not None and fits(small, max_rows):
         return big.join(F.broadcast(small), keys, how)
     if salts:
         return salted_join(big, small, keys, how, salts)

@@ -13,7 +13,9 @@ Scale notes
   so the distinct aggregate (partial + final) moves keys, not strings.
 * ``player`` aggregates ``lineitem`` by supplier *before* joining it to the
   supplier table (pre-aggregation instead of join-then-group).
-* Dimension lookups (nation) go through a checked broadcast.
+* Dimension lookups (nation, a fixed 25-row table) are left to the planner:
+  its size estimate from the parquet footer is far below the broadcast
+  threshold, so they plan as broadcast hash joins without an extra job.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ from slate.constants import (
 )
 from slate.functions import calendar as cal
 from slate.functions.scoring import blended_score
-from slate.operators.joins import bounded_broadcast
 from slate.operators.reshape import one_game_per_team_day, unpivot_games
 from slate.sources.tables import read_table
 
@@ -78,7 +79,7 @@ def games(
         .select("game_date", "visitor_key", "home_key")
         .distinct()
     )
-    nat = bounded_broadcast(nations(spark, sf_dir))
+    nat = nations(spark, sf_dir)
     return (
         keyed.join(nat.select(F.col("n_nationkey").alias("visitor_key"), F.col("n_name").alias("visitor")),
                    "visitor_key")
@@ -94,12 +95,14 @@ def schedule_from_games(games_df: DataFrame) -> DataFrame:
     because the driver data has no clock.
     """
     per_team = one_game_per_team_day(unpivot_games(games_df, date_col="game_date"))
-    return (
-        per_team.withColumn("date", F.col("game_date"))
-        .withColumns(cal.calendar_columns("date"))
-        .withColumn("time", F.when(F.col("day_of_week") >= 5, F.lit("15:30")).otherwise(F.lit("19:30")))
-        .select("date", "day_of_year", "week", "day_of_week", "time",
-                "opponent_abbrev", "team_abbrev", "matchup", "is_visitor")
+    dow = cal.day_of_week("game_date")
+    return per_team.select(
+        F.col("game_date").alias("date"),
+        cal.day_of_year("game_date").alias("day_of_year"),
+        cal.iso_week("game_date").alias("week"),
+        dow.alias("day_of_week"),
+        F.when(dow >= 5, F.lit("15:30")).otherwise(F.lit("19:30")).alias("time"),
+        "opponent_abbrev", "team_abbrev", "matchup", "is_visitor",
     )
 
 
@@ -135,7 +138,7 @@ def player(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_OF) ->
             F.avg(not_returned).alias("projected_avg_points"),
         )
     )
-    nat = bounded_broadcast(nations(spark, sf_dir))
+    nat = nations(spark, sf_dir)
     sup = (
         read_table(spark, sf_dir, "supplier")
         .select(F.col("s_suppkey").alias("player_id"), F.col("s_name").alias("name"), "s_nationkey")
@@ -146,18 +149,17 @@ def player(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_OF) ->
     roster = F.when(pid % 5 == 0, F.lit(FREE_AGENT)).otherwise(F.concat(F.lit("Roster "), (pid % 5).cast("string")))
     injury = F.try_element_at(F.array(*[F.lit(s) for s in INJURY_STATUSES]), (pid % 4 + 1).cast("int"))
     position = F.element_at(F.array(F.lit("G"), F.lit("F"), F.lit("C")), (pid % 3 + 1).cast("int"))
-    out = (
-        sup.join(stats, "player_id", "left")
-        .withColumn("fantasy_roster_name", roster)
-        .withColumn("is_free_agent", (pid % 5 == 0).cast("int"))
-        .withColumn("injury_status", injury)
-        .withColumn("position", position)
-        .withColumn("injured", (F.col("injury_status") == F.lit("OUT")).cast("int"))
-        .withColumn("lineup_slot", F.when(F.col("is_free_agent") == 1, F.lit("FA")).otherwise(F.col("position")))
-        .withColumn("fantasy_points", blended_score())
-    )
-    return out.select(
-        "player_id", "name", "team_abbrev", "fantasy_roster_name", "is_free_agent", "position",
-        "injury_status", "injured", "lineup_slot", "total_points", "fantasy_points", "avg_points",
-        "avg_last_7", "avg_last_15", "avg_last_30", "projected_total_points", "projected_avg_points",
+    free = (pid % 5 == 0).cast("int")
+    return sup.join(stats, "player_id", "left").select(
+        "player_id", "name", "team_abbrev",
+        roster.alias("fantasy_roster_name"),
+        free.alias("is_free_agent"),
+        position.alias("position"),
+        injury.alias("injury_status"),
+        (injury == F.lit("OUT")).cast("int").alias("injured"),
+        F.when(free == 1, F.lit("FA")).otherwise(position).alias("lineup_slot"),
+        "total_points",
+        blended_score().alias("fantasy_points"),
+        "avg_points", "avg_last_7", "avg_last_15", "avg_last_30",
+        "projected_total_points", "projected_avg_points",
     )

@@ -27,14 +27,15 @@ def player_schedule_mart(player: DataFrame, schedule: DataFrame) -> DataFrame:
     """R1 (J1 + P1): one row per player and game of the player's team.
 
     Many-to-many fan-out on ``team_abbrev``.  Only the needed columns of each
-    side are read; the schedule side (bounded by teams x days) is broadcast
-    after a size check, so the player side is neither shuffled nor skewed by
-    a team holding many players.
+    side are read.  The schedule side is bounded by teams x days, so AQE turns
+    the join into a broadcast hash join after measuring it: the player side is
+    then neither shuffled nor skewed by a team holding many players.  Past the
+    broadcast threshold the sort-merge join is split by AQE's skew handling.
     """
     p_cols = [c for c in MART_COLS if c in player.columns and c not in ("team_abbrev",)]
     s_cols = ["date", "time", "week", "day_of_year", "day_of_week", "opponent_abbrev", "is_visitor"]
     joined = join_small(player.select("team_abbrev", *p_cols), schedule.select("team_abbrev", *s_cols),
-                        "team_abbrev", salts=32)
+                        "team_abbrev")
     return joined.select(*MART_COLS)
 
 

@@ -8,6 +8,7 @@ the text, and raises on error (the original returned None).
 from __future__ import annotations
 
 import datetime as dt
+import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,35 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+_HANDLES: dict[tuple, DataFrame] = {}
+
+
+def _stamp(path: str) -> tuple | None:
+    """Modification stamp of a local path (None for remote stores: no caching)."""
+    try:
+        st = os.stat(path)
+    except OSError:
+        return None
+    return (st.st_mtime_ns, st.st_size)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one stored table (parquet)."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Scan one stored table (parquet).
+
+    The scan handle (a logical plan: file listing and footer schema, no data)
+    is reused within a session while the file is unchanged, so composing many
+    queries over the same tables does not re-read footers each time.
+    """
+    path = table_path(sf_dir, name)
+    stamp = _stamp(path)
+    if stamp is None:
+        return spark.read.parquet(path)
+    key = (id(spark), path, stamp)
+    df = _HANDLES.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _HANDLES[key] = df
+    return df
 
 
 def register_views(spark: SparkSession, frames: Mapping[str, DataFrame]) -> None:
