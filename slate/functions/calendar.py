@@ -44,12 +44,15 @@ def clock_to_12h(hour: str | Column, minute: str | Column) -> Column:
 def parse_page_date(text: str | Column) -> Column:
     """``Tue, Oct 24, 2023`` -> DATE; headers and junk -> NULL.
 
-    The weekday prefix is dropped first; ``try_to_date`` never raises under
-    ANSI mode.
+    The weekday prefix is dropped first.  Text without the date's shape
+    (header rows, junk) is set to NULL by a cheap pattern test before the
+    parser sees it: ``try_to_date`` never raises under ANSI mode, but each
+    failed parse costs an exception inside the task.
     """
     t = F.trim(_col(text))
     body = F.regexp_replace(t, r"^[A-Za-z]{3},\s*", "")
-    return F.try_to_date(body, "MMM d, yyyy")
+    shaped = body.rlike(r"^[A-Za-z]{3} \d{1,2}, \d{4}$")
+    return F.when(shaped, F.try_to_date(body, "MMM d, yyyy"))
 
 
 def combine_date_time(date: str | Column, time_24h: str | Column) -> Column:
