@@ -57,8 +57,10 @@ def parse_page_date(text: str | Column) -> Column:
 
 def combine_date_time(date: str | Column, time_24h: str | Column) -> Column:
     """date + ``HH:MM`` text -> TIMESTAMP_NTZ (NULL when either part is bad)."""
-    text = F.concat_ws(" ", F.date_format(_col(date), "yyyy-MM-dd"), _col(time_24h))
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
+    d, t = _col(date), _col(time_24h)
+    text = F.concat_ws(" ", F.date_format(d, "yyyy-MM-dd"), t)
+    ok = d.isNotNull() & t.rlike(r"^\d{2}:\d{2}$")
+    return F.when(ok, F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm"))).cast("timestamp_ntz")
 
 
 def iso_week(date: str | Column) -> Column:
