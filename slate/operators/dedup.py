@@ -48,14 +48,14 @@ def latest_per_key(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[
     return _pick(df, key_cols, order_cols, latest=True)
 
 
-def insert_or_ignore(
+def rows_to_insert(
     target: DataFrame | None,
     batch: DataFrame,
     key_cols: Sequence[str],
     order_cols: Sequence[str],
     required_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """The target after inserting ``batch`` with ``INSERT OR IGNORE`` semantics.
+    """The rows of ``batch`` that an ``INSERT OR IGNORE`` would add to ``target``.
 
     * rows with NULL in a required (NOT NULL) column are skipped;
     * a row whose key columns are all non-NULL is inserted only if no target row
@@ -69,11 +69,23 @@ def insert_or_ignore(
     full_key = _all_not_null(key_cols)
     keyed = first_per_key(b.where(full_key), key_cols, order_cols)
     loose = b.where(~full_key)
-    if target is None:
-        return keyed.unionByName(loose)
-    present = target.where(full_key).select(*key_cols)
-    new = keyed.join(present, list(key_cols), "left_anti")
-    return target.unionByName(new).unionByName(loose)
+    if target is not None:
+        present = target.where(full_key).select(*key_cols)
+        keyed = keyed.join(present, list(key_cols), "left_anti")
+    return keyed.unionByName(loose)
+
+
+def insert_or_ignore(
+    target: DataFrame | None,
+    batch: DataFrame,
+    key_cols: Sequence[str],
+    order_cols: Sequence[str],
+    required_cols: Sequence[str] = (),
+) -> DataFrame:
+    """The target after inserting ``batch`` with ``INSERT OR IGNORE`` semantics
+    (see :func:`rows_to_insert`)."""
+    new = rows_to_insert(target, batch, key_cols, order_cols, required_cols)
+    return new if target is None else target.unionByName(new)
 
 
 def upsert(
