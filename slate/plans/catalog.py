@@ -33,7 +33,7 @@ from slate.operators.reshape import lower_case_columns, union_all, unpivot_games
 from slate.operators.schema import PLAYER, enforce_schema
 from slate.operators.windows import rest_days
 from slate.plans import adapters, etl, reports
-from slate.session import scratch_path
+from slate.session import materialize, scratch_path
 from slate.sources import feeds, sinks
 from slate.sources.html_tables import html_table_rows
 from slate.sources.tables import read_table, run_sql
@@ -58,6 +58,15 @@ def _schedule(spark: SparkSession, d: str) -> DataFrame:
     return adapters.schedule(spark, d)
 
 
+def _player_shared(spark: SparkSession, d: str) -> DataFrame:
+    """The derived player table for reports that read it twice (totals and base).
+
+    Checkpointed once so ``lineitem`` is aggregated once per report, not once
+    per branch; in production ``player`` is a stored table and this is a scan.
+    """
+    return materialize(_player(spark, d))
+
+
 # --- calendar and clock functions -------------------------------------------------
 
 def q_calendar_attributes(spark, d):
@@ -147,23 +156,23 @@ def q_date_range_scan(spark, d):
 
 
 def q_free_agent_report(spark, d):
-    return reports.free_agent_report(_player(spark, d), _schedule(spark, d), FREE_AGENT_PARAMS)
+    return reports.free_agent_report(_player_shared(spark, d), _schedule(spark, d), FREE_AGENT_PARAMS)
 
 
 def q_rising_stars(spark, d):
-    return reports.rising_stars(_player(spark, d), _schedule(spark, d), FREE_AGENT_PARAMS)
+    return reports.rising_stars(_player_shared(spark, d), _schedule(spark, d), FREE_AGENT_PARAMS)
 
 
 def q_roster_report(spark, d):
-    return reports.roster_report(_player(spark, d), _schedule(spark, d), ROSTER_PARAMS)
+    return reports.roster_report(_player_shared(spark, d), _schedule(spark, d), ROSTER_PARAMS)
 
 
 def q_matchup_report(spark, d):
-    return reports.matchup_report(_player(spark, d), _schedule(spark, d), MATCHUP_PARAMS)
+    return reports.matchup_report(_player_shared(spark, d), _schedule(spark, d), MATCHUP_PARAMS)
 
 
 def q_matchup_totals(spark, d):
-    rep = reports.matchup_report(_player(spark, d), _schedule(spark, d), MATCHUP_PARAMS, sort=False)
+    rep = reports.matchup_report(_player_shared(spark, d), _schedule(spark, d), MATCHUP_PARAMS, sort=False)
     return reports.matchup_totals(rep, MATCHUP_PARAMS)
 
 

@@ -24,6 +24,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of frames that are no longer referenced are deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -77,3 +79,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/slate-{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df):
+    """Cut a frame's lineage with a reliable checkpoint in the shared folder.
+
+    Used when a derived table feeds several branches of one plan (Spark would
+    otherwise recompute its whole lineage per branch).  The checkpoint files
+    live under ``spark.checkpoint.dir`` on shared storage, so they survive the
+    loss of the executor that wrote them; ``localCheckpoint`` would not.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
