@@ -8,7 +8,9 @@ version intact and a lost executor only re-runs its tasks.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +80,60 @@ def load_upsert(spark: SparkSession, target_path: str | None, batch: DataFrame,
     target = spark.read.parquet(target_path) if target_path else None
     upsert(target, batch, key_cols, order_cols).write.mode("error").parquet(new_path)
     return new_path
+
+
+# --- versioned tables ----------------------------------------------------------------
+#
+# A table directory holds ``version=<n>`` sub-directories; readers take the
+# newest one the output committer marked complete.  A load that reads the
+# current version writes ``n + 1`` next to it, so a failure mid-write leaves the
+# previous version readable and a retry simply rewrites ``n + 1``.
+
+VERSION_PREFIX = "version="
+
+
+def local_path(path: str) -> str | None:
+    """The file-system path of a local URI (``/x``, ``file:/x``, ``file:///x``); None for remote stores."""
+    if path.startswith("file:"):
+        return urlparse(path).path
+    if "://" in path:
+        return None
+    return path
+
+
+def table_versions(spark: SparkSession, table_dir: str, prefix: str = VERSION_PREFIX) -> list[int]:
+    """Complete versions of a versioned table, oldest first.
+
+    Local folders: sub-directories carrying the committer's ``_SUCCESS`` marker.
+    Other stores: the partition values Spark discovers.
+    """
+    local = local_path(table_dir)
+    if local is not None:
+        if not os.path.isdir(local):
+            return []
+        return sorted(int(n[len(prefix):]) for n in os.listdir(local)
+                      if n.startswith(prefix) and os.path.exists(os.path.join(local, n, "_SUCCESS")))
+    try:
+        found = spark.read.parquet(table_dir).select(prefix.rstrip("=")).distinct().collect()
+    except Exception:  # nothing written yet
+        return []
+    return sorted(r[0] for r in found)
+
+
+def read_latest(spark: SparkSession, table_dir: str) -> DataFrame | None:
+    """The newest complete version of a versioned table (None if there is none)."""
+    versions = table_versions(spark, table_dir)
+    if not versions:
+        return None
+    return spark.read.parquet(f"{table_dir.rstrip('/')}/{VERSION_PREFIX}{versions[-1]}")
+
+
+def write_new_version(df: DataFrame, table_dir: str, partition_by: Sequence[str] = ()) -> str:
+    """Write ``df`` as the next version of a versioned table; returns its path."""
+    versions = table_versions(df.sparkSession, table_dir)
+    path = f"{table_dir.rstrip('/')}/{VERSION_PREFIX}{(versions[-1] + 1) if versions else 1}"
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return path

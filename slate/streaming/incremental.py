@@ -22,7 +22,6 @@ Exactly-once and executor loss
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from slate.operators.dedup import rows_to_insert, upsert
+from slate.sources.sinks import table_versions
 
 BATCH_COL = "batch_id"
 VERSION_COL = "version"
@@ -58,20 +58,8 @@ def _join(base: str, name: str) -> str:
 
 
 def _versions(spark: SparkSession, target: str) -> list[int]:
-    """Committed snapshot versions.
-
-    Local paths: directories carrying the committer's ``_SUCCESS`` marker.
-    Other stores: the ``version`` partition values Spark discovers.
-    """
-    if "://" not in target or target.startswith("file://"):
-        local = target.removeprefix("file://")
-        if not os.path.isdir(local):
-            return []
-        return sorted(int(n.split("=", 1)[1]) for n in os.listdir(local)
-                      if n.startswith(f"{VERSION_COL}=") and os.path.exists(os.path.join(local, n, "_SUCCESS")))
-    if not _has_data(spark, target):
-        return []
-    return sorted(r[0] for r in spark.read.parquet(target).select(VERSION_COL).distinct().collect())
+    """Committed snapshot versions (see :func:`slate.sources.sinks.table_versions`)."""
+    return table_versions(spark, target, prefix=f"{VERSION_COL}=")
 
 
 def read_snapshot(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
