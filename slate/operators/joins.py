@@ -91,20 +91,23 @@ def lookup_passthrough(
     key_col: str,
     value_col: str,
     out_col: str | None = None,
-    max_rows: int = BROADCAST_MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Replace ``column`` by its dictionary value; unmatched values pass through.
 
     The dictionary is de-duplicated on its key (first value by sort order) so
-    the lookup can never multiply rows.
+    the lookup can never multiply rows.  It is broadcast by the planner (local
+    or small stored dictionaries) or by AQE after measuring it; ``max_rows``
+    adds an explicit count check before a broadcast hint.
     """
     out_col = out_col or column
     lut = (
         dictionary.groupBy(F.col(key_col).alias("__k"))
         .agg(F.min(F.col(value_col)).alias("__v"))
     )
-    lut_b = bounded_broadcast(lut, max_rows)
-    out = df.join(lut_b, F.col(column) == F.col("__k"), "left")
+    if max_rows is not None:
+        lut = bounded_broadcast(lut, max_rows)
+    out = df.join(lut, F.col(column) == F.col("__k"), "left")
     return out.withColumn(out_col, F.coalesce(F.col("__v"), F.col(column))).drop("__k", "__v")
 
 

@@ -116,14 +116,19 @@ def dimension_rows(year: int = DEFAULT_STATS_YEAR) -> dict[str, list[tuple]]:
     }
 
 
+def team_table(spark: SparkSession) -> DataFrame:
+    """The seeded ``team`` dimension (id, abbrev, name)."""
+    team = T.StructType([_f("id", I, True), _f("abbrev", S), _f("name", S)])
+    return spark.createDataFrame(dimension_rows()["team"], team)
+
+
 def seed_dimensions(spark: SparkSession) -> dict[str, DataFrame]:
     """The seeded dimension tables as DataFrames (fixed, tiny)."""
     rows = dimension_rows()
     dim = T.StructType([_f("id", I, True), _f("name", S, True)])
-    team = T.StructType([_f("id", I, True), _f("abbrev", S), _f("name", S)])
     return {
         "stat_type": spark.createDataFrame(rows["stat_type"], dim),
         "stat_period": spark.createDataFrame(rows["stat_period"], dim),
         "stat_aggregation": spark.createDataFrame(rows["stat_aggregation"], dim),
-        "team": spark.createDataFrame(rows["team"], team),
+        "team": team_table(spark),
     }

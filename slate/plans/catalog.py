@@ -345,7 +345,7 @@ def q_csv_round_trip(spark, d):
 
 def q_table_round_trip(spark, d):
     path = scratch_path(spark, "table")
-    s = _schedule(spark, d)
+    s = materialize(_schedule(spark, d))  # derived once, written twice
     sinks.write_table(s, path, "overwrite", cast_dates=True)
     sinks.write_table(s, path, "overwrite", cast_dates=True)  # a replace is idempotent
     return sinks.read_written(spark, path)

@@ -17,7 +17,7 @@ from slate.functions.scoring import blended_score, empty_to_null, free_agent_fla
 from slate.operators.dedup import insert_or_ignore, upsert
 from slate.operators.joins import lookup_passthrough
 from slate.operators.reshape import unpivot_games
-from slate.operators.schema import PLAYER, SCHEDULE, enforce_schema, seed_dimensions
+from slate.operators.schema import PLAYER, SCHEDULE, enforce_schema, seed_dimensions, team_table
 from slate.sources.feeds import explode_feed
 from slate.sources.html_tables import html_table_rows
 from slate.sources.sinks import with_audit_columns
@@ -28,7 +28,7 @@ SCHEDULE_COLS = ["date", "week", "day_of_week", "day_of_year", "time", "opponent
 
 def team_dictionary(spark: SparkSession) -> DataFrame:
     """Full team name -> abbreviation (the seeded ``team`` dimension)."""
-    return seed_dimensions(spark)["team"].select("name", "abbrev")
+    return team_table(spark).select("name", "abbrev")
 
 
 def schedule_rows_from_pages(pages: DataFrame, teams: DataFrame) -> DataFrame:

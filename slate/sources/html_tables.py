@@ -20,6 +20,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROW_SCHEMA = "page_id long, url string, row_index int, cells map<string,string>"
 
@@ -148,6 +149,9 @@ def html_table_rows(pages: DataFrame, table_index: int = 0) -> DataFrame:
     """S4 + U1: every row of the ``table_index``-th table of every page.
 
     Output ``(page_id, url, row_index, cells map<header, text>)``; the union of
-    the pages is implicit (one distributed frame).
+    the pages is implicit (one distributed frame).  Pages without a ``<table``
+    tag are dropped by a JVM-side filter first, so they never cross to Python.
     """
-    return pages.select("page_id", "url", "html").mapInPandas(_parse_batches(table_index), ROW_SCHEMA)
+    has_table = F.lower(F.col("html")).contains("<table")
+    return (pages.select("page_id", "url", "html").where(has_table)
+            .mapInPandas(_parse_batches(table_index), ROW_SCHEMA))
