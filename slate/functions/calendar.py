@@ -98,9 +98,21 @@ def calendar_columns(date_col: str = "date") -> dict[str, Column]:
     }
 
 
+def ntz_literal(value: dt.date | dt.datetime) -> Column:
+    """A TIMESTAMP_NTZ literal built from text, so it does not depend on the
+    session or process time zone (a Python ``datetime`` literal would)."""
+    if not isinstance(value, dt.datetime):
+        value = dt.datetime(value.year, value.month, value.day)
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def to_eastern(ts_utc: str | Column, tz: str = EASTERN_TZ) -> Column:
-    """a UTC wall-clock timestamp rendered in US/Eastern local time."""
-    return F.from_utc_timestamp(_col(ts_utc).cast("timestamp"), tz).cast("timestamp_ntz")
+    """a UTC wall-clock timestamp (TIMESTAMP_NTZ) rendered as US/Eastern wall clock.
+
+    ``convert_timezone`` works on wall clocks, so the result does not depend on
+    the session time zone.
+    """
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), _col(ts_utc).cast("timestamp_ntz"))
 
 
 def as_of_date(as_of: dt.date | str | None = None, tz: str = EASTERN_TZ) -> Column:

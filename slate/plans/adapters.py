@@ -41,7 +41,7 @@ from slate.sources.tables import read_table
 
 def _ts(d: dt.date) -> F.Column:
     """A TIMESTAMP_NTZ literal (driver timestamps load as NTZ, so this pushes down)."""
-    return F.lit(dt.datetime(d.year, d.month, d.day)).cast("timestamp_ntz")
+    return cal.ntz_literal(d)
 
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,7 +255,7 @@ ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_
 
 def _order_batches(spark, d) -> tuple[DataFrame, DataFrame]:
     o = read_table(spark, d, "orders").select(*ORDER_COLS)
-    split = F.lit(dt.datetime.combine(BATCH_SPLIT, dt.time())).cast("timestamp_ntz")
+    split = cal.ntz_literal(BATCH_SPLIT)
     return o.where(F.col("o_orderdate") < split), o.where(F.col("o_orderdate") >= split)
 
 
@@ -275,8 +275,8 @@ def q_upsert_latest(spark, d):
 def _season_buyers(spark, d) -> DataFrame:
     """Customer keys with an order placed during the season (date range pushed to the scan)."""
     o = read_table(spark, d, "orders")
-    lo = F.lit(dt.datetime.combine(SEASON_START, dt.time())).cast("timestamp_ntz")
-    hi = F.lit(dt.datetime.combine(SEASON_END, dt.time())).cast("timestamp_ntz")
+    lo = cal.ntz_literal(SEASON_START)
+    hi = cal.ntz_literal(SEASON_END)
     return o.where((F.col("o_orderdate") >= lo) & (F.col("o_orderdate") < hi)).select(
         F.col("o_custkey").alias("c_custkey"))
 
@@ -320,7 +320,7 @@ def q_union_pages(spark, d):
     years = list(range(1996, 2001))
 
     def ts(y):
-        return F.lit(dt.datetime(y, 1, 1)).cast("timestamp_ntz")
+        return cal.ntz_literal(dt.date(y, 1, 1))
 
     col = F.col("O_ORDERDATE")
     pages = [upper.where(col < ts(years[0]))]

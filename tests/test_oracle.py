@@ -31,3 +31,19 @@ def test_entry_smoke(spark):
     df = entry(spark)
     assert df.count() == 2
     assert df.columns[:3] == ["name", "sum_fantasy_points", "games"]
+
+
+TZ_SENSITIVE = ["eastern_as_of", "date_parse_coerce", "clock_24h", "free_agent_report", "upsert_latest",
+                "existing_keys", "union_pages", "player_table"]
+
+
+@pytest.mark.parametrize("key", TZ_SENSITIVE)
+def test_results_do_not_depend_on_session_time_zone(spark, con, key):
+    """A driver session may not be set to UTC; literals and conversions must not care."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        o = compare(key, queries()[key](spark, SF01), oracle_sql()[key], con)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert o.ok, o.detail
