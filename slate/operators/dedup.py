@@ -64,6 +64,10 @@ def rows_to_insert(
 
     ``order_cols`` is the arrival order (e.g. an ingest sequence); it is kept
     as data, so the result is independent of partitioning.
+
+    ``batch`` is read twice (rows with a full key are de-duplicated, the others
+    pass through without a shuffle); pass a stored or checkpointed batch when
+    its lineage is expensive.
     """
     b = batch.where(_all_not_null(required_cols)) if required_cols else batch
     full_key = _all_not_null(key_cols)

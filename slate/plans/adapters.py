@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from slate.constants import (
     DEFAULT_AS_OF,
+    DEFAULT_STATS_YEAR,
     FREE_AGENT,
     GAME_MIN_QUANTITY,
     INJURY_STATUSES,
@@ -163,3 +164,111 @@ def player(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_OF) ->
         "avg_points", "avg_last_7", "avg_last_15", "avg_last_30",
         "projected_total_points", "projected_avg_points",
     )
+
+
+# --- the original's raw inputs, rebuilt from the driver tables ------------------------
+#
+# The ingest jobs (R10, R12, R13) start from raw inputs the driver does not
+# have: schedule pages, a nested player feed grouped by roster, a roster feed.
+# These builders derive such inputs from the driver tables, so the ingest jobs
+# run on whole driver-derived data instead of invented fixtures.
+
+SCHEDULE_HEADERS = ["Date", "Start (ET)", "Visitor/Neutral", "Home/Neutral"]
+
+#: Players per feed record: a roster's list is cut into records of this size,
+#: so no record (and no collect_list group) grows with the data.
+FEED_RECORD_PLAYERS = 64
+
+
+def schedule_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedule table rows as the original's monthly pages carried them.
+
+    ``(page_id, row_index, cells map<header, text>)``: one page per month
+    (``page_id = yyyymm``); every game is a row with a weekday date text
+    (``Tue, Oct 24, 2023``), a 12-hour start clock (``7:30p``), and the full team
+    names; every page repeats its header row once among the data rows, as the
+    original pages did.  ``row_index`` is the day of the month (0 for the header
+    row).  The clock is derived from the day of the month so both halves of the
+    day, midnight and noon occur.
+
+    One pass over ``games``: each game emits its data row and its page's header
+    row, and one distinct (partial, map-side) collapses the header copies.  The
+    data rows are already unique (games are distinct), so the distinct keeps
+    them all.  The map is built after the distinct (maps cannot be grouped).
+    """
+    g = games(spark, sf_dir)
+    dom = F.dayofmonth("game_date")
+    page = (F.year("game_date") * 100 + F.month("game_date")).cast("long")
+    texts = [
+        F.date_format("game_date", "EEE, MMM d, yyyy"),
+        cal.clock_to_12h((dom * 7) % 24, (dom * 5) % 60),
+        F.col("visitor"),
+        F.col("home"),
+    ]
+    cols = [f"c{i}" for i in range(len(SCHEDULE_HEADERS))]
+    data = F.struct(page.alias("page_id"), dom.alias("row_index"), *[t.alias(c) for t, c in zip(texts, cols)])
+    header = F.struct(page.alias("page_id"), F.lit(0).alias("row_index"),
+                      *[F.lit(h).alias(c) for h, c in zip(SCHEDULE_HEADERS, cols)])
+    rows = g.select(F.inline(F.array(data, header))).distinct()
+    cells = F.create_map(*[x for h, c in zip(SCHEDULE_HEADERS, cols) for x in (F.lit(h), F.col(c))])
+    return rows.select("page_id", "row_index", cells.alias("cells"))
+
+
+def _by_player_id(left: F.Column, right: F.Column) -> F.Column:
+    a, b = left.getField("playerId"), right.getField("playerId")
+    return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0))
+
+
+def player_feed_snapshot(spark: SparkSession, sf_dir: str, as_of: dt.date, snapshot: int) -> DataFrame:
+    """The nested player feed (declared ``FEED`` schema) for one ``as_of`` snapshot.
+
+    One record per roster and block of ``FEED_RECORD_PLAYERS`` player ids; the
+    players of a record are sorted by id, so positions are deterministic.
+    ``feed_seq`` orders arrivals: later snapshots after earlier ones, and within
+    a snapshot the free-agent pool first (the original loaded it first).  A
+    missing injury status arrives as the text ``[]`` (the feed's empty list),
+    a period without an average is absent from ``stats``.
+    """
+    p = player(spark, sf_dir, as_of)
+    year = DEFAULT_STATS_YEAR
+    stats = F.map_filter(
+        F.create_map(*[x for suffix in ("_last_7", "_last_15", "_last_30") for x in (
+            F.lit(f"{year}{suffix}"), F.struct(F.col(f"avg{suffix}").alias("applied_avg")))]),
+        lambda k, v: v.getField("applied_avg").isNotNull())
+    rec = F.struct(
+        F.col("player_id").alias("playerId"), "name", F.col("team_abbrev").alias("proTeam"), "position",
+        F.coalesce("injury_status", F.lit("[]")).alias("injuryStatus"),
+        F.col("injured").cast("boolean").alias("injured"), F.col("lineup_slot").alias("lineupSlot"),
+        "total_points", "avg_points", "projected_total_points", "projected_avg_points", stats.alias("stats"))
+    seq = F.lit(2 * snapshot) + (F.col("fantasy_roster_name") != F.lit(FREE_AGENT)).cast("int")
+    return (
+        p.groupBy("fantasy_roster_name", F.floor(F.col("player_id") / FEED_RECORD_PLAYERS).alias("block"))
+        .agg(F.array_sort(F.collect_list(rec), _by_player_id).alias("players"))
+        .select(seq.cast("int").alias("feed_seq"), F.col("fantasy_roster_name").alias("roster_name"), "players")
+    )
+
+
+def roster_feed(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
+    """The roster feed (declared ``ROSTER_FEED`` schema) in two snapshots.
+
+    One row per owned roster and snapshot; ``team_id`` is the roster's number.
+    Snapshot 1 has only a standing (players on the roster); snapshot 2 revises
+    the standing (active players) and adds the final standing, so an upsert
+    must keep snapshot 2.
+    """
+    p = player(spark, sf_dir, as_of).where(F.col("is_free_agent") == F.lit(0))
+    per = p.groupBy("fantasy_roster_name").agg(
+        F.count(F.lit(1)).cast("int").alias("n"),
+        F.count(F.when(F.col("injury_status") == F.lit("ACTIVE"), F.lit(1))).cast("int").alias("n_active"))
+    rid = F.regexp_extract("fantasy_roster_name", r"(\d+)$", 1).try_cast("int")
+    base = per.select(
+        rid.alias("team_id"), F.concat(F.lit("R"), rid.cast("string")).alias("team_abbrev"),
+        F.col("fantasy_roster_name").alias("team_name"), (rid % 2).cast("string").alias("division_id"),
+        F.concat(F.lit("Division "), (rid % 2).cast("string")).alias("division_name"), "n", "n_active")
+    snaps = F.array(
+        F.struct(F.col("n").alias("standing"), F.lit(None).cast("int").alias("final_standing"),
+                 F.lit(1).alias("feed_seq")),
+        F.struct(F.col("n_active").alias("standing"), F.col("n").alias("final_standing"),
+                 F.lit(2).alias("feed_seq")))
+    return base.select("team_id", "team_abbrev", "team_name", "division_id", "division_name",
+                       F.inline(snaps))

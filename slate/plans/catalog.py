@@ -364,6 +364,32 @@ def q_schedule_from_pages(spark, d):
     return etl.schedule_from_pages(read_table(spark, d, "pages"), etl.team_dictionary(spark))
 
 
+# --- ingest jobs over raw inputs rebuilt from the driver tables ------------------------
+
+#: Second player-feed snapshot, a week after the first: players whose points
+#: changed get a second row under the 7-column key, the others are ignored.
+SECOND_SNAPSHOT = AS_OF + dt.timedelta(days=7)
+
+
+def q_schedule_etl(spark, d):
+    """R10 over schedule page rows derived from the driver games."""
+    return etl.schedule_from_cells(adapters.schedule_page_rows(spark, d), team_dictionary(spark, d))
+
+
+def q_player_etl(spark, d):
+    """Two feed snapshots -> scored rows -> insert-or-ignore on the 7-column key."""
+    feed = adapters.player_feed_snapshot(spark, d, AS_OF, 0).unionByName(
+        adapters.player_feed_snapshot(spark, d, SECOND_SNAPSHOT, 1))
+    # the keyed load reads its batch twice (full keys, NULL keys): checkpoint the
+    # derived feed once instead of aggregating lineitem twice per snapshot
+    return etl.players_from_feed(materialize(feed)).drop("created_at", "modified_at")
+
+
+def q_roster_etl(spark, d):
+    """The fixed free-agent row and two roster-feed snapshots, upserted on ``id``."""
+    return etl.rosters_from_feed(adapters.roster_feed(spark, d, AS_OF)).drop("created_at", "modified_at")
+
+
 QUERIES: dict[str, Query] = {
     "calendar_attributes": q_calendar_attributes,
     "clock_24h": q_clock_24h,
@@ -404,4 +430,7 @@ QUERIES: dict[str, Query] = {
     "enforced_schema": q_enforced_schema,
     "html_table_rows": q_html_table_rows,
     "schedule_from_pages": q_schedule_from_pages,
+    "schedule_etl": q_schedule_etl,
+    "player_etl": q_player_etl,
+    "roster_etl": q_roster_etl,
 }

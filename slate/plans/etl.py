@@ -31,15 +31,14 @@ def team_dictionary(spark: SparkSession) -> DataFrame:
     return team_table(spark).select("name", "abbrev")
 
 
-def schedule_rows_from_pages(pages: DataFrame, teams: DataFrame) -> DataFrame:
-    """R11 (unprojected): one row per team and game, every parsed column kept.
+def schedule_rows_from_cells(rows: DataFrame, teams: DataFrame) -> DataFrame:
+    """R11 (unprojected) from table rows ``(page_id, row_index, cells map<header, text>)``.
 
     P2 lower-cases the headers; F1 converts the clock; F2 parses the date (junk
     and repeated header rows become NULL); F4 builds the start timestamp;
     F5-F7 add calendar columns; J3 maps full team names to abbreviations
     (unknown names pass through); F12 + U2 produce the two team rows.
     """
-    rows = html_table_rows(pages)
     cells = F.transform_keys("cells", lambda k, v: F.lower(k))
     parsed = rows.select(
         "page_id", "row_index",
@@ -61,10 +60,21 @@ def schedule_rows_from_pages(pages: DataFrame, teams: DataFrame) -> DataFrame:
     return unpivot_games(parsed, date_col="date", keep=keep)
 
 
+def schedule_from_cells(rows: DataFrame, teams: DataFrame) -> DataFrame:
+    """R10 from table rows: the ``schedule`` table (projected, NOT NULL enforced:
+    rows with an unparseable date, such as repeated header rows, are dropped
+    instead of failing the whole load)."""
+    return enforce_schema(schedule_rows_from_cells(rows, teams).select(*SCHEDULE_COLS), SCHEDULE)
+
+
+def schedule_rows_from_pages(pages: DataFrame, teams: DataFrame) -> DataFrame:
+    """R11 (unprojected) from raw HTML pages: S4 table rows, then the cleaning chain."""
+    return schedule_rows_from_cells(html_table_rows(pages), teams)
+
+
 def schedule_from_pages(pages: DataFrame, teams: DataFrame) -> DataFrame:
-    """The ``schedule`` table (projected, NOT NULL enforced: rows with an
-    unparseable date are dropped instead of failing the whole load)."""
-    return enforce_schema(schedule_rows_from_pages(pages, teams).select(*SCHEDULE_COLS), SCHEDULE)
+    """R10 from raw HTML pages (S4 + :func:`schedule_from_cells`)."""
+    return schedule_from_cells(html_table_rows(pages), teams)
 
 
 def player_rows_from_feed(feed: DataFrame, year: int = DEFAULT_STATS_YEAR) -> DataFrame:

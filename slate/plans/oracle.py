@@ -58,8 +58,9 @@ schedule AS (
   ) r WHERE rn = 1
 )"""
 
-PLAYER_BASE = f"""
-player_base AS (
+def _player_base_sql(as_of: dt.date) -> str:
+    """Per-supplier statistics as of ``as_of`` (the player view before scoring)."""
+    return f"""
   SELECT s.s_suppkey AS player_id, s.s_name AS name, n.n_name AS team_abbrev,
     CASE WHEN s.s_suppkey % 5 = 0 THEN 'Free Agent' ELSE 'Roster ' || CAST(s.s_suppkey % 5 AS VARCHAR) END
       AS fantasy_roster_name,
@@ -68,18 +69,19 @@ player_base AS (
     CASE s.s_suppkey % 4 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'DAY_TO_DAY' WHEN 2 THEN 'OUT' END AS injury_status,
     SUM(l.l_quantity) AS total_points,
     AVG(l.l_quantity) AS avg_points,
-    AVG(CASE WHEN l.l_shipdate > {_ts(AS_OF - dt.timedelta(days=7))} THEN l.l_quantity END) AS avg_last_7,
-    AVG(CASE WHEN l.l_shipdate > {_ts(AS_OF - dt.timedelta(days=15))} THEN l.l_quantity END) AS avg_last_15,
-    AVG(CASE WHEN l.l_shipdate > {_ts(AS_OF - dt.timedelta(days=30))} THEN l.l_quantity END) AS avg_last_30,
+    AVG(CASE WHEN l.l_shipdate > {_ts(as_of - dt.timedelta(days=7))} THEN l.l_quantity END) AS avg_last_7,
+    AVG(CASE WHEN l.l_shipdate > {_ts(as_of - dt.timedelta(days=15))} THEN l.l_quantity END) AS avg_last_15,
+    AVG(CASE WHEN l.l_shipdate > {_ts(as_of - dt.timedelta(days=30))} THEN l.l_quantity END) AS avg_last_30,
     SUM(CASE WHEN l.l_returnflag <> 'R' THEN l.l_quantity END) AS projected_total_points,
     AVG(CASE WHEN l.l_returnflag <> 'R' THEN l.l_quantity END) AS projected_avg_points
   FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
-  LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey AND l.l_shipdate <= {_ts(AS_OF)}
-  GROUP BY s.s_suppkey, s.s_name, n.n_name
-)"""
+  LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey AND l.l_shipdate <= {_ts(as_of)}
+  GROUP BY s.s_suppkey, s.s_name, n.n_name"""
 
-PLAYER = """
-player AS (
+
+def _player_sql(base: str) -> str:
+    """The scored player view over a ``_player_base_sql`` relation named ``base``."""
+    return f"""
   SELECT player_id, name, team_abbrev, fantasy_roster_name, is_free_agent, position, injury_status,
     CAST(injury_status = 'OUT' AS INTEGER) AS injured,
     CASE WHEN is_free_agent = 1 THEN 'FA' ELSE position END AS lineup_slot,
@@ -89,9 +91,30 @@ player AS (
       + COALESCE(avg_last_15 * CAST(0.2 AS DOUBLE), CAST(0.0 AS DOUBLE))
       + COALESCE(avg_last_30 * CAST(0.1 AS DOUBLE), CAST(0.0 AS DOUBLE)) AS fantasy_points,
     avg_points, avg_last_7, avg_last_15, avg_last_30, projected_total_points, projected_avg_points
-  FROM player_base
+  FROM {base}"""
+
+
+PLAYER_BASE = f"""
+player_base AS ({_player_base_sql(AS_OF)}
 )"""
 
+PLAYER = f"""
+player AS ({_player_sql("player_base")}
+)"""
+
+#: Partial team dictionary over nations (regions 0-2 only): full name -> code.
+TEAM_DICT = """
+dict AS (SELECT n_name AS name, 'T' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS abbrev
+         FROM nation WHERE n_regionkey IN (0, 1, 2))"""
+
+PLAYER_COLS = """player_id, name, team_abbrev, fantasy_roster_name, is_free_agent, position, injury_status, injured,
+  lineup_slot, total_points, fantasy_points, avg_points, avg_last_7, avg_last_15, avg_last_30,
+  projected_total_points, projected_avg_points"""
+
+PLAYER_KEY = ["name", "team_abbrev", "fantasy_roster_name", "total_points", "avg_points",
+              "projected_total_points", "projected_avg_points"]
+
+
 MART = """
 mart AS (
   SELECT p.player_id, p.name, s.date, s.time, s.week, s.day_of_year, s.day_of_week, p.total_points,
@@ -225,9 +248,8 @@ SELECT event_id, local_ts, CAST(local_ts AS DATE) AS local_date, CAST(week(local
        strftime(local_ts, '%A, %B %d, %I:%M') AS pretty
 FROM e"""
 
-    q["team_lookup_passthrough"] = """
-WITH dict AS (SELECT n_name AS name, 'T' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS abbrev
-              FROM nation WHERE n_regionkey IN (0, 1, 2))
+    q["team_lookup_passthrough"] = f"""
+WITH {TEAM_DICT}
 SELECT c.c_custkey, n.n_name AS team_name, COALESCE(d.abbrev, n.n_name) AS team_abbrev
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN dict d ON n.n_name = d.name"""
 
@@ -365,6 +387,53 @@ SELECT CAST(date AS TIMESTAMP) AS date, day_of_year, week, day_of_week, time, op
        matchup, is_visitor FROM schedule"""
     q["enforced_schema"] = f"""{with_views('player')}
 SELECT * FROM player WHERE player_id IS NOT NULL AND name IS NOT NULL AND is_free_agent IS NOT NULL"""
+    q.update(_ingest_sql())
+    return q
+
+
+def _ingest_sql() -> dict[str, str]:
+    """Oracles of the ingest jobs over raw inputs rebuilt from the driver tables."""
+    q: dict[str, str] = {}
+    q["schedule_etl"] = f"""{with_views('games')},{TEAM_DICT},
+g AS (
+  SELECT game_date, COALESCE(dv.abbrev, games.visitor) AS v, COALESCE(dh.abbrev, games.home) AS h,
+         lpad(CAST((dayofmonth(game_date) * 7) % 24 AS VARCHAR), 2, '0') || ':'
+           || lpad(CAST((dayofmonth(game_date) * 5) % 60 AS VARCHAR), 2, '0') AS time
+  FROM games LEFT JOIN dict dv ON games.visitor = dv.name LEFT JOIN dict dh ON games.home = dh.name),
+u AS (
+  SELECT game_date, time, v AS opponent_abbrev, h AS team_abbrev, v || '@' || h AS matchup, 0 AS is_visitor FROM g
+  UNION ALL
+  SELECT game_date, time, h, v, v || '@' || h, 1 FROM g)
+SELECT game_date AS date, CAST(dayofyear(game_date) AS INTEGER) AS day_of_year,
+       CAST(week(game_date) AS INTEGER) AS week, CAST(isodow(game_date) - 1 AS INTEGER) AS day_of_week,
+       time, opponent_abbrev, team_abbrev, matchup, is_visitor
+FROM u"""
+
+    full_key = " AND ".join(f"{c} IS NOT NULL" for c in PLAYER_KEY)
+    required = "player_id IS NOT NULL AND name IS NOT NULL AND is_free_agent IS NOT NULL"
+    second = AS_OF + dt.timedelta(days=7)
+    q["player_etl"] = f"""
+WITH b0 AS ({_player_base_sql(AS_OF)}),
+b1 AS ({_player_base_sql(second)}),
+u AS (SELECT 0 AS snap, * FROM ({_player_sql('b0')}) p0
+      UNION ALL SELECT 1 AS snap, * FROM ({_player_sql('b1')}) p1),
+k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {', '.join(PLAYER_KEY)} ORDER BY snap, player_id) AS rn
+      FROM u WHERE {required} AND {full_key})
+SELECT {PLAYER_COLS} FROM k WHERE rn = 1
+UNION ALL
+SELECT {PLAYER_COLS} FROM u WHERE {required} AND NOT ({full_key})"""
+
+    q["roster_etl"] = f"""{with_views('player')},
+r AS (SELECT fantasy_roster_name AS name,
+             TRY_CAST(regexp_extract(fantasy_roster_name, '(\\d+)$', 1) AS INTEGER) AS id,
+             COUNT(*) AS n, COUNT(CASE WHEN injury_status = 'ACTIVE' THEN 1 END) AS n_active
+      FROM player WHERE is_free_agent = 0 GROUP BY fantasy_roster_name)
+SELECT id, 'R' || CAST(id AS VARCHAR) AS abbrev, name, CAST(id % 2 AS VARCHAR) AS division_id,
+       'Division ' || CAST(id % 2 AS VARCHAR) AS division_name, CAST(NULL AS VARCHAR) AS owner,
+       CAST(n_active AS INTEGER) AS standing, CAST(n AS INTEGER) AS final_standing
+FROM r
+UNION ALL
+SELECT -1, NULL, 'Free Agent', NULL, NULL, NULL, NULL, NULL"""
     return q
 
 

@@ -138,3 +138,30 @@ def test_sql_with_bound_parameters_and_range_scan(spark):
                 {"s": dt.date(2024, 1, 3), "n": 2}, t=df)
     b = date_range_scan(df, dt.date(2024, 1, 3), 2)
     assert rows(a) == rows(b) == [(dt.date(2024, 1, 3),), (dt.date(2024, 1, 4),), (dt.date(2024, 1, 5),)]
+
+
+def test_driver_page_rows_repeat_one_header_per_page(spark):
+    from slate.plans import adapters
+
+    rows_ = adapters.schedule_page_rows(spark, SF001)
+    headers = rows_.where(F.col("cells")["Date"] == "Date")
+    pages = rows_.select("page_id").distinct().count()
+    assert headers.count() == pages > 0
+    assert rows_.count() == adapters.games(spark, SF001).count() + pages
+    # the cleaning chain drops the header rows and keeps two team rows per game
+    sched = etl.schedule_from_cells(rows_, etl.team_dictionary(spark))
+    assert sched.count() == 2 * adapters.games(spark, SF001).count()
+
+
+def test_driver_feed_snapshots_are_bounded_records(spark):
+    from slate.plans import adapters
+
+    feed = adapters.player_feed_snapshot(spark, SF001, dt.date(1998, 1, 1), 0)
+    assert feed.schema.simpleString() == FEED.simpleString()  # names and types
+    sizes = [r.n for r in feed.select(F.size("players").alias("n")).collect()]
+    assert max(sizes) <= adapters.FEED_RECORD_PLAYERS
+    ids = [r.playerId for r in explode_feed(feed).select("playerId").collect()]
+    assert len(ids) == len(set(ids)) == read_table(spark, SF001, "supplier").count()
+    # free-agent records arrive first within the snapshot
+    seqs = {r.roster_name == FREE_AGENT: r.feed_seq for r in feed.select("roster_name", "feed_seq").collect()}
+    assert seqs[True] < seqs[False]
