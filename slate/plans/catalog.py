@@ -18,6 +18,7 @@ from slate.constants import (
     DEFAULT_STATS_YEAR,
     FREE_AGENT,
     FREE_AGENT_PULL_SIZE,
+    MART_COLS,
     SEASON_END,
     SEASON_START,
 )
@@ -33,6 +34,7 @@ from slate.operators.reshape import lower_case_columns, union_all, unpivot_games
 from slate.operators.schema import PLAYER, enforce_schema
 from slate.operators.windows import rest_days
 from slate.plans import adapters, etl, reports
+from slate.plans.build import Warehouse, build_from_driver_tables
 from slate.session import materialize, scratch_path
 from slate.sources import feeds, sinks
 from slate.sources.html_tables import html_table_rows
@@ -390,6 +392,15 @@ def q_roster_etl(spark, d):
     return etl.rosters_from_feed(adapters.roster_feed(spark, d, AS_OF)).drop("created_at", "modified_at")
 
 
+def q_warehouse_build(spark, d):
+    """Build every table from the driver tables into a fresh warehouse folder
+    under the shared checkpoint directory (dimensions, schedule, player, then the
+    date-partitioned mart from the stored tables); the result is the stored mart."""
+    root = scratch_path(spark, "warehouse")
+    build_from_driver_tables(spark, d, root, AS_OF)
+    return Warehouse(root).read(spark, "proj_player_points").select(*MART_COLS)
+
+
 QUERIES: dict[str, Query] = {
     "calendar_attributes": q_calendar_attributes,
     "clock_24h": q_clock_24h,
@@ -433,4 +444,5 @@ QUERIES: dict[str, Query] = {
     "schedule_etl": q_schedule_etl,
     "player_etl": q_player_etl,
     "roster_etl": q_roster_etl,
+    "warehouse_build": q_warehouse_build,
 }

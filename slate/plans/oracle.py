@@ -423,6 +423,8 @@ SELECT {PLAYER_COLS} FROM k WHERE rn = 1
 UNION ALL
 SELECT {PLAYER_COLS} FROM u WHERE {required} AND NOT ({full_key})"""
 
+    q["warehouse_build"] = f"{with_views('mart')} SELECT * FROM mart"
+
     q["roster_etl"] = f"""{with_views('player')},
 r AS (SELECT fantasy_roster_name AS name,
              TRY_CAST(regexp_extract(fantasy_roster_name, '(\\d+)$', 1) AS INTEGER) AS id,

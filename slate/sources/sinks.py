@@ -28,16 +28,28 @@ def cast_dates_for_write(df: DataFrame, columns: Sequence[str] = DATE_LIKE) -> D
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in present}) if present else df
 
 
+def partitioned_writer(df: DataFrame, partition_by: Sequence[str] = ()):
+    """A writer for ``df``, laid out by ``partition_by`` directories if given.
+
+    A partitioned write is preceded by a ``rebalance`` on the directory
+    columns: without it every write task opens one file per directory value it
+    holds (tasks x values small files).  The rebalance shuffles rows of one
+    value together, and AQE then splits a value that is too large over several
+    tasks (so a hot value does not land in one task) and coalesces small ones,
+    giving files of a reasonable size.
+    """
+    if not partition_by:
+        return df.write
+    return df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = (),
                 cast_dates: bool = False) -> str:
     """Write (replace or append) a table as parquet; returns the path."""
     if mode not in ("overwrite", "append", "error", "ignore"):
         raise ValueError(f"bad mode {mode!r}")
     out = cast_dates_for_write(df) if cast_dates else df
-    w = out.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    partitioned_writer(out, partition_by).mode(mode).parquet(path)
     return path
 
 
@@ -132,8 +144,5 @@ def write_new_version(df: DataFrame, table_dir: str, partition_by: Sequence[str]
     """Write ``df`` as the next version of a versioned table; returns its path."""
     versions = table_versions(df.sparkSession, table_dir)
     path = f"{table_dir.rstrip('/')}/{VERSION_PREFIX}{(versions[-1] + 1) if versions else 1}"
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    partitioned_writer(df, partition_by).mode("overwrite").parquet(path)
     return path
