@@ -75,7 +75,8 @@ def rows_to_insert(
     loose = b.where(~full_key)
     if target is not None:
         present = target.where(full_key).select(*key_cols)
-        keyed = keyed.join(present, list(key_cols), "left_anti")
+        # a USING anti join puts the key columns first: restore the batch's order
+        keyed = keyed.join(present, list(key_cols), "left_anti").select(*b.columns)
     return keyed.unionByName(loose)
 
 
@@ -106,5 +107,5 @@ def upsert(
     latest = latest_per_key(b, key_cols, order_cols)
     if target is None:
         return latest
-    kept = target.join(latest.select(*key_cols), list(key_cols), "left_anti")
+    kept = target.join(latest.select(*key_cols), list(key_cols), "left_anti").select(*target.columns)
     return kept.unionByName(latest.select(*target.columns))

@@ -112,13 +112,15 @@ def lookup_passthrough(
 
 
 def existing_keys(df: DataFrame, target: DataFrame, on: Sequence[str] | str) -> DataFrame:
-    """Rows of ``df`` whose key exists in ``target`` (EXISTS)."""
-    return df.join(target.select(*([on] if isinstance(on, str) else on)), on, "left_semi")
+    """Rows of ``df`` whose key exists in ``target`` (EXISTS); ``df``'s columns in order."""
+    keys = [on] if isinstance(on, str) else list(on)
+    return df.join(target.select(*keys), keys, "left_semi").select(*df.columns)
 
 
 def new_keys(df: DataFrame, target: DataFrame, on: Sequence[str] | str) -> DataFrame:
-    """Rows of ``df`` whose key is absent from ``target`` (NOT EXISTS)."""
-    return df.join(target.select(*([on] if isinstance(on, str) else on)), on, "left_anti")
+    """Rows of ``df`` whose key is absent from ``target`` (NOT EXISTS); ``df``'s columns in order."""
+    keys = [on] if isinstance(on, str) else list(on)
+    return df.join(target.select(*keys), keys, "left_anti").select(*df.columns)
 
 
 def orphan_keys(

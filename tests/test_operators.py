@@ -1,6 +1,8 @@
 import datetime as dt
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF01, rows
@@ -159,6 +161,10 @@ def test_existing_new_orphan_keys(spark):
     assert rows(joins.existing_keys(df, tgt, "k")) == [(2,)]
     assert len(rows(joins.new_keys(df, tgt, "k"))) == 2
     assert rows(joins.orphan_keys(df, "k", tgt, "k")) == [(1,)]
+    # a key that is not the first column keeps its place
+    wide = spark.createDataFrame([("a", 1), ("b", 2)], "v string, k int")
+    assert joins.existing_keys(wide, tgt, "k").columns == ["v", "k"]
+    assert joins.new_keys(wide, tgt, "k").columns == ["v", "k"]
 
 
 def test_top_n_per_group_matches_row_number(spark):
@@ -187,3 +193,52 @@ def test_enforce_schema(spark):
 def test_distinct_options(spark):
     df = spark.createDataFrame([("a", "T"), ("a", "U"), ("b", "T")], "name string, team string")
     assert rows(distinct_options(df, ["name", "team"])) == [("name", "a"), ("name", "b"), ("team", "T"), ("team", "U")]
+
+
+def _ignore_loop(target, batch, key_idx, req_idx):
+    """Brute force: the original's row-by-row INSERT OR IGNORE (arrival order = list order)."""
+    out = list(target)
+    seen = {tuple(r[i] for i in key_idx) for r in target if all(r[i] is not None for i in key_idx)}
+    for r in batch:
+        if any(r[i] is None for i in req_idx):
+            continue
+        key = tuple(r[i] for i in key_idx)
+        if all(k is not None for k in key):
+            if key in seen:
+                continue
+            seen.add(key)
+        out.append(r)
+    return out
+
+
+def _upsert_loop(target, batch, key_idx):
+    """Brute force: row-by-row INSERT OR REPLACE on the key (the last row wins)."""
+    table = {tuple(r[i] for i in key_idx): r for r in target}
+    for r in batch:
+        key = tuple(r[i] for i in key_idx)
+        if all(k is not None for k in key):
+            table[key] = r
+    return list(table.values())
+
+
+_ROW = st.tuples(st.sampled_from(["a", "b", "c", None]), st.sampled_from([1.0, 2.0, None]),
+                 st.sampled_from(["x", "y", None]))
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(target=st.lists(_ROW, max_size=6), batch=st.lists(_ROW, max_size=12))
+def test_keyed_loads_equal_row_by_row_loops(spark, target, batch):
+    """Insert-or-ignore and upsert against the row-by-row forms, on random rows with
+    duplicate keys, NULL keys and NULL required values."""
+    schema = "seq int, k1 string, k2 double, req string"
+    t_rows = [(-1 - i, *r) for i, r in enumerate(target) if r[2] is not None]  # the target satisfies NOT NULL
+    b_rows = [(i, *r) for i, r in enumerate(batch)]
+    b_df = spark.createDataFrame(b_rows, schema)
+
+    t_loaded = _ignore_loop([], t_rows, (1, 2), (3,))
+    got = insert_or_ignore(spark.createDataFrame(t_loaded, schema), b_df, ["k1", "k2"], ["seq"], ["req"])
+    assert rows(got) == rows(spark.createDataFrame(_ignore_loop(t_loaded, b_rows, (1, 2), (3,)), schema))
+
+    t_up = _upsert_loop([], t_rows, (1,))
+    got = upsert(spark.createDataFrame(t_up, schema), b_df, ["k1"], ["seq"])
+    assert rows(got) == rows(spark.createDataFrame(_upsert_loop(t_up, b_rows, (1,)), schema))

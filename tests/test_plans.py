@@ -35,3 +35,58 @@ def test_pivot_runs_without_value_discovery_job(spark):
     before = len(tracker.getJobIdsForGroup(None))
     queries()["week_grid"](spark, SF01)
     assert len(tracker.getJobIdsForGroup(None)) == before
+
+
+SKEW_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+def test_hot_team_is_split_when_the_mart_join_shuffles(spark):
+    """One team holds a third of all players and nothing is broadcast (the
+    schedule side past the threshold): the player x game join is a sort-merge
+    join and AQE splits the hot team's partition over several tasks.  The
+    result equals the brute-force count (every player x each of the team's
+    games).  Thresholds are scaled down to the fixture's size."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from slate.plans import reports
+
+    n, days = 30000, 30
+    pid = F.col("id")
+    players = spark.range(0, n, 1, 8).select(
+        pid.alias("player_id"), F.concat(F.lit("p"), pid.cast("string")).alias("name"),
+        F.when(pid % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("T"), (pid % 50).cast("string")))
+        .alias("team_abbrev"),
+        F.lit("R").alias("fantasy_roster_name"), F.lit(0).alias("is_free_agent"), F.lit("G").alias("position"),
+        F.lit(None).cast("string").alias("injury_status"), F.lit(0).alias("injured"),
+        (pid % 7).cast("double").alias("total_points"), (pid % 11).cast("double").alias("avg_points"),
+        F.lit(1.0).alias("projected_total_points"), F.lit(1.0).alias("projected_avg_points"))
+    teams = spark.createDataFrame([(f"T{i}",) for i in range(50)] + [("HOT",)], "team_abbrev string")
+    sched = spark.range(days).crossJoin(teams).select(
+        F.date_add(F.lit(dt.date(2024, 1, 1)), F.col("id").cast("int")).alias("date"), F.lit("19:30").alias("time"),
+        F.lit(1).alias("week"), F.lit(1).alias("day_of_year"), F.lit(0).alias("day_of_week"),
+        F.lit("X").alias("opponent_abbrev"), "team_abbrev", F.lit(0).alias("is_visitor"))
+    saved = {k: spark.conf.get(k) for k in SKEW_CONF}
+    try:
+        for k, v in SKEW_CONF.items():
+            spark.conf.set(k, v)
+        mart = reports.player_schedule_mart(players, sched)
+        agg = mart.groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum("player_id").alias("s"))
+        got = agg.collect()[0]
+        plan = agg._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert got.n == n * days and got.s == days * (n * (n - 1) // 2)
+    assert "SortMergeJoin(skew=true)" in plan and "AQEShuffleRead skewed" in plan
