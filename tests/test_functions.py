@@ -1,6 +1,8 @@
 import datetime as dt
 import uuid
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from slate.functions import calendar as cal
@@ -94,3 +96,12 @@ def test_content_key_renders_values_like_python(spark):
     got = df.select(content_key(df, ignore_cols=["d"]).alias("k")).first().k
     expected = str(uuid.uuid5(uuid.NAMESPACE_DNS, "abc1.5NoneTrue2024-01-02"))
     assert got == expected
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(st.text(alphabet=st.characters(exclude_categories=("Cs",)), max_size=40), min_size=1,
+                      max_size=20))
+def test_uuid5_matches_python_on_any_text(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.u for r in df.select("i", uuid5_from_text(F.col("t")).alias("u")).collect()}
+    assert got == {i: str(uuid.uuid5(uuid.NAMESPACE_DNS, t)) for i, t in enumerate(texts)}

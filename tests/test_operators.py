@@ -242,3 +242,19 @@ def test_keyed_loads_equal_row_by_row_loops(spark, target, batch):
     t_up = _upsert_loop([], t_rows, (1,))
     got = upsert(spark.createDataFrame(t_up, schema), b_df, ["k1"], ["seq"])
     assert rows(got) == rows(spark.createDataFrame(_upsert_loop(t_up, b_rows, (1,)), schema))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(games=st.lists(st.tuples(st.sampled_from(["A", "B", "C"]), st.integers(0, 40)), max_size=30, unique=True))
+def test_rest_days_equal_a_sorted_loop(spark, games):
+    """W1/W2 against the plain loop: per team, days to the next game minus one (0 after the last game)."""
+    base = D(2024, 1, 1)
+    rows_ = [(t, base + dt.timedelta(days=d)) for t, d in games]
+    expected = []
+    for team in {t for t, _ in rows_}:
+        days = sorted(d for t, d in rows_ if t == team)
+        for cur, nxt in zip(days, days[1:] + [None]):
+            gap = (nxt - cur).days if nxt else None
+            expected.append((team, cur, gap - 1 if gap and gap > 1 else 0))
+    df = spark.createDataFrame(rows_, "team_abbrev string, date date")
+    assert rows(rest_days(df), "team_abbrev", "date", "no_game_days_following") == sorted(expected)
