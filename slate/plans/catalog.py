@@ -316,18 +316,29 @@ def q_content_key(spark, d):
 
 # --- sources and sinks ----------------------------------------------------------------
 
+#: Page boundaries for ``union_pages``: page 0 holds orders before the first
+#: year, page i the i-th year, the last page the rest (and NULL dates).
+PAGE_YEARS = list(range(1996, 2001))
+
+
 def q_union_pages(spark, d):
+    """U1 + P2: per-page tables, each read as its own source, lower-cased and unioned by name.
+
+    The pages are cut from ``orders`` in one pass: a single write partitioned by
+    page (upper-case headers, as the pages carried them) into the shared folder.
+    Each page is then read on its own; its page filter prunes the scan to its
+    directory, so ``orders`` is read once rather than once per page.
+    """
     o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     upper = o.toDF(*[c.upper() for c in o.columns])
-    years = list(range(1996, 2001))
-
-    def ts(y):
-        return cal.ntz_literal(dt.date(y, 1, 1))
-
-    col = F.col("O_ORDERDATE")
-    pages = [upper.where(col < ts(years[0]))]
-    pages += [upper.where((col >= ts(y)) & (col < ts(y + 1))) for y in years[:-1]]
-    pages += [upper.where((col >= ts(years[-1])) | col.isNull())]
+    year = F.year("O_ORDERDATE")
+    last = len(PAGE_YEARS)
+    page = (F.when(year < PAGE_YEARS[0], F.lit(0))
+            .when(year < PAGE_YEARS[-1], year - F.lit(PAGE_YEARS[0] - 1))
+            .otherwise(F.lit(last)))
+    path = sinks.write_table(upper.withColumn("PAGE", page), scratch_path(spark, "pages"), partition_by=["PAGE"])
+    stored = spark.read.parquet(path)
+    pages = [stored.where(F.col("PAGE") == F.lit(i)).drop("PAGE") for i in range(last + 1)]
     return union_all(lower_case_columns(p) for p in pages)
 
 
