@@ -27,7 +27,7 @@ from slate.functions.keys import content_key
 from slate.functions.scoring import empty_array_to_null, stat_lookup
 from slate.operators import joins
 from slate.operators.aggregates import distinct_options, window_aggregate
-from slate.operators.dedup import insert_or_ignore, upsert
+from slate.operators.dedup import upsert
 from slate.operators.filters import ReportParams, not_equal
 from slate.operators.horizon import horizon_detailed, horizon_slim
 from slate.operators.reshape import lower_case_columns, union_all, unpivot_games
@@ -262,10 +262,14 @@ def _order_batches(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def q_insert_or_ignore(spark, d):
-    first, second = _order_batches(spark, d)
+    """S10 as two append-only loads into a table in the shared folder: each load
+    writes only the rows it adds, checked against the stored earlier loads (so
+    the second load reads the stored first one, not its lineage)."""
     key = ["o_custkey", "o_orderstatus", "o_orderpriority"]
-    target = insert_or_ignore(None, first, key, ["o_orderkey"], ["o_orderkey"])
-    return insert_or_ignore(target, second, key, ["o_orderkey"], ["o_orderkey"])
+    table = scratch_path(spark, "orders-ioi")
+    for load_id, batch in enumerate(_order_batches(spark, d)):
+        sinks.append_insert_or_ignore(spark, table, batch, load_id, key, ["o_orderkey"], ["o_orderkey"])
+    return sinks.read_loads(spark, table)
 
 
 def q_upsert_latest(spark, d):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slate.operators.dedup import insert_or_ignore, upsert
+from slate.operators.dedup import insert_or_ignore, rows_to_insert, upsert
 
 #: Columns cast to timestamps on write when present.
 DATE_LIKE = ("date", "start_date", "end_date")
@@ -146,3 +146,38 @@ def write_new_version(df: DataFrame, table_dir: str, partition_by: Sequence[str]
     path = f"{table_dir.rstrip('/')}/{VERSION_PREFIX}{(versions[-1] + 1) if versions else 1}"
     partitioned_writer(df, partition_by).mode("overwrite").parquet(path)
     return path
+
+
+# --- append-only keyed loads -----------------------------------------------------------
+#
+# Insert-or-ignore only ever adds rows, so a load need not rewrite the table:
+# load ``k`` writes the rows it adds to ``<table>/load=k`` and finds conflicts
+# by reading the key columns of the complete earlier loads.  Re-running a load
+# overwrites only its own directory (idempotent), and a failed load leaves the
+# earlier ones untouched.  The streaming mode uses the same layout with
+# ``batch_id`` as the load column.
+
+LOAD_COL = "load"
+
+
+def read_loads(spark: SparkSession, table_dir: str, before: int | None = None,
+               load_col: str = LOAD_COL) -> DataFrame | None:
+    """The union of the complete loads of an append-only table (only loads < ``before`` if given)."""
+    loads = [v for v in table_versions(spark, table_dir, prefix=f"{load_col}=") if before is None or v < before]
+    if not loads:
+        return None
+    base = table_dir.rstrip("/")
+    return (spark.read.option("basePath", base).parquet(*[f"{base}/{load_col}={v}" for v in loads])
+            .drop(load_col))
+
+
+def append_insert_or_ignore(spark: SparkSession, table_dir: str, batch: DataFrame, load_id: int,
+                            key_cols: Sequence[str], order_cols: Sequence[str],
+                            required_cols: Sequence[str] = (), load_col: str = LOAD_COL) -> str:
+    """S10 as an append-only load: write the rows of ``batch`` that an
+    ``INSERT OR IGNORE`` adds to the stored earlier loads; returns the load's path."""
+    existing = read_loads(spark, table_dir, before=load_id, load_col=load_col)
+    new = rows_to_insert(existing, batch, key_cols, order_cols, required_cols)
+    path = f"{table_dir.rstrip('/')}/{load_col}={load_id}"
+    new.write.mode("overwrite").parquet(path)
+    return path

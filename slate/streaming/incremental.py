@@ -25,32 +25,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from slate.operators.dedup import rows_to_insert, upsert
-from slate.sources.sinks import table_versions
+from slate.operators.dedup import upsert
+from slate.sources.sinks import append_insert_or_ignore, read_loads, table_versions
 
 BATCH_COL = "batch_id"
 VERSION_COL = "version"
 
 
-def _has_data(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(1).count()
-        return True
-    except Exception:  # missing or empty path: nothing loaded yet
-        return False
-
-
 def read_appended(spark: SparkSession, target: str, exclude_batch: int | None = None) -> DataFrame | None:
-    """The insert-or-ignore target: every committed batch directory."""
-    if not _has_data(spark, target):
-        return None
-    df = spark.read.parquet(target)
-    if exclude_batch is not None:
-        df = df.where(F.col(BATCH_COL) != F.lit(exclude_batch))
-    return df.drop(BATCH_COL)
+    """The insert-or-ignore target: every committed batch directory (before ``exclude_batch``)."""
+    return read_loads(spark, target, before=exclude_batch, load_col=BATCH_COL)
 
 
 def _join(base: str, name: str) -> str:
@@ -83,9 +69,8 @@ def insert_or_ignore_stream(
     spark = source.sparkSession
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        existing = read_appended(spark, target, exclude_batch=batch_id)
-        new = rows_to_insert(existing, batch, key_cols, order_cols, required_cols)
-        new.write.mode("overwrite").parquet(_join(target, f"{BATCH_COL}={batch_id}"))
+        append_insert_or_ignore(spark, target, batch, batch_id, key_cols, order_cols, required_cols,
+                                load_col=BATCH_COL)
 
     writer = source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer

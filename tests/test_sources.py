@@ -165,3 +165,20 @@ def test_driver_feed_snapshots_are_bounded_records(spark):
     # free-agent records arrive first within the snapshot
     seqs = {r.roster_name == FREE_AGENT: r.feed_seq for r in feed.select("roster_name", "feed_seq").collect()}
     assert seqs[True] < seqs[False]
+
+
+def test_append_only_keyed_loads_are_idempotent(spark):
+    from slate.operators.dedup import insert_or_ignore
+
+    o = read_table(spark, SF001, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    first, second = o.where(F.col("o_orderkey") < 3000), o.where(F.col("o_orderkey") >= 3000)
+    key, order = ["o_custkey", "o_orderstatus"], ["o_orderkey"]
+    table = scratch_path(spark, "loads")
+    assert sinks.read_loads(spark, table) is None
+    sinks.append_insert_or_ignore(spark, table, first, 0, key, order)
+    sinks.append_insert_or_ignore(spark, table, second, 1, key, order)
+    once = rows(sinks.read_loads(spark, table))
+    sinks.append_insert_or_ignore(spark, table, second, 1, key, order)  # a retried load replaces itself
+    assert rows(sinks.read_loads(spark, table)) == once
+    assert once == rows(insert_or_ignore(insert_or_ignore(None, first, key, order), second, key, order))
+    assert rows(sinks.read_loads(spark, table, before=1)) == rows(insert_or_ignore(None, first, key, order))
