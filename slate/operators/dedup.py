@@ -101,11 +101,22 @@ def upsert(
 ) -> DataFrame:
     """The target after ``INSERT OR REPLACE`` of ``batch`` on ``key_cols`` (last wins).
 
-    Rows with a NULL key are rejected (a primary key is NOT NULL).
+    Rows of ``batch`` with a NULL key are rejected (a primary key is NOT NULL).
+
+    One pass: target rows (priority 0) and batch rows (priority 1) are unioned
+    and one ``max_by`` per key keeps the batch's latest row where the batch has
+    the key, else the target's row.  Target and batch are each read once, and
+    the aggregate combines map-side, so a hot key is collapsed before the
+    shuffle.  Target rows with a NULL key (not produced by this function) are
+    kept as they are.
     """
-    b = batch.where(_all_not_null(key_cols))
-    latest = latest_per_key(b, key_cols, order_cols)
+    full_key = _all_not_null(key_cols)
+    b = batch.where(full_key)
     if target is None:
-        return latest
-    kept = target.join(latest.select(*key_cols), list(key_cols), "left_anti").select(*target.columns)
-    return kept.unionByName(latest.select(*target.columns))
+        return latest_per_key(b, key_cols, order_cols)
+    cols = target.columns
+    src = "__src"
+    both = (target.where(full_key).select(*cols, F.lit(0).alias(src))
+            .unionByName(b.select(*cols, F.lit(1).alias(src))))
+    merged = latest_per_key(both, key_cols, [src, *order_cols]).drop(src)
+    return merged.unionByName(target.where(~full_key))

@@ -27,7 +27,6 @@ from slate.functions.keys import content_key
 from slate.functions.scoring import empty_array_to_null, stat_lookup
 from slate.operators import joins
 from slate.operators.aggregates import distinct_options, window_aggregate
-from slate.operators.dedup import upsert
 from slate.operators.filters import ReportParams, not_equal
 from slate.operators.horizon import horizon_detailed, horizon_slim
 from slate.operators.reshape import lower_case_columns, union_all, unpivot_games
@@ -273,9 +272,13 @@ def q_insert_or_ignore(spark, d):
 
 
 def q_upsert_latest(spark, d):
-    first, second = _order_batches(spark, d)
+    """S11 as two loads, each writing the next copy-on-write version of the table in
+    the shared folder (the second load reads the stored first version)."""
     order = ["o_orderdate", "o_orderkey"]
-    return upsert(upsert(None, first, ["o_custkey"], order), second, ["o_custkey"], order)
+    version = None
+    for batch in _order_batches(spark, d):
+        version = sinks.load_upsert(spark, version, batch, scratch_path(spark, "orders-upsert"), ["o_custkey"], order)
+    return spark.read.parquet(version)
 
 
 def _season_buyers(spark, d) -> DataFrame:
