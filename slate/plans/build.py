@@ -7,6 +7,10 @@ warehouse root on shared storage; the next step reads the written table, so
 every step starts from a short lineage (a lost executor re-runs only the
 current step's tasks) and a failed step leaves the previous version in place.
 
+Writes that do not depend on each other (the dimensions, and the schedule
+and player tables) are submitted side by side; the mart follows once its
+inputs are stored.
+
 Two entry points:
 
 * :func:`build_from_feeds` - the original inputs: schedule pages, roster feed,
@@ -18,6 +22,8 @@ Two entry points:
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +59,17 @@ class Warehouse:
         return write_new_version(df, self.path(table), partition_by)
 
 
-def _write_dimensions(spark: SparkSession, wh: Warehouse) -> dict[str, str]:
-    return {name: wh.write(df, name) for name, df in etl.dimensions(spark).items()}
+def _write_all(jobs: dict[str, Callable[[], str]]) -> dict[str, str]:
+    """Run independent table writes side by side: each is one Spark job submitted
+    from its own driver thread, so small writes share the executors instead of
+    waiting for one another.  Any failure is raised after all have finished."""
+    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+        futures = {name: pool.submit(job) for name, job in jobs.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
+def _dimension_jobs(spark: SparkSession, wh: Warehouse) -> dict[str, Callable[[], str]]:
+    return {name: (lambda df=df, name=name: wh.write(df, name)) for name, df in etl.dimensions(spark).items()}
 
 
 def _write_mart(spark: SparkSession, wh: Warehouse) -> str:
@@ -73,10 +88,14 @@ def build_from_feeds(
 ) -> dict[str, str]:
     """R15 over the original inputs; returns table -> written version path."""
     wh = Warehouse(root)
-    out = _write_dimensions(spark, wh)
-    out["fantasy_roster"] = wh.write(
-        etl.rosters_from_feed(roster_feed, wh.read_or_none(spark, "fantasy_roster")), "fantasy_roster")
-    out["player"] = wh.write(etl.players_from_feed(player_feed, wh.read_or_none(spark, "player")), "player")
+    rosters = etl.rosters_from_feed(roster_feed, wh.read_or_none(spark, "fantasy_roster"))
+    players = etl.players_from_feed(player_feed, wh.read_or_none(spark, "player"))
+    out = _write_all({
+        **_dimension_jobs(spark, wh),
+        "fantasy_roster": lambda: wh.write(rosters, "fantasy_roster"),
+        "player": lambda: wh.write(players, "player"),
+    })
+    # the schedule load looks names up in the stored team dimension
     out["schedule"] = wh.write(etl.schedule_from_pages(pages, wh.read(spark, "team").select("name", "abbrev")),
                                "schedule")
     out["proj_player_points"] = _write_mart(spark, wh)
@@ -88,8 +107,12 @@ def build_from_driver_tables(
 ) -> dict[str, str]:
     """R15 over the driver tables (adapters instead of feeds)."""
     wh = Warehouse(root)
-    out = _write_dimensions(spark, wh)
-    out["schedule"] = wh.write(adapters.schedule(spark, sf_dir), "schedule")
-    out["player"] = wh.write(enforce_schema(adapters.player(spark, sf_dir, as_of), PLAYER), "player")
+    schedule = adapters.schedule(spark, sf_dir)
+    player = enforce_schema(adapters.player(spark, sf_dir, as_of), PLAYER)
+    out = _write_all({
+        **_dimension_jobs(spark, wh),
+        "schedule": lambda: wh.write(schedule, "schedule"),
+        "player": lambda: wh.write(player, "player"),
+    })
     out["proj_player_points"] = _write_mart(spark, wh)
     return out
