@@ -122,25 +122,35 @@ def truncated_total_when(side: int):
         F.sum(F.when(F.col("side") == side, F.col("sum_fantasy_points"))), F.lit(0.0)))
 
 
-def week_grid(schedule: DataFrame, week: int | None = None, teams: Sequence[str] | None = None) -> DataFrame:
+def _grid_index(season_col: str | None) -> tuple[str, ...]:
+    """Rows of a weekday grid: (team, ISO week), plus the season when given (N7:
+    ISO weeks carry no year, so two seasons would share a row)."""
+    return ("team_abbrev", "week") if season_col is None else (season_col, "team_abbrev", "week")
+
+
+def week_grid(schedule: DataFrame, week: int | None = None, teams: Sequence[str] | None = None,
+              season_col: str | None = None) -> DataFrame:
     """R6 (A6, A8): opponent per weekday for each (team, week), plus ``Games``.
 
     The week/team filter is applied before the pivot (and reaches the scan).
     """
     s = schedule.where(flt.conjunction([flt.equals("week", week), flt.member_of("team_abbrev", teams)]))
-    grid = weekday_pivot(s, "opponent_abbrev")
+    grid = weekday_pivot(s, "opponent_abbrev", index=_grid_index(season_col))
     return games_played(grid)
 
 
-def rest_grid(schedule: DataFrame, week: int | None = None, teams: Sequence[str] | None = None) -> DataFrame:
+def rest_grid(schedule: DataFrame, week: int | None = None, teams: Sequence[str] | None = None,
+              season_col: str | None = None) -> DataFrame:
     """R7 (W1, W2, A7): rest days after each game laid out by weekday.
 
     Rest days are computed over each team's whole schedule first (the next game
     may fall in the next week), then the optional team/week filter applies.
+    With ``season_col`` the next game is looked for within the same season.
     """
-    r = rest_days(schedule)
+    partition = ("team_abbrev",) if season_col is None else ("team_abbrev", season_col)
+    r = rest_days(schedule, partition=partition)
     r = r.where(flt.conjunction([flt.equals("week", week), flt.member_of("team_abbrev", teams)]))
-    return weekday_pivot(r, "no_game_days_following")
+    return weekday_pivot(r, "no_game_days_following", index=_grid_index(season_col))
 
 
 __all__ = [

@@ -258,3 +258,17 @@ def test_rest_days_equal_a_sorted_loop(spark, games):
             expected.append((team, cur, gap - 1 if gap and gap > 1 else 0))
     df = spark.createDataFrame(rows_, "team_abbrev string, date date")
     assert rows(rest_days(df), "team_abbrev", "date", "no_game_days_following") == sorted(expected)
+
+
+def test_grids_keep_seasons_apart(spark):
+    """ISO week 1 of two seasons; without a season column the cells would merge."""
+    sched = spark.createDataFrame([
+        ("2023", D(2023, 1, 2), 1, 0, "AAA", "BBB"), ("2023", D(2023, 1, 4), 1, 2, "AAA", "CCC"),
+        ("2024", D(2024, 1, 1), 1, 0, "AAA", "DDD"), ("2024", D(2024, 1, 2), 1, 1, "AAA", "EEE"),
+    ], "season string, date date, week int, day_of_week int, team_abbrev string, opponent_abbrev string")
+    grid = reports.week_grid(sched, season_col="season")
+    got = rows(grid, "season", "Monday", "Tuesday", "Wednesday", "Games")
+    assert got == [("2023", "BBB", None, "CCC", 2), ("2024", "DDD", "EEE", None, 2)]
+    rest = rows(reports.rest_grid(sched, season_col="season"), "season", "Monday", "Wednesday")
+    # the last game of the 2023 season is followed by no game within the season
+    assert rest == [("2023", 1, 0), ("2024", 0, None)]
