@@ -90,3 +90,28 @@ def test_hot_team_is_split_when_the_mart_join_shuffles(spark):
                 spark.conf.set(k, v)
     assert got.n == n * days and got.s == days * (n * (n - 1) // 2)
     assert "SortMergeJoin(skew=true)" in plan and "AQEShuffleRead skewed" in plan
+
+
+def test_orders_are_pruned_by_a_runtime_bloom_filter_before_the_game_join(spark):
+    """Past the broadcast threshold the games join shuffles orders; Spark's runtime
+    filter builds a bloom filter from the (selective) filtered lineitem keys and
+    applies it to the orders scan, so only orders of season games are shuffled.
+    The scan-size threshold is scaled down to the fixture."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1k"}
+    saved = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        g = adapters.games(spark, SF01)
+        plan = plan_text(g)
+        n = g.count()
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    orders_filter = [line for line in plan.splitlines() if "o_orderkey" in line and "might_contain" in line]
+    assert orders_filter and "bloom_filter_agg(xxhash64(l_orderkey" in plan
+    assert n == 494
