@@ -60,8 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory, creating a local one only if unset.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; that value is
-    always used as is.  Only a session without it (local tests, bench) gets a
-    private folder.
+    always used as is.  Only a local session without it (tests, bench) gets a
+    private folder; a cluster session without it is an error, since a
+    driver-local folder is not visible to the executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -69,7 +70,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached without a cluster-provided folder (tests, local bench).
+        if not sc.master.startswith("local"):
+            # executors on other machines cannot share a driver-local folder
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder when running on a cluster")
+        # Only reached in a local session without a configured folder (tests, local bench).
         configured = tempfile.mkdtemp(prefix="slate-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
