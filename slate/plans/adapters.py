@@ -21,6 +21,7 @@ Scale notes
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,47 +112,54 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule_from_games(games(spark, sf_dir))
 
 
-def player(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
-    """``player``: one scored snapshot per supplier as of ``as_of``.
+def _stat_aggregates(as_of: dt.date, upto: F.Column | None = None) -> list[F.Column]:
+    """Per-supplier statistics as of ``as_of``: season and trailing 7/15/30-day
+    averages of ``l_quantity``, projections without returned shipments.
 
-    Averages of ``l_quantity`` up to ``as_of`` (season and trailing 7/15/30
-    days); projections are the same averages without returned shipments.
-    Roster, injury and position are derived from the key.
+    ``upto`` restricts the rows (for several snapshots in one pass); None means
+    the caller already filtered the scan to ``as_of``.
     """
-    as_of_ts = _ts(as_of)
+    def only(cond: F.Column) -> F.Column:
+        return cond if upto is None else (upto & cond)
+
+    q = F.col("l_quantity")
+    counted = q if upto is None else F.when(upto, q)
 
     def trailing(days: int) -> F.Column:
         cut = _ts(as_of - dt.timedelta(days=days))
-        return F.avg(F.when(F.col("l_shipdate") > cut, F.col("l_quantity")))
+        return F.avg(F.when(only(F.col("l_shipdate") > cut), q))
+
+    not_returned = F.when(only(F.col("l_returnflag") != F.lit("R")), q)
+    return [
+        F.sum(counted).alias("total_points"),
+        F.avg(counted).alias("avg_points"),
+        trailing(7).alias("avg_last_7"),
+        trailing(15).alias("avg_last_15"),
+        trailing(30).alias("avg_last_30"),
+        F.sum(not_returned).alias("projected_total_points"),
+        F.avg(not_returned).alias("projected_avg_points"),
+    ]
 
-    not_returned = F.when(F.col("l_returnflag") != F.lit("R"), F.col("l_quantity"))
-    stats = (
-        read_table(spark, sf_dir, "lineitem")
-        .where(F.col("l_shipdate") <= as_of_ts)
-        .groupBy(F.col("l_suppkey").alias("player_id"))
-        .agg(
-            F.sum("l_quantity").alias("total_points"),
-            F.avg("l_quantity").alias("avg_points"),
-            trailing(7).alias("avg_last_7"),
-            trailing(15).alias("avg_last_15"),
-            trailing(30).alias("avg_last_30"),
-            F.sum(not_returned).alias("projected_total_points"),
-            F.avg(not_returned).alias("projected_avg_points"),
-        )
-    )
-    nat = nations(spark, sf_dir)
-    sup = (
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(player_id, name, team_abbrev): suppliers with their nation as team."""
+    return (
         read_table(spark, sf_dir, "supplier")
         .select(F.col("s_suppkey").alias("player_id"), F.col("s_name").alias("name"), "s_nationkey")
-        .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(nations(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
         .withColumnRenamed("n_name", "team_abbrev")
     )
+
+
+def _scored(df: DataFrame, leading: tuple[str, ...] = ()) -> DataFrame:
+    """The player columns: roster, injury and position derived from the key, the blended score."""
     pid = F.col("player_id")
     roster = F.when(pid % 5 == 0, F.lit(FREE_AGENT)).otherwise(F.concat(F.lit("Roster "), (pid % 5).cast("string")))
     injury = F.try_element_at(F.array(*[F.lit(s) for s in INJURY_STATUSES]), (pid % 4 + 1).cast("int"))
     position = F.element_at(F.array(F.lit("G"), F.lit("F"), F.lit("C")), (pid % 3 + 1).cast("int"))
     free = (pid % 5 == 0).cast("int")
-    return sup.join(stats, "player_id", "left").select(
+    return df.select(
+        *leading,
         "player_id", "name", "team_abbrev",
         roster.alias("fantasy_roster_name"),
         free.alias("is_free_agent"),
@@ -166,6 +174,46 @@ def player(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_OF) ->
     )
 
 
+def player(spark: SparkSession, sf_dir: str, as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
+    """``player``: one scored snapshot per supplier as of ``as_of``.
+
+    Averages of ``l_quantity`` up to ``as_of`` (season and trailing 7/15/30
+    days); projections are the same averages without returned shipments.
+    Roster, injury and position are derived from the key.
+    """
+    stats = (
+        read_table(spark, sf_dir, "lineitem")
+        .where(F.col("l_shipdate") <= _ts(as_of))
+        .groupBy(F.col("l_suppkey").alias("player_id"))
+        .agg(*_stat_aggregates(as_of))
+    )
+    return _scored(_suppliers(spark, sf_dir).join(stats, "player_id", "left"))
+
+
+def player_snapshots(spark: SparkSession, sf_dir: str, as_ofs: Sequence[dt.date]) -> DataFrame:
+    """``player`` for several ``as_of`` dates, with a leading ``snapshot`` (index into ``as_ofs``).
+
+    One pass over ``lineitem`` for all snapshots: the scan is filtered to the
+    latest date (pushed down), each snapshot's statistics are conditional
+    aggregates of the same group-by, and the per-snapshot structs are exploded
+    afterwards.  Every supplier gets a row per snapshot (NULL statistics when
+    it has no shipment yet), as with :func:`player`.
+    """
+    as_ofs = list(as_ofs)
+    per = [F.struct(*_stat_aggregates(a, F.col("l_shipdate") <= _ts(a))).alias(f"s{i}") for i, a in enumerate(as_ofs)]
+    stats = (
+        read_table(spark, sf_dir, "lineitem")
+        .where(F.col("l_shipdate") <= _ts(max(as_ofs)))
+        .groupBy(F.col("l_suppkey").alias("player_id"))
+        .agg(*per)
+        .select("player_id", F.posexplode(F.array(*[F.col(f"s{i}") for i in range(len(as_ofs))]))
+                .alias("snapshot", "s"))
+        .select("player_id", "snapshot", "s.*")
+    )
+    sup = _suppliers(spark, sf_dir).withColumn("snapshot", F.explode(F.sequence(F.lit(0), F.lit(len(as_ofs) - 1))))
+    return _scored(sup.join(stats, ["player_id", "snapshot"], "left"), leading=("snapshot",))
+
+
 # --- the original's raw inputs, rebuilt from the driver tables ------------------------
 #
 # The ingest jobs (R10, R12, R13) start from raw inputs the driver does not
@@ -219,17 +267,18 @@ def _by_player_id(left: F.Column, right: F.Column) -> F.Column:
     return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0))
 
 
-def player_feed_snapshot(spark: SparkSession, sf_dir: str, as_of: dt.date, snapshot: int) -> DataFrame:
-    """The nested player feed (declared ``FEED`` schema) for one ``as_of`` snapshot.
+def player_feed_snapshots(spark: SparkSession, sf_dir: str, as_ofs: Sequence[dt.date]) -> DataFrame:
+    """The nested player feed (declared ``FEED`` schema), one snapshot per ``as_of``.
 
-    One record per roster and block of ``FEED_RECORD_PLAYERS`` player ids; the
-    players of a record are sorted by id, so positions are deterministic.
-    ``feed_seq`` orders arrivals: later snapshots after earlier ones, and within
-    a snapshot the free-agent pool first (the original loaded it first).  A
-    missing injury status arrives as the text ``[]`` (the feed's empty list),
-    a period without an average is absent from ``stats``.
+    One record per snapshot, roster and block of ``FEED_RECORD_PLAYERS`` player
+    ids; the players of a record are sorted by id, so positions are
+    deterministic.  ``feed_seq`` orders arrivals: later snapshots after earlier
+    ones, and within a snapshot the free-agent pool first (the original loaded
+    it first).  A missing injury status arrives as the text ``[]`` (the feed's
+    empty list), a period without an average is absent from ``stats``.  All
+    snapshots come from one pass over ``lineitem`` (:func:`player_snapshots`).
     """
-    p = player(spark, sf_dir, as_of)
+    p = player_snapshots(spark, sf_dir, as_ofs)
     year = DEFAULT_STATS_YEAR
     stats = F.map_filter(
         F.create_map(*[x for suffix in ("_last_7", "_last_15", "_last_30") for x in (
@@ -240,9 +289,10 @@ def player_feed_snapshot(spark: SparkSession, sf_dir: str, as_of: dt.date, snaps
         F.coalesce("injury_status", F.lit("[]")).alias("injuryStatus"),
         F.col("injured").cast("boolean").alias("injured"), F.col("lineup_slot").alias("lineupSlot"),
         "total_points", "avg_points", "projected_total_points", "projected_avg_points", stats.alias("stats"))
-    seq = F.lit(2 * snapshot) + (F.col("fantasy_roster_name") != F.lit(FREE_AGENT)).cast("int")
+    seq = F.col("snapshot") * 2 + (F.col("fantasy_roster_name") != F.lit(FREE_AGENT)).cast("int")
     return (
-        p.groupBy("fantasy_roster_name", F.floor(F.col("player_id") / FEED_RECORD_PLAYERS).alias("block"))
+        p.groupBy("snapshot", "fantasy_roster_name",
+                  F.floor(F.col("player_id") / FEED_RECORD_PLAYERS).alias("block"))
         .agg(F.array_sort(F.collect_list(rec), _by_player_id).alias("players"))
         .select(seq.cast("int").alias("feed_seq"), F.col("fantasy_roster_name").alias("roster_name"), "players")
     )

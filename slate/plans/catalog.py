@@ -398,8 +398,7 @@ def q_schedule_etl(spark, d):
 
 def q_player_etl(spark, d):
     """Two feed snapshots -> scored rows -> insert-or-ignore on the 7-column key."""
-    feed = adapters.player_feed_snapshot(spark, d, AS_OF, 0).unionByName(
-        adapters.player_feed_snapshot(spark, d, SECOND_SNAPSHOT, 1))
+    feed = adapters.player_feed_snapshots(spark, d, [AS_OF, SECOND_SNAPSHOT])
     # the keyed load reads its batch twice (full keys, NULL keys): checkpoint the
     # derived feed once instead of aggregating lineitem twice per snapshot
     return etl.players_from_feed(materialize(feed)).drop("created_at", "modified_at")

@@ -115,3 +115,18 @@ def test_orders_are_pruned_by_a_runtime_bloom_filter_before_the_game_join(spark)
     orders_filter = [line for line in plan.splitlines() if "o_orderkey" in line and "might_contain" in line]
     assert orders_filter and "bloom_filter_agg(xxhash64(l_orderkey" in plan
     assert n == 494
+
+
+def test_player_snapshots_read_lineitem_once_and_equal_single_snapshots(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from conftest import rows
+
+    dates = [dt.date(1998, 1, 1), dt.date(1998, 1, 8), dt.date(1998, 3, 1)]
+    snaps = adapters.player_snapshots(spark, SF01, dates)
+    assert plan_text(snaps).count("lineitem.parquet") == 1
+    for i, d in enumerate(dates):
+        one = snaps.where(F.col("snapshot") == i).drop("snapshot")
+        assert rows(one) == rows(adapters.player(spark, SF01, d))

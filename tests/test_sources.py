@@ -156,7 +156,7 @@ def test_driver_page_rows_repeat_one_header_per_page(spark):
 def test_driver_feed_snapshots_are_bounded_records(spark):
     from slate.plans import adapters
 
-    feed = adapters.player_feed_snapshot(spark, SF001, dt.date(1998, 1, 1), 0)
+    feed = adapters.player_feed_snapshots(spark, SF001, [dt.date(1998, 1, 1)])
     assert feed.schema.simpleString() == FEED.simpleString()  # names and types
     sizes = [r.n for r in feed.select(F.size("players").alias("n")).collect()]
     assert max(sizes) <= adapters.FEED_RECORD_PLAYERS
