@@ -44,6 +44,11 @@ def salted_join(
     ``big`` rows draw a salt from a hash of all their columns, so a key holding
     a third of the rows lands on ``salts`` tasks instead of one.  Output equals
     ``big.join(small, on, how)`` for ``inner`` and ``left`` joins.
+
+    The salt is a deterministic function of the row, so a re-run task after an
+    executor loss sends every row to the same place again.  Exact copies of
+    one row share a salt; a hot group of copies is split by AQE's skew-join
+    handling, which cuts a large partition by map-output blocks, not by key.
     """
     if how not in ("inner", "left", "left_outer"):
         raise ValueError("salted_join supports inner and left joins")

@@ -74,7 +74,10 @@ def top_n(df: DataFrame, n: int, order: Sequence[Column], partition_by: Sequence
 
     Per group it runs in two rounds so a hot group is not sorted in one task:
     top n within (group, salt) first, then top n of the at most n x salts
-    survivors per group.
+    survivors per group.  Spark also puts a map-side ``WindowGroupLimit``
+    before each shuffle (n up to ``spark.sql.optimizer.windowGroupLimitThreshold``),
+    so every map task sends at most n rows per (group, salt); that bounds a hot
+    group even when it consists of identical copies, which share a salt.
     """
     if not partition_by:
         return df.orderBy(*order).limit(n)
