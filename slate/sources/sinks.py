@@ -8,9 +8,7 @@ version intact and a lost executor only re-runs its tasks.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,32 +102,29 @@ def load_upsert(spark: SparkSession, target_path: str | None, batch: DataFrame,
 VERSION_PREFIX = "version="
 
 
-def local_path(path: str) -> str | None:
-    """The file-system path of a local URI (``/x``, ``file:/x``, ``file:///x``); None for remote stores."""
-    if path.startswith("file:"):
-        return urlparse(path).path
-    if "://" in path:
-        return None
-    return path
-
-
 def table_versions(spark: SparkSession, table_dir: str, prefix: str = VERSION_PREFIX) -> list[int]:
     """Complete versions of a versioned table, oldest first.
 
-    Local folders: sub-directories carrying the committer's ``_SUCCESS`` marker.
-    Other stores: the partition values Spark discovers.
+    A version is a ``<prefix><n>`` sub-directory carrying the output
+    committer's ``_SUCCESS`` marker.  The listing goes through the Hadoop
+    FileSystem of the path (local, HDFS or an object store alike) and reads
+    only directory metadata, never the table's data.
     """
-    local = local_path(table_dir)
-    if local is not None:
-        if not os.path.isdir(local):
-            return []
-        return sorted(int(n[len(prefix):]) for n in os.listdir(local)
-                      if n.startswith(prefix) and os.path.exists(os.path.join(local, n, "_SUCCESS")))
-    try:
-        found = spark.read.parquet(table_dir).select(prefix.rstrip("=")).distinct().collect()
-    except Exception:  # nothing written yet
+    jvm = spark.sparkContext._jvm
+    Path = jvm.org.apache.hadoop.fs.Path
+    root = Path(table_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
         return []
-    return sorted(r[0] for r in found)
+    found = []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if not (status.isDirectory() and name.startswith(prefix)):
+            continue
+        suffix = name[len(prefix):]
+        if suffix.isdigit() and fs.exists(Path(status.getPath(), "_SUCCESS")):
+            found.append(int(suffix))
+    return sorted(found)
 
 
 def read_latest(spark: SparkSession, table_dir: str) -> DataFrame | None:
