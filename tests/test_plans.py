@@ -70,7 +70,7 @@ def test_hot_team_is_split_when_the_mart_join_shuffles(spark):
         (pid % 7).cast("double").alias("total_points"), (pid % 11).cast("double").alias("avg_points"),
         F.lit(1.0).alias("projected_total_points"), F.lit(1.0).alias("projected_avg_points"))
     teams = spark.createDataFrame([(f"T{i}",) for i in range(50)] + [("HOT",)], "team_abbrev string")
-    sched = spark.range(days).crossJoin(teams).select(
+    sched = teams.select("team_abbrev", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("id")).select(
         F.date_add(F.lit(dt.date(2024, 1, 1)), F.col("id").cast("int")).alias("date"), F.lit("19:30").alias("time"),
         F.lit(1).alias("week"), F.lit(1).alias("day_of_year"), F.lit(0).alias("day_of_week"),
         F.lit("X").alias("opponent_abbrev"), "team_abbrev", F.lit(0).alias("is_visitor"))
