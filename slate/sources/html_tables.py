@@ -7,6 +7,11 @@ of each with a DataFrame reader.  Here the pages are a table
 This is the only Python step on executors; everything after it (date and
 clock parsing, lookups, unpivot) is built-in expressions.
 
+Each Arrow batch handed to Python is capped in bytes by
+``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB by default) as well as in
+rows, so a batch of large pages stays within a Python worker's memory; each
+page is parsed on its own.
+
 Header naming follows the usual table-reader conventions: the ``<thead>`` row
 (or the first row of ``<th>`` cells) names the columns; a blank header becomes
 ``Unnamed: i``; a repeated header gets ``.1``, ``.2`` suffixes.  Pages without a
