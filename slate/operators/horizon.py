@@ -12,7 +12,7 @@ Here it is one plan with no loops and no range join:
    (team, horizon).  A game on day ``d`` belongs to every horizon ``i >= d``.
 2. Players join that table on team (checked broadcast: its size is bounded by
    teams x days), each row contributing ``value x games`` to its horizon.
-3. One aggregate per (keys, horizon).
+3. One aggregate per (keys, horizon): A2, the sum of every value column.
 
 A horizon with no game yields no row, as before.
 """
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slate.functions import calendar as cal
+from slate.operators.aggregates import sum_all
 from slate.operators.joins import join_small
 
 DETAILED_KEYS = ["player_id", "name", "team_abbrev", "fantasy_roster_name", "position"]
@@ -72,8 +73,9 @@ def horizon_sums(
     cols = list(dict.fromkeys([*keys, "team_abbrev", *values]))
     th = team_horizons(schedule, start, days)
     joined = join_small(p.select(*cols), th, "team_abbrev")
-    return joined.groupBy(*keys, "days").agg(
-        *[F.sum(F.col(v) * F.col("games")).alias(v) for v in values])
+    # A2: group by the identity columns and the horizon, sum every other column
+    weighted = joined.select(*keys, "days", *[(F.col(v) * F.col("games")).alias(v) for v in values])
+    return sum_all(weighted, [*keys, "days"])
 
 
 def horizon_detailed(player: DataFrame, schedule: DataFrame, start: dt.date, days: int,
