@@ -399,9 +399,12 @@ def q_schedule_etl(spark, d):
 def q_player_etl(spark, d):
     """Two feed snapshots -> scored rows -> insert-or-ignore on the 7-column key."""
     feed = adapters.player_feed_snapshots(spark, d, [AS_OF, SECOND_SNAPSHOT])
-    # the keyed load reads its batch twice (full keys, NULL keys): checkpoint the
-    # derived feed once instead of aggregating lineitem twice per snapshot
-    return etl.players_from_feed(materialize(feed)).drop("created_at", "modified_at")
+    # the feed arrives as stored JSON (S5): written once to the shared folder and
+    # read back with the declared nested schema; this also cuts the lineage, so
+    # the keyed load's two reads of its batch do not aggregate lineitem again
+    path = scratch_path(spark, "player-feed")
+    feed.write.mode("error").json(path)
+    return etl.players_from_feed(feeds.read_feed(spark, path, "json")).drop("created_at", "modified_at")
 
 
 def q_roster_etl(spark, d):
