@@ -408,8 +408,12 @@ def q_player_etl(spark, d):
 
 
 def q_roster_etl(spark, d):
-    """The fixed free-agent row and two roster-feed snapshots, upserted on ``id``."""
-    return etl.rosters_from_feed(adapters.roster_feed(spark, d, AS_OF)).drop("created_at", "modified_at")
+    """The fixed free-agent row and two roster-feed snapshots (stored JSON, declared
+    schema), upserted on ``id`` (S11)."""
+    path = scratch_path(spark, "roster-feed")
+    adapters.roster_feed(spark, d, AS_OF).write.mode("error").json(path)
+    rosters = feeds.read_feed(spark, path, "json", feeds.ROSTER_FEED)
+    return etl.rosters_from_feed(rosters).drop("created_at", "modified_at")
 
 
 def q_warehouse_build(spark, d):

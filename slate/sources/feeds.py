@@ -49,9 +49,12 @@ ROSTER_FEED = T.StructType([
 ])
 
 
-def read_feed(spark, path: str, fmt: str = "json") -> DataFrame:
-    """Read a stored feed with the declared nested schema (no inference)."""
-    return spark.read.schema(FEED).format(fmt).load(path)
+def read_feed(spark, path: str, fmt: str = "json", schema: T.StructType | None = None) -> DataFrame:
+    """Read a stored feed with its declared schema (no inference pass).
+
+    ``schema`` defaults to the nested player feed; pass ``ROSTER_FEED`` for rosters.
+    """
+    return spark.read.schema(schema or FEED).format(fmt).load(path)
 
 
 def explode_feed(feed: DataFrame) -> DataFrame:
