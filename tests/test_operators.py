@@ -272,3 +272,19 @@ def test_grids_keep_seasons_apart(spark):
     rest = rows(reports.rest_grid(sched, season_col="season"), "season", "Monday", "Wednesday")
     # the last game of the 2023 season is followed by no game within the season
     assert rest == [("2023", 1, 0), ("2024", 0, None)]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b"]), st.integers(0, 5)),
+                       max_size=60),
+       n=st.integers(1, 4))
+def test_top_n_per_group_equals_sort_and_slice(spark, values, n):
+    """Two salted rounds against sorting each group (many ties, one hot group); the
+    unique id makes the order total."""
+    data = [(g, v, i) for i, (g, v) in enumerate(values)]
+    expected = []
+    for g in {g for g, _, _ in data}:
+        expected += sorted((r for r in data if r[0] == g), key=lambda r: (-r[1], r[2]))[:n]
+    df = spark.createDataFrame(data, "g string, v int, id int")
+    got = top_n(df, n, [F.col("v").desc(), F.col("id")], partition_by=["g"], salts=4)
+    assert rows(got) == sorted(expected)
