@@ -288,3 +288,33 @@ def test_top_n_per_group_equals_sort_and_slice(spark, values, n):
     df = spark.createDataFrame(data, "g string, v int, id int")
     got = top_n(df, n, [F.col("v").desc(), F.col("id")], partition_by=["g"], salts=4)
     assert rows(got) == sorted(expected)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(cells=st.lists(st.tuples(st.sampled_from(["A", "B"]), st.integers(1, 2), st.integers(0, 6),
+                                st.integers(0, 9)), max_size=30))
+def test_weekday_pivot_equals_a_dict_pivot(spark, cells):
+    """(team, week) x weekday -> min value; always seven weekday columns."""
+    expected = {}
+    for t, w, d, v in cells:
+        row = expected.setdefault((t, w), [None] * 7)
+        row[d] = v if row[d] is None else min(row[d], v)
+    df = spark.createDataFrame(cells, "team_abbrev string, week int, day_of_week int, v int")
+    got = weekday_pivot(df, "v")
+    assert got.columns == ["team_abbrev", "week", *WEEKDAY_NAMES]
+    assert rows(got) == sorted((t, w, *vals) for (t, w), vals in expected.items())
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(names=st.lists(st.sampled_from(["x", "y", "z", None]), max_size=20),
+       entries=st.lists(st.tuples(st.sampled_from(["x", "y"]), st.sampled_from(["X1", "X2", "Y1"])), max_size=6))
+def test_lookup_passthrough_equals_a_dict_lookup(spark, names, entries):
+    """A dictionary value replaces the name (smallest value for a duplicated key);
+    names without an entry, and NULL, pass through; rows are never multiplied."""
+    table = {}
+    for k, v in entries:
+        table[k] = min(table.get(k, v), v)
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string")
+    dictionary = spark.createDataFrame(entries, "k string, v string")
+    got = joins.lookup_passthrough(df, "name", dictionary, "k", "v", out_col="abbrev")
+    assert rows(got, "i", "abbrev") == sorted((i, table.get(n, n)) for i, n in enumerate(names))
