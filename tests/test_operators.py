@@ -318,3 +318,28 @@ def test_lookup_passthrough_equals_a_dict_lookup(spark, names, entries):
     dictionary = spark.createDataFrame(entries, "k string, v string")
     got = joins.lookup_passthrough(df, "name", dictionary, "k", "v", out_col="abbrev")
     assert rows(got, "i", "abbrev") == sorted((i, table.get(n, n)) for i, n in enumerate(names))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(players=st.lists(st.tuples(st.sampled_from(["ann", "bob", "cid"]), st.sampled_from(["A", "B", "C"]),
+                                  st.sampled_from([None, 1.0, 2.0, 5.0]), st.sampled_from([None, 3.0, 4.0])),
+                        max_size=10),
+       games=st.lists(st.tuples(st.sampled_from(["A", "B", "D"]), st.integers(1, 12)), max_size=15))
+def test_window_aggregate_equals_grouping_the_mart(spark, players, games):
+    """A1 through per-team game counts against building the player x game mart in
+    Python and grouping it by name (same-name players merge; NULL averages are
+    skipped; a player without a game in the window adds nothing)."""
+    lo, hi = 1, 7  # as_of = Jan 1 (day 1), offsets (0, 6)
+    mart = [(name, avg, proj) for name, team, avg, proj in players
+            for g_team, day in games if g_team == team and lo <= day <= hi]
+    expected = {}
+    for name, avg, proj in mart:
+        n, a, p = expected.get(name, (0, None, None))
+        expected[name] = (n + 1, a if avg is None else (a or 0.0) + avg, p if proj is None else (p or 0.0) + proj)
+    pdf = spark.createDataFrame([(i, *p) for i, p in enumerate(players)],
+                                "player_id int, name string, team_abbrev string, avg_points double, "
+                                "projected_avg_points double")
+    sdf = spark.createDataFrame(games, "team_abbrev string, day_of_year int")
+    got = window_aggregate(pdf, sdf, ReportParams(as_of=D(1998, 1, 1), day_offset=(0, 6)))
+    assert rows(got, "name", "games", "sum_avg_points", "sum_proj_avg_points") == sorted(
+        (name, *vals) for name, vals in expected.items())
