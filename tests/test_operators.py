@@ -343,3 +343,27 @@ def test_window_aggregate_equals_grouping_the_mart(spark, players, games):
     got = window_aggregate(pdf, sdf, ReportParams(as_of=D(1998, 1, 1), day_offset=(0, 6)))
     assert rows(got, "name", "games", "sum_avg_points", "sum_proj_avg_points") == sorted(
         (name, *vals) for name, vals in expected.items())
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(players=st.lists(st.tuples(st.sampled_from(["A", "B", "C"]), st.sampled_from([None, 1.0, 2.0, 4.0])),
+                        min_size=1, max_size=6),
+       games=st.lists(st.tuples(st.sampled_from(["A", "B"]), st.integers(-2, 9)), max_size=15),
+       days=st.integers(1, 6))
+def test_horizon_sums_equal_the_python_loop(spark, players, games, days):
+    """A3 against the original's loop in plain Python: for each player and horizon i,
+    the sum over the team's games dated start .. start + i; no row without a game."""
+    start = D(2024, 1, 1)
+    expected = {}
+    for pid, (team, avg) in enumerate(players):
+        for i in range(1, days + 1):
+            hits = [avg for t, d in games if t == team and 0 <= d <= i]
+            if hits:
+                expected[(pid, i)] = None if avg is None else avg * len(hits)
+    pdf = spark.createDataFrame([(pid, f"p{pid}", t, a, a) for pid, (t, a) in enumerate(players)],
+                                "player_id long, name string, team_abbrev string, avg_points double, "
+                                "projected_avg_points double")
+    sdf = spark.createDataFrame([(t, start + dt.timedelta(days=d)) for t, d in games], "team_abbrev string, date date")
+    got = {(r.player_id, r.days): r.avg_points
+           for r in horizon_sums(pdf, sdf, start, days, keys=["player_id", "name"]).collect()}
+    assert got == expected
