@@ -105,3 +105,14 @@ def test_uuid5_matches_python_on_any_text(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.u for r in df.select("i", uuid5_from_text(F.col("t")).alias("u")).collect()}
     assert got == {i: str(uuid.uuid5(uuid.NAMESPACE_DNS, t)) for i, t in enumerate(texts)}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(dates=st.lists(st.dates(min_value=dt.date(1950, 1, 1), max_value=dt.date(2050, 12, 31)), min_size=1,
+                      max_size=30))
+def test_calendar_columns_equal_python_datetime(spark, dates):
+    """ISO week, day of year and Monday=0 weekday, as Python's datetime computes them."""
+    df = spark.createDataFrame([(d,) for d in dates], "d date")
+    got = {r.d: (r.week, r.day_of_year, r.day_of_week)
+           for r in df.select("d", *[c.alias(n) for n, c in cal.calendar_columns("d").items()]).collect()}
+    assert got == {d: (d.isocalendar()[1], d.timetuple().tm_yday, d.weekday()) for d in dates}
