@@ -116,3 +116,16 @@ def test_calendar_columns_equal_python_datetime(spark, dates):
     got = {r.d: (r.week, r.day_of_year, r.day_of_week)
            for r in df.select("d", *[c.alias(n) for n, c in cal.calendar_columns("d").items()]).collect()}
     assert got == {d: (d.isocalendar()[1], d.timetuple().tm_yday, d.weekday()) for d in dates}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(dates=st.lists(st.dates(min_value=dt.date(1990, 1, 1), max_value=dt.date(2040, 12, 31)), min_size=1,
+                      max_size=20),
+       junk=st.lists(st.text(max_size=12), max_size=5))
+def test_parse_page_date_round_trips_and_nulls_junk(spark, dates, junk):
+    """'Tue, Oct 24, 2023' text parses back to its date; anything else becomes NULL, never an error."""
+    texts = [(f"{d:%a}, {d:%b} {d.day}, {d.year}", d) for d in dates]
+    texts += [(j, None) for j in junk if not any(j == t for t, _ in texts)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
+    got = {r.i: r.d for r in df.select("i", cal.parse_page_date("t").alias("d")).collect()}
+    assert got == {i: d for i, (_, d) in enumerate(texts)}
