@@ -69,8 +69,14 @@ def insert_or_ignore_stream(
     spark = source.sparkSession
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        append_insert_or_ignore(spark, target, batch, batch_id, key_cols, order_cols, required_cols,
-                                load_col=BATCH_COL)
+        # the keyed load reads its batch twice (full keys, NULL keys): keep the
+        # micro-batch for the two reads; lost blocks recompute from the same files
+        batch.persist()
+        try:
+            append_insert_or_ignore(spark, target, batch, batch_id, key_cols, order_cols, required_cols,
+                                    load_col=BATCH_COL)
+        finally:
+            batch.unpersist()
 
     writer = source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
