@@ -34,7 +34,7 @@ def test_entry_smoke(spark):
 
 
 TZ_SENSITIVE = ["eastern_as_of", "date_parse_coerce", "clock_24h", "free_agent_report", "upsert_latest",
-                "existing_keys", "union_pages", "player_table"]
+                "existing_keys", "union_pages", "player_table", "schedule_etl", "player_etl", "roster_etl"]
 
 
 @pytest.mark.parametrize("key", TZ_SENSITIVE)
