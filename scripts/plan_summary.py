@@ -48,7 +48,7 @@ def summarise(text: str) -> dict[str, str]:
         "aggregates": str(count(r"(Hash|ObjectHash|Sort)Aggregate\(")),
         "windows": str(count(r"^\W*(\*\(\d+\) )?Window ")),
         "scans": ", ".join(f"{t}" + (f" x{n}" if n > 1 else "") for t, n in sorted(files.items())) or "-",
-        "checkpoint reads": str(count(r"Scan ExistingRDD")),
+        "RDD scans": str(count(r"Scan ExistingRDD")),
         "python": str(sum(count(p) for p in PY_NODES)),
     }
 
@@ -59,7 +59,7 @@ def main(argv: list[str]) -> int:
                                                      "PLANS.md")
     spark = build_session(master="local[8]", shuffle_partitions=8)
     cols = ["shuffles", "broadcast joins", "sort-merge joins", "aggregates", "windows", "scans",
-            "checkpoint reads", "python"]
+            "RDD scans", "python"]
     rows = []
     for key, q in queries().items():
         rows.append((key, summarise(final_plan(q(spark, sf_dir)))))
@@ -71,7 +71,7 @@ def main(argv: list[str]) -> int:
         f.write(f"Final (post-AQE) physical plans of every registered query at sf{m.group(1) if m else '?'}, "
                 "`local[8]`, 8 shuffle partitions, generated by `scripts/plan_summary.py`. *shuffles* counts the "
                 "shuffle stages that ran. *scans* lists the driver tables read, with the count when a table is "
-                "read more than once. *checkpoint reads* are reads of a reliably checkpointed derived table. "
+                "read more than once. *RDD scans* are reads of a reliably checkpointed derived table (or of a few local rows, such as the fixed free-agent row). "
                 "Queries that write during construction show the plan of their final read.\n\n")
         f.write("| query | " + " | ".join(cols) + " |\n")
         f.write("| --- | " + " | ".join("---" for _ in cols) + " |\n")
