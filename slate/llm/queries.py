@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slate.llm import decontaminate, language_id, minhash, mixing, quality_net, quality_rules, secrets, sharding
+from slate.llm import decontaminate, language_id, minhash, mixing, personal_data, quality_net, quality_rules, secrets, sharding
 from slate.llm.common import read
 
 
@@ -36,6 +36,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_net": op4_quality_net,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
+    "op8_personal_data": op8_personal_data,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
