@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slate.llm import decontaminate, language_id, minhash, mixing, personal_data, quality_net, quality_rules, secrets, sharding
+from slate.llm import decontaminate, language_id, minhash, mixing, personal_data, quality_net, quality_rules, secrets, sharding, substring_dedup
 from slate.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op4_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.scores(docs, quality_net.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_secrets": op3_secrets,
     "op4_quality_net": op4_quality_net,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
     "op8_personal_data": op8_personal_data,
