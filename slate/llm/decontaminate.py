@@ -17,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slate.llm.common import let
+from slate.llm.common import let, stored
 
 WINDOW, GRAM = 10, 5
 CHOSEN_FROM = WINDOW - GRAM + 1
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Benchmark windows (about 60 bytes each) that may be sent to all executors; more are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
+#: Contaminated rows (id and hash, 16 bytes each) that may be sent to all executors; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def _words(text: Column) -> Column:
@@ -124,3 +126,12 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return benchmark_hits(docs, benchmark).select(
         "doc_id", "text_hash", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(ids.cast("binary"), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows in which a benchmark window occurs."""
+    bad = stored(decontamination_report(docs, benchmark).where("contaminated").select(
+        F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")), "contaminated")
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["id_"]) & (F.xxhash64(docs["text"]) == bad["hash_"]), "left_anti")

@@ -100,6 +100,24 @@ def with_probability(cells: DataFrame, budget: float) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
 
 
+def cell_probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None, budget: float) -> DataFrame:
+    """source_, lang_, topic_, tokens, weight, probability of each cell of measured ``rows``."""
+    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
+    cells = stored(with_probability(raked(stored(cells, "cells"), targets), budget), "probabilities")
+    out = cells.select(*(F.col(d).alias(f"{d}_") for d in DIMENSIONS), F.round("weight", 8).alias("weight"),
+                       F.when(F.col("tokens") > 0, F.round("probability", 8)).otherwise(F.lit(1.0)).alias("probability"))
+    return F.broadcast(out) if cells.count() <= BROADCAST_CELLS else out
+
+
+def _same_cell() -> list[Column]:
+    return [F.col(d).eqNullSafe(F.col(f"{d}_")) for d in DIMENSIONS]
+
+
+def _drawn() -> Column:
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit(6)), 11) / F.lit(float(1 << 53))
+    return draw < F.col("probability")
+
+
 def mixture(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, lang, topic, n_tokens, text_hash, weight, probability, sampled.
 
@@ -108,14 +126,13 @@ def mixture(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, bud
     together.  An empty table gives an empty result.
     """
     rows = stored(measured(docs), "tokens")
-    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
-    cells = stored(cells, "cells")
-    cells = stored(with_probability(raked(cells, targets), budget), "probabilities")
-    right = cells.select(*(F.col(d).alias(f"{d}_") for d in DIMENSIONS), "tokens", F.round("weight", 8).alias("weight"),
-                         F.round("probability", 8).alias("p"))
-    if cells.count() <= BROADCAST_CELLS:
-        right = F.broadcast(right)
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit(6)), 11) / F.lit(float(1 << 53))
-    rows = rows.join(right, [F.col(d).eqNullSafe(F.col(f"{d}_")) for d in DIMENSIONS], "left")
-    rows = rows.withColumn("probability", F.when(F.col("tokens") > 0, F.col("p")).otherwise(F.lit(1.0)))
-    return rows.select("doc_id", *DIMENSIONS, "n_tokens", "text_hash", "weight", "probability", (draw < F.col("probability")).alias("sampled"))
+    rows = rows.join(cell_probabilities(rows, targets, budget), _same_cell(), "left")
+    return rows.select("doc_id", *DIMENSIONS, "n_tokens", "text_hash", "weight", "probability", _drawn().alias("sampled"))
+
+
+def sample(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
+    """The rows of ``docs`` that ``mixture`` samples, without a shuffle of texts."""
+    cells = cell_probabilities(stored(measured(docs), "tokens"), targets, budget)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"], docs["source"], docs["lang"],
+                       topic(docs["text"]).alias("topic"), F.xxhash64(docs["text"]).alias("text_hash"))
+    return rows.join(cells, _same_cell(), "left").where(_drawn()).select("row.*")

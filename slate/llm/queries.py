@@ -11,7 +11,7 @@ from slate.llm.common import read
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80).drop("text_hash")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
