@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a frame; its rows are
-written as Parquet and read again as the next stage's ``docs``.
+written as Parquet and read again as the next stage's ``docs``.  All but the
+last return the columns of ``documents``; the last adds each row's shard.
 """
 
 from __future__ import annotations
@@ -10,19 +11,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slate.llm import minhash
-from slate.llm.common import read, stored
+from slate.llm import decontaminate, language_id, minhash, mixing, sharding
+from slate.llm.common import fresh, read, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told go: no letter, or a score that says next to nothing."""
+    return language_id.keep_identified(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five-word shingles, similarity 0.8)."""
     return minhash.drop_near_duplicates(docs, width=5, percent=80)
 
 
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of four fifths of the tokens whose source, language and topic shares are flattened."""
+    return mixing.sample(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Eight shards of nearly equal bytes."""
+    return sharding.with_shard(docs, 8, fresh(docs, "shard"))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("identify_language", identify_language),
     ("near_dedup", near_dedup),
+    ("remove_benchmark", remove_benchmark),
+    ("mix", mix),
+    ("shard", shard),
 ]
 
 #: Language ID scores texts with a trained model, which SQL cannot express.
