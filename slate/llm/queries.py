@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from slate.llm import decontaminate, language_id, minhash, mixing, personal_data, quality_net, quality_rules, secrets, sharding, substring_dedup
 from slate.llm.common import read
+from slate.llm.oracles import ORACLE_SQL
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

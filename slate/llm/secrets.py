@@ -40,7 +40,9 @@ OUTSIDE, BEGIN, INSIDE = range(3)
 #: Chains (with a secret, without one) that training reads at most; the smallest hashes are drawn.
 SAMPLE_CHAINS = 3000
 FEATURES = 1 << 15
-STEPS, RATE, PENALTY = 80, 0.1, 1e-4
+STEPS, RATE, PENALTY = 80, 0.1, 1e-3
+#: Features in fewer chains are not learned: the fixed patterns miss some secrets, and these must not be learned by heart.
+LEAST_CHAINS = 5
 FORBIDDEN = -1e9
 
 
@@ -147,6 +149,7 @@ def fit(chains: list[tuple[list[int], list[np.ndarray]]]) -> tuple[np.ndarray, n
     if not chains:
         weights[:, OUTSIDE] = 1.0
         return weights, _no_jump(moves)
+    frequent = np.bincount(np.concatenate([np.unique(np.concatenate(fs)) for _, fs in chains]), minlength=FEATURES) >= LEAST_CHAINS
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, moves)]
     groups = []  # chains of one length at a time
     for n in sorted({len(tags) for tags, _ in chains}):
@@ -180,6 +183,8 @@ def fit(chains: list[tuple[list[int], list[np.ndarray]]]) -> tuple[np.ndarray, n
                 grad_m += np.exp(pair - total[:, None, None]).sum(0)
         for p, g, (m, v) in zip((weights, moves), (grad_w, grad_m), state, strict=True):
             g /= len(chains)
+            if g.ndim and len(g) == FEATURES:
+                g[~frequent] = 0
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
