@@ -2,19 +2,26 @@
 
 1. Every document becomes its set of hashed word shingles; documents with the
    same set are one node from here on, so exact copies cost nothing later.
-2. The ``k`` smallest hashes of a set are its sketch.  Inverted lists over the
-   retained values generate candidates.  Two sets with the wanted similarity
-   share at least ``least_shared`` retained values (up to a chance below
-   ``MISS``), so a value only needs to be listed for a set where it is among the
-   set's rarest ``size - least_shared + 1`` values: then one shared value is in
-   both lists.  Very frequent shingles are thereby never used to form pairs,
-   yet no pair is lost.  "Rarest" is read from a histogram of fixed size.
-3. The sketch of the union of two sets estimates their similarity; pairs that
-   are far too unlike are dropped, the others are verified on full sets.
-4. Components come in two steps.  Each list first links its members with one
-   member of the list (a star: linear in the list).  Lists whose members are
-   then still in different components give all pairs across components.
-   Pairs within a component could not change it, so the result is exact.
+2. The ``k`` smallest hashes of a set are its sketch (the upper 32 bits of each).
+   A sketch is put in order from rare to frequent values, by a histogram of
+   fixed size, and each two neighbours in this order make a list key.  Two sets
+   with the wanted similarity have at least ``least_neighbours`` keys in common
+   (exactly so for sets that are their own sketch, else up to a chance below
+   ``MISS``), so each set only needs to be listed under its first
+   ``keys - least_neighbours + 1`` keys: then one common key is listed for both.
+   Very frequent shingles and chance meetings of two common ones thereby form
+   almost no pairs, yet no link is lost.
+3. Each inverted list first links its members with the one whose values are
+   most frequent (a star: linear in the list; in a family of copies that member
+   is close to the original).  The sketch of the union of two sets estimates
+   their similarity and drops pairs far too unlike; the others are verified on
+   full sets.
+4. Lists whose members are then still in different components are searched
+   again, on full sets: a pair must share one of the rarest values of both, at
+   places that leave enough values for the similarity.  (Lists of up to
+   ``SHORT_LIST`` members simply give their pairs, for step 3.)  Only pairs
+   across components count; pairs within one could not change it.  So the
+   components are exact.
 
 Rows with the same doc_id and different texts are judged one by one; a row
 without doc_id is linked with nothing and has no component.
@@ -30,16 +37,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from slate.llm.common import gram_hashes, stored, word_hashes
+from slate.llm.common import fresh, gram_hashes, stored, word_hashes
 from slate.llm.components import connected
 
 SKETCH_SIZE = 64
-#: Chance at which a pair of sets may share fewer retained values than assumed.
+#: Chance at which a pair at the threshold may fall below the assumed overlap of sketches.
 MISS = 1e-9
-#: Buckets of the histogram that orders retained values by frequency (a fixed size, 1 MB).
-BUCKETS = 1 << 17
+#: Buckets of the histograms that order values by frequency (a fixed size, half a MB).
+BUCKETS = 1 << 16
+#: Lists of up to so many members give all pairs across components; longer ones are searched on full sets.
+SHORT_LIST = 32
+#: Documents whose ids (8 bytes each) may be sent to all executors to fetch texts; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -50,7 +60,7 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
 
 
 def least_shared(size: int, percent: int) -> int:
-    """Binomial bound: a pair at the threshold shares fewer of ``size`` values with a chance below MISS."""
+    """Of the ``size`` smallest values of a union at the threshold, at least so many are shared (but for MISS)."""
     p, tail = percent / 100, 0.0
     for x in range(size + 1):
         tail += math.comb(size, x) * p**x * (1 - p) ** (size - x)
@@ -59,168 +69,255 @@ def least_shared(size: int, percent: int) -> int:
     return size
 
 
+def least_neighbours(size: int, percent: int) -> int:
+    """Of them, at least so many shared values directly follow a shared one (but for MISS)."""
+    p = percent / 100
+    apart, close = np.zeros(size), np.zeros(size)  # by count; the last value not shared, shared
+    apart[0], close[0] = 1 - p, p
+    for _ in range(size - 1):
+        apart, close = (apart + close) * (1 - p), p * (apart + np.append(0.0, close[:-1]))
+    return int(np.searchsorted((apart + close).cumsum(), MISS, side="right"))
+
+
+def _rare_first(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return values[np.lexsort((values, counts[(values & (BUCKETS - 1)).astype(np.int64)]))]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Short batches, so that a worker holds few texts and lists as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _sketches(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, keys, sketches = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, width)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sketches.append(s[:k].view(np.int64))
+                sketches.append((s[:k] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "sketch"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "text_hash", "n_shingles", "content", "sketch"])
     return run
 
 
 def _listed(counts: np.ndarray, percent: int, k: int):
-    """Rows (value, node, size) for the rarest values of each sketch."""
-    sure = least_shared(k, percent)
+    """Rows (key, node, fame): a set's list keys; fame is the mean frequency of its values."""
+    sure = least_neighbours(k, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, nodes, sizes = [], [], []
-            for node, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("node", "n_shingles", "sketch")), strict=True):
-                v = np.array(sketch, np.int64)
-                # partners of a small set have whole sets as sketches: their overlap is known exactly
-                shared = -(-percent * n // 100) if 100 * n <= percent * k else min(sure, -(-percent * n // 100))
-                v = v[np.lexsort((v, counts[v & (BUCKETS - 1)]))][: len(v) - shared + 1]
-                values.append(v)
-                nodes += [node] * len(v)
-                sizes += [n] * len(v)
+        for batch in _slices(batches):
+            keys, nodes, fames, lengths = [], [], [], []
+            for n, sketch in zip(batch.column("n_shingles").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
+                v = _rare_first(np.array(sketch, np.int32).view(np.uint32), counts)
+                # partners of a small set are their own sketches: each value that is not shared parts one pair of neighbours
+                whole = -(-(2 * percent - 100) * n // 100) - 1
+                shared = max(1, whole if 100 * n <= percent * k else min(sure, whole))
+                pairs = gram_hashes(v.astype(np.uint64), 2)[: max(0, len(v) - shared)]
+                keys.append(pairs.view(np.int64))
+                lengths.append(len(pairs))
+                fames.append(int(1000 * np.log2(1 + counts[v & (BUCKETS - 1)]).mean()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(values) if values else [], pa.int64()), pa.array(nodes, pa.binary()),
-                 pa.array(sizes, pa.int64())], ["value", "node", "n_shingles"])
+                [pa.array(np.concatenate(keys) if keys else [], pa.int64()),
+                 pa.array(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), lengths), pa.int64()),
+                 pa.array(np.repeat(np.array(fames, np.int32), lengths))], ["key", "node", "fame"])
     return run
 
 
+def _matrix(lists: pa.Array, k: int, filler: int) -> tuple[np.ndarray, np.ndarray]:
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = filler + np.arange(len(lists) * k, dtype=np.int64).reshape(-1, k)  # no filler equals another
+    out[np.arange(k) < sizes[:, None]] = lists.flatten().to_numpy().view(np.uint32)
+    return out, sizes
+
+
 def _likely(percent: int, k: int):
     """Keep pairs whose union sketch does not rule the similarity out."""
     floor = least_shared(k, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), strict=True):
-                a, b = np.array(a, np.int64).view(np.uint64), np.array(b, np.int64).view(np.uint64)
-                union, seen = np.unique(np.concatenate([a, b]), return_counts=True)
-                shared = int((seen[:k] == 2).sum())
-                keep.append(100 * shared >= percent * len(union) if max(len(a), len(b)) < k and len(union) <= k
-                            else shared >= floor)
-            batch = batch.filter(pa.array(keep, pa.bool_()))
+        for batch in _slices(batches):
+            a, na = _matrix(batch.column("sketch_a"), k, 1 << 40)
+            b, nb = _matrix(batch.column("sketch_b"), k, 1 << 50)
+            union = np.sort(np.concatenate([a, b], 1), 1)
+            twice = union[:, 1:] == union[:, :-1]
+            rank = np.arange(1, 2 * k) - np.cumsum(twice, 1)  # of a repeated value, among the distinct ones
+            all_shared = twice.sum(1)
+            exact = 100 * all_shared >= percent * (na + nb - all_shared)
+            keep = np.where((na < k) & (nb < k), exact, (twice & (rank < k)).sum(1) >= floor)
+            batch = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
     return run
 
 
-def _full_sets(width: int):
+def _frequencies(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sets = [], []
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                s = shingles(text, width)
-                if xxhash.xxh3_128_digest(s.tobytes()) == node:
-                    nodes.append(node)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "full"])
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in _slices(batches):
+            for text in batch.column("text").to_pylist():
+                counts += np.bincount((shingles(text, width) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
+    return run
+
+
+def _rarest(width: int, percent: int, counts: np.ndarray):
+    """Rows (value, node, label, n, place): the values of a full set of which a similar set must share one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            values, sizes, kept = [], [], []
+            for text in batch.column("text").to_pylist():
+                s = _rare_first(shingles(text, width), counts)
+                sizes.append(len(s))
+                values.append(s[: len(s) + percent * len(s) // -100 + 1].view(np.int64))
+                kept.append(len(values[-1]))
+            spread = lambda x: pa.array(np.repeat(np.asarray(x, np.int64), kept), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(values) if values else [], pa.int64()), spread(batch.column("node")), spread(batch.column("label")),
+                 spread(sizes), pa.array(np.concatenate([np.arange(n) for n in kept]) if kept else [], pa.int64())],
+                ["value", "node", "label", "n", "place"])
     return run
 
 
-def _verified(percent: int):
+def _verified(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        last, pivot = None, None  # pairs come together by b
+        for batch in _slices(batches):
             keep = []
-            for a, b in zip(batch.column("full_a"), batch.column("full_b"), strict=True):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
+            for b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b")), strict=True):
+                if b != last:
+                    last, pivot = b, shingles(text_b, width)
+                s = shingles(text_a, width)
+                shared = len(np.intersect1d(s, pivot, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(s) + len(pivot) - shared))
             batch = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
     return run
 
 
-PAIR = "a binary, b binary"
+def _histogram(buckets: DataFrame) -> np.ndarray:
+    """An array of fixed size from rows (bucket, n)."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in buckets.groupBy("bucket").agg(F.sum("n")).toLocalIterator():
+        counts[r[0]] = r[1]
+    return counts
+
+
+PAIR = "a long, b long"
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = SKETCH_SIZE) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs`` (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept.
 
     Links sets of ``width``-word shingles with 100 * intersection >= percent *
     union.  ``component_id`` is the smallest doc_id that links reach, ``kept``
     marks the document that bears it.  Null or empty texts have no shingle and
     stay alone.  An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text"))
+    if not 75 <= percent <= 100:
+        raise ValueError("list keys need a similarity of 75 to 100 percent")
+    docs = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(docs.mapInArrow(
-        _sketches(width, k), f"doc_id {id_type}, n_shingles long, node binary, sketch array<bigint>"), "sketches")
+        _sketches(width, k), f"doc_id {id_type}, text_hash long, n_shingles long, content binary, sketch array<int>"), "sketches")
 
     linked = rows.where("n_shingles > 0 and doc_id is not null")
-    nodes = stored(linked.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = stored(linked.groupBy("content").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        .withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     bucket = F.col("value").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
-    counts = np.zeros(BUCKETS, np.int64)  # a histogram of fixed size, whatever the corpus
-    for r in nodes.select(F.explode("sketch").alias("value")).groupBy(bucket).count().toLocalIterator():
-        counts[r[0]] = r[1]
+    counts = _histogram(nodes.select(F.explode("sketch").alias("value")).groupBy(bucket).agg(F.count("*").alias("n")))
 
-    lists = nodes.select("node", "n_shingles", "sketch").mapInArrow(
-        _listed(counts, percent, k), "value bigint, node binary, n_shingles long")
-    shared = lists.groupBy("value").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    lists = stored(lists.join(shared.select("value", "pivot"), "value"), "lists")
+    lists = nodes.select("node", "n_shingles", "sketch").mapInArrow(_listed(counts, percent, k), "key long, node long, fame int")
+    shared = lists.groupBy("key").agg(F.max(F.struct("fame", "node")).alias("most"), F.count("*").alias("n")).where("n > 1")
+    lists = stored(lists.select("key", "node").join(shared.select("key", F.col("most.node").alias("pivot"), "n"), "key"), "lists")
+    once = rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        ids = stored(nodes.join(wanted, "node").select("node", F.col("doc_id").alias("id_"), "content", *wanted.columns[1:]), "wanted")
+        found = _texts(docs, ids)
+        return found.drop("content") if once else _of_node(found, width)
+
+    sketch = nodes.select("node", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        s = nodes.select("node", "sketch")
-        pairs = (pairs.join(s.toDF("a", "sketch_a"), "a").join(s.toDF("b", "sketch_b"), "b")
-                 .select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely(percent, k), PAIR))
-        pairs = stored(pairs, "likely")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        full = (nodes.select("node", "doc_id").join(wanted, "node").join(docs, "doc_id").select("node", "text")
-                .mapInArrow(_full_sets(width), "node binary, full binary").dropDuplicates(["node"]))
-        full = stored(full, "sets")
-        pairs = pairs.join(full.toDF("a", "full_a"), "a").join(full.toDF("b", "full_b"), "b")
-        return stored(pairs.select("a", "b", "full_a", "full_b").mapInArrow(_verified(percent), PAIR), "links")
-
-    def alike(x: str, y: str) -> F.Column:  # sizes that still allow the similarity
-        return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-
-    size = nodes.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("pivot_n"))
-    stars = (lists.where("node != pivot").groupBy("node", "pivot").agg(F.first("n_shingles").alias("n_shingles"))
-             .join(size, "pivot").where(alike("n_shingles", "pivot_n")).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    links = verified(stars)
+        """Links among candidate pairs (a, b): by sketches first, then on full sets."""
+        likely = (pairs.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b")
+                  .select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely(percent, k), PAIR))
+        likely = stored(likely, "likely")
+        text = stored(texts(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
+        both = likely.join(text.toDF("a", "text_a"), "a").join(text.toDF("b", "text_b"), "b").sortWithinPartitions("b")
+        return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, percent), PAIR), "links")
+
+    links = verified(lists.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
     label = connected(links)
 
-    # Lists that still hold several components: every pair of sizes that fit, across components.
-    labelled = lists.join(label, "node", "left").select(
-        "value", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("value")
-    open_lists = stored(labelled.join(mixed, "value"), "open")
-    left = open_lists.select("value", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"))
-    right = open_lists.select("value", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"))
-    rest = (left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike("na", "nb"))
-            .select("a", "b").distinct())
-    label = connected(links.union(verified(rest)))
-
-    ids = (nodes.select("node", "doc_id").join(label, "node", "left")
-           .select("node", "doc_id", F.coalesce("label", "node").alias("label")))
+    # Lists that still hold several components are searched across components; two members have met already.
+    labelled = lists.where("n > 2").join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
+    mixed = stored(labelled.join(mixed, "key"), "mixed")
+
+    def across(rows: DataFrame, by: str, *more: str) -> DataFrame:
+        left, right = (rows.select(by, *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", *more))) for x in "ab")
+        return left.join(right, by).where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")))
+
+    as_pairs = [F.col("node_a").alias("a"), F.col("node_b").alias("b")]
+    short = across(mixed.where(F.col("n") <= SHORT_LIST), "key").select(*as_pairs).distinct()
+    # long ones: on full sets, a pair must share a rare value at places that leave enough for the similarity
+    unsure = stored(mixed.where(F.col("n") > SHORT_LIST).select("node", "label").distinct(), "unsure")
+    counts = _histogram(texts(unsure).select("text").mapInArrow(_frequencies(width), "bucket long, n long"))
+    rare = stored(texts(unsure).mapInArrow(_rarest(width, percent, counts), "value long, node long, label long, n long, place long"), "rare")
+    enough = F.expr(f"least(n_a - place_a, n_b - place_b) * {100 + percent} >= {percent} * (n_a + n_b)")
+    long = across(rare, "value", "n", "place").where(enough).select(*as_pairs).distinct()
+    label = connected(links.union(verified(short.union(long).distinct())))
+
+    ids = (nodes.select("node", "content", "doc_id").join(label, "node", "left")
+           .select("content", "doc_id", F.coalesce("label", "node").alias("label")))
     least = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    ids = ids.join(least, "label").select("node", "component_id")
-    return (rows.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("node")).alias("node"))
-            .join(ids, "node", "left")
-            .select("doc_id", "n_shingles",
-                    F.coalesce("component_id", "doc_id").cast(T.LongType() if id_type in ("bigint", "int") else id_type).alias("component_id"))
+    ids = ids.join(least, "label").select("content", "component_id")
+    return (rows.select("doc_id", "text_hash", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("content")).alias("content"))
+            .join(ids, "content", "left")
+            .select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text, content, ...) of each wanted (node, id_, content, ...)."""
+    right = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return docs.join(right, F.col("doc_id") == F.col("id_")).select("node", "text", "content", *wanted.columns[3:])
+
+
+def _of_node(found: DataFrame, width: int) -> DataFrame:
+    """Where doc_ids repeat: of the texts found for a node, one whose set is the node's."""
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            same = [xxhash.xxh3_128_digest(shingles(t, width).tobytes()) == c for t, c in
+                    zip(batch.column("text").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            yield batch.filter(pa.array(same, pa.bool_())).drop_columns(["content"])
+
+    more = [c for c in found.columns if c not in ("node", "text", "content")]
+    found = found.mapInArrow(checked, ", ".join(["node long", "text binary", *(f"{c} long" for c in more)]))
+    return found.dropDuplicates(["node"])
+
+
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id with the same set of shingles count as one
-    document and one of them stays; rows without doc_id all stay.
+    Rows that repeat a doc_id and text count as one document and one of them
+    stays; rows without doc_id all stay.
     """
-    verdict = near_duplicates(docs, **settings)
-    dropped = verdict.where("not kept").select("doc_id").distinct()
-    known = docs.join(dropped, "doc_id", "left_anti")
-    if verdict.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return known
-    return known.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(known.where("doc_id is null"))
+    verdict = stored(near_duplicates(docs, **settings), "verdict")
+    dropped = verdict.where("not kept").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct()
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    kept = docs.join(dropped, (docs["doc_id"] == dropped["id_"]) & (F.xxhash64(docs["text"]) == dropped["hash_"]), "left_anti")
+    if verdict.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        return kept
+    hashed = fresh(docs, "text_hash")
+    once = kept.where("doc_id is not null").withColumn(hashed, F.xxhash64("text")).dropDuplicates(["doc_id", hashed]).drop(hashed)
+    return once.unionByName(kept.where("doc_id is null"))
