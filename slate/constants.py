@@ -21,17 +21,11 @@ DEFAULT_AS_OF = _dt.date(1998, 1, 1)
 SEASON_START = _dt.date(1997, 10, 1)
 SEASON_END = _dt.date(1998, 5, 1)
 
-#: A shipment at least this large counts as a game in the driver adapters.
-GAME_MIN_QUANTITY = 46.0
-
 #: Season year used in nested stat keys ("{year}_last_7").
 DEFAULT_STATS_YEAR = 2024
 
-#: Largest side (rows) that may be broadcast after a size check.
-BROADCAST_MAX_ROWS = 1_000_000
-
-#: Double sums are rounded to this many places before being compared.
-ROUND_PLACES = 6
+#: Largest side (bytes, by the planner's estimate of the stored table) that is broadcast.
+BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 
 # ---------------------------------------------------------------------------
 # Fixed values (must match the original application exactly)
@@ -111,9 +105,6 @@ PLAYER_UNIQUE_KEY = [
     "projected_avg_points",
 ]
 
-#: Months of the season, one schedule page each.
-SEASON_MONTHS = ["october", "november", "december", "january", "february", "march", "april"]
-
 #: Professional teams: abbreviation, full name (30 rows).
 TEAMS = [
     ("ATL", "Atlanta Hawks"),
@@ -148,42 +139,36 @@ TEAMS = [
     ("WAS", "Washington Wizards"),
 ]
 
-#: Stat periods: enum name, key template ({year} is the season year).
-STAT_PERIODS = [
-    ("FULL_SEASON", "{year}"),
-    ("FULL_SEASON_PROJECTED", "{year}_projected"),
-    ("LAST_7", "{year}_last_7"),
-    ("LAST_15", "{year}_last_15"),
-    ("LAST_30", "{year}_last_30"),
-]
+#: Stat periods, by enum name.
+STAT_PERIODS = ["FULL_SEASON", "FULL_SEASON_PROJECTED", "LAST_7", "LAST_15", "LAST_30"]
 
-#: Stat aggregations: enum name, value.
-STAT_AGGREGATIONS = [("AVG", "avg"), ("TOTAL", "total")]
+#: Stat aggregations, by enum name.
+STAT_AGGREGATIONS = ["AVG", "TOTAL"]
 
-#: Stat types: enum name, feed label (22 rows).
+#: Stat types, by enum name (22 rows).
 STAT_TYPES = [
-    ("THREE_PT_PERCENTAGE", "3PT%"),
-    ("THREE_PT_ATTEMPT", "3PTA"),
-    ("THREE_PT_MADE", "3PTM"),
-    ("ASSIST", "AST"),
-    ("BLOCK", "BLK"),
-    ("DEFENSIVE_REBOUND", "DREB"),
-    ("FIELD_GOAL_PERCENTAGE", "FG%"),
-    ("FIELD_GOAL_ATTEMPT", "FGA"),
-    ("FIELD_GOAL_MADE", "FGM"),
-    ("FREE_THROW_PERCENTAGE", "FT%"),
-    ("FREE_THROW_ATTEMPT", "FTA"),
-    ("FREE_THROW_MADE", "FTM"),
-    ("GAMES_PLAYED", "GP"),
-    ("GAMES_STARTED", "GS"),
-    ("MINUTES", "MIN"),
-    ("MINUTES_PER_GAME", "MPG"),
-    ("OFFENSIVE_REBOUND", "OREB"),
-    ("PERSONAL_FOULS", "PF"),
-    ("POINTS", "PTS"),
-    ("REBOUNDS", "REB"),
-    ("STEALS", "STL"),
-    ("TURNOVERS", "TO"),
+    "THREE_PT_PERCENTAGE",
+    "THREE_PT_ATTEMPT",
+    "THREE_PT_MADE",
+    "ASSIST",
+    "BLOCK",
+    "DEFENSIVE_REBOUND",
+    "FIELD_GOAL_PERCENTAGE",
+    "FIELD_GOAL_ATTEMPT",
+    "FIELD_GOAL_MADE",
+    "FREE_THROW_PERCENTAGE",
+    "FREE_THROW_ATTEMPT",
+    "FREE_THROW_MADE",
+    "GAMES_PLAYED",
+    "GAMES_STARTED",
+    "MINUTES",
+    "MINUTES_PER_GAME",
+    "OFFENSIVE_REBOUND",
+    "PERSONAL_FOULS",
+    "POINTS",
+    "REBOUNDS",
+    "STEALS",
+    "TURNOVERS",
 ]
 
 #: Time zone of schedule times and of "today".

@@ -16,23 +16,56 @@ from pyspark.sql import types as T
 from slate.constants import UUID_NAMESPACE_DNS
 
 
+def double_text(col: Column) -> Column:
+    """A double as Python's ``repr`` prints it.
+
+    The digits are the fewest that read back as the same number: of 15, 16 or 17
+    (15 and trailing zeros less, if any), or of all lengths for the tiny numbers
+    that have less precision.
+    They stand as a plain decimal for magnitudes from 1e-4 up to below 1e16, and
+    in exponent form outside.
+    """
+    x = col.cast("double")
+
+    def fewest(*lengths: int) -> Column:
+        sized = [F.format_string(f"%.{n - 1}e", x) for n in lengths]
+        return F.coalesce(*(F.when(t.cast("double") == x, t) for t in sized), F.format_string("%.16e", x))
+
+    text = F.when(F.abs(x) < 2.2250738585072014e-308, fewest(*range(1, 17))).otherwise(fewest(15, 16))
+    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)e", 1), r"\.", ""), "(?<=.)0+$", "")
+    power = F.regexp_extract(text, r"e([+-]?\d+)$", 1).try_cast("int")
+    n = F.length(digits)
+    whole = F.when(n <= power + 1, F.concat(F.rpad(digits, power + 1, "0"), F.lit(".0"))).otherwise(
+        F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, n)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    mantissa = F.when(n == 1, digits).otherwise(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n)))
+    exponent = F.concat(F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    number = F.when(power.between(0, 15), whole).when(power.between(-4, -1), small).otherwise(F.concat(mantissa, exponent))
+    return (F.when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf"))
+            .otherwise(F.concat(sign, number)))
+
+
 def value_text(col: Column, dtype: T.DataType) -> Column:
     """Text of one value as Python's ``str()`` prints it.
 
     NULL -> ``None``; booleans -> ``True``/``False``; integers and strings as is;
-    dates ``YYYY-MM-DD``; timestamps ``YYYY-MM-DD HH:MM:SS``.  Floating values
-    use Spark's shortest text, which agrees with Python for ordinary
-    magnitudes (Spark switches to exponent form at 1e7, Python at 1e16).
+    dates ``YYYY-MM-DD``; timestamps ``YYYY-MM-DD HH:MM:SS`` and, if there are
+    any, six digits of microseconds; doubles by :func:`double_text`.
     """
     if isinstance(dtype, T.BooleanType):
         text = F.when(col, F.lit("True")).otherwise(F.lit("False"))
     elif isinstance(dtype, T.DateType):
         text = F.date_format(col, "yyyy-MM-dd")
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        text = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+        micros = F.date_format(col, "SSSSSS")
+        text = F.concat(F.date_format(col, "yyyy-MM-dd HH:mm:ss"),
+                        F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)))
+    elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+        text = double_text(col)
     else:
         text = col.cast("string")
-    return F.coalesce(text, F.lit("None"))
+    return F.coalesce(F.when(col.isNotNull(), text), F.lit("None"))
 
 
 def uuid5_from_text(text: Column, namespace: str = UUID_NAMESPACE_DNS) -> Column:

@@ -65,11 +65,6 @@ def sum_all(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in values])
 
 
-def truncated_total(column: str) -> Column:
-    """A4 + F21: sum ignoring NULLs, 0 on an empty set, truncated to BIGINT."""
-    return F.coalesce(F.sum(F.col(column)), F.lit(0.0)).cast("long")
-
-
 def distinct_options(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A5: distinct values of several columns in one pass -> (option, value).
 

@@ -5,8 +5,9 @@ operations against the target: pick one row per key from the batch, then
 anti-join the keys already present (S10) or replace them (S11).
 
 "One row per key" uses ``min_by`` / ``max_by`` over a struct of the arrival
-order.  Unlike a ``row_number`` window this aggregates map-side first, so a key
-holding a third of the batch does not end up as one huge sort in one task.
+order.  These plan as sort aggregates (the row is a struct), but unlike a
+``row_number`` window they combine map-side first, so a key holding a third of
+the batch does not end up as one huge sort in one task.
 """
 
 from __future__ import annotations
@@ -102,21 +103,18 @@ def upsert(
     """The target after ``INSERT OR REPLACE`` of ``batch`` on ``key_cols`` (last wins).
 
     Rows of ``batch`` with a NULL key are rejected (a primary key is NOT NULL).
+    The batch is reduced to its latest row per key (map-side first), and
+    replaces the target's rows of these keys (:func:`replace_keys`).
+    """
+    latest = latest_per_key(batch.where(_all_not_null(key_cols)), key_cols, order_cols)
+    return latest if target is None else replace_keys(target, latest, latest.select(*key_cols), key_cols)
+
 
-    One pass: target rows (priority 0) and batch rows (priority 1) are unioned
-    and one ``max_by`` per key keeps the batch's latest row where the batch has
-    the key, else the target's row.  Target and batch are each read once, and
-    the aggregate combines map-side, so a hot key is collapsed before the
-    shuffle.  Target rows with a NULL key (not produced by this function) are
-    kept as they are.
+def replace_keys(target: DataFrame, rows: DataFrame, keys: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """``target`` without the rows of ``keys`` (the keys of ``rows``), plus ``rows``.
+
+    The target is neither sorted nor aggregated: one anti join drops the
+    replaced rows.  With broadcast ``keys`` it is not shuffled either.  Target
+    rows with a NULL key match nothing and stay.
     """
-    full_key = _all_not_null(key_cols)
-    b = batch.where(full_key)
-    if target is None:
-        return latest_per_key(b, key_cols, order_cols)
-    cols = target.columns
-    src = "__src"
-    both = (target.where(full_key).select(*cols, F.lit(0).alias(src))
-            .unionByName(b.select(*cols, F.lit(1).alias(src))))
-    merged = latest_per_key(both, key_cols, [src, *order_cols]).drop(src)
-    return merged.unionByName(target.where(~full_key))
+    return target.join(keys, list(key_cols), "left_anti").select(*target.columns).unionByName(rows.select(*target.columns))

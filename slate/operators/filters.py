@@ -4,26 +4,28 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from slate.constants import DEFAULT_AS_OF, DEFAULT_DAY_OFFSET, FREE_AGENT
+from slate.constants import DEFAULT_DAY_OFFSET, FREE_AGENT
+from slate.functions import calendar as cal
 
 
 @dataclass(frozen=True)
 class ReportParams:
     """Parameters of the player reports (the sidebar of the original app).
 
-    Every list filter is skipped when ``None`` or empty.  ``day_offset`` is an
+    ``as_of`` is the report's "today"; ``None`` means the current day in
+    US/Eastern.  Every list filter is skipped when ``None`` or empty.  ``day_offset`` is an
     inclusive (lo, hi) pair of day offsets from ``as_of``.  ``window_by`` is
     ``"day_of_year"`` (parity: compares day-of-year numbers, ignoring the year)
     or ``"date"`` (compares real dates, correct across a year end).
     ``key`` is the column the per-player aggregate is keyed and joined on.
     """
 
-    as_of: dt.date = DEFAULT_AS_OF
+    as_of: dt.date | None = None
     day_offset: tuple[int, int] = DEFAULT_DAY_OFFSET
     roster_name: str | None = None
     roster_names: tuple[str | None, str | None] = (None, None)
@@ -33,7 +35,6 @@ class ReportParams:
     positions: Sequence[str] | None = None
     window_by: str = "day_of_year"
     key: str = "name"
-    extra: dict = field(default_factory=dict)
 
 
 def conjunction(predicates: Sequence[Column | None]) -> Column:
@@ -106,9 +107,9 @@ def day_window(params: ReportParams) -> Column:
     """
     lo, hi = params.day_offset
     if params.window_by == "date":
-        return date_range("date", F.date_add(F.lit(params.as_of), int(lo)), int(hi) - int(lo))
-    today = params.as_of.timetuple().tm_yday
-    return F.col("day_of_year").between(F.lit(today + int(lo)), F.lit(today + int(hi)))
+        return date_range("date", F.date_add(cal.as_of_date(params.as_of), int(lo)), int(hi) - int(lo))
+    today = cal.day_of_year(cal.as_of_date(params.as_of))
+    return F.col("day_of_year").between(today + F.lit(int(lo)), today + F.lit(int(hi)))
 
 
 def not_null(column: str) -> Column:
@@ -116,15 +117,9 @@ def not_null(column: str) -> Column:
     return F.col(column).isNotNull()
 
 
-def apply(df: DataFrame, predicate: Column) -> DataFrame:
-    """Filter helper so bundles compose in one ``where`` (one pushed predicate)."""
-    return df.where(predicate)
-
-
 __all__ = [
     "FREE_AGENT",
     "ReportParams",
-    "apply",
     "conjunction",
     "date_range",
     "day_window",

@@ -10,8 +10,8 @@ Here it is one plan with no loops and no range join:
    ``d = datediff(date, start)``, expanded to the horizons that contain them
    with ``explode(sequence(greatest(1, d), days))`` and counted per
    (team, horizon).  A game on day ``d`` belongs to every horizon ``i >= d``.
-2. Players join that table on team (checked broadcast: its size is bounded by
-   teams x days), each row contributing ``value x games`` to its horizon.
+2. Players join that table on team (it is finished first and broadcast by its
+   size: teams x days), each row contributing ``value x games`` to its horizon.
 3. One aggregate per (keys, horizon): A2, the sum of every value column.
 
 A horizon with no game yields no row, as before.

@@ -1,14 +1,11 @@
 """Join operators (J1-J5) and the join strategies they share.
 
-A side is broadcast only behind a size check, with a shuffle join beyond it:
-
-* base dimension scans: an explicit row-count check (``limit(n + 1).count()``
-  reads at most n + 1 rows), then ``broadcast``;
-* derived sides (aggregates of big tables): no eager count, which would run
-  the lineage twice; AQE measures the materialised side at run time and
-  converts to a broadcast hash join only under its threshold;
-* beyond the bound: sort-merge join with AQE skew splitting, or an explicit
-  salted join when the caller knows a key is hot.
+* A stored dimension is left to the planner, which knows its size.
+* A derived side that is small (totals per team) is finished first: it is
+  written to the shared folder, and its size decides.  Up to
+  ``BROADCAST_MAX_BYTES`` it is broadcast, and the large side is neither
+  shuffled nor made the build side while the small one is still running; beyond
+  that the join is salted, so hot keys of the large side spread over tasks.
 """
 
 from __future__ import annotations
@@ -18,17 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slate.constants import BROADCAST_MAX_ROWS
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its size is checked to be within ``max_rows``, else ``df``."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+from slate.constants import BROADCAST_MAX_BYTES
+from slate.session import planned_bytes, store
 
 
 def salted_join(
@@ -63,30 +51,20 @@ def join_small(
     small: DataFrame,
     on: Sequence[str] | str,
     how: str = "inner",
-    max_rows: int | None = None,
-    salts: int | None = None,
+    max_bytes: int = BROADCAST_MAX_BYTES,
+    salts: int = 32,
 ) -> DataFrame:
-    """Join a large input to a side that is usually small.
-
-    * ``max_rows`` given: count-check the small side (reads at most
-      ``max_rows + 1`` rows) and broadcast it when within the bound.  Use this
-      for base dimension scans, where the check is a tiny read.
-    * ``salts`` given: salted join, for a small side that may exceed memory
-      while the large side has hot keys.
-    * otherwise: a plain equi-join.  For a *derived* small side (an aggregate
-      of a big table) this is the right default: counting it first would run
-      its whole lineage twice.  Spark still decides with a size check — the
-      static estimate first, then AQE, which measures the materialised shuffle
-      of the small side and switches to a broadcast hash join only when it is
-      under ``spark.sql.adaptive.autoBroadcastJoinThreshold``; above it the
-      sort-merge join stays and AQE splits skewed partitions.
+    """Join a large input to a derived side that is usually small.
+
+    ``small`` is stored first; then its size is known.  Within ``max_bytes`` it
+    is broadcast, so every row of ``big`` stays where it is; beyond, the join is
+    salted (:func:`salted_join`).  Both ways give the same rows.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if max_rows is not None and fits(small, max_rows):
+    small = store(small, "small-side")
+    if planned_bytes(small) <= max_bytes:
         return big.join(F.broadcast(small), keys, how)
-    if salts:
-        return salted_join(big, small, keys, how, salts)
-    return big.join(small, keys, how)
+    return salted_join(big, small, keys, how, salts)
 
 
 def lookup_passthrough(
@@ -96,22 +74,18 @@ def lookup_passthrough(
     key_col: str,
     value_col: str,
     out_col: str | None = None,
-    max_rows: int | None = None,
 ) -> DataFrame:
     """Replace ``column`` by its dictionary value; unmatched values pass through.
 
     The dictionary is de-duplicated on its key (first value by sort order) so
-    the lookup can never multiply rows.  It is broadcast by the planner (local
-    or small stored dictionaries) or by AQE after measuring it; ``max_rows``
-    adds an explicit count check before a broadcast hint.
+    the lookup can never multiply rows.  Local and small stored dictionaries are
+    broadcast by the planner.
     """
     out_col = out_col or column
     lut = (
         dictionary.groupBy(F.col(key_col).alias("__k"))
         .agg(F.min(F.col(value_col)).alias("__v"))
     )
-    if max_rows is not None:
-        lut = bounded_broadcast(lut, max_rows)
     out = df.join(lut, F.col(column) == F.col("__k"), "left")
     return out.withColumn(out_col, F.coalesce(F.col("__v"), F.col(column))).drop("__k", "__v")
 

@@ -45,20 +45,6 @@ def unpivot_games(
     )
 
 
-def one_game_per_team_day(rows: DataFrame, date_col: str = "game_date") -> DataFrame:
-    """Keep the first game per (team, day) by (matchup, is_visitor).
-
-    Written as an aggregate of ``min(struct(...))`` rather than a
-    ``row_number`` window: it gets a map-side partial aggregate, so a hot team
-    does not pile its rows into one sort.
-    """
-    best = F.min(F.struct("matchup", "is_visitor", "opponent_abbrev")).alias("g")
-    return (
-        rows.groupBy(date_col, "team_abbrev").agg(best)
-        .select(date_col, "team_abbrev", "g.opponent_abbrev", "g.matchup", "g.is_visitor")
-    )
-
-
 def weekday_pivot(
     df: DataFrame,
     value_col: str,
@@ -69,13 +55,18 @@ def weekday_pivot(
     """(index) x weekday -> value, always 7 columns named Monday..Sunday.
 
     The pivot values are given, so Spark plans one aggregation and runs no
-    extra job to discover them.  Cells are expected to be unique; ``min`` makes
-    duplicates deterministic (see :func:`duplicate_cells`).
+    extra job to discover them.  ``agg`` decides what a cell with several values
+    shows (see :func:`duplicate_cells`).
     """
     pivoted = df.groupBy(*index).pivot(day_col, WEEKDAYS).agg(agg(value_col))
     return pivoted.withColumnsRenamed({str(d): WEEKDAY_NAMES[d] for d in WEEKDAYS})
 
 
+def listed(column: str) -> Column:
+    """Distinct values of a cell, sorted and joined by commas; empty if there is none."""
+    return F.array_join(F.sort_array(F.collect_set(column)), ",")
+
+
 def duplicate_cells(df: DataFrame, index: Sequence[str] = ("team_abbrev", "week"),
                     day_col: str = "day_of_week") -> DataFrame:
     """Cells of a weekday pivot that would receive more than one value (N11 check)."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slate.constants import DEFAULT_STATS_YEAR, STAT_AGGREGATIONS, STAT_PERIODS, STAT_TYPES, TEAMS
+from slate.constants import STAT_AGGREGATIONS, STAT_PERIODS, STAT_TYPES, TEAMS
 
 I, L, S, D, TS, DT = (T.IntegerType(), T.LongType(), T.StringType(), T.DoubleType(),
                       T.TimestampType(), T.DateType())
@@ -43,7 +43,7 @@ DIMENSION = T.StructType([_f("id", I, True), _f("name", S, True)])
 PLAYER_STATS = T.StructType([
     _f("id", I, True), _f("player_id", I, True), _f("team_id", I), _f("roster_id", I, True),
     _f("stat_period_id", I, True), _f("stat_aggregation_id", I, True), _f("is_free_agent", I),
-    _f("applied_value", D), *[_f(name.lower(), D) for name, _ in STAT_TYPES], *AUDIT,
+    _f("applied_value", D), *[_f(name.lower(), D) for name in STAT_TYPES], *AUDIT,
 ])
 
 LEAGUE = T.StructType([_f("id", I, True), _f("league_id", I, True), _f("year", I, True), *AUDIT])
@@ -57,7 +57,7 @@ CATALOG: dict[str, T.StructType] = {
     "stat_type": DIMENSION,
     "stat_aggregation": DIMENSION,
     "player_stats": PLAYER_STATS,
-    "fantasy_nba_league": LEAGUE,
+    "league": LEAGUE,
 }
 
 
@@ -101,17 +101,16 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], CATALOG[name])
 
 
-def dimension_rows(year: int = DEFAULT_STATS_YEAR) -> dict[str, list[tuple]]:
+def dimension_rows() -> dict[str, list[tuple]]:
     """Seed rows of the four dimensions (ids assigned 1..n in declaration order).
 
     ``stat_type``/``stat_period``/``stat_aggregation`` store the enum *name*;
     ``team`` stores the abbreviation and the full name.
     """
-    del year  # names are stored, not values (the year only appears in values)
     return {
-        "stat_type": [(i + 1, name) for i, (name, _) in enumerate(STAT_TYPES)],
-        "stat_period": [(i + 1, name) for i, (name, _) in enumerate(STAT_PERIODS)],
-        "stat_aggregation": [(i + 1, name) for i, (name, _) in enumerate(STAT_AGGREGATIONS)],
+        "stat_type": [(i + 1, name) for i, name in enumerate(STAT_TYPES)],
+        "stat_period": [(i + 1, name) for i, name in enumerate(STAT_PERIODS)],
+        "stat_aggregation": [(i + 1, name) for i, name in enumerate(STAT_AGGREGATIONS)],
         "team": [(i + 1, abbrev, name) for i, (abbrev, name) in enumerate(TEAMS)],
     }
 

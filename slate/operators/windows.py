@@ -14,16 +14,20 @@ def rest_days(
     date_col: str = "date",
     out: str = "no_game_days_following",
 ) -> DataFrame:
-    """W1 + W2: days without a game after each game of a team.
+    """W1 + W2: days without a game after each day on which a team plays.
 
-    ``next = lead(date)`` per team ordered by date; ``gap = datediff(next, date)``;
-    rest days are ``gap - 1`` when ``gap > 1`` else 0, and 0 after a team's last
-    game.  Pass ``partition=("team_abbrev", "season")`` to keep seasons apart.
+    One row per distinct (team, date), with the calendar columns that follow
+    from the date.  ``next = lead(date)`` per team; ``gap = datediff(next,
+    date)``; rest days are ``gap - 1`` when ``gap > 1`` else 0, and 0 after a
+    team's last game.  Pass ``partition=("team_abbrev", "season")`` to keep
+    seasons apart.
 
-    The window partitions by team: a team's schedule is bounded by the number
-    of days in the calendar, so even a team holding a third of all rows is a
-    small sort.
+    Several games of a team on one day are collapsed (map-side first) before
+    the window, which then sorts at most as many rows per team as the calendar
+    has days, however many games a team has.
     """
+    of_date = [c for c in ("week", "day_of_week", "day_of_year") if c in schedule.columns]
+    days = schedule.select(*partition, date_col, *of_date).distinct()
     w = Window.partitionBy(*partition).orderBy(F.col(date_col))
     gap = F.datediff(F.lead(F.col(date_col)).over(w), F.col(date_col))
-    return schedule.withColumn(out, F.when(gap > 1, gap - 1).otherwise(F.lit(0)).cast("int"))
+    return days.withColumn(out, F.when(gap > 1, gap - 1).otherwise(F.lit(0)).cast("int"))

@@ -1,14 +1,15 @@
 """Adapters: the driver's TPC-H style tables seen as the application's tables.
 
-Nations stand for teams, suppliers for players, large shipments for games
-(one October-April season).  Every frame is built with the engine's own
-operators (unpivot, lookups, calendar functions) from whole tables; nothing
-is sampled or capped.
+Nations stand for teams, suppliers for players, shipments for games.  Every
+frame is built with the engine's own operators (unpivot, lookups, calendar
+functions).  Games are those of one October-April season, as the original's
+seven monthly pages held one season; everything else reads whole tables, and
+no game of the season is dropped.
 
 Scale notes
 -----------
-* ``lineitem`` is filtered on ``l_quantity`` and ``l_shipdate`` at the parquet
-  scan (both pushed), and only the join keys are read.
+* ``lineitem`` is filtered on ``l_shipdate`` at the parquet scan (pushed), and
+  only the join keys are read.
 * ``games`` de-duplicates on integer nation keys before the tiny name lookup,
   so the distinct aggregate (partial + final) moves keys, not strings.
 * ``player`` aggregates ``lineitem`` by supplier *before* joining it to the
@@ -30,14 +31,13 @@ from slate.constants import (
     DEFAULT_AS_OF,
     DEFAULT_STATS_YEAR,
     FREE_AGENT,
-    GAME_MIN_QUANTITY,
     INJURY_STATUSES,
     SEASON_END,
     SEASON_START,
 )
 from slate.functions import calendar as cal
 from slate.functions.scoring import blended_score
-from slate.operators.reshape import one_game_per_team_day, unpivot_games
+from slate.operators.reshape import unpivot_games
 from slate.sources.tables import read_table
 
 
@@ -55,15 +55,13 @@ def games(
     sf_dir: str,
     season_start: dt.date = SEASON_START,
     season_end: dt.date = SEASON_END,
-    min_quantity: float = GAME_MIN_QUANTITY,
 ) -> DataFrame:
-    """One row per (game_date, visitor, home): a large shipment from a supplier
-    in nation V to a customer in nation H (V <> H) is a game V@H that day."""
+    """One row per (game_date, visitor, home): a shipment from a supplier in
+    nation V to a customer in nation H (V <> H) is a game V@H that day."""
     li = (
         read_table(spark, sf_dir, "lineitem")
         .where(
-            (F.col("l_quantity") >= F.lit(min_quantity))
-            & (F.col("l_shipdate") >= _ts(season_start))
+            (F.col("l_shipdate") >= _ts(season_start))
             & (F.col("l_shipdate") < _ts(season_end))
         )
         .select("l_orderkey", "l_suppkey", F.to_date("l_shipdate").alias("game_date"))
@@ -91,12 +89,12 @@ def games(
 
 
 def schedule_from_games(games_df: DataFrame) -> DataFrame:
-    """``schedule``: U2 unpivot, one game per team and day, calendar columns.
+    """``schedule``: U2 unpivot (two rows a game) and calendar columns.
 
     ``time`` is derived from the weekday (weekend games 15:30, else 19:30)
     because the driver data has no clock.
     """
-    per_team = one_game_per_team_day(unpivot_games(games_df, date_col="game_date"))
+    per_team = unpivot_games(games_df, date_col="game_date")
     dow = cal.day_of_week("game_date")
     return per_team.select(
         F.col("game_date").alias("date"),
@@ -262,7 +260,31 @@ def schedule_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "row_index", cells.alias("cells"))
 
 
-def _by_player_id(left: F.Column, right: F.Column) -> F.Column:
+def schedule_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw HTML schedule pages (page_id, url, html), one per day of the season.
+
+    Each page holds one table: a ``<thead>`` with the headers, the day's games
+    sorted by visitor and home, and the header row once more.  As on many real
+    pages, cells and rows have no end tags.  A page is bounded by the pairs of
+    teams, so no ``collect_list`` group grows with the data.
+    """
+    g = games(spark, sf_dir)
+    dom = F.dayofmonth("game_date")
+    cells = [F.date_format("game_date", "EEE, MMM d, yyyy"), cal.clock_to_12h((dom * 7) % 24, (dom * 5) % 60),
+             F.col("visitor"), F.col("home")]
+    row = F.concat(F.lit("<tr>"), *[x for c in cells for x in (F.lit("<td>"), c)])
+    head = "".join(f"<th>{h}</th>" for h in SCHEDULE_HEADERS)
+    page = (F.year("game_date") * 10000 + F.month("game_date") * 100 + dom).cast("long")
+    rows = g.groupBy(page.alias("page_id")).agg(
+        F.sort_array(F.collect_list(F.struct("visitor", "home", row.alias("row")))).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda r: r["row"]), "\n")
+    return rows.select(
+        "page_id", F.concat(F.lit("schedule/"), F.col("page_id").cast("string")).alias("url"),
+        F.concat(F.lit(f"<html><body><table><thead><tr>{head}</tr></thead><tbody>"), body,
+                 F.lit(f"<tr>{head}</tbody></table></body></html>")).alias("html"))
+
+
+def by_player_id(left: F.Column, right: F.Column) -> F.Column:
     a, b = left.getField("playerId"), right.getField("playerId")
     return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0))
 
@@ -272,9 +294,9 @@ def player_feed_snapshots(spark: SparkSession, sf_dir: str, as_ofs: Sequence[dt.
 
     One record per snapshot, roster and block of ``FEED_RECORD_PLAYERS`` player
     ids; the players of a record are sorted by id, so positions are
-    deterministic.  ``feed_seq`` orders arrivals: later snapshots after earlier
-    ones, and within a snapshot the free-agent pool first (the original loaded
-    it first).  A missing injury status arrives as the text ``[]`` (the feed's
+    deterministic.  ``feed_seq`` orders arrivals and is unique: later snapshots
+    after earlier ones, within a snapshot the free-agent pool first (the
+    original loaded it first), then by block and roster.  A missing injury status arrives as the text ``[]`` (the feed's
     empty list), a period without an average is absent from ``stats``.  All
     snapshots come from one pass over ``lineitem`` (:func:`player_snapshots`).
     """
@@ -289,12 +311,14 @@ def player_feed_snapshots(spark: SparkSession, sf_dir: str, as_ofs: Sequence[dt.
         F.coalesce("injury_status", F.lit("[]")).alias("injuryStatus"),
         F.col("injured").cast("boolean").alias("injured"), F.col("lineup_slot").alias("lineupSlot"),
         "total_points", "avg_points", "projected_total_points", "projected_avg_points", stats.alias("stats"))
-    seq = F.col("snapshot") * 2 + (F.col("fantasy_roster_name") != F.lit(FREE_AGENT)).cast("int")
+    pool = F.col("snapshot") * 2 + (F.col("fantasy_roster_name") != F.lit(FREE_AGENT)).cast("int")
+    roster = F.coalesce(F.regexp_extract("fantasy_roster_name", r"(\d+)$", 1).try_cast("long"), F.lit(0))
+    seq = F.shiftleft(pool.cast("long"), 48) + F.col("block") * 8 + roster
     return (
         p.groupBy("snapshot", "fantasy_roster_name",
                   F.floor(F.col("player_id") / FEED_RECORD_PLAYERS).alias("block"))
-        .agg(F.array_sort(F.collect_list(rec), _by_player_id).alias("players"))
-        .select(seq.cast("int").alias("feed_seq"), F.col("fantasy_roster_name").alias("roster_name"), "players")
+        .agg(F.array_sort(F.collect_list(rec), by_player_id).alias("players"))
+        .select(seq.alias("feed_seq"), F.col("fantasy_roster_name").alias("roster_name"), "players")
     )
 
 

@@ -1,6 +1,6 @@
 """End-to-end build (R15): the tables every report reads, in dependency order.
 
-The original ran seven processes in a fixed order (clear, create, seed,
+The original ran its processes in a fixed order (clear, create, seed,
 rosters, players, schedule, mart) that handed over through one database file.
 Here each step is a Spark job writing a versioned parquet table under a
 warehouse root on shared storage; the next step reads the written table, so
@@ -29,12 +29,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from slate.constants import DEFAULT_AS_OF
-from slate.operators.schema import PLAYER, enforce_schema
+from slate.operators.horizon import horizon_detailed, horizon_slim
+from slate.operators.schema import CATALOG, PLAYER, empty_table, enforce_schema
 from slate.plans import adapters, etl, reports
 from slate.sources.sinks import read_latest, write_new_version
 
 TABLES = ["stat_type", "stat_period", "stat_aggregation", "team", "fantasy_roster", "player", "schedule",
           "proj_player_points"]
+#: Stored horizon views.
+VIEWS = ["player_points_detailed", "player_points_slim"]
+HORIZON_DAYS = 7
 
 
 @dataclass(frozen=True)
@@ -58,6 +62,19 @@ class Warehouse:
     def write(self, df: DataFrame, table: str, partition_by=()) -> str:
         return write_new_version(df, self.path(table), partition_by)
 
+    def drop(self, spark: SparkSession, table: str) -> bool:
+        """Remove a table with all its versions; False if there was none."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table))
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def clear(self, spark: SparkSession) -> list[str]:
+        """Drop every table and view of the build; returns those that were there."""
+        return [t for t in [*TABLES, *VIEWS] if self.drop(spark, t)]
+
+    def create(self, spark: SparkSession) -> dict[str, str]:
+        """An empty first version of every declared table that does not exist yet."""
+        return {t: self.write(empty_table(spark, t), t) for t in CATALOG if self.read_or_none(spark, t) is None}
+
 
 def _write_all(jobs: dict[str, Callable[[], str]]) -> dict[str, str]:
     """Run independent table writes side by side: each is one Spark job submitted
@@ -72,11 +89,16 @@ def _dimension_jobs(spark: SparkSession, wh: Warehouse) -> dict[str, Callable[[]
     return {name: (lambda df=df, name=name: wh.write(df, name)) for name, df in etl.dimensions(spark).items()}
 
 
-def _write_mart(spark: SparkSession, wh: Warehouse) -> str:
-    """R1 from the stored player and schedule; partitioned by ``date`` so the
-    date-range scans (S3, P11) prune directories."""
-    mart = reports.player_schedule_mart(wh.read(spark, "player"), wh.read(spark, "schedule"))
-    return wh.write(mart, "proj_player_points", partition_by=["date"])
+def _write_mart(spark: SparkSession, wh: Warehouse, as_of: dt.date) -> dict[str, str]:
+    """R1, R8 and R9 from the stored player and schedule.  The mart is laid out by
+    ISO week (some thirty directories a season), so date-range scans (S3, P11)
+    prune directories (:func:`slate.sources.tables.date_range_scan`)."""
+    player, schedule = wh.read(spark, "player"), wh.read(spark, "schedule")
+    return {
+        "proj_player_points": wh.write(reports.player_schedule_mart(player, schedule), "proj_player_points", partition_by=["week"]),
+        "player_points_detailed": wh.write(horizon_detailed(player, schedule, as_of, HORIZON_DAYS), "player_points_detailed"),
+        "player_points_slim": wh.write(horizon_slim(player, schedule, as_of, HORIZON_DAYS), "player_points_slim"),
+    }
 
 
 def build_from_feeds(
@@ -85,6 +107,7 @@ def build_from_feeds(
     pages: DataFrame,
     roster_feed: DataFrame,
     player_feed: DataFrame,
+    as_of: dt.date = DEFAULT_AS_OF,
 ) -> dict[str, str]:
     """R15 over the original inputs; returns table -> written version path."""
     wh = Warehouse(root)
@@ -98,21 +121,24 @@ def build_from_feeds(
     # the schedule load looks names up in the stored team dimension
     out["schedule"] = wh.write(etl.schedule_from_pages(pages, wh.read(spark, "team").select("name", "abbrev")),
                                "schedule")
-    out["proj_player_points"] = _write_mart(spark, wh)
-    return out
+    return out | _write_mart(spark, wh, as_of)
 
 
 def build_from_driver_tables(
     spark: SparkSession, sf_dir: str, root: str, as_of: dt.date = DEFAULT_AS_OF
 ) -> dict[str, str]:
-    """R15 over the driver tables (adapters instead of feeds)."""
+    """R15 over the driver tables (adapters instead of feeds): clear, create, then
+    the dimensions, rosters, players and schedule, then the mart and the views."""
     wh = Warehouse(root)
+    wh.clear(spark)
+    wh.create(spark)
     schedule = adapters.schedule(spark, sf_dir)
     player = enforce_schema(adapters.player(spark, sf_dir, as_of), PLAYER)
+    rosters = etl.rosters_from_feed(adapters.roster_feed(spark, sf_dir, as_of))
     out = _write_all({
         **_dimension_jobs(spark, wh),
+        "fantasy_roster": lambda: wh.write(rosters, "fantasy_roster"),
         "schedule": lambda: wh.write(schedule, "schedule"),
         "player": lambda: wh.write(player, "player"),
     })
-    out["proj_player_points"] = _write_mart(spark, wh)
-    return out
+    return out | _write_mart(spark, wh, as_of)

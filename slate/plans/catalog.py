@@ -19,8 +19,6 @@ from slate.constants import (
     FREE_AGENT,
     FREE_AGENT_PULL_SIZE,
     MART_COLS,
-    SEASON_END,
-    SEASON_START,
 )
 from slate.functions import calendar as cal
 from slate.functions.keys import content_key
@@ -34,10 +32,10 @@ from slate.operators.schema import PLAYER, enforce_schema
 from slate.operators.windows import rest_days
 from slate.plans import adapters, etl, reports
 from slate.plans.build import Warehouse, build_from_driver_tables
-from slate.session import materialize, scratch_path
+from slate.session import scratch_path, store
 from slate.sources import feeds, sinks
 from slate.sources.html_tables import html_table_rows
-from slate.sources.tables import read_table, run_sql
+from slate.sources.tables import date_range_scan, read_table, run_sql, shared_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,12 +58,15 @@ def _schedule(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _player_shared(spark: SparkSession, d: str) -> DataFrame:
-    """The derived player table for reports that read it twice (totals and base).
+    """The player table of the reports, stored once per session; each report
+    scans it twice (totals and base), each time only the columns it needs."""
+    return shared_table(spark, d, "player", ["lineitem", "supplier", "nation"], lambda: _player(spark, d))
 
-    Checkpointed once so ``lineitem`` is aggregated once per report, not once
-    per branch; in production ``player`` is a stored table and this is a scan.
-    """
-    return materialize(_player(spark, d))
+
+def _schedule_shared(spark: SparkSession, d: str) -> DataFrame:
+    """The schedule of the reports, stored once per session."""
+    return shared_table(spark, d, "schedule", ["lineitem", "orders", "customer", "supplier", "nation"],
+                        lambda: _schedule(spark, d))
 
 
 # --- calendar and clock functions -------------------------------------------------
@@ -120,7 +121,7 @@ def team_dictionary(spark, d) -> DataFrame:
 
 def q_team_lookup_passthrough(spark, d):
     cust = read_table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    nat = joins.bounded_broadcast(read_table(spark, d, "nation").select("n_nationkey", "n_name"))
+    nat = read_table(spark, d, "nation").select("n_nationkey", "n_name")
     named = cust.join(nat, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", F.col("n_name").alias("team_name"))
     return joins.lookup_passthrough(named, "team_name", team_dictionary(spark, d), "name", "abbrev",
@@ -151,29 +152,31 @@ def q_window_aggregate(spark, d):
 
 
 def q_date_range_scan(spark, d):
-    mart = reports.player_schedule_mart(_player(spark, d), _schedule(spark, d))
-    return run_sql(spark, "SELECT * FROM {mart} WHERE date BETWEEN :start AND date_add(:start, :days)",
-                   {"start": AS_OF, "days": HORIZON_DAYS}, mart=mart)
+    """S3 over the stored mart: the weeks of the range prune its directories."""
+    path = sinks.write_table(reports.player_schedule_mart(_player(spark, d), _schedule(spark, d)),
+                             scratch_path(spark, "mart"), partition_by=["week"])
+    mart = date_range_scan(spark.read.parquet(path), AS_OF, HORIZON_DAYS, week_col="week").select(*MART_COLS)
+    return run_sql(spark, "SELECT * FROM {mart} WHERE date >= :start", {"start": AS_OF}, mart=mart)
 
 
 def q_free_agent_report(spark, d):
-    return reports.free_agent_report(_player_shared(spark, d), _schedule(spark, d), FREE_AGENT_PARAMS)
+    return reports.free_agent_report(_player_shared(spark, d), _schedule_shared(spark, d), FREE_AGENT_PARAMS)
 
 
 def q_rising_stars(spark, d):
-    return reports.rising_stars(_player_shared(spark, d), _schedule(spark, d), FREE_AGENT_PARAMS)
+    return reports.rising_stars(_player_shared(spark, d), _schedule_shared(spark, d), FREE_AGENT_PARAMS)
 
 
 def q_roster_report(spark, d):
-    return reports.roster_report(_player_shared(spark, d), _schedule(spark, d), ROSTER_PARAMS)
+    return reports.roster_report(_player_shared(spark, d), _schedule_shared(spark, d), ROSTER_PARAMS)
 
 
 def q_matchup_report(spark, d):
-    return reports.matchup_report(_player_shared(spark, d), _schedule(spark, d), MATCHUP_PARAMS)
+    return reports.matchup_report(_player_shared(spark, d), _schedule_shared(spark, d), MATCHUP_PARAMS)
 
 
 def q_matchup_totals(spark, d):
-    rep = reports.matchup_report(_player_shared(spark, d), _schedule(spark, d), MATCHUP_PARAMS, sort=False)
+    rep = reports.matchup_report(_player_shared(spark, d), _schedule_shared(spark, d), MATCHUP_PARAMS, sort=False)
     return reports.matchup_totals(rep, MATCHUP_PARAMS)
 
 
@@ -223,8 +226,8 @@ def player_feed(spark, d, year: int = DEFAULT_STATS_YEAR) -> DataFrame:
                    entries.alias("stats"))
     return (
         p.groupBy("fantasy_roster_name", F.floor(F.col("player_id") / 64).alias("chunk"))
-        .agg(F.collect_list(rec).alias("players"))
-        .select(F.col("chunk").cast("int").alias("feed_seq"), F.col("fantasy_roster_name").alias("roster_name"),
+        .agg(F.array_sort(F.collect_list(rec), adapters.by_player_id).alias("players"))
+        .select(F.col("chunk").alias("feed_seq"), F.col("fantasy_roster_name").alias("roster_name"),
                 "players")
     )
 
@@ -281,23 +284,49 @@ def q_upsert_latest(spark, d):
     return spark.read.parquet(version)
 
 
-def _season_buyers(spark, d) -> DataFrame:
-    """Customer keys with an order placed during the season (date range pushed to the scan)."""
-    o = read_table(spark, d, "orders")
-    lo = cal.ntz_literal(SEASON_START)
-    hi = cal.ntz_literal(SEASON_END)
-    return o.where((F.col("o_orderdate") >= lo) & (F.col("o_orderdate") < hi)).select(
-        F.col("o_custkey").alias("c_custkey"))
+BUYER_KEY = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+def _keyed_loads(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Both order loads (together all of ``orders``) with their content key; the first one stored."""
+    first, second = (b.select("o_orderkey", content_key(b, columns=BUYER_KEY).alias("content_uuid"))
+                     for b in _order_batches(spark, d))
+    return store(first.select("content_uuid").distinct(), "first-load"), second
 
 
 def q_existing_keys(spark, d):
-    c = read_table(spark, d, "customer").select("c_custkey", "c_name")
-    return joins.existing_keys(c, _season_buyers(spark, d), "c_custkey")
+    """Orders of the second load whose content key the stored first load holds."""
+    first, second = _keyed_loads(spark, d)
+    return joins.existing_keys(second, first, "content_uuid")
 
 
 def q_new_keys(spark, d):
-    c = read_table(spark, d, "customer").select("c_custkey", "c_name")
-    return joins.new_keys(c, _season_buyers(spark, d), "c_custkey")
+    """Orders of the second load whose content key is new."""
+    first, second = _keyed_loads(spark, d)
+    return joins.new_keys(second, first, "content_uuid")
+
+
+def _division_rosters(spark, d) -> DataFrame:
+    """Rosters of division 1 (a partial roster table, so that some players have none)."""
+    rosters = etl.rosters_from_feed(adapters.roster_feed(spark, d, AS_OF))
+    return rosters.where(F.col("division_id") == "1").select(
+        F.col("id").alias("roster_id"), F.col("name").alias("roster_name"), F.col("standing").alias("roster_standing"))
+
+
+def q_orphan_rosters(spark, d):
+    """Players whose roster is not in the roster table."""
+    p = _player(spark, d).select("player_id", "name", "fantasy_roster_name")
+    return joins.orphan_keys(p, "fantasy_roster_name", _division_rosters(spark, d), "roster_name")
+
+
+def q_player_roster_team(spark, d):
+    """Players with their roster and team, NULL where there is none (left joins)."""
+    p = _player(spark, d).select("player_id", "name", "fantasy_roster_name", "team_abbrev")
+    teams = team_dictionary(spark, d).select(F.col("name").alias("team_name"), F.col("abbrev").alias("team_code"))
+    p = joins.join_small(p, _division_rosters(spark, d).withColumnRenamed("roster_name", "fantasy_roster_name"),
+                         "fantasy_roster_name", "left")
+    return p.join(teams, F.col("team_abbrev") == F.col("team_name"), "left").select(
+        "player_id", "name", "roster_id", "roster_standing", "team_code")
 
 
 def q_orphan_keys(spark, d):
@@ -316,8 +345,8 @@ def q_roster_names(spark, d):
 
 def q_content_key(spark, d):
     o = read_table(spark, d, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", F.to_date("o_orderdate").alias("o_orderdate"),
-        "o_orderpriority")
+        "o_orderkey", "o_custkey", "o_orderstatus", F.to_date("o_orderdate").alias("o_orderday"),
+        "o_orderpriority", "o_totalprice", "o_orderdate")
     return o.select("o_orderkey", content_key(o, ignore_cols=["o_orderkey"]).alias("content_uuid"))
 
 
@@ -365,7 +394,7 @@ def q_csv_round_trip(spark, d):
 
 def q_table_round_trip(spark, d):
     path = scratch_path(spark, "table")
-    s = materialize(_schedule(spark, d))  # derived once, written twice
+    s = store(_schedule(spark, d), "schedule")  # derived once, written twice
     sinks.write_table(s, path, "overwrite", cast_dates=True)
     sinks.write_table(s, path, "overwrite", cast_dates=True)  # a replace is idempotent
     return sinks.read_written(spark, path)
@@ -376,12 +405,22 @@ def q_enforced_schema(spark, d):
 
 
 def q_html_table_rows(spark, d):
-    return html_table_rows(read_table(spark, d, "pages")).select(
+    """S4 over schedule pages rendered from the driver games, one page a day."""
+    return html_table_rows(adapters.schedule_pages(spark, d)).select(
         "page_id", "row_index", F.to_json("cells").alias("cells_json"))
 
 
 def q_schedule_from_pages(spark, d):
-    return etl.schedule_from_pages(read_table(spark, d, "pages"), etl.team_dictionary(spark))
+    """R10 from raw HTML (S4), as the original ran it."""
+    return etl.schedule_from_pages(adapters.schedule_pages(spark, d), team_dictionary(spark, d))
+
+
+def q_schedule_raw_csv(spark, d):
+    """R11 from raw HTML, unprojected and with its CSV (S12): every parsed column, two rows a game."""
+    raw = etl.schedule_rows_from_pages(adapters.schedule_pages(spark, d), team_dictionary(spark, d))
+    raw = raw.where(F.col("date").isNotNull())  # repeated header rows
+    path = sinks.write_csv(raw, scratch_path(spark, "schedule-csv"))
+    return sinks.read_csv(spark, path, raw.schema)
 
 
 # --- ingest jobs over raw inputs rebuilt from the driver tables ------------------------
@@ -456,6 +495,8 @@ QUERIES: dict[str, Query] = {
     "existing_keys": q_existing_keys,
     "new_keys": q_new_keys,
     "orphan_keys": q_orphan_keys,
+    "orphan_rosters": q_orphan_rosters,
+    "player_roster_team": q_player_roster_team,
     "filter_options": q_filter_options,
     "roster_names": q_roster_names,
     "content_key": q_content_key,
@@ -465,6 +506,7 @@ QUERIES: dict[str, Query] = {
     "enforced_schema": q_enforced_schema,
     "html_table_rows": q_html_table_rows,
     "schedule_from_pages": q_schedule_from_pages,
+    "schedule_raw_csv": q_schedule_raw_csv,
     "schedule_etl": q_schedule_etl,
     "player_etl": q_player_etl,
     "roster_etl": q_roster_etl,

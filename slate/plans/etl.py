@@ -113,7 +113,7 @@ def players_from_feed(feed: DataFrame, target: DataFrame | None = None,
     batch = rows.select(*[f.name for f in PLAYER.fields], "feed_seq", "player_pos")
     tgt = None
     if target is not None:
-        tgt = enforce_schema(target, PLAYER).withColumn("feed_seq", F.lit(None).cast("int")) \
+        tgt = enforce_schema(target, PLAYER).withColumn("feed_seq", F.lit(None).cast("long")) \
             .withColumn("player_pos", F.lit(None).cast("int"))
     loaded = insert_or_ignore(tgt, batch, PLAYER_UNIQUE_KEY, ["feed_seq", "player_pos"], required)
     return loaded.drop("feed_seq", "player_pos")

@@ -35,7 +35,7 @@ games AS (
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation hn ON c.c_nationkey = hn.n_nationkey
-  WHERE vn.n_nationkey <> hn.n_nationkey AND l.l_quantity >= 46
+  WHERE vn.n_nationkey <> hn.n_nationkey
     AND l.l_shipdate >= TIMESTAMP '1997-10-01 00:00:00' AND l.l_shipdate < TIMESTAMP '1998-05-01 00:00:00'
 )"""
 
@@ -48,14 +48,11 @@ schedule AS (
          CASE WHEN isodow(game_date) >= 6 THEN '15:30' ELSE '19:30' END AS time,
          opponent_abbrev, team_abbrev, matchup, is_visitor
   FROM (
-    SELECT u.*, ROW_NUMBER() OVER (PARTITION BY team_abbrev, game_date ORDER BY matchup, is_visitor) AS rn
-    FROM (
-      SELECT game_date, home AS team_abbrev, visitor AS opponent_abbrev, visitor || '@' || home AS matchup,
-             0 AS is_visitor FROM games
-      UNION ALL
-      SELECT game_date, visitor, home, visitor || '@' || home, 1 FROM games
-    ) u
-  ) r WHERE rn = 1
+    SELECT game_date, home AS team_abbrev, visitor AS opponent_abbrev, visitor || '@' || home AS matchup,
+           0 AS is_visitor FROM games
+    UNION ALL
+    SELECT game_date, visitor, home, visitor || '@' || home, 1 FROM games
+  ) u
 )"""
 
 def _player_base_sql(as_of: dt.date) -> str:
@@ -171,9 +168,10 @@ SELECT {REPORT_COLS} FROM (
 ) x WHERE sum_fantasy_points IS NOT NULL {extra_where}"""
 
 
-def _weekday_pivot(value: str, source: str) -> str:
+def _weekday_pivot(cell: str) -> str:
+    """Seven columns; ``cell`` is an aggregate with ``{day}`` for the weekday's condition."""
     days = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
-    return ", ".join(f"MIN(CASE WHEN day_of_week = {i} THEN {value} END) AS {n}" for i, n in enumerate(days))
+    return ", ".join(f"{cell.format(day=f'day_of_week = {i}')} AS {n}" for i, n in enumerate(days))
 
 
 def _team_horizons(days: int) -> str:
@@ -299,7 +297,7 @@ FROM (VALUES (1, 'Roster 1'), (2, 'Roster 3')) k(side, fantasy_roster_name)"""
 SELECT *, CAST((Monday IS NOT NULL)::INTEGER + (Tuesday IS NOT NULL)::INTEGER + (Wednesday IS NOT NULL)::INTEGER
   + (Thursday IS NOT NULL)::INTEGER + (Friday IS NOT NULL)::INTEGER + (Saturday IS NOT NULL)::INTEGER
   + (Sunday IS NOT NULL)::INTEGER AS INTEGER) AS Games
-FROM (SELECT team_abbrev, week, {_weekday_pivot('opponent_abbrev', 'schedule')}
+FROM (SELECT team_abbrev, week, {_weekday_pivot("string_agg(DISTINCT opponent_abbrev, ',' ORDER BY opponent_abbrev) FILTER ({day})")}
       FROM schedule GROUP BY team_abbrev, week) g"""
 
     rest = """
@@ -307,11 +305,11 @@ rest AS (
   SELECT *, CAST(CASE WHEN datediff('day', date, LEAD(date) OVER (PARTITION BY team_abbrev ORDER BY date)) > 1
                  THEN datediff('day', date, LEAD(date) OVER (PARTITION BY team_abbrev ORDER BY date)) - 1
                  ELSE 0 END AS INTEGER) AS no_game_days_following
-  FROM schedule)"""
+  FROM (SELECT DISTINCT team_abbrev, date, week, day_of_week FROM schedule) s)"""
     q["rest_days"] = f"""{with_views('schedule')},{rest}
 SELECT team_abbrev, date, week, day_of_week, no_game_days_following FROM rest"""
     q["rest_grid"] = f"""{with_views('schedule')},{rest}
-SELECT team_abbrev, week, {_weekday_pivot('no_game_days_following', 'rest')}
+SELECT team_abbrev, week, {_weekday_pivot("MIN(no_game_days_following) FILTER ({day})")}
 FROM rest GROUP BY team_abbrev, week"""
 
     q["horizon_detailed"] = f"""{with_views('player', 'schedule')},{_team_horizons(7)}
@@ -355,14 +353,20 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate, o_tot
   SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY batch DESC, o_orderdate DESC, o_orderkey DESC) AS rn
   FROM ({orders}) b) r WHERE rn = 1"""
 
-    season = ("o.o_orderdate >= TIMESTAMP '1997-10-01 00:00:00' "
-              "AND o.o_orderdate < TIMESTAMP '1998-05-01 00:00:00'")
-    q["existing_keys"] = f"""
-SELECT c_custkey, c_name FROM customer c
-WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND {season})"""
-    q["new_keys"] = f"""
-SELECT c_custkey, c_name FROM customer c
-WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND {season})"""
+    buyer = "CAST(o_custkey AS VARCHAR) || o_orderstatus || o_orderpriority"
+    loads = f"""WITH k AS (SELECT o_orderkey, {_uuid5(buyer)} AS content_uuid, o_orderdate < TIMESTAMP '1998-01-01 00:00:00' AS first
+  FROM orders)
+SELECT o_orderkey, content_uuid FROM k WHERE NOT first AND content_uuid"""
+    q["existing_keys"] = f"{loads} IN (SELECT content_uuid FROM k WHERE first)"
+    q["new_keys"] = f"{loads} NOT IN (SELECT content_uuid FROM k WHERE first)"
+    q["orphan_rosters"] = f"""{with_views('player')}
+SELECT player_id, name, fantasy_roster_name FROM player WHERE fantasy_roster_name NOT IN ('Roster 1', 'Roster 3')"""
+    q["player_roster_team"] = f"""{with_views('player')},{TEAM_DICT},
+r AS (SELECT fantasy_roster_name AS name, CAST(regexp_extract(fantasy_roster_name, '(\\d+)$', 1) AS INTEGER) AS id,
+             CAST(COUNT(CASE WHEN injury_status = 'ACTIVE' THEN 1 END) AS INTEGER) AS standing
+      FROM player WHERE fantasy_roster_name IN ('Roster 1', 'Roster 3') GROUP BY fantasy_roster_name)
+SELECT p.player_id, p.name, r.id AS roster_id, r.standing AS roster_standing, dict.abbrev AS team_code
+FROM player p LEFT JOIN r ON r.name = p.fantasy_roster_name LEFT JOIN dict ON dict.name = p.team_abbrev"""
     q["orphan_keys"] = f"""{with_views('player')}
 SELECT player_id, name, team_abbrev FROM player p
 WHERE team_abbrev IS NOT NULL
@@ -376,7 +380,9 @@ UNION SELECT DISTINCT 'position', CAST(position AS VARCHAR) FROM player"""
 SELECT DISTINCT fantasy_roster_name AS name FROM player WHERE fantasy_roster_name <> 'Free Agent'"""
 
     text = ("COALESCE(CAST(o_custkey AS VARCHAR), 'None') || COALESCE(o_orderstatus, 'None') || "
-            "COALESCE(strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d'), 'None') || COALESCE(o_orderpriority, 'None')")
+            "COALESCE(strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d'), 'None') || COALESCE(o_orderpriority, 'None') || "
+            "COALESCE(CAST(o_totalprice AS VARCHAR), 'None') || "
+            "COALESCE(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'None')")
     q["content_key"] = f"SELECT o_orderkey, {_uuid5(text)} AS content_uuid FROM orders"
 
     q["union_pages"] = "SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders"
@@ -394,7 +400,7 @@ SELECT * FROM player WHERE player_id IS NOT NULL AND name IS NOT NULL AND is_fre
 def _ingest_sql() -> dict[str, str]:
     """Oracles of the ingest jobs over raw inputs rebuilt from the driver tables."""
     q: dict[str, str] = {}
-    q["schedule_etl"] = f"""{with_views('games')},{TEAM_DICT},
+    q["schedule_etl"] = q["schedule_from_pages"] = f"""{with_views('games')},{TEAM_DICT},
 g AS (
   SELECT game_date, COALESCE(dv.abbrev, games.visitor) AS v, COALESCE(dh.abbrev, games.home) AS h,
          lpad(CAST((dayofmonth(game_date) * 7) % 24 AS VARCHAR), 2, '0') || ':'
@@ -409,6 +415,36 @@ SELECT game_date AS date, CAST(dayofyear(game_date) AS INTEGER) AS day_of_year,
        time, opponent_abbrev, team_abbrev, matchup, is_visitor
 FROM u"""
 
+    texts = """strftime(game_date, '%a, %b %-d, %Y') AS date_text,
+         CAST(((dayofmonth(game_date) * 7) % 24 + 11) % 12 + 1 AS VARCHAR) || ':'
+           || lpad(CAST((dayofmonth(game_date) * 5) % 60 AS VARCHAR), 2, '0')
+           || CASE WHEN (dayofmonth(game_date) * 7) % 24 >= 12 THEN 'p' ELSE 'a' END AS start_text,
+         CAST(strftime(game_date, '%Y%m%d') AS BIGINT) AS page_id"""
+    q["html_table_rows"] = f"""{with_views('games')},
+g AS (SELECT *, {texts}, CAST(ROW_NUMBER() OVER (PARTITION BY game_date ORDER BY visitor, home) - 1 AS INTEGER) AS row_index FROM games)
+SELECT page_id, row_index, '{{"Date":"' || date_text || '","Start (ET)":"' || start_text || '","Visitor/Neutral":"' || visitor
+  || '","Home/Neutral":"' || home || '"}}' AS cells_json FROM g
+UNION ALL
+SELECT page_id, CAST(COUNT(*) AS INTEGER), '{{"Date":"Date","Start (ET)":"Start (ET)","Visitor/Neutral":"Visitor/Neutral","Home/Neutral":"Home/Neutral"}}'
+FROM g GROUP BY page_id"""
+    q["schedule_raw_csv"] = f"""{with_views('games')},{TEAM_DICT},
+g AS (
+  SELECT game_date, {texts}, games.visitor AS visitor_name, games.home AS home_name,
+         CAST(ROW_NUMBER() OVER (PARTITION BY game_date ORDER BY games.visitor, games.home) - 1 AS INTEGER) AS row_index,
+         COALESCE(dv.abbrev, games.visitor) AS v, COALESCE(dh.abbrev, games.home) AS h,
+         lpad(CAST((dayofmonth(game_date) * 7) % 24 AS VARCHAR), 2, '0') || ':'
+           || lpad(CAST((dayofmonth(game_date) * 5) % 60 AS VARCHAR), 2, '0') AS time
+  FROM games LEFT JOIN dict dv ON games.visitor = dv.name LEFT JOIN dict dh ON games.home = dh.name),
+u AS (SELECT *, v AS opponent_abbrev, h AS team_abbrev, 0 AS is_visitor FROM g
+      UNION ALL SELECT *, h, v, 1 FROM g)
+SELECT game_date AS date, page_id, row_index, date_text, start_text,
+       CAST(game_date AS TIMESTAMP) + to_hours(CAST(split_part(time, ':', 1) AS INTEGER)) + to_minutes(CAST(split_part(time, ':', 2) AS INTEGER))
+         AS datetime,
+       time, CAST(week(game_date) AS INTEGER) AS week, CAST(dayofyear(game_date) AS INTEGER) AS day_of_year,
+       CAST(isodow(game_date) - 1 AS INTEGER) AS day_of_week, visitor_name, home_name, v || '@' || h AS matchup,
+       team_abbrev, opponent_abbrev, is_visitor
+FROM u"""
+
     full_key = " AND ".join(f"{c} IS NOT NULL" for c in PLAYER_KEY)
     required = "player_id IS NOT NULL AND name IS NOT NULL AND is_free_agent IS NOT NULL"
     second = AS_OF + dt.timedelta(days=7)
@@ -438,5 +474,3 @@ UNION ALL
 SELECT -1, NULL, 'Free Agent', NULL, NULL, NULL, NULL, NULL"""
     return q
 
-
-PULL_SIZE = FREE_AGENT_PULL_SIZE

@@ -13,13 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slate.constants import MART_COLS, PLAYER_POINTS_COLS
+from slate.constants import MART_COLS, PLAYER_POINTS_COLS, WEEKDAY_NAMES
 from slate.functions.scoring import product, rising_predicate, truncate_to_long
 from slate.operators import filters as flt
-from slate.operators.aggregates import truncated_total, window_aggregate
+from slate.operators.aggregates import window_aggregate
 from slate.operators.filters import ReportParams
 from slate.operators.joins import join_small
-from slate.operators.reshape import games_played, weekday_pivot
+from slate.operators.reshape import games_played, listed, weekday_pivot
 from slate.operators.windows import rest_days
 
 
@@ -27,10 +27,9 @@ def player_schedule_mart(player: DataFrame, schedule: DataFrame) -> DataFrame:
     """R1 (J1 + P1): one row per player and game of the player's team.
 
     Many-to-many fan-out on ``team_abbrev``.  Only the needed columns of each
-    side are read.  The schedule side is bounded by teams x days, so AQE turns
-    the join into a broadcast hash join after measuring it: the player side is
-    then neither shuffled nor skewed by a team holding many players.  Past the
-    broadcast threshold the sort-merge join is split by AQE's skew handling.
+    side are read.  The schedule side is finished first and broadcast if its
+    size allows, so the player side is neither shuffled nor skewed by a team
+    holding many players; beyond that size the join is salted.
     """
     p_cols = [c for c in MART_COLS if c in player.columns and c not in ("team_abbrev",)]
     s_cols = ["date", "time", "week", "day_of_year", "day_of_week", "opponent_abbrev", "is_visitor"]
@@ -132,10 +131,12 @@ def week_grid(schedule: DataFrame, week: int | None = None, teams: Sequence[str]
               season_col: str | None = None) -> DataFrame:
     """R6 (A6, A8): opponent per weekday for each (team, week), plus ``Games``.
 
-    The week/team filter is applied before the pivot (and reaches the scan).
+    A day with several games lists all opponents, sorted (a cell is bounded by
+    the number of teams); ``Games`` counts the days with a game.  The week/team filter is applied before the pivot (and reaches the scan).
     """
     s = schedule.where(flt.conjunction([flt.equals("week", week), flt.member_of("team_abbrev", teams)]))
-    grid = weekday_pivot(s, "opponent_abbrev", index=_grid_index(season_col))
+    grid = weekday_pivot(s, "opponent_abbrev", index=_grid_index(season_col), agg=listed)
+    grid = grid.withColumns({d: F.when(F.col(d) != "", F.col(d)) for d in WEEKDAY_NAMES})
     return games_played(grid)
 
 
@@ -161,6 +162,5 @@ __all__ = [
     "rest_grid",
     "rising_stars",
     "roster_report",
-    "truncated_total",
     "week_grid",
 ]

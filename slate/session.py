@@ -9,10 +9,11 @@ and are visible to every node.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every slate job expects (AQE on, UTC session clock, no UI).
 BASE_CONF = {
@@ -85,13 +86,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/slate-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df):
-    """Cut a frame's lineage with a reliable checkpoint in the shared folder.
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of it.
 
-    Used when a derived table feeds several branches of one plan (Spark would
-    otherwise recompute its whole lineage per branch).  The checkpoint files
-    live under ``spark.checkpoint.dir`` on shared storage, so they survive the
-    loss of the executor that wrote them; ``localCheckpoint`` would not.
+    Used when a derived table feeds several branches of one plan, or must be
+    finished (and its size known) before the plan that uses it is chosen.  The
+    parquet files survive the loss of the executor that wrote them, later reads
+    prune columns and push filters, and the planner knows their size.  Delete
+    them with :func:`remove_stored` when the frame is no longer needed.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's size estimate: for a stored table, the size of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def remove_stored(df: DataFrame) -> int:
+    """Delete the scratch folders that ``df`` reads (only this library's, under the
+    checkpoint folder); returns how many.  The frame cannot be read afterwards."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    names = {m for f in df.inputFiles() if (m := re.search(r"/(slate-[A-Za-z0-9_-]+-[0-9a-f]{32})/", f))}
+    paths = {f"{base}/{m[1]}" for m in names}
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return sum(bool(hadoop_path(p).getFileSystem(conf).delete(hadoop_path(p), True)) for p in paths)

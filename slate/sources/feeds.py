@@ -30,9 +30,9 @@ PLAYER_RECORD = T.StructType([
     T.StructField("stats", T.MapType(T.StringType(), STAT)),
 ])
 
-#: Raw feed: one record per roster (``feed_seq`` = arrival order of the roster).
+#: Raw feed: one record per roster or part of one (``feed_seq`` = arrival order, unique).
 FEED = T.StructType([
-    T.StructField("feed_seq", T.IntegerType()),
+    T.StructField("feed_seq", T.LongType()),
     T.StructField("roster_name", T.StringType()),
     T.StructField("players", T.ArrayType(PLAYER_RECORD)),
 ])

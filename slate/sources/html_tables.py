@@ -42,9 +42,11 @@ class _FirstTable(HTMLParser):
         self.done = False
         self.in_head = False
         self.rows: list[tuple[bool, bool, list[str]]] = []  # (in_thead, all_th, cells)
-        self._row: list[str] | None = None
+        self._row: list[tuple[str, int, int]] | None = None  # (text, colspan, rowspan)
         self._row_th: list[bool] = []
         self._cell: list[str] | None = None
+        self._spans = (1, 1)
+        self._below: dict[int, tuple[str, int]] = {}  # column -> (text, rows it still covers)
 
     def handle_starttag(self, tag, attrs):
         if self.done:
@@ -59,12 +61,19 @@ class _FirstTable(HTMLParser):
             return
         if not self.active or self.depth:
             return
-        if tag == "thead":
-            self.in_head = True
-        elif tag == "tr":
+        if tag in ("thead", "tbody", "tfoot"):
+            self._close_row()
+            self.in_head = tag == "thead"
+        elif tag == "tr":  # end tags of rows and cells may be left out
+            self._close_row()
             self._row, self._row_th = [], []
-        elif tag in ("td", "th") and self._row is not None:
+        elif tag in ("td", "th"):
+            self._close_cell()
+            if self._row is None:
+                self._row, self._row_th = [], []
             self._cell = []
+            given = dict(attrs)
+            self._spans = _span(given.get("colspan")), _span(given.get("rowspan"))
             self._row_th.append(tag == "th")
         elif tag == "br" and self._cell is not None:
             self._cell.append(" ")
@@ -85,7 +94,8 @@ class _FirstTable(HTMLParser):
             self._close_cell()
         elif tag == "tr":
             self._close_row()
-        elif tag == "thead":
+        elif tag in ("thead", "tbody", "tfoot"):
+            self._close_row()
             self.in_head = False
 
     def handle_data(self, data):
@@ -94,16 +104,40 @@ class _FirstTable(HTMLParser):
 
     def _close_cell(self):
         if self._cell is not None and self._row is not None:
-            self._row.append(" ".join("".join(self._cell).split()))
+            self._row.append((" ".join("".join(self._cell).split()), *self._spans))
         self._cell = None
 
     def _close_row(self):
+        """Lay the row's cells into columns, around cells that reach down from rows above."""
         self._close_cell()
-        if self._row is not None and self._row:
-            self.rows.append((self.in_head, all(self._row_th), self._row))
+        if self._row:
+            cells: list[str] = []
+            below: dict[int, tuple[str, int]] = {}
+
+            def from_above():
+                while len(cells) in self._below:
+                    text, left = self._below[len(cells)]
+                    if left > 1:
+                        below[len(cells)] = (text, left - 1)
+                    cells.append(text)
+
+            for text, columns, rows in self._row:
+                from_above()
+                for _ in range(columns):
+                    if rows > 1:
+                        below[len(cells)] = (text, rows - 1)
+                    cells.append(text)
+            from_above()
+            self._below = below
+            self.rows.append((self.in_head, all(self._row_th), cells))
         self._row = None
 
 
+def _span(value: str | None) -> int:
+    """A colspan or rowspan; anything but a positive number counts as 1 (as browsers do, up to 1000)."""
+    return min(max(int(value), 1), 1000) if value and value.strip().isdigit() else 1
+
+
 def _column_names(header: list[str]) -> list[str]:
     names, seen = [], {}
     for i, h in enumerate(header):

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slate.operators.dedup import insert_or_ignore, rows_to_insert, upsert
+from slate.constants import BROADCAST_MAX_BYTES
+from slate.operators.dedup import replace_keys, rows_to_insert, upsert
+from slate.session import planned_bytes, remove_stored, store
 
 #: Columns cast to timestamps on write when present.
 DATE_LIKE = ("date", "start_date", "end_date")
@@ -75,20 +77,23 @@ def with_audit_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"created_at": now, "modified_at": now})
 
 
-def load_insert_or_ignore(spark: SparkSession, target_path: str | None, batch: DataFrame, new_path: str,
-                          key_cols: Sequence[str], order_cols: Sequence[str],
-                          required_cols: Sequence[str] = ()) -> str:
-    """S10 as a write: new version of the target at ``new_path``."""
-    target = spark.read.parquet(target_path) if target_path else None
-    insert_or_ignore(target, batch, key_cols, order_cols, required_cols).write.mode("error").parquet(new_path)
-    return new_path
-
-
 def load_upsert(spark: SparkSession, target_path: str | None, batch: DataFrame, new_path: str,
                 key_cols: Sequence[str], order_cols: Sequence[str]) -> str:
-    """S11 as a write: new version of the target at ``new_path``."""
-    target = spark.read.parquet(target_path) if target_path else None
-    upsert(target, batch, key_cols, order_cols).write.mode("error").parquet(new_path)
+    """S11 as a write: new version of the target at ``new_path``.
+
+    The batch's latest rows are stored first; if their keys are within
+    ``BROADCAST_MAX_BYTES`` the target is read once and written, without a
+    shuffle of its rows.
+    """
+    if target_path is None:
+        upsert(None, batch, key_cols, order_cols).write.mode("error").parquet(new_path)
+        return new_path
+    latest = store(upsert(None, batch, key_cols, order_cols), "upsert-batch")
+    keys = latest.select(*key_cols)
+    if planned_bytes(keys) <= BROADCAST_MAX_BYTES:
+        keys = F.broadcast(keys)
+    replace_keys(spark.read.parquet(target_path), latest, keys, key_cols).write.mode("error").parquet(new_path)
+    remove_stored(latest)
     return new_path
 
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import datetime as dt
 import os
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slate.session import store
+
 DRIVER_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -55,12 +57,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def register_views(spark: SparkSession, frames: Mapping[str, DataFrame]) -> None:
-    """Expose frames to SQL under the given names."""
-    for name, df in frames.items():
-        df.createOrReplaceTempView(name)
-
-
 def run_sql(spark: SparkSession, query: str, args: Mapping[str, object] | None = None,
             **frames: DataFrame) -> DataFrame:
     """S1 + S2: run SQL with named, bound parameters (``:name`` markers).
@@ -71,9 +67,43 @@ def run_sql(spark: SparkSession, query: str, args: Mapping[str, object] | None =
     return spark.sql(query, args=dict(args) if args else None, **frames)
 
 
-def date_range_scan(df: DataFrame, start: dt.date, days: int, date_col: str = "date") -> DataFrame:
+def date_range_scan(df: DataFrame, start: dt.date, days: int, date_col: str = "date",
+                    week_col: str | None = None) -> DataFrame:
     """S3: rows with ``date_col`` in ``[start, start + days]`` (DATE comparison, inclusive).
 
-    The predicate is on the bare column, so it reaches the parquet scan.
+    The predicate is on the bare column, so it reaches the parquet scan.  For a
+    table laid out by ISO week, ``week_col`` adds the weeks of the range, which
+    prunes directories.
+    """
+    inside = F.col(date_col).between(F.lit(start), F.date_add(F.lit(start), int(days)))
+    if week_col is not None:
+        weeks = {(start + dt.timedelta(days=i)).isocalendar().week for i in range(min(int(days), 371) + 1)}
+        inside = F.col(week_col).isin(sorted(weeks)) & inside
+    return df.where(inside)
+
+
+def input_stamp(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> tuple:
+    """Paths, lengths and modification times of the files of some tables (metadata only)."""
+    path_class = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in names:
+        path = path_class(table_path(sf_dir, name))
+        out += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(conf).listStatus(path)]
+    return tuple(out)
+
+
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared_table(spark: SparkSession, sf_dir: str, name: str, inputs: Sequence[str],
+                 build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, stored once per session and version of its inputs, then scanned.
+
+    Several reports of a session read the same stored table; a changed input
+    file gives a new one.
     """
-    return df.where(F.col(date_col).between(F.lit(start), F.date_add(F.lit(start), int(days))))
+    key = (spark.sparkContext.applicationId, name, input_stamp(spark, sf_dir, inputs))
+    if key not in _SHARED:
+        _SHARED[key] = store(build(), name)
+    return _SHARED[key]

@@ -1,11 +1,12 @@
 from conftest import SF01, rows
 from slate.operators.filters import ReportParams
 from slate.plans import adapters, reports
-from slate.plans.build import Warehouse, build_from_driver_tables, build_from_feeds
+from slate.constants import DEFAULT_AS_OF
+from slate.plans.build import TABLES, VIEWS, Warehouse, build_from_driver_tables, build_from_feeds
 from slate.session import scratch_path
 from test_sources import _feed, _pages
-from pyspark.sql import functions as F
 from slate.sources.feeds import ROSTER_FEED
+from slate.sources.tables import date_range_scan
 
 
 def test_build_from_driver_tables_and_reports_on_it(spark):
@@ -13,17 +14,20 @@ def test_build_from_driver_tables_and_reports_on_it(spark):
     build_from_driver_tables(spark, SF01, root)
     wh = Warehouse(root)
     p, s = wh.read(spark, "player"), wh.read(spark, "schedule")
-    a = rows(reports.free_agent_report(p, s, ReportParams(), sort=False))
+    a = rows(reports.free_agent_report(p, s, ReportParams(as_of=DEFAULT_AS_OF), sort=False))
     b = rows(reports.free_agent_report(adapters.player(spark, SF01), adapters.schedule(spark, SF01),
-                                       ReportParams(), sort=False))
-    assert a == b and len(a) == 17
+                                       ReportParams(as_of=DEFAULT_AS_OF), sort=False))
+    assert a == b and len(a) == 20
     mart = wh.read(spark, "proj_player_points")
-    assert mart.count() == 4026
-    plan = mart.where(F.col("date") == F.lit("1998-01-02").cast("date"))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(date" in plan
-    # a second build writes new versions with the same content
+    assert mart.count() == 42919
+    plan = date_range_scan(mart, DEFAULT_AS_OF, 7, week_col="week")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [week" in plan and "PushedFilters: [IsNotNull(date)" in plan
+    assert {t: wh.read(spark, t).count() for t in ("fantasy_roster", "player_points_slim")} == {"fantasy_roster": 5, "player_points_slim": 700}
+    assert all(wh.read_or_none(spark, t) is not None for t in [*TABLES, *VIEWS, "league", "player_stats"])
+    assert set(wh.clear(spark)) == {*TABLES, *VIEWS} and wh.read_or_none(spark, "player") is None
+    # a second build gives the same content
     build_from_driver_tables(spark, SF01, root)
-    assert wh.read(spark, "proj_player_points").count() == 4026
+    assert wh.read(spark, "proj_player_points").count() == 42919
 
 
 def test_build_from_feeds_is_idempotent(spark):

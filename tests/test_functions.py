@@ -129,3 +129,20 @@ def test_parse_page_date_round_trips_and_nulls_junk(spark, dates, junk):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
     got = {r.i: r.d for r in df.select("i", cal.parse_page_date("t").alias("d")).collect()}
     assert got == {i: d for i, (_, d) in enumerate(texts)}
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.one_of(st.floats(), st.floats(-1e-3, 1e-3), st.floats(-1e18, 1e18), st.integers(-10**17, 10**17).map(float),
+                                 st.decimals(-10**6, 10**6, places=2).map(float)), min_size=1, max_size=40))
+def test_content_key_of_doubles_matches_python(spark, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = {r.i: r.k for r in df.select("i", content_key(df, ignore_cols=["i"]).alias("k")).collect()}
+    assert got == {i: str(uuid.uuid5(uuid.NAMESPACE_DNS, str(v))) for i, v in enumerate(values)}
+
+
+def test_content_key_of_known_doubles_and_timestamps(spark):
+    doubles = [1e7, 12345678.5, 0.0001, 0.00001, 1e16, 9999999999999998.0, 1.5e-7, 2e23, 5e-324, -0.0, 0.0, 100.0, 1e22, 123456789012345680.0]
+    times = [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4, 5, 60), dt.datetime(1999, 12, 31)]
+    df = spark.createDataFrame([(v, t) for v in doubles for t in times], "v double, t timestamp_ntz")
+    got = [r.k for r in df.select(content_key(df).alias("k")).collect()]
+    assert got == [str(uuid.uuid5(uuid.NAMESPACE_DNS, f"{v}{t}")) for v in doubles for t in times]

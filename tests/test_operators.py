@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,12 +11,13 @@ from slate.constants import WEEKDAY_NAMES
 from slate.operators import joins
 from slate.operators.aggregates import distinct_options, sum_all, window_aggregate, window_aggregate_from_mart
 from slate.operators.dedup import insert_or_ignore, upsert
-from slate.operators.filters import ReportParams
+from slate.operators.filters import ReportParams, day_window
 from slate.operators.horizon import horizon_detailed, horizon_slim, horizon_sums
 from slate.operators.reshape import games_played, unpivot_games, weekday_pivot
 from slate.operators.schema import SCHEDULE, enforce_schema
 from slate.operators.windows import rest_days
 from slate.plans import adapters, reports
+from slate.session import remove_stored, store
 from slate.sources.feeds import top_n
 
 D = dt.date
@@ -95,7 +97,8 @@ def test_horizon_equals_brute_force_loop(spark):
 
 def test_window_aggregate_equals_mart_grouping(spark):
     p, s, mart = _mart(spark)
-    for params in (ReportParams(), ReportParams(day_offset=(0, 119)), ReportParams(window_by="date")):
+    for params in (ReportParams(as_of=D(1998, 1, 1)), ReportParams(as_of=D(1998, 1, 1), day_offset=(0, 119)),
+                   ReportParams(as_of=D(1998, 1, 1), window_by="date")):
         a = {r.name: tuple(r)[1:] for r in window_aggregate(p, s, params).collect()}
         b = {r.name: tuple(r)[1:] for r in window_aggregate_from_mart(mart, params).collect()}
         assert a.keys() == b.keys()
@@ -140,13 +143,45 @@ def test_salted_join_equals_plain_join(spark):
         assert rows(joins.salted_join(big, small, ["k"], how, salts=7)) == rows(big.join(small, "k", how))
 
 
-def test_join_small_checked_broadcast(spark):
-    big = spark.range(100).select((F.col("id") % 5).alias("k"))
-    small = spark.range(5).select(F.col("id").alias("k"))
-    out = joins.join_small(big, small, "k", max_rows=10)
-    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
-    assert out.count() == 100
-    assert joins.fits(small, 5) and not joins.fits(small, 4)
+def test_join_small_broadcasts_by_size_and_salts_beyond(spark):
+    big = spark.range(100).select((F.col("id") % 5).alias("k"), "id")
+    small = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left"):
+        near = joins.join_small(big, small, "k", how)
+        assert "BroadcastHashJoin" in near._jdf.queryExecution().executedPlan().toString()
+        far = joins.join_small(big, small, "k", how, max_bytes=0)
+        assert rows(near) == rows(far) == rows(big.join(small, "k", how))
+
+
+def test_stored_tables_are_removed_on_request(spark):
+    df = store(spark.range(10), "gone")
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    assert os.path.isdir(folder) and df.count() == 10
+    assert remove_stored(df) == 1 and not os.path.exists(folder)
+    assert remove_stored(spark.read.parquet(f"{SF01}/nation.parquet")) == 0 and os.path.exists(f"{SF01}/nation.parquet")
+
+
+def test_rest_days_with_several_games_a_day(spark):
+    s = spark.createDataFrame([("A", D(2024, 1, 1), "X"), ("A", D(2024, 1, 1), "Y"), ("A", D(2024, 1, 4), "X")],
+                              "team_abbrev string, date date, opponent_abbrev string")
+    assert rows(rest_days(s), "date", "no_game_days_following") == [(D(2024, 1, 1), 2), (D(2024, 1, 4), 0)]
+
+
+def test_week_grid_lists_all_opponents_of_a_day(spark):
+    s = spark.createDataFrame([("A", 1, 0, "Y"), ("A", 1, 0, "X"), ("A", 1, 0, "X"), ("A", 1, 3, "Z")],
+                              "team_abbrev string, week int, day_of_week int, opponent_abbrev string")
+    r = reports.week_grid(s).first()
+    assert (r.Monday, r.Tuesday, r.Thursday, r.Games) == ("X,Y", None, "Z", 2)
+
+
+@pytest.mark.parametrize("window_by", ["date", "day_of_year"])
+def test_no_as_of_means_today_in_the_east(spark, window_by):
+    east = spark.sql("SELECT to_date(from_utc_timestamp(current_timestamp(), 'America/New_York')) AS d").first().d
+    sched = spark.createDataFrame([("T", east + dt.timedelta(days=i)) for i in range(-1, 3)], "team_abbrev string, date date")
+    sched = sched.withColumn("day_of_year", F.dayofyear("date"))
+    got = sched.where(day_window(ReportParams(day_offset=(0, 1), window_by=window_by)))
+    assert rows(got, "date") == rows(sched.where(F.col("date").between(F.lit(east), F.date_add(F.lit(east), 1))
+                                                 & ((F.lit(window_by) == "date") | (F.col("day_of_year") >= F.dayofyear(F.lit(east))))), "date")
 
 
 def test_lookup_passthrough(spark):

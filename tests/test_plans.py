@@ -2,20 +2,23 @@
 
 import pytest
 
-from __spark_entry__ import queries
+from slate.plans.catalog import QUERIES
 from conftest import SF01
 from slate.plans import adapters
 
 PYTHON_OK = {"html_table_rows", "schedule_from_pages"}
+#: Reports and marts: the player side must stay where it is.
+TEAM_JOINS = ["player_schedule_mart", "window_aggregate", "horizon_detailed", "horizon_slim", "free_agent_report",
+              "rising_stars", "roster_report", "matchup_report", "matchup_totals"]
 
 
 def plan_text(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_no_nested_loop_or_cartesian_or_python(spark, key):
-    p = plan_text(queries()[key](spark, SF01))
+    p = plan_text(QUERIES[key](spark, SF01))
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
     if key not in PYTHON_OK:
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p
@@ -24,8 +27,59 @@ def test_no_nested_loop_or_cartesian_or_python(spark, key):
 def test_filters_and_pruning_reach_the_lineitem_scan(spark):
     p = plan_text(adapters.games(spark, SF01))
     scan = [line for line in p.splitlines() if "lineitem" in line and "FileScan" in line][0]
-    assert "PushedFilters: [IsNotNull(l_quantity), IsNotNull(l_shipdate), GreaterThanOrEqual(l_quantity,46.0)" in scan
-    assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_quantity:double,l_shipdate:timestamp_ntz>" in scan
+    assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate,1997-10-01T00:00)" in scan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_shipdate:timestamp_ntz>" in scan
+
+
+def final_plan(df) -> str:
+    df._jdf.queryExecution().toRdd().count()
+    return plan_text(df).split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("key", TEAM_JOINS)
+def test_players_are_not_shuffled_on_teams(spark, key):
+    """With default settings: the team side is finished first and is the build side."""
+    p = final_plan(QUERIES[key](spark, SF01))
+    assert "hashpartitioning(team_abbrev" not in p and "SortMergeJoin [team_abbrev" not in p
+    joins = [line for line in p.splitlines() if "BroadcastHashJoin [team_abbrev" in line]
+    assert joins and all("BuildRight" in line for line in joins)
+
+
+@pytest.mark.parametrize("key", ["free_agent_report", "roster_report", "matchup_report"])
+def test_reports_scan_the_stored_player_table_pruned(spark, key):
+    p = plan_text(QUERIES[key](spark, SF01))
+    scans = [line for line in p.splitlines() if "FileScan parquet" in line and "projected_avg_points" in line]
+    assert len(scans) == 2 and "Scan ExistingRDD" not in p
+    assert sum("avg_last_7" not in line for line in scans) == 1 and all("lineup_slot" not in line for line in scans)
+
+
+def test_reports_of_a_session_share_the_player_table(spark):
+    found = [{f for f in QUERIES[key](spark, SF01).inputFiles() if "slate-player-" in f} for key in ("free_agent_report", "roster_report")]
+    assert found[0] and found[0] == found[1]
+
+
+def test_date_range_scan_prunes_the_stored_mart(spark):
+    p = plan_text(QUERIES["date_range_scan"](spark, SF01))
+    assert "PartitionFilters: [week" in p
+
+
+def test_small_upsert_does_not_shuffle_the_target(spark):
+    from pyspark.sql import functions as F
+
+    from slate.operators.dedup import replace_keys
+    from slate.session import store
+
+    target = store(spark.range(1000).select("id", F.lit("old").alias("v")), "target")
+    batch = store(spark.range(5).select("id", F.lit("new").alias("v")), "batch")
+    df = replace_keys(target, batch, F.broadcast(batch.select("id")), ["id"])
+    p = final_plan(df)
+    assert "Exchange hashpartitioning" not in p and "Sort [" not in p
+    assert df.where("v = 'new'").count() == 5 and df.count() == 1000
+
+
+def test_no_game_is_dropped(spark):
+    sf = "/root/testdata/sf0.1"
+    assert adapters.schedule(spark, sf).count() == 2 * adapters.games(spark, sf).count()
 
 
 def test_pivot_runs_without_value_discovery_job(spark):
@@ -33,7 +87,7 @@ def test_pivot_runs_without_value_discovery_job(spark):
     sc = spark.sparkContext
     tracker = sc.statusTracker()
     before = len(tracker.getJobIdsForGroup(None))
-    queries()["week_grid"](spark, SF01)
+    QUERIES["week_grid"](spark, SF01)
     assert len(tracker.getJobIdsForGroup(None)) == before
 
 
@@ -47,16 +101,17 @@ SKEW_CONF = {
 }
 
 
-def test_hot_team_is_split_when_the_mart_join_shuffles(spark):
+def test_hot_team_is_split_when_the_mart_join_shuffles(spark, monkeypatch):
     """One team holds a third of all players and nothing is broadcast (the
-    schedule side past the threshold): the player x game join is a sort-merge
-    join and AQE splits the hot team's partition over several tasks.  The
+    schedule side past the threshold): the player x game join is salted, and AQE
+    splits what is still uneven.  The
     result equals the brute-force count (every player x each of the team's
     games).  Thresholds are scaled down to the fixture's size."""
     import datetime as dt
 
     from pyspark.sql import functions as F
 
+    from slate.operators import joins
     from slate.plans import reports
 
     n, days = 30000, 30
@@ -78,6 +133,7 @@ def test_hot_team_is_split_when_the_mart_join_shuffles(spark):
     try:
         for k, v in SKEW_CONF.items():
             spark.conf.set(k, v)
+        monkeypatch.setattr(reports, "join_small", lambda a, b, on: joins.salted_join(a, b, [on], salts=4))
         mart = reports.player_schedule_mart(players, sched)
         agg = mart.groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum("player_id").alias("s"))
         got = agg.collect()[0]
@@ -114,7 +170,7 @@ def test_orders_are_pruned_by_a_runtime_bloom_filter_before_the_game_join(spark)
                 spark.conf.set(k, v)
     orders_filter = [line for line in plan.splitlines() if "o_orderkey" in line and "might_contain" in line]
     assert orders_filter and "bloom_filter_agg(xxhash64(l_orderkey" in plan
-    assert n == 494
+    assert n == 4781
 
 
 def test_player_snapshots_read_lineitem_once_and_equal_single_snapshots(spark):

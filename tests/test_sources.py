@@ -44,6 +44,14 @@ def test_parse_table_nested_and_no_thead():
     assert parse_table(html) == [{"A": "1", "B": "2"}]
 
 
+def test_parse_table_without_end_tags_and_with_spans():
+    loose = "<table><tr><th>A<th>B<tr><td>1<td>2<tr><td>3<td>4</table>"
+    assert parse_table(loose) == [{"A": "1", "B": "2"}, {"A": "3", "B": "4"}]
+    spans = ("<table><thead><tr><th>A</th><th>B</th><th>C</th></tr></thead><tbody>"
+             "<tr><td colspan=2>x</td><td rowspan='2'>y</td></tr><tr><td>1</td><td>2</td></tr><tr><td>3<td>4<td>5</table>")
+    assert parse_table(spans) == [{"A": "x", "B": "x", "C": "y"}, {"A": "1", "B": "2", "C": "y"}, {"A": "3", "B": "4", "C": "5"}]
+
+
 def _pages(spark):
     return spark.createDataFrame([(1, "u/october", OCT), (2, "u/november", NOV), (3, "u/december", "<p>empty</p>")],
                                  "page_id long, url string, html string")
