@@ -47,6 +47,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, whatever their names."""
+    return F.struct(*(df[f"`{c}`"].alias(c) for c in df.columns))
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slate.llm.common import fresh, held_out
+from slate.llm.common import fresh, held_out, whole_row
 
 #: Bound of the training sample: about so many rows of each language, drawn by a hash of id and text.
 ROWS_PER_LANGUAGE = 600
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     found = fresh(docs, "found")
     return docs.withColumn(found, classify(F.col("text").cast("binary"))).select(
-        *(docs[c] for c in docs.columns), F.col(f"{found}.lang_pred").alias("lang_pred"), F.col(f"{found}.score").alias("score"))
+        *(docs[f"`{c}`"] for c in docs.columns), F.col(f"{found}.lang_pred").alias("lang_pred"), F.col(f"{found}.score").alias("score"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -201,5 +201,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """``docs`` without the rows whose language cannot be told."""
     model = train(docs)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].alias("text"))
+    rows = docs.select(whole_row(docs).alias("row"), docs["text"].alias("text"))
     return predict(rows, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slate.llm.common import SPACE, stored
+from slate.llm.common import SPACE, stored, whole_row
 
 DIMENSIONS = ("source", "lang", "topic")
 FLATTEN = 0.7
@@ -133,6 +133,6 @@ def mixture(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, bud
 def sample(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
     """The rows of ``docs`` that ``mixture`` samples, without a shuffle of texts."""
     cells = cell_probabilities(stored(measured(docs), "tokens"), targets, budget)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"], docs["source"], docs["lang"],
+    rows = docs.select(whole_row(docs).alias("row"), docs["doc_id"], docs["source"], docs["lang"],
                        topic(docs["text"]).alias("topic"), F.xxhash64(docs["text"]).alias("text_hash"))
     return rows.join(cells, _same_cell(), "left").where(_drawn()).select("row.*")

@@ -33,6 +33,7 @@ TOKEN = r"(?<![A-Za-z0-9@._%+/-])[A-Za-z@._%+/-]*+[0-9][A-Za-z0-9@._%+/-]*+"
 #: Texts without this cannot match; saves the search.
 GATES = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 ROUNDS = 3
+BLOCK = 256  # matches that are placed in a text at a time
 CONFIDENT, LEAST_SEEDS, LEAST_LENGTH = 0.8, 3, 6
 
 
@@ -41,19 +42,29 @@ def _matches(text: Column, pattern: str) -> Column:
     pieces = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(60)).alias("tail")))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def placed(both: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string,before:string>>").alias("out"))
+    def length(x: Column) -> Column:
+        return x["p"]["n"] + F.length(x["f"])
 
-        def add(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + x["p"]["n"]
-            end = begin + F.length(x["f"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
-                begin.alias("start"), end.alias("end"), x["f"].alias("found"), x["p"]["tail"].alias("before")))).alias("out"))
+    def block(both: Column, i: Column) -> Column:
+        return F.slice(both, i * BLOCK + 1, F.lit(BLOCK))
 
-        return F.aggregate(both, start, add)["out"]
+    def add(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + x["p"]["n"]
+        end = begin + F.length(x["f"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
+            begin.alias("start"), end.alias("end"), x["f"].alias("found"), x["p"]["tail"].alias("before")))).alias("out"))
 
-    return placed(F.zip_with(found, F.slice(pieces, F.lit(1), F.greatest(F.size(found), F.lit(1))),
-                             lambda f, p: F.struct(f.alias("f"), p.alias("p"))))
+    def placed(both: Column) -> Column:
+        """Running sums by blocks: an array grows by at most a block at a time, so long texts stay linear."""
+        blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(both) - 1, F.lit(0)) / BLOCK).cast("int"))
+        sums = F.transform(blocks, lambda i: F.aggregate(block(both, i), F.lit(0), lambda a, x: a + length(x)))
+        starts = let(sums, lambda s: F.aggregate(s, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
+        none = F.array().cast("array<struct<start:int,end:int,found:string,before:string>>")
+        return let(starts, lambda at: F.flatten(F.transform(blocks, lambda i: F.aggregate(
+            block(both, i), F.struct(F.get(at, i).alias("at"), none.alias("out")), add)["out"])))
+
+    pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.greatest(F.size(found), F.lit(1))), lambda f, p: F.struct(f.alias("f"), p.alias("p")))
+    return let(pairs, placed)
 
 
 def _digits(found: Column) -> Column:
