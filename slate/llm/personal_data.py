@@ -34,12 +34,16 @@ TOKEN = r"(?<![A-Za-z0-9@._%+/-])[A-Za-z@._%+/-]*+[0-9][A-Za-z0-9@._%+/-]*+"
 GATES = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 ROUNDS = 3
 BLOCK = 256  # matches that are placed in a text at a time
+BEFORE = 60  # characters ahead of a match that its context is read from
 CONFIDENT, LEAST_SEEDS, LEAST_LENGTH = 0.8, 3, 6
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, found, before) of all matches, in code points; before: up to 60 characters ahead of it."""
-    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(60)).alias("tail")))
+    """Array of (start, end, found, before) of all matches, in code points; before: up to ``BEFORE`` characters of the text ahead of it."""
+    def last(text: Column) -> Column:
+        return F.right(text, F.lit(BEFORE))
+
+    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("n"), last(p).alias("tail")))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def length(x: Column) -> Column:
@@ -51,8 +55,14 @@ def _matches(text: Column, pattern: str) -> Column:
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["p"]["n"]
         end = begin + F.length(x["f"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
-            begin.alias("start"), end.alias("end"), x["f"].alias("found"), x["p"]["tail"].alias("before")))).alias("out"))
+        before = last(F.concat(acc["tail"], x["p"]["tail"]))
+        return F.struct(end.alias("at"), last(F.concat(before, x["f"])).alias("tail"), F.concat(acc["out"], F.array(F.struct(
+            begin.alias("start"), end.alias("end"), x["f"].alias("found"), before.alias("before")))).alias("out"))
+
+    def tail(both: Column, i: Column) -> Column:
+        """The text ahead of a block; no match is empty, so the last ``BEFORE`` matches hold enough of it."""
+        near = F.slice(both, F.greatest(i * BLOCK - BEFORE, F.lit(0)) + 1, F.least(i * BLOCK, F.lit(BEFORE)))
+        return last(F.array_join(F.transform(near, lambda x: F.concat(x["p"]["tail"], x["f"])), ""))
 
     def placed(both: Column) -> Column:
         """Running sums by blocks: an array grows by at most a block at a time, so long texts stay linear."""
@@ -61,7 +71,7 @@ def _matches(text: Column, pattern: str) -> Column:
         starts = let(sums, lambda s: F.aggregate(s, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
         none = F.array().cast("array<struct<start:int,end:int,found:string,before:string>>")
         return let(starts, lambda at: F.flatten(F.transform(blocks, lambda i: F.aggregate(
-            block(both, i), F.struct(F.get(at, i).alias("at"), none.alias("out")), add)["out"])))
+            block(both, i), F.struct(F.get(at, i).alias("at"), tail(both, i).alias("tail"), none.alias("out")), add)["out"])))
 
     pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.greatest(F.size(found), F.lit(1))), lambda f, p: F.struct(f.alias("f"), p.alias("p")))
     return let(pairs, placed)
@@ -103,11 +113,16 @@ def _spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(of(k) for k in PATTERNS)))
 
 
+def _context(before: Column) -> Column:
+    """The two words before a token, digits folded to 9."""
+    return F.regexp_replace(F.regexp_extract(F.btrim(F.lower(before), F.lit(" \t\n\x0b\f\r")), r"(\S*\s*\S*?)[\s\"'(\[<]*$", 1), "[0-9]+", "9")
+
+
 def _instances(text: Column, spans: Column) -> Column:
     """Tokens with a digit: start, end, instance, pattern, and whether they lie in a seed entity."""
     tokens = F.transform(_matches(text, TOKEN), lambda m: let(F.rtrim(m["found"], F.lit("._%+/-@")), lambda t: F.struct(
         m["start"].alias("start"), (m["start"] + F.length(t)).alias("end"), t.alias("instance"),
-        F.regexp_replace(F.regexp_extract(F.lower(m["before"]), r"(\S*\s*\S*?)[\s\"'(\[<]*$", 1), "[0-9]+", "9").alias("pattern"))))
+        _context(m["before"]).alias("pattern"))))
     return F.when(text.rlike("[0-9]"), F.transform(
         F.filter(tokens, lambda t: t["end"] > t["start"]),
         lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["instance"].alias("instance"), t["pattern"].alias("pattern"),

@@ -255,6 +255,20 @@ def test_contexts_discover_unseen_identifiers(spark, empty):
     assert personal_data.report(empty).count() == 0
 
 
+def test_contexts_reach_over_numbers_and_lists(spark):
+    rows = [(i, f"{words(random.Random(i), 6)} agent {i} user{i}@mail.example end") for i in range(8)]
+    rows += [(10 + i, f"{words(random.Random(i), 6)} staff ids {2000 + i} name{i}@mail.example XY-{i}00000 other{i}@mail.example") for i in range(8)]
+    rows += [(50, "agent 7 agent-00719"), (51, "staff ids 2041 AB-771903 XY-771904 AB-771905"), (52, "7 agent-00719"), (53, "in 1987654 1987655 bricks")]
+    rows += [(60, "x 1 " * 300 + "agent 7 agent-00720")]  # the context lies in an earlier block of matches
+    got = {r.doc_id: r.spans for r in personal_data.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == "context:8:19" and got[60] == "context:1208:1219"
+    assert "context:15:24" in got[51].split(",")
+    assert got[53] == ""
+    texts = spark.createDataFrame([("é 1 22 x " * 400,), ("7 " * 900,), ("a 1" + "9" * 100 + " 5",)], "text string")
+    for r in texts.select("text", personal_data._matches(F.col("text"), personal_data.TOKEN).alias("m")).collect():
+        assert r.m and all(r.text[m.start:m.end] == m.found and m.before == r.text[max(0, m.start - 60):m.start] for m in r.m)
+
+
 def test_contamination(spark, docs, corpus, empty):
     rng = random.Random(11)
     text = {r[0]: r[1] for r in corpus}
