@@ -3,8 +3,10 @@
 1. Four patterns (email, ip, card, phone) find the seed entities.  Each is a
    form of the stated pattern that cannot backtrack, with the same matches.
    Offsets come from the lengths of the texts between matches.
-2. Every token with a digit is an instance; its pattern is the two words before
-   it (digits folded to 9).  Instances that lie in a seed entity score 1.
+2. Every seed entity is an instance, whatever its characters, and so is every
+   other token that touches none and has a digit or looks like an address (a
+   letter after ``@``, or letters joined by a dot or underscore).  An instance's
+   pattern is the two words before it (digits folded to 9).  Seeds score 1.
 3. Spark scores the pattern-instance graph in rounds: a pattern's confidence is
    the mean score of its distinct instances, if at least ``LEAST_SEEDS`` of them
    are seeds; an instance that is no seed scores one minus the chance that all
@@ -29,8 +31,10 @@ PATTERNS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<![A-Za-z0-9@._%+/-])[A-Za-z@._%+/-]*+[0-9][A-Za-z0-9@._%+/-]*+"
+TOKEN = (r"(?<![A-Za-z0-9@._%+/-])(?=[A-Za-z@._%+/-]*+[0-9]|[A-Za-z@._%+/-]*(?:@|[A-Za-z][._])[A-Za-z])"
+         r"[A-Za-z0-9@._%+/-]++")
 #: Texts without this cannot match; saves the search.
+HAS_TOKEN = r"[0-9]|@[A-Za-z]|[A-Za-z][._][A-Za-z]"
 GATES = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 ROUNDS = 3
 BLOCK = 256  # matches that are placed in a text at a time
@@ -73,7 +77,7 @@ def _matches(text: Column, pattern: str) -> Column:
         return let(starts, lambda at: F.flatten(F.transform(blocks, lambda i: F.aggregate(
             block(both, i), F.struct(F.get(at, i).alias("at"), tail(both, i).alias("tail"), none.alias("out")), add)["out"])))
 
-    pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.greatest(F.size(found), F.lit(1))), lambda f, p: F.struct(f.alias("f"), p.alias("p")))
+    pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda f, p: F.struct(f.alias("f"), p.alias("p")))
     return let(pairs, placed)
 
 
@@ -102,37 +106,42 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column) -> Column:
-    """Sorted array of (start, kind number, end) by the fixed patterns."""
+def _context(before: Column) -> Column:
+    """The two words before a token, digits folded to 9."""
+    return F.regexp_replace(F.regexp_extract(F.btrim(F.lower(before), F.lit(" \t\n\x0b\f\r")), r"(\S*\s*\S*?)[\s\"'(\[<]*$", 1), "[0-9]+", "9")
+
+
+def _seeds(text: Column) -> Column:
+    """Sorted array of (start, kind number, end, instance, pattern) by the fixed patterns."""
     def of(kind: str) -> Column:
-        none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-        found = F.transform(F.filter(_matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["found"])),
-                            lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
+        none = F.array().cast("array<struct<start:int,kind:int,end:int,instance:string,pattern:string>>")
+        found = F.transform(F.filter(_matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["found"])), lambda m: F.struct(
+            m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"),
+            m["found"].alias("instance"), _context(m["before"]).alias("pattern")))
         return F.when(text.rlike(GATES[kind]), found).otherwise(none)
 
     return F.sort_array(F.concat(*(of(k) for k in PATTERNS)))
 
 
-def _context(before: Column) -> Column:
-    """The two words before a token, digits folded to 9."""
-    return F.regexp_replace(F.regexp_extract(F.btrim(F.lower(before), F.lit(" \t\n\x0b\f\r")), r"(\S*\s*\S*?)[\s\"'(\[<]*$", 1), "[0-9]+", "9")
-
+def _instances(text: Column, seeds: Column) -> Column:
+    """Seeds, and the tokens that touch none: start, end, instance, pattern, and whether it is a seed."""
+    def instance(x: Column, seed: bool) -> Column:
+        return F.struct(*(x[c].alias(c) for c in ("start", "end", "instance", "pattern")), F.lit(seed).alias("seed"))
 
-def _instances(text: Column, spans: Column) -> Column:
-    """Tokens with a digit: start, end, instance, pattern, and whether they lie in a seed entity."""
+    none = F.array().cast("array<struct<start:int,end:int,instance:string,pattern:string,seed:boolean>>")
     tokens = F.transform(_matches(text, TOKEN), lambda m: let(F.rtrim(m["found"], F.lit("._%+/-@")), lambda t: F.struct(
         m["start"].alias("start"), (m["start"] + F.length(t)).alias("end"), t.alias("instance"),
         _context(m["before"]).alias("pattern"))))
-    return F.when(text.rlike("[0-9]"), F.transform(
-        F.filter(tokens, lambda t: t["end"] > t["start"]),
-        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["instance"].alias("instance"), t["pattern"].alias("pattern"),
-                           F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])).alias("seed"))))
+    others = F.filter(tokens, lambda t: (t["end"] > t["start"]) & ~F.exists(seeds, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return F.concat(F.transform(seeds, lambda s: instance(s, True)),
+                    F.when(text.rlike(HAS_TOKEN), F.transform(others, lambda t: instance(t, False))).otherwise(none))
 
 
 def entities(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, spans (fixed patterns) and instances, for each row of ``docs``; written to the shared folder."""
-    both = let(F.coalesce(F.col("text"), F.lit("")), lambda t: let(_spans(t), lambda s: F.struct(
-        s.alias("spans"), _instances(t, s).alias("instances"))))
+    both = let(F.coalesce(F.col("text"), F.lit("")), lambda t: let(_seeds(t), lambda s: F.struct(
+        F.transform(s, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "kind", "end")))).alias("spans"),
+        _instances(t, s).alias("instances"))))
     return stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), both.alias("b")).select(
         "doc_id", "text_hash", "b.spans", "b.instances"), "entities")
 

@@ -269,6 +269,18 @@ def test_contexts_reach_over_numbers_and_lists(spark):
         assert r.m and all(r.text[m.start:m.end] == m.found and m.before == r.text[max(0, m.start - 60):m.start] for m in r.m)
 
 
+def test_seeds_without_digits_induce_contexts(spark):
+    names = ["anna.berg", "bo", "cy_d", "dee", "eva.f", "flo", "gus", "hal"]
+    rows = [(i, f"{words(random.Random(i), 6)} write to {n}@mail.org end") for i, n in enumerate(names)]
+    rows += [(50, "please write to agent-00719 at once"), (51, "write to joe.doe@localhost, or not"), (52, "write to joe_doe again"), (53, "write to nobody at joe.doe")]
+    got = {r.doc_id: r.spans for r in personal_data.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (50, 51, 52, 53)] == ["context:16:27", "context:9:26", "context:9:16", ""]
+    # a card is one instance with the words before it, not four that follow each other
+    found = personal_data.entities(spark.createDataFrame([(1, "my card 4111 1111 1111 1111 and e.g. x9")], "doc_id long, text string")).first()
+    assert [(i.instance, i.pattern, i.seed) for i in found.instances] == [
+        ("4111 1111 1111 1111", "my card", True), ("e.g", "9 and", False), ("x9", "and e.g.", False)]
+
+
 def test_contamination(spark, docs, corpus, empty):
     rng = random.Random(11)
     text = {r[0]: r[1] for r in corpus}
