@@ -12,12 +12,17 @@
 4. A document is drawn if a hash of its id and text, as a number in [0, 1), is
    below its cell's probability.
 
-Targets default to the corpus's own shares, flattened by a power below 1: large
-groups give up tokens to small ones.
+Targets default to the marginals of one table: the cells' tokens, flattened by a
+power below 1 (large cells give up tokens to small ones) and raked to the targets
+that are given.  As marginals of one table they agree with each other, so the
+sweeps can meet them without driving a cell to 0.  Given targets may still
+contradict each other; what the sweeps do not meet is reported as a warning.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +32,8 @@ DIMENSIONS = ("source", "lang", "topic")
 FLATTEN = 0.7
 BUDGET = 0.8
 SWEEPS, TOLERANCE = 40, 1e-6
+#: A share further from its target than this after the sweeps is reported.
+MISSED = 1e-3
 #: Cells that may be sent to all executors; more are joined by shuffle.
 BROADCAST_CELLS = 200_000
 
@@ -51,30 +58,12 @@ def measured(docs: DataFrame) -> DataFrame:
                        F.xxhash64("text").alias("text_hash"))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight``.
-
-    ``targets`` may give, per dimension, a frame (that dimension's column,
-    target): shares of all tokens.  Values without a target keep weight 0.
-    """
-    out = cells.withColumn("weight", F.lit(1.0))
-    for d in DIMENSIONS:
-        if targets and d in targets:
-            t = targets[d].select(F.col(d).alias("_v"), F.col("target").alias(f"{d}_target"))
-            out = out.join(t, F.col(d).eqNullSafe(F.col("_v")), "left").drop("_v").fillna(0.0, [f"{d}_target"])
-        else:
-            mine = F.sum("tokens").over(Window.partitionBy(d)).cast("double")
-            out = out.withColumn(f"{d}_target", F.pow(mine, F.lit(flatten)))
-            # the value's flattened mass, counted once per value
-            once = (F.row_number().over(Window.partitionBy(d).orderBy(*DIMENSIONS)) == 1).cast("double")
-            out = out.withColumn("_once", once)
-            total = out.agg(F.sum(F.col("_once") * F.col(f"{d}_target"))).first()[0] or 1.0
-            out = out.withColumn(f"{d}_target", F.round(F.col(f"{d}_target") / F.lit(total), 12)).drop("_once")
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    out = stored(out, "cells")
-    for _ in range(SWEEPS):
+def _swept(cells: DataFrame, dimensions: list[str], total: float) -> DataFrame:
+    """``cells`` (with a target column for each of ``dimensions``), its ``weight`` raked to the targets."""
+    out = stored(cells, "cells")
+    for _ in range(SWEEPS if dimensions else 0):
         before = out
-        for d in DIMENSIONS:
+        for d in dimensions:
             mass = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(d))
             out = out.withColumn("weight", F.when(mass > 0, F.round(F.col("weight") * F.col(f"{d}_target") * F.lit(total) / mass, 10)).otherwise(0.0))
         out = stored(out, "cells")
@@ -83,6 +72,48 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten
             [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMENSIONS])
         if (moved.agg(F.max(F.abs(F.col("now") - F.col("was")))).first()[0] or 0.0) <= TOLERANCE:
             break
+    return out
+
+
+def _missed(cells: DataFrame, dimensions: list[str]) -> list[tuple[str, float]]:
+    """Dimensions of which a value's weighted share is not its target, and by how much at most."""
+    mass = F.sum(F.col("weight") * F.col("tokens"))
+    out = []
+    for d in dimensions:
+        shares = cells.groupBy(d).agg(mass.alias("mass"), F.max(f"{d}_target").alias("target"))
+        sums = shares.agg(F.sum("mass"), F.sum("target")).first()
+        if sums[0] and sums[1]:
+            gap = shares.agg(F.max(F.abs(F.col("mass") / F.lit(sums[0]) - F.col("target") / F.lit(sums[1])))).first()[0]
+        else:
+            gap = 1.0 if sums[1] else 0.0
+        if gap > MISSED:
+            out.append((d, gap))
+    return out
+
+
+def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with ``weight``.
+
+    ``targets`` may give, per dimension, a frame (that dimension's column,
+    target): shares of all tokens.  Values without a target keep weight 0.
+    Targets that the sweeps do not meet, as they contradict each other, give a
+    ``RuntimeWarning`` with the dimensions and the largest gap.
+    """
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    given = [d for d in DIMENSIONS if targets and d in targets]
+    flat = cells.withColumn("weight", F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(flatten - 1))).otherwise(0.0))
+    for d in given:
+        t = targets[d].select(F.col(d).alias("_v"), F.col("target").alias(f"{d}_target"))
+        flat = flat.join(t, F.col(d).eqNullSafe(F.col("_v")), "left").drop("_v").fillna(0.0, [f"{d}_target"])
+    out = _swept(flat, given, total)
+    mass = F.col("weight") * F.col("tokens")
+    all_mass = out.agg(F.sum(mass)).first()[0] or 1.0
+    for d in DIMENSIONS:
+        if d not in given:
+            out = out.withColumn(f"{d}_target", F.round(F.sum(mass).over(Window.partitionBy(d)) / F.lit(all_mass), 12))
+    out = _swept(out.withColumn("weight", F.lit(1.0)), list(DIMENSIONS), total)
+    if missed := _missed(out, list(DIMENSIONS)):
+        warnings.warn("mixing targets not met: " + ", ".join(f"{d} (by {gap:.4f})" for d, gap in missed), RuntimeWarning, stacklevel=2)
     return out.select(*DIMENSIONS, "tokens", "docs", "weight")
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import warnings
 
 import brute
 import pytest
@@ -220,6 +221,25 @@ def test_raking_meets_targets(spark, empty):
     assert mixing.mixture(empty).count() == 0 and mixing.sample(empty).columns == empty.columns
 
 
+@pytest.mark.parametrize("others", [1, 2])
+def test_hot_source_of_one_language_keeps_its_language_elsewhere(spark, others, monkeypatch):
+    cells = [("A", "l0", "prose", 10_000 * 20, 1)]
+    cells += [(f"s{j}", f"l{i}", "prose", 20_000 // others, 1) for i in range(20) for j in range(others)]
+    cells = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long, docs long")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)  # all targets are met
+        out = mixing.with_probability(mixing.raked(cells), 0.8).collect()
+    probability = {(r.source, r.lang): r.probability for r in out}
+    assert abs(sum(r.tokens * r.probability for r in out) - 0.8 * 600_000) < 1
+    assert min(probability.values()) > 0.3 and probability["A", "l0"] == min(probability.values())
+    # given targets that no weights can meet are reported: all of A is l0
+    source = spark.createDataFrame([("A", 0.5)] + [(f"s{j}", 0.5 / others) for j in range(others)], "source string, target double")
+    lang = spark.createDataFrame([(f"l{i}", 0.05) for i in range(20)], "lang string, target double")
+    monkeypatch.setattr(mixing, "SWEEPS", 5)
+    with pytest.warns(RuntimeWarning, match="not met"):
+        mixing.raked(cells, {"source": source, "lang": lang})
+
+
 def test_language_identification(spark, docs, empty):
     rng = random.Random(8)
     stems = {"xx": "kalomunte", "yy": "strufpiqd", "zz": "éèàçùôîê"}
