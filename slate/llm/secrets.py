@@ -221,13 +221,19 @@ def tagged_spans(text: str, weights: np.ndarray, moves: np.ndarray) -> list[tupl
 
 
 def train(docs: DataFrame, sample_chains: int = SAMPLE_CHAINS) -> tuple[np.ndarray, np.ndarray]:
-    """A field fitted to at most ``sample_chains`` chains with a secret and as many without."""
+    """A field fitted to at most ``sample_chains`` distinct chains with a secret and as many without.
+
+    Copies are dropped before the bound: one copied text cannot fill the sample.
+    """
     rows = stored(docs.select("text").mapInArrow(
         _examples, "seen long, secret boolean, tags array<int>, sizes array<int>, features array<int>"), "chains")
     drawn = []
     for secret in (True, False):
-        part = rows.where(F.col("secret") == secret).orderBy("seen", "tags", "features").limit(sample_chains)
-        drawn += part.collect()
+        part = rows.where(F.col("secret") == secret)
+        # so many distinct hashes are enough; only their rows move whole
+        most = part.select("seen").distinct().orderBy("seen").limit(sample_chains).agg(F.max("seen")).first()[0]
+        part = part.where(F.col("seen") <= F.lit(most)).dropDuplicates(["seen", "tags", "features"])
+        drawn += part.orderBy("seen", "tags", "features").limit(sample_chains).collect()
     return fit([(r.tags, np.split(np.array(r.features), np.cumsum(r.sizes)[:-1])) for r in drawn])
 
 

@@ -148,6 +148,15 @@ def test_secret_field_finds_what_the_patterns_miss(spark, empty):
     assert secrets.report(empty).count() == 0
 
 
+def test_secret_sample_holds_distinct_chains(spark, monkeypatch):
+    rows = [(i, 'copied words here token = "a1B2c3D4e5F6g7H8" more words') for i in range(400)]
+    rows += [(1000 + i, f'{words(random.Random(i), 8)} token = "k{i}B2c3D4e5F6g7H8" {words(random.Random(99 + i), 6)}') for i in range(40)]
+    drawn = []
+    monkeypatch.setattr(secrets, "fit", lambda chains: drawn.extend(chains))
+    secrets.train(spark.createDataFrame(rows, "doc_id long, text string"), 50)
+    assert len(drawn) == len({(tuple(tags), tuple(map(tuple, fs))) for tags, fs in drawn}) == 41
+
+
 def test_viterbi_equals_all_paths():
     import itertools
 
