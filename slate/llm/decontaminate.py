@@ -105,8 +105,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     place = start - F.col("first") + 1
     same = (F.col("length") == F.col("length_")) & (F.col("hash") == F.col("hash_")) & (place >= 1) & (
         F.get("around", place - 1) == F.col("head")) & (F.col("tail").isNull() | (F.get("around", place - 1 + GRAM) == F.col("tail")))
-    rows = rows.join(windows, same, "left").where(F.col("item_id").isNotNull() | (F.col("length") == 0))
-    span = F.when(F.col("item_id").isNotNull(), F.struct((start - 1).alias("start"), (start - 1 + F.col("length")).alias("end")))
+    rows = rows.join(windows, same, "left").where(F.col("length_").isNotNull() | (F.col("length") == 0))
+    span = F.when(F.col("length_").isNotNull(), F.struct((start - 1).alias("start"), (start - 1 + F.col("length")).alias("end")))
     return rows.groupBy("doc_id", "text_hash").agg(
         F.max("n_words").alias("n_words"), F.sort_array(F.collect_set(span)).alias("spans"),
         F.collect_set("item_id").alias("items"))
@@ -116,7 +116,8 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, one row per distinct (doc_id, text).
 
     Null and empty texts have no words and are clean; a null item has no
-    window; an item_id that repeats counts once, a null item_id not at all.
+    window; an item_id that repeats counts once.  Windows of items without an id are hits
+    like any other; they are in no list of items.
     """
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")),

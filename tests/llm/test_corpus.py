@@ -328,6 +328,18 @@ def test_contamination(spark, docs, corpus, empty):
     assert not any(r.contaminated for r in decontaminate.decontamination_report(docs, bench.where("false")).collect())
 
 
+def test_items_without_an_id_count_in_hits_only(spark, docs, corpus):
+    text = {r[0]: r[1] for r in corpus}
+    items = [(1, text[3]), (3, "lone"), (None, text[9]), (None, " ".join(text[5].split()[:4])), (7, text[105])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(decontaminate.decontamination_report(docs, bench))
+    hits = brute.contamination([r[:2] for r in corpus], items)
+    named = brute.contamination([r[:2] for r in corpus], [i for i in items if i[0] is not None])
+    for i in text:
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["items_sha256"]) == (*hits[i][:2], *named[i][2:]), text[i]
+    assert got[9]["contaminated"] and 9 not in {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()}
+
+
 def test_shards(spark, docs, corpus, empty):
     got = sharding.assign_shards(docs).collect()
     assert sorted(r.doc_id for r in got) == [r[0] for r in corpus]
