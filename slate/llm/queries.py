@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slate.llm import decontaminate, language_id, minhash, mixing, personal_data, quality_net, quality_rules, secrets, sharding, substring_dedup
+from slate.llm import (decontaminate, fill_middle, hard_negatives, language_id, minhash, mixing, personal_data, quality_net,
+                       quality_rules, secrets, sharding, substring_dedup, token_files)
 from slate.llm.common import read
 from slate.llm.oracles import ORACLE_SQL
+from slate.session import scratch_path
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +55,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(read(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read(spark, sf_dir, "documents"), scratch_path(spark, "tokens"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_quality_rules": op2_quality_rules,
@@ -64,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_token_files": op12_token_files,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1,6 +1,7 @@
 """Plain Python versions of the operators' results, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -115,3 +116,36 @@ def contamination(docs, items, width=10):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def fill_in_middle(doc_id, text, rate=100, suffix_first=50, seed=7):
+    """n, form, prefix_chars, middle_chars, output"""
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    h = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[k:k + 8], 16) for k in (0, 8, 16, 24))
+    low, high = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    prefix, middle, suffix = ("".join(x) for x in (units[:low], units[low:high], units[high:]))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= rate:
+        return len(units), "plain", None, None, text
+    if h4 % 100 < suffix_first:
+        return len(units), "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return len(units), "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def hard_negatives(rows, every=50, positives=5, negatives=3, low=50, high=95):
+    """rows: (vec_id, label, vector) -> sorted rows of the result"""
+    kept = {}
+    for i, label, v in rows:
+        if i is None or label is None or v is None or not all(x is not None and math.isfinite(x) for x in v):
+            continue
+        kept[i, (label + 1) % 10 if i % 7 == 0 else label, tuple(math.floor(256 * x) for x in v)] = None
+    out = []
+    for a, label, u in kept:
+        if a % every:
+            continue
+        scored = sorted((-sum(p * q for p, q in zip(u, v, strict=False)), i, other == label) for i, other, v in kept if i != a)
+        for s, p, _ in [x for x in scored if x[2]][:positives]:
+            fits = [(n, t) for t, n, same in scored if not same and low * -s <= 100 * -t <= high * -s]
+            out += [(a, p, rank, n, -s, -t) for rank, (n, t) in enumerate(fits[:negatives], 1)]
+    return sorted(out)
