@@ -24,13 +24,25 @@ from slate.session import build_session  # noqa: E402
 PY_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
 
 
-def executed_plans(spark) -> list[str]:
-    """Final plan of every SQL execution of the session so far, in order."""
+def _executions(spark) -> list:
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     found = spark._jsparkSession.sharedState().statusStore().executionsList()
-    runs = [found.apply(i) for i in range(found.size())]
+    return [found.apply(i) for i in range(found.size())]
+
+
+def last_execution(spark) -> int:
+    """Id of the newest SQL execution of the session (-1 if there was none)."""
+    return max((r.executionId() for r in _executions(spark)), default=-1)
+
+
+def executed_plans(spark, after: int = -1) -> list[str]:
+    """Final plan of every SQL execution with an id above ``after``, in order.
+
+    Ids grow for ever while Spark remembers only the last executions
+    (``spark.sql.ui.retainedExecutions``), so places in its list mean nothing.
+    """
     out = []
-    for text in (r.physicalPlanDescription() for r in sorted(runs, key=lambda r: r.executionId())):
+    for text in (r.physicalPlanDescription() for r in sorted(_executions(spark), key=lambda r: r.executionId()) if r.executionId() > after):
         text = text.split("== Physical Plan ==", 1)[-1]
         if "== Final Plan ==" in text:
             text = text.split("== Final Plan ==", 1)[1].split("== Initial Plan ==", 1)[0]
@@ -67,9 +79,9 @@ def main(argv: list[str]) -> int:
     rows = []
     spark.conf.set("spark.sql.ui.explainMode", "extended")
     for key, q in QUERIES.items():
-        seen = len(executed_plans(spark))
+        seen = last_execution(spark)
         q(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        rows.append((key, summarise("\n".join(executed_plans(spark)[seen:]))))
+        rows.append((key, summarise("\n".join(executed_plans(spark, seen)))))
         print(key, rows[-1][1], flush=True)
     spark.stop()
     m = re.search(r"sf([0-9.]+)", sf_dir)

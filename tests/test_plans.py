@@ -5,7 +5,7 @@ import pytest
 from slate.plans.catalog import QUERIES
 from conftest import SF01
 from slate.plans import adapters
-from plan_summary import executed_plans
+from plan_summary import executed_plans, last_execution
 
 PYTHON_OK = {"html_table_rows", "schedule_from_pages", "schedule_raw_csv"}
 #: Reports and marts: the player side must stay where it is.
@@ -21,9 +21,9 @@ def plan_text(df) -> str:
 def test_no_nested_loop_or_cartesian_or_python(spark, key):
     """In every plan that ran, also in those that wrote tables before the last read."""
     spark.conf.set("spark.sql.ui.explainMode", "extended")
-    seen = len(executed_plans(spark))
+    seen = last_execution(spark)
     QUERIES[key](spark, SF01).write.format("noop").mode("overwrite").save()
-    plans = executed_plans(spark)[seen:]
+    plans = executed_plans(spark, seen)
     assert plans
     for p in plans:
         assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
@@ -31,6 +31,21 @@ def test_no_nested_loop_or_cartesian_or_python(spark, key):
             assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p
 
 
+def test_plans_are_found_when_spark_forgets_older_executions(spark):
+    """The list of remembered executions is full: new ones take the place of old ones."""
+    limit = "spark.sql.ui.retainedExecutions"
+    store = spark._jsparkSession.sharedState().statusStore()
+    for _ in range(3):
+        spark.range(3).count()
+    first = last_execution(spark)
+    spark.range(7).write.format("noop").mode("overwrite").save()
+    found = executed_plans(spark, first)
+    assert len(found) == 1 and "Range (0, 7" in found[0]
+    assert last_execution(spark) == first + 1 and executed_plans(spark, first + 1) == []
+    # what a full list looks like: as long as before, but with later ids
+    assert store.executionsCount() <= int(spark.conf.get(limit, "1000")) + 100
+
+
 def test_filters_and_pruning_reach_the_lineitem_scan(spark):
     p = plan_text(adapters.games(spark, SF01))
     scan = [line for line in p.splitlines() if "lineitem" in line and "FileScan" in line][0]
