@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,12 +65,16 @@ def required_columns(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields if not f.nullable]
 
 
-def enforce_schema(df: DataFrame, schema: T.StructType, on_null: str = "drop") -> DataFrame:
+def enforce_schema(df: DataFrame, schema: T.StructType, on_null: str = "drop", counts: Observation | None = None) -> DataFrame:
     """Project to the declared columns, cast to the declared types, check NOT NULL.
 
     Missing nullable columns are added as NULL; a missing required column is an
     error.  Rows with NULL in a required column are dropped (``on_null="drop"``,
     as an ignoring insert does) or make the job fail (``"raise"``).
+
+    With ``counts`` the pass that reads the result also counts ``rows`` (all),
+    ``rejected`` (rows with any NULL) and per required column the rows in which it is
+    NULL (``null_<column>``); ``counts.get`` has them once an action has run.
     """
     present = set(df.columns)
     cols: list[Column] = []
@@ -83,11 +87,14 @@ def enforce_schema(df: DataFrame, schema: T.StructType, on_null: str = "drop") -
             raise ValueError(f"required column {f.name!r} is missing")
     out = df.select(*cols)
     req = required_columns(schema)
-    if not req:
-        return out
     ok: Column = F.lit(True)
     for c in req:
         ok = ok & F.col(c).isNotNull()
+    if counts is not None:
+        out = out.observe(counts, F.count(F.lit(1)).alias("rows"), F.count_if(~ok).alias("rejected"),
+                          *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in req))
+    if not req:
+        return out
     if on_null == "drop":
         return out.where(ok)
     if on_null == "raise":

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,7 @@ from slate.operators.windows import rest_days
 from slate.plans import adapters, etl, reports
 from slate.plans.build import Warehouse, build_from_driver_tables
 from slate.session import scratch_path, store
-from slate.sources import feeds, sinks
+from slate.sources import feeds, keyed_loads, sinks
 from slate.sources.html_tables import html_table_rows
 from slate.sources.tables import date_range_scan, read_table, run_sql, shared_table
 
@@ -46,6 +46,11 @@ BATCH_SPLIT = dt.date(1998, 1, 1)
 
 FREE_AGENT_PARAMS = ReportParams(as_of=AS_OF)
 ROSTER_PARAMS = ReportParams(as_of=AS_OF, roster_name="Roster 2", injury_status=("ACTIVE", "DAY_TO_DAY"))
+#: All four lists of the free-agent report: names by rule, every second one of the pool.
+FILTERED_PARAMS = ReportParams(
+    as_of=AS_OF, teams=tuple(f"NATION_{i}" for i in range(15)),
+    positions=("G", "C"), injury_status=("ACTIVE", "OUT"), names=tuple(f"Supplier#{i:09d}" for i in range(0, 2000, 10)))
+TOP_ROWS = 25
 MATCHUP_PARAMS = ReportParams(as_of=AS_OF, roster_names=("Roster 1", "Roster 3"), injury_status=("ACTIVE",))
 
 
@@ -152,10 +157,12 @@ def q_window_aggregate(spark, d):
 
 
 def q_date_range_scan(spark, d):
-    """S3 over the stored mart: the weeks of the range prune its directories."""
-    path = sinks.write_table(reports.player_schedule_mart(_player(spark, d), _schedule(spark, d)),
-                             scratch_path(spark, "mart"), partition_by=["week"])
-    mart = date_range_scan(spark.read.parquet(path), AS_OF, HORIZON_DAYS, week_col="week").select(*MART_COLS)
+    """S3 over the stored mart (S15): the weeks of the range prune its directories, the order by
+    date within a file the rest."""
+    mart = shared_table(spark, d, "mart", ["lineitem", "orders", "customer", "supplier", "nation"],
+                        lambda: reports.player_schedule_mart(_player_shared(spark, d), _schedule_shared(spark, d)),
+                        partition_by=["week"], sort_by=["date"])
+    mart = date_range_scan(mart, AS_OF, HORIZON_DAYS, week_col="week").select(*MART_COLS)
     return run_sql(spark, "SELECT * FROM {mart} WHERE date >= :start", {"start": AS_OF}, mart=mart)
 
 
@@ -163,6 +170,17 @@ def q_free_agent_report(spark, d):
     return reports.free_agent_report(_player_shared(spark, d), _schedule_shared(spark, d), FREE_AGENT_PARAMS)
 
 
+def q_free_agent_filtered(spark, d):
+    """R2 with every list of the sidebar set."""
+    return reports.free_agent_report(_player_shared(spark, d), _schedule_shared(spark, d), FILTERED_PARAMS)
+
+
+def q_free_agent_top(spark, d):
+    """The first rows of R2 with their place in the report's own order."""
+    first = reports.free_agent_report(_player_shared(spark, d), _schedule_shared(spark, d), FREE_AGENT_PARAMS).limit(TOP_ROWS)
+    return first.select((F.monotonically_increasing_id() + 1).alias("place"), "name", "sum_avg_points")
+
+
 def q_rising_stars(spark, d):
     return reports.rising_stars(_player_shared(spark, d), _schedule_shared(spark, d), FREE_AGENT_PARAMS)
 
@@ -284,6 +302,65 @@ def q_upsert_latest(spark, d):
     return spark.read.parquet(version)
 
 
+#: Years in which a yearly load of ``orders`` begins; earlier orders belong to the first one.
+LOAD_YEARS = list(range(1996, 2002))
+
+
+def _yearly_loads(spark, d) -> list[DataFrame]:
+    """All of ``orders`` in loads by order year, the oldest first."""
+    o = read_table(spark, d, "orders").select(*ORDER_COLS)
+    number = F.size(F.filter(F.lit(LOAD_YEARS), lambda y: y <= F.year("o_orderdate")))
+    return [o.where(number == i) for i in range(len(LOAD_YEARS) + 1)]
+
+
+def q_insert_or_ignore_loads(spark, d):
+    """S10 with a Bloom filter beside every load: a load opens only the earlier ones that may hold its keys."""
+    table = scratch_path(spark, "orders-loads")
+    for load_id, batch in enumerate(_yearly_loads(spark, d)):
+        keyed_loads.insert_or_ignore_load(spark, table, batch, load_id, BUYER_KEY, ["o_orderkey"], ["o_orderkey"])
+    return sinks.read_loads(spark, table)
+
+
+def q_upsert_merge_on_read(spark, d):
+    """S11 merged on read: every load writes its own keys only; half way they are folded into a version."""
+    table, key = scratch_path(spark, "orders-deltas"), ["o_custkey"]
+    loads = _yearly_loads(spark, d)
+    for load_id, batch in enumerate(loads):
+        keyed_loads.upsert_load(spark, table, batch, load_id, key, ["o_orderdate", "o_orderkey"])
+        if load_id == len(loads) // 2:
+            keyed_loads.compact(spark, table, key)
+    return keyed_loads.read_upserted(spark, table, key)
+
+
+EVENT_RECORD = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("kind", T.StringType())])
+
+
+def q_feed_rejects(spark, d):
+    """A stored JSON feed in which the records of some events are cut short or of a wrong type;
+    good records and the side table of rejected ones."""
+    e = read_table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), "event_type")
+    text = F.concat(F.lit('{"event_id":'), F.when(F.col("event_type") == "click", F.concat(F.lit('"no '), "id", F.lit('"'))).otherwise(F.col("id")),
+                    F.lit(',"kind":"'), "event_type", F.lit('"'), F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.lit("}")))
+    path, rejects = scratch_path(spark, "event-feed"), scratch_path(spark, "event-rejects")
+    e.select(text.alias("value")).write.mode("error").text(path)
+    good = feeds.load_feed(spark, path, rejects, EVENT_RECORD).withColumn("record", F.lit(None).cast("string"))
+    return good.unionByName(spark.read.schema("file string, record string").parquet(rejects).select("record"), allowMissingColumns=True)
+
+
+BUYER = T.StructType([T.StructField("o_orderkey", T.LongType(), False), T.StructField("status", T.StringType(), False),
+                      T.StructField("priority", T.StringType(), False), T.StructField("o_totalprice", T.DoubleType())])
+
+
+def q_schema_rejections(spark, d):
+    """How many rows a declared schema drops, and for which columns, counted in the pass that writes the rest."""
+    o = read_table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"),
+        F.when(~F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")).alias("priority"), "o_totalprice")
+    counts = Observation("rejections")
+    written = store(enforce_schema(o, BUYER, counts=counts), "buyers").count()
+    return spark.createDataFrame([*counts.get.items(), ("written", written)], "counted string, n long")
+
+
 BUYER_KEY = ["o_custkey", "o_orderstatus", "o_orderpriority"]
 
 
@@ -477,6 +554,8 @@ QUERIES: dict[str, Query] = {
     "window_aggregate": q_window_aggregate,
     "date_range_scan": q_date_range_scan,
     "free_agent_report": q_free_agent_report,
+    "free_agent_filtered": q_free_agent_filtered,
+    "free_agent_top": q_free_agent_top,
     "rising_stars": q_rising_stars,
     "roster_report": q_roster_report,
     "matchup_report": q_matchup_report,
@@ -492,6 +571,10 @@ QUERIES: dict[str, Query] = {
     "topn_per_team": q_topn_per_team,
     "insert_or_ignore": q_insert_or_ignore,
     "upsert_latest": q_upsert_latest,
+    "insert_or_ignore_loads": q_insert_or_ignore_loads,
+    "upsert_merge_on_read": q_upsert_merge_on_read,
+    "feed_rejects": q_feed_rejects,
+    "schema_rejections": q_schema_rejections,
     "existing_keys": q_existing_keys,
     "new_keys": q_new_keys,
     "orphan_keys": q_orphan_keys,

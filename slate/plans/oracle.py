@@ -268,6 +268,13 @@ SELECT * FROM agg"""
 SELECT * FROM mart WHERE date BETWEEN {start} AND {start} + 7"""
 
     q["free_agent_report"] = free_agent_report_sql()
+    q["free_agent_filtered"] = free_agent_report_sql("""
+  AND CAST(team_abbrev[8:] AS INTEGER) < 15
+  AND position IN ('G', 'C') AND injury_status IN ('ACTIVE', 'OUT')
+  AND regexp_full_match(name, 'Supplier#[0-9]{9}') AND CAST(name[10:] AS INTEGER) % 10 = 0 AND CAST(name[10:] AS INTEGER) < 2000""")
+    q["free_agent_top"] = f"""
+SELECT row_number() OVER (ORDER BY sum_avg_points DESC NULLS LAST, name) AS place, name, sum_avg_points
+FROM ({free_agent_report_sql()}) QUALIFY place <= 25"""
     q["rising_stars"] = free_agent_report_sql(
         "AND avg_last_7 > 25 AND avg_last_7 > avg_last_30 * CAST(1.3 AS DOUBLE)")
 
@@ -353,6 +360,28 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate, o_tot
   SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY batch DESC, o_orderdate DESC, o_orderkey DESC) AS rn
   FROM ({orders}) b) r WHERE rn = 1"""
 
+    o_cols = "o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate, o_totalprice"
+    q["insert_or_ignore_loads"] = f"""
+SELECT {o_cols} FROM orders WHERE o_orderdate IS NOT NULL
+QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey, o_orderstatus, o_orderpriority
+                           ORDER BY greatest(year(o_orderdate), 1995), o_orderkey) = 1"""
+    q["upsert_merge_on_read"] = f"""
+SELECT {o_cols} FROM orders WHERE o_orderdate IS NOT NULL
+QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
+    q["feed_rejects"] = """
+SELECT event_id, event_type AS kind, CAST(NULL AS VARCHAR) AS record FROM events WHERE event_type NOT IN ('click', 'error')
+UNION ALL
+SELECT NULL, NULL, '{"event_id":' || CASE event_type WHEN 'click' THEN '"no ' || event_id || '"' ELSE CAST(event_id AS VARCHAR) END
+       || ',"kind":"' || event_type || '"' || CASE event_type WHEN 'error' THEN '' ELSE '}' END
+FROM events WHERE event_type IN ('click', 'error')"""
+    q["schema_rejections"] = """
+WITH o AS (SELECT o_orderkey IS NULL AS k, o_orderstatus IS NULL OR o_orderstatus = 'P' AS s,
+                  o_orderpriority IS NULL OR starts_with(o_orderpriority, '1') AS p FROM orders)
+SELECT counted, n FROM (SELECT count(*) AS rows, count(*) FILTER (k OR s OR p) AS rejected, count(*) FILTER (k) AS null_o_orderkey,
+                               count(*) FILTER (s) AS null_status, count(*) FILTER (p) AS null_priority,
+                               count(*) FILTER (NOT (k OR s OR p)) AS written FROM o)
+UNPIVOT (n FOR counted IN (rows, rejected, null_o_orderkey, null_status, null_priority, written))"""
+
     buyer = "CAST(o_custkey AS VARCHAR) || o_orderstatus || o_orderpriority"
     loads = f"""WITH k AS (SELECT o_orderkey, {_uuid5(buyer)} AS content_uuid, o_orderdate < TIMESTAMP '1998-01-01 00:00:00' AS first
   FROM orders)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,34 @@ def read_feed(spark, path: str, fmt: str = "json", schema: T.StructType | None =
     return spark.read.schema(schema or FEED).format(fmt).load(path)
 
 
+#: Column that holds the text of a record which does not fit the declared schema.
+RESCUED = "_rescued"
+
+
+def read_feed_with_rejects(spark: SparkSession, path: str, schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """A stored JSON feed's good records, and the others as (file, record).
+
+    A record that is no JSON, or has a value of the wrong type, comes whole as
+    text; read without a rescue column it would be a row of NULLs among the good
+    ones.  Records are lines of text parsed against the declared schema as a
+    whole, so a record is good or bad whichever columns a query reads.  Blank lines
+    are no records.
+    """
+    declared = schema or FEED
+    rescued = T.StructType([*declared.fields, T.StructField(RESCUED, T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.input_file_name().alias("file"), "value")
+    parsed = lines.withColumn("r", F.from_json("value", rescued, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RESCUED}))
+    bad = F.col("r").isNull() | F.col(f"r.{RESCUED}").isNotNull()
+    return parsed.where(~bad).select(*(F.col(f"r.{n}") for n in declared.fieldNames())), parsed.where(bad).select("file", F.col("value").alias("record"))
+
+
+def load_feed(spark: SparkSession, path: str, rejects_path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The good records of a feed; the rejected ones are appended to the side table at ``rejects_path``."""
+    good, bad = read_feed_with_rejects(spark, path, schema)
+    bad.write.mode("append").parquet(rejects_path)
+    return good
+
+
 def explode_feed(feed: DataFrame) -> DataFrame:
     """One row per player: ``feed_seq, roster_name, player_pos, p.*``.
 

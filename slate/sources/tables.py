@@ -14,7 +14,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slate.session import store
+from slate.session import remove_stored, scratch_path, store
+from slate.sources.sinks import write_table
 
 DRIVER_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -93,17 +94,45 @@ def input_stamp(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> tuple
     return tuple(out)
 
 
+#: Shared tables that are kept at most; the one used longest ago goes first.
+MOST_SHARED = 64
 _SHARED: dict[tuple, DataFrame] = {}
 
 
-def shared_table(spark: SparkSession, sf_dir: str, name: str, inputs: Sequence[str],
-                 build: Callable[[], DataFrame]) -> DataFrame:
+def shared_table(spark: SparkSession, sf_dir: str, name: str, inputs: Sequence[str], build: Callable[[], DataFrame],
+                 partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> DataFrame:
     """A derived table, stored once per session and version of its inputs, then scanned.
 
-    Several reports of a session read the same stored table; a changed input
-    file gives a new one.
+    Several reports of a session read the same stored table.  A changed input
+    file gives a new one, and the stored files of the old one are deleted, as are
+    those of the table used longest ago once there are more than ``MOST_SHARED``.
+    A frame over a deleted table cannot be read any more: ask for it again.
     """
-    key = (spark.sparkContext.applicationId, name, input_stamp(spark, sf_dir, inputs))
-    if key not in _SHARED:
-        _SHARED[key] = store(build(), name)
+    key = (spark.sparkContext.applicationId, name, sf_dir, input_stamp(spark, sf_dir, inputs))
+    if key in _SHARED:
+        _SHARED[key] = _SHARED.pop(key)  # used last
+        return _SHARED[key]
+    df = build()
+    if partition_by or sort_by:
+        path = write_table(df, scratch_path(spark, name), "error", partition_by, sort_by=sort_by)
+        _SHARED[key] = spark.read.parquet(path)
+    else:
+        _SHARED[key] = store(df, name)
+    superseded = [k for k in _SHARED if k != key and k[:3] == key[:3]]
+    own = [k for k in _SHARED if k[0] == key[0]]
+    for k in {*superseded, *own[: max(0, len(own) - MOST_SHARED)]}:
+        _evict(k)
     return _SHARED[key]
+
+
+def _evict(key: tuple) -> int:
+    return remove_stored(_SHARED.pop(key))
+
+
+def release_shared(spark: SparkSession, name: str | None = None) -> int:
+    """Delete the shared tables of this session (only those of one name, if given); returns how many."""
+    app = spark.sparkContext.applicationId
+    found = [k for k in _SHARED if k[0] == app and name in (None, k[1])]
+    for k in [k for k in _SHARED if k[0] != app]:  # of a session that has ended: its folder is not ours any more
+        del _SHARED[k]
+    return sum(_evict(k) for k in found)

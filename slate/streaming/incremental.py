@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from slate.operators.dedup import upsert
+from slate.sources import keyed_loads
 from slate.sources.sinks import append_insert_or_ignore, read_loads, table_versions
 
 BATCH_COL = "batch_id"
@@ -102,3 +103,27 @@ def upsert_stream(
     writer = source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
+
+
+def upsert_delta_stream(
+    source: DataFrame,
+    target: str,
+    checkpoint: str,
+    key_cols: Sequence[str],
+    order_cols: Sequence[str],
+    compact_every: int = 16,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Run S11 continuously, merged on read: each micro-batch writes only its own keys' latest rows
+    (:func:`slate.sources.keyed_loads.upsert_load`), and every ``compact_every`` batches they are
+    folded into a version.  Read the table with ``keyed_loads.read_upserted(spark, target, key_cols, BATCH_COL)``."""
+    spark = source.sparkSession
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        keyed_loads.upsert_load(spark, target, batch, batch_id, key_cols, order_cols, BATCH_COL)
+        if (batch_id + 1) % compact_every == 0:
+            keyed_loads.compact(spark, target, key_cols, BATCH_COL)
+
+    writer = source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()
