@@ -22,17 +22,20 @@ a local or mounted path, or any store it knows.
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,12 +48,17 @@ END_ID = 1
 #: Ids in a block, and ids in a file before the next one begins.
 BLOCK, FILE_IDS = 1 << 16, 1 << 24
 #: Bytes of input (as planned) for a task, and the most tasks.
-PART_BYTES, MOST_PARTS = 32 << 20, 20_000
+PART_BYTES, MOST_PARTS = 8 << 20, 20_000
 LEVEL = 3
 #: Bits of an id in each kind of plane.
 PLANES = {"byte": 8, "bit": 1}
-#: Words whose ids a task remembers before it starts anew, and texts that are cut for encoding.
-REMEMBERED, LONG_TEXT = 1 << 19, 1 << 22
+#: Runs and words whose ids a task remembers (and as many of the time before), those encoded together,
+#: and characters of the texts that are worked on together; a longer text is cut at blanks.
+REMEMBERED, TOGETHER, LONG_TEXT = 1 << 19, 1000, 1 << 23
+#: Printable characters without combining marks, blanks or letters whose small form hangs on their
+#: neighbours or has two characters (the dotted capital I); and what texts of them, blanks and line ends do not have.
+LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
+BEYOND_LATIN = "[^ -~\n\u00a1-\u012f\u0131-\u017f]"
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -78,12 +86,40 @@ def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path)
 
 
+class Remembered:
+    """Ids of texts that were encoded before: those of the last ``limit`` and of as many before them."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int):
+        self.encode, self.limit = encode, limit
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def of(self, texts: list[str]) -> Callable[[str], bytes]:
+        """A function that gives the ids of each of ``texts`` (distinct)."""
+        new = [t for t in texts if t not in self.known]
+        if len(self.known) + len(new) > self.limit:
+            self.older, self.known, new = self.known, {}, texts
+        unseen = []
+        for t in new:
+            if (ids := self.older.get(t)) is not None:
+                self.known[t] = ids
+            else:
+                unseen.append(t)
+        for at in range(0, len(unseen), TOGETHER):
+            part = unseen[at : at + TOGETHER]
+            self.known.update(zip(part, self.encode(part), strict=True))
+        return self.known.__getitem__
+
+
 class Encoder:
-    """Text to ids (4 bytes each) by a public tokenizer whose words never span a blank or a line end.
+    """Texts to ids (4 bytes each) by a public tokenizer whose words never span a blank or a line end.
 
     Its words are found within runs without white space and its normal form
-    does not reach over them, so the ids of a text are those of its runs.  Each
-    distinct run is encoded once and remembered.
+    does not reach over them, so the ids of a text are those of its runs.  Where
+    the vocabulary has a pattern for words and marks their ends, Latin runs are cut
+    into words in the same way (small letters and the pattern are all that matters
+    there).  Texts are worked on in groups: only the distinct runs of a group are
+    looked up, and only words that are not remembered are encoded, together.
     """
 
     def __init__(self, vocabulary: str):
@@ -91,19 +127,66 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, runs: Iterable[str]) -> None:
-        new = [r for r in set(runs) if r not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(runs))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for run, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[run] = np.array(found.ids, "<u4").tobytes()
-
-    def _pieces(self, text: str) -> Iterator[str]:
+        self.runs, self.words = Remembered(self._encoded_runs, REMEMBERED), Remembered(self._encoded_words, REMEMBERED)
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "$^a")
+        rules = json.loads(self.tokenizer.to_str())
+        self.pattern = self._word_pattern(rules)
+        suffix = rules["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+
+    @staticmethod
+    def _word_pattern(rules: dict) -> regex.Pattern | None:
+        """Pattern of the words, if the vocabulary takes small letters and all matches of one pattern, and ends words visibly."""
+        normal = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+        steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if normal != ["NFC", "Replace", "Lowercase"] or [s.get("type") for s in steps] != ["Split", "ByteLevel"]:
+            return None
+        split, to_bytes = steps
+        plain = split["behavior"] == "Removed" and split["invert"] and not to_bytes["add_prefix_space"] and not to_bytes["use_regex"]
+        return regex.compile(split["pattern"]["Regex"]) if plain and rules["model"].get("end_of_word_suffix") else None
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded_words(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(cuts) != len(words):
+            return self._whole(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+
+    def _encoded_runs(self, runs: list[str]) -> list[bytes]:
+        if self.pattern is None or self.special.search("\n".join(runs)):
+            return self._whole(runs)
+        words = [None if not LATIN.fullmatch(r) else [r] if r.isalpha() and r.islower() else self.pattern.findall(r.lower()) for r in runs]
+        ids = self.words.of(list({w for found in words if found for w in found}))
+        others = iter(self._whole([r for r, found in zip(runs, words, strict=True) if found is None]))
+        return [next(others) if found is None else b"".join(map(ids, found)) for found in words]
+
+    def _runs(self, texts: pa.Array) -> pa.ListArray:
+        """The runs of each text, in small letters where these are all that matters; some are empty."""
+        if self.pattern is not None:
+            beyond = pc.or_(pc.match_substring_regex(texts, BEYOND_LATIN), pc.match_substring_regex(texts, f"(?i){self.special.pattern}"))
+            texts = pc.if_else(beyond, texts, pc.utf8_lower(texts))
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        runs = self._runs(pa.array(texts, pa.string()))
+        words = runs.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        of = self.runs.of(distinct)
+        ids = [of(r) for r in distinct]
+        ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(np.concatenate([np.zeros(1, np.int32), ends]), np.frombuffer(b"".join(ids), "<u4"))
+        found = lists.take(words.indices)
+        at = 4 * found.offsets.to_numpy()[runs.offsets.to_numpy()].astype(np.int64)
+        raw = found.flatten().to_numpy(zero_copy_only=False).tobytes()
+        return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    @staticmethod
+    def _pieces(text: str) -> Iterator[str]:
         """A very long text piece by piece, each up to a blank."""
         at = 0
         while len(text) - at > LONG_TEXT:
@@ -114,16 +197,22 @@ class Encoder:
             at = cut
         yield text[at:]
 
-    def __call__(self, text: str | None) -> bytes:
-        out = []
-        for piece in self._pieces(text or ""):
-            runs = piece.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(self.known.__getitem__, runs)))
-            except KeyError:
-                self._learn(runs)
-                out.append(b"".join(map(self.known.__getitem__, runs)))
-        return b"".join(out)
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text; so many texts as make up a piece are held at a time."""
+        group, held = [], 0
+        for text in texts:
+            text = text or ""
+            if len(text) > LONG_TEXT:
+                yield from self._group(group)
+                group, held = [], 0
+                yield b"".join(ids for piece in self._pieces(text) for ids in self._group([piece]))
+                continue
+            group.append(text)
+            held += len(text)
+            if held > LONG_TEXT:
+                yield from self._group(group)
+                group, held = [], 0
+        yield from self._group(group)
 
 
 @dataclass
@@ -262,12 +351,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
         for batch in batches:
             id_type = batch.column("doc_id").type
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            texts = (t.as_py() for t in batch.column("text"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
                 if writer is None:
                     place = f"{part:06d}-{n:04d}-{uuid.uuid4().hex}.tok"
                     fs.create_dir(folder, recursive=True)
                     writer = FileWriter(fs.open_output_stream(f"{folder}/{place}"), kind, block)
-                writer.add(doc_id, encode(text) + ending)
+                writer.add(doc_id, ids + ending)
                 if writer.n_ids >= file_ids:
                     yield done()
                     writer, n = None, n + 1

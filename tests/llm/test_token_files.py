@@ -17,7 +17,7 @@ from slate.llm import token_files as tf
 from slate.llm.common import read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-AWKWARD = ["", " ", "\n\n", "A B  c", "don't we'll 'S x's", "é ́x 가", " a b　c\x1cd\x85e", "x<|endoftext|>y <|startoftext|>", "ΑΣ ΟΔΟΣ ΣΑΣ.",
+AWKWARD = ["", " ", "\n\n", "A B  c", "don't we'll 'S x's", "é ́x 가", " a b　c\x1cd\x85e", "x<|endoftext|>y <|startoftext|>", "x<|ENDOFTEXT|>y <|StartOfText|>", "<|endoftext|", "Été <|EndOfText|>", "ΑΣ ΟΔΟΣ ΣΑΣ.",
            "İstanbul ẞ ﬁ Å", "123 4५६ ½", "🙂👩‍👩‍👧 ok", "a\tb\rc\r\nd\x00e", "= ̸ < ̸", "!!!...,,,   ---", "ZWJ‍ ​ end"]
 
 
@@ -52,14 +52,25 @@ def check(got, rows, tokenizer):
 
 @pytest.mark.parametrize("text", AWKWARD)
 def test_runs_encode_like_the_whole_text(text, tokenizer, encoder):
-    assert np.frombuffer(encoder(text), "<u4").tolist() == ids(tokenizer, text)[:-1]
+    assert np.frombuffer(*encoder([text]), "<u4").tolist() == ids(tokenizer, text)[:-1]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(st.one_of(st.sampled_from(" \n\t'aAzs1.,<|>́é"), st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_every_latin_character_in_any_place(tokenizer, encoder):
+    for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x180)]):
+        for text in (c, c * 3, f"a{c}B", f"{c}1{c}", f"'{c}", f"X{c} {c}y"):
+            assert np.frombuffer(*encoder([text]), "<u4").tolist() == ids(tokenizer, text)[:-1], (c, text)
+
+
+def test_a_vocabulary_without_such_rules_encodes_runs_whole(tokenizer, monkeypatch):
+    monkeypatch.setattr(tf.Encoder, "_word_pattern", staticmethod(lambda rules: None))
+    assert [np.frombuffer(x, "<u4").tolist() for x in tf.Encoder(VOCABULARY)(AWKWARD)] == [ids(tokenizer, t)[:-1] for t in AWKWARD]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \n\t'aAzs1.,<|>́éÉß²ª"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_any_text_encodes_like_the_whole_text(text):
     tokenizer, encoder = _shared()
-    assert np.frombuffer(encoder(text), "<u4").tolist() == ids(tokenizer, text)[:-1]
+    assert np.frombuffer(*encoder([text]), "<u4").tolist() == ids(tokenizer, text)[:-1]
 
 
 def _shared(made=[]):
@@ -68,13 +79,21 @@ def _shared(made=[]):
     return made[0]
 
 
+def test_groups_of_texts_give_one_result_each(tokenizer, monkeypatch):
+    monkeypatch.setattr(tf, "LONG_TEXT", 100)
+    monkeypatch.setattr(tf, "REMEMBERED", 30)
+    monkeypatch.setattr(tf, "TOGETHER", 7)
+    texts = [*AWKWARD, None, "long " * 90, *AWKWARD, "a", ""] * 2
+    assert [np.frombuffer(x, "<u4").tolist() for x in tf.Encoder(VOCABULARY)(texts)] == [ids(tokenizer, t)[:-1] for t in texts]
+
+
 def test_long_texts_are_cut_at_blanks_only(tokenizer, encoder, monkeypatch):
     monkeypatch.setattr(tf, "LONG_TEXT", 50)
     monkeypatch.setattr(tf, "REMEMBERED", 40)
     rng = random.Random(4)
     text = "".join(rng.choices("ab c\nd'1 é", k=3000)) + "x" * 200
     own = tf.Encoder(VOCABULARY)
-    assert np.frombuffer(own(text), "<u4").tolist() == ids(tokenizer, text)[:-1]
+    assert np.frombuffer(*own([text]), "<u4").tolist() == ids(tokenizer, text)[:-1]
     assert len(list(own._pieces(text))) > 10 and "".join(own._pieces(text)) == text
 
 
