@@ -6,7 +6,8 @@
 2. A sample of about ``SAMPLE`` keys, drawn with a chance in proportion to the
    row's size, gives quantile boundaries of ``RANGES_PER_SHARD`` ranges a shard.
 3. Exact bytes per range show the overfull ones (a text that is copied very
-   often sits in a single range); those are subdivided by a hash of the id.
+   often sits in a single range); those are subdivided by a hash of the id.  The
+   number of pieces of all others grows with the rows, so a task's work does not.
 4. Within a range, a running sum gives each row its place in the whole order.
    A row belongs to the shard in which the middle of its bytes falls; a group of
    copies that is small against a shard moves as one.
@@ -26,6 +27,8 @@ from slate.llm.common import stored
 
 SAMPLE = 8192
 RANGES_PER_SHARD = 16
+#: Rows (keys and sizes, no texts) that one task sorts, about; beyond that a range is cut into pieces.
+ROWS_PER_PIECE = 500_000
 #: A group of copies stays in one shard if it holds at most this part of a shard.
 GROUP_PART = 0.005
 LAW = "bytes"
@@ -56,19 +59,28 @@ def _search(column: Column, bounds: list[int], low: int = 0, high: int | None =
 class Ranges:
     bounds: list[int]
     parts: list[int]
+    pieces: int = 1
 
     def place(self, key: Column) -> Column:
         return _search(key, self.bounds).cast("int")
 
-    def part(self, place: Column, tie: Column) -> Column:
-        """Subdivision of an overfull range; 0 in all others."""
+    def part(self, place: Column, key: Column, tie: Column) -> Column:
+        """Subdivision of a range: an overfull one by the hash of the id, the others, if there
+        are very many rows, into even pieces of the key (a hash) in its order."""
         parts = F.element_at(F.lit(self.parts), place + 1).cast("long")
-        return F.when(parts > 1, F.shiftright(F.shiftrightunsigned(tie, 33) * parts, 31)).otherwise(F.lit(0)).cast("int")
+        piece: Column = F.lit(0)
+        if self.pieces > 1:
+            edges = [-(2.0**63), *map(float, self.bounds), 2.0**63]
+            low = F.element_at(F.lit(edges[:-1]), place + 1)
+            width = F.element_at(F.lit([max(b - a, 1.0) for a, b in zip(edges, edges[1:], strict=False)]), place + 1)
+            share = (key.cast("double") - low) / width  # grows with the key, equal keys share a piece
+            piece = F.greatest(F.lit(0), F.least(F.lit(self.pieces - 1), F.floor(share * self.pieces).cast("int")))
+        return F.when(parts > 1, F.shiftright(F.shiftrightunsigned(tie, 33) * parts, 31)).otherwise(piece).cast("int")
 
 
 def sampled_ranges(rows: DataFrame, n: int) -> tuple[Ranges, int]:
     """Boundaries of about ``n`` ranges of equal bytes, and all bytes."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if not total:
         return Ranges([], [1]), 0
     chance = F.col("size") * F.lit(SAMPLE / total)
@@ -84,7 +96,7 @@ def sampled_ranges(rows: DataFrame, n: int) -> tuple[Ranges, int]:
     share = total / n
     full = dict(rows.groupBy(_search(F.col("key"), bounds).alias("place")).agg(F.sum("size")).collect())
     return Ranges(bounds, [max(1, round(full.get(i, 0) / share)) if full.get(i, 0) > 2 * share else 1
-                           for i in range(len(bounds) + 1)]), total
+                           for i in range(len(bounds) + 1)], -(-n_rows // (ROWS_PER_PIECE * (len(bounds) + 1)))), total
 
 
 @dataclass(frozen=True)
@@ -109,7 +121,7 @@ def ordered_rows(docs: DataFrame, shards: int) -> tuple[DataFrame, Split]:
         key.alias("key"), tie.alias("tie")), "shard-keys")
     ranges, total = sampled_ranges(rows, shards * RANGES_PER_SHARD)
     rows = rows.withColumn("place", ranges.place(F.col("key")))
-    rows = rows.withColumn("part", ranges.part(F.col("place"), F.col("tie")))
+    rows = rows.withColumn("part", ranges.part(F.col("place"), F.col("key"), F.col("tie")))
 
     sums = rows.groupBy("place", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     before = Window.orderBy("place", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range, not per document
@@ -158,4 +170,4 @@ def with_shard(docs: DataFrame, shards: int = 8, name: str = "shard") -> DataFra
     _, split = ordered_rows(docs, shards)
     key, tie = _key(docs)
     place = split.ranges.place(key)
-    return docs.withColumn(name, split.shard(place, split.ranges.part(place, tie), key, tie))
+    return docs.withColumn(name, split.shard(place, split.ranges.part(place, key, tie), key, tie))
