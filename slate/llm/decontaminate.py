@@ -10,22 +10,30 @@ comparing the first and second five words of the window.
 
 A benchmark item of fewer than 10 words is one window of its own length; for the
 lengths that occur (at most nine) documents give all runs of that length.
+
+Most documents share nothing with the benchmark.  A Bloom filter of the
+benchmark's fingerprints (64 bits each) reaches all tasks as one array, and a
+document is winnowed and joined only if one of its hashes is in it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slate.llm.common import let, stored
+from slate.session import planned_bytes
 
 WINDOW, GRAM = 10, 5
 CHOSEN_FROM = WINDOW - GRAM + 1
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Benchmark windows (about 60 bytes each) that may be sent to all executors; more are joined by shuffle.
-BROADCAST_WINDOWS = 1_000_000
-#: Contaminated rows (id and hash, 16 bytes each) that may be sent to all executors; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Stored bytes of benchmark windows, or of ids of contaminated rows, that may be sent to all executors; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Longest filter, in numbers of 64 bits; a larger benchmark fills it more, and more documents are winnowed in vain.
+MOST_FILTER_WORDS = 1 << 17
+FILTER_BITS = 4
 
 
 def _words(text: Column) -> Column:
@@ -47,21 +55,48 @@ def _chosen(hashes: Column) -> Column:
         lambda i: let(F.slice(hashes, i, CHOSEN_FROM), lambda s: i + F.array_position(s, F.array_min(s)).cast("int") - 1)))
 
 
-def _fingerprints(words: Column) -> Column:
-    """Array of (length, hash, at, first, around): windows first.. chose the hash at ``at``; ``around`` starts at ``first``."""
+def _filter_bit(hash_: Column, k: int) -> Column:
+    """The ``k``-th of the bits of its number that a hash sets in the filter."""
+    return F.shiftrightunsigned(hash_, 40 + 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int")
+
+
+def _filter(windows: DataFrame, n: int) -> tuple[Column, int]:
+    """The Bloom filter of all hashes of ``windows`` as one array of 64-bit numbers, and its length."""
+    size = min(MOST_FILTER_WORDS, 1 << max(4, n.bit_length()))
+    one = F.lit(1).cast("long")
+    set_bits = windows.select(F.pmod("hash", F.lit(size)).alias("word"), F.explode(F.array(*(_filter_bit(F.col("hash"), k) for k in range(FILTER_BITS)))).alias("bit"))
+    found = dict(set_bits.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", one, F.col("bit")))).collect())  # at most MOST_FILTER_WORDS
+    # as one folded constant of the plan
+    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(size))), ",").cast("array<bigint>"), size
+
+
+def _may_hold(numbers: Column, size: int, hash_: Column) -> Column:
+    """False only if the benchmark does not have the hash."""
+    number = F.get(numbers, F.pmod(hash_, F.lit(size)).cast("int"))
+    bits = [F.call_function("shiftright", number, _filter_bit(hash_, k)).bitwiseAND(F.lit(1).cast("long")) == 1 for k in range(FILTER_BITS)]
+    return reduce(lambda a, b: a & b, bits)
+
+
+def _fingerprints(words: Column, may_hold) -> Column:
+    """Array of (length, hash, at, first, around): windows first.. chose the hash at ``at``; ``around`` starts at ``first``.
+
+    Only hashes that ``may_hold`` lets pass; none for a text without any.
+    """
     def of(hashes: Column) -> Column:
-        return let(_chosen(hashes), lambda places: F.transform(
+        found = let(_chosen(hashes), lambda places: F.transform(
             F.filter(F.transform(places, lambda p, i: F.struct(p.alias("at"), (i + 1).alias("first"), F.get(places, i - 1).alias("last"))),
-                     lambda x: x["last"].isNull() | (x["last"] != x["at"])),
+                     lambda x: (x["last"].isNull() | (x["last"] != x["at"])) & may_hold(F.element_at(hashes, x["at"]))),
             lambda x: F.struct(
                 F.lit(WINDOW).alias("length"), F.element_at(hashes, x["at"]).alias("hash"), x["at"].alias("at"), x["first"].alias("first"),
                 F.slice(hashes, x["first"], x["at"] - x["first"] + WINDOW).alias("around"))))
-    return let(_runs(words, GRAM), of)
+        return F.when(F.exists(hashes, may_hold), found)
+    return F.coalesce(let(_runs(words, GRAM), of), F.array())
 
 
-def _short_runs(words: Column, length: int) -> Column:
-    return F.transform(_runs(words, length), lambda h, i: F.struct(
+def _short_runs(words: Column, length: int, may_hold) -> Column:
+    runs = F.transform(_runs(words, length), lambda h, i: F.struct(
         F.lit(length).alias("length"), h.alias("hash"), (i + 1).alias("at"), (i + 1).alias("first"), F.array(h).alias("around")))
+    return F.filter(runs, lambda r: may_hold(r["hash"]))
 
 
 def _benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -85,19 +120,22 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``spans`` lists (start, end) of the windows found, in words; ``items`` the
     benchmark items that have one of them.
     """
-    windows = _benchmark_windows(benchmark)
-    # one small aggregate over the benchmark decides on lengths and on the join
-    facts = windows.groupBy("length").count().collect()
+    windows = stored(_benchmark_windows(benchmark), "benchmark-windows")
+    # one small aggregate over the benchmark decides on lengths and on the filter's size
+    facts = windows.groupBy("length").agg(F.approx_count_distinct("hash").alias("n")).collect()
     short = sorted(r["length"] for r in facts if r["length"] < WINDOW)
-    if sum(r["count"] for r in facts) <= BROADCAST_WINDOWS:
+    numbers, size = _filter(windows, sum(r["n"] for r in facts))
+    if planned_bytes(windows) <= BROADCAST_BYTES:
         windows = F.broadcast(windows)
     windows = windows.withColumnsRenamed({"length": "length_", "hash": "hash_"})
 
     nothing = F.struct(F.lit(0).alias("length"), F.lit(None).cast("long").alias("hash"), F.lit(0).alias("at"),
                        F.lit(0).alias("first"), F.array().cast("array<bigint>").alias("around"))
-    found = let(_words(F.col("text")), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        F.concat(F.array(nothing), _fingerprints(w), *(_short_runs(w, n) for n in short)).alias("prints")))
+    def prints(words: Column, bloom: Column) -> Column:
+        may_hold = lambda h: _may_hold(bloom, size, h)
+        return F.concat(F.array(nothing), _fingerprints(words, may_hold), *(_short_runs(words, n, may_hold) for n in short))
+
+    found = let(_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), prints(w, numbers).alias("prints")))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), found.alias("f"))
     rows = rows.select("doc_id", "text_hash", "f.n_words", F.explode("f.prints").alias("p")).select("doc_id", "text_hash", "n_words", "p.*")
 
@@ -133,6 +171,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows in which a benchmark window occurs."""
     bad = stored(decontamination_report(docs, benchmark).where("contaminated").select(
         F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")), "contaminated")
-    if bad.count() <= BROADCAST_ROWS:
+    if planned_bytes(bad) <= BROADCAST_BYTES:
         bad = F.broadcast(bad)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["id_"]) & (F.xxhash64(docs["text"]) == bad["hash_"]), "left_anti")

@@ -357,6 +357,40 @@ def test_shards(spark, docs, corpus, empty):
     assert sharding.assign_shards(empty).count() == 0 and sharding.with_shard(empty).columns[-1] == "shard"
 
 
+def test_shards_equal_a_running_sum(spark, monkeypatch):
+    """Rows in the order of their hashes, cut where the middle of a row's (or a small group's) bytes falls."""
+    rng = random.Random(21)
+    rows = [(i, words(rng, rng.randint(1, 60)) if i % 5 else f"copy {i % 600}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.select("doc_id", F.xxhash64("text").alias("key"), F.xxhash64("doc_id").alias("tie"), (F.octet_length("text") + 1).alias("size"))
+    ordered = sorted(keyed.collect(), key=lambda r: (r.key, r.tie))
+    total, at, want, groups = sum(r.size for r in ordered), 0, {}, {}
+    for r in ordered:
+        groups.setdefault(r.key, []).append(r)
+    for group in groups.values():
+        held = sum(r.size for r in group)
+        assert len(group) == 1 or held <= sharding.GROUP_PART * total / 8
+        for r in group:
+            want[r.doc_id] = min(7, int((at + held / 2) * 8 / total))
+        at += held
+    assert {r.doc_id: r.shard for r in sharding.assign_shards(df).collect()} == want
+    monkeypatch.setattr(sharding, "ROWS_PER_PIECE", 3)  # as with very many rows: each range in pieces
+    got = sharding.assign_shards(df).collect()
+    assert {r.doc_id: r.shard for r in got} == want == {r.doc_id: r.shard for r in sharding.with_shard(df).collect()}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(8))
+
+
+def test_contamination_with_a_full_filter_and_without_broadcasts(spark, docs, corpus, monkeypatch):
+    """Neither the filter's size nor the kind of join changes a result."""
+    items = [(1, corpus[3][1]), (2, " ".join(corpus[7][1].split()[:5])), (3, "nothing like it anywhere at all in any of the texts of this corpus"), (None, corpus[9][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.decontamination_report(docs, bench).drop("text_hash").collect()), key=str)
+    assert any(r[-1] for r in want)
+    monkeypatch.setattr(decontaminate, "MOST_FILTER_WORDS", 16)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, decontaminate.decontamination_report(docs, bench).drop("text_hash").collect()), key=str) == want
+
+
 def test_clashing_columns(spark, docs, clashing, corpus):
     """Operators ignore columns they don't need; those that return rows return them unchanged."""
     bench = spark.createDataFrame([(1, corpus[3][1], 5)], "item_id long, text string, hash long")
