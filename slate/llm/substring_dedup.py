@@ -13,11 +13,15 @@ double in one shard, so windows are routed by their content:
    ones are counted before texts move: a segment that occurs twice is repeated
    as a whole, wherever it occurs.  Copied documents end here.
 3. The remaining, distinct segments travel as text to the shard of their anchor.
-   A task sorts them by anchor and builds one index after the other, each of
-   whole anchors and about ``SHARD_WORDS`` words: a wavelet matrix over the
+   A task sorts them by it and builds one index after the other, each of
+   whole groups and about ``SHARD_WORDS`` words: a wavelet matrix over the
    Burrows-Wheeler transform.  Backward search gives the matching statistics of
    each single segment and with them the intervals of ``least`` or more words
-   that occur elsewhere.
+   that occur elsewhere.  An anchor with more than ``HOT_SEGMENTS`` of them is
+   split: of the 27 other words of a window at least 14 lie before or at least 14
+   behind the anchor, and equal windows agree in them.  So a segment goes to the
+   group of its 14 words before the anchor, of the 14 behind it, or to both, and
+   a run that stands in every text draws no crowd either.
 4. Intervals return to their texts, and the words they cover are removed.
 
 Texts are identified by a 128-bit hash, so copies are searched once.
@@ -32,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from slate.llm.common import gram_hashes, stored, word_hashes
 from slate.llm.fm_index import FMIndex, repeated_intervals
@@ -40,12 +45,14 @@ LEAST = 35
 ANCHOR = 8
 BUCKETS = 1 << 16
 SHARD_WORDS = 200_000
+#: Distinct segments of an anchor beyond which it is split by the words around it.
+HOT_SEGMENTS = 2000
 #: Texts whose hashes (16 bytes each) may be sent to all executors to pick rows; more are joined by shuffle.
 BROADCAST_TEXTS = 1_000_000
 
 
 def _text_key() -> list[Column]:
-    return [F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(5)).alias("t2")]
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(5), "text").alias("t2")]
 
 
 def _bucket(grams: np.ndarray) -> np.ndarray:
@@ -107,15 +114,30 @@ def _segments(counts: np.ndarray, least: int):
     return run
 
 
+def _groups(words: list[bytes], anchor: int, least: int) -> list[int]:
+    """Groups of a segment of a split anchor: by the words before its place, by those behind it, or both."""
+    near = -(-(least - ANCHOR) // 2)
+    hashes = word_hashes(words)
+    low = np.uint64(anchor & ((1 << 40) - 1))
+    place = int(np.flatnonzero(gram_hashes(hashes, ANCHOR) >> np.uint64(24) == low)[0])  # of equal runs the first is the anchor
+    sides = [(1, words[place - near : place])] if place >= near else []
+    if len(words) - place - ANCHOR >= near:
+        sides.append((2, words[place + ANCHOR : place + ANCHOR + near]))
+    return [xxh3_64_intdigest(b" ".join(around), seed=(anchor ^ side) & ((1 << 64) - 1)) - (1 << 63) for side, around in sides]
+
+
 def _segment_texts(least: int):
-    """Rows (t1, t2, first, anchor, single, words) of the wanted segments of each text."""
+    """Rows (t1, t2, first, group, single, words) of the wanted segments of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for t1, t2, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "wanted")), strict=True):
                 words = text.split()
-                rows += [(t1, t2, w["first"], w["anchor"], w["single"], b" ".join(words[w["first"] : w["first"] + w["windows"] + least - 1])) for w in wanted]
-            names = ("t1", "t2", "first", "anchor", "single", "words")
+                for w in wanted:
+                    own = words[w["first"] : w["first"] + w["windows"] + least - 1]
+                    groups = _groups(own, w["anchor"], least) if w["hot"] else [w["anchor"]]
+                    rows += [(t1, t2, w["first"], group, w["single"], b" ".join(own)) for group in groups]
+            names = ("t1", "t2", "first", "group", "single", "words")
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
@@ -143,9 +165,9 @@ def _search(rows: list[tuple], least: int) -> pa.RecordBatch:
 
 def _shards(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0  # sorted by anchor
+        rows, size = [], 0  # sorted by group
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "first", "anchor", "single", "words")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "first", "group", "single", "words")), strict=True):
                 if size >= SHARD_WORDS and row[3] != rows[-1][3]:
                     yield _search(rows, least)
                     rows, size = [], 0
@@ -188,19 +210,20 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         counts[r[0]] = r[1]
 
     found = texts.mapInArrow(_segments(counts, least), "t1 long, t2 long, first int, windows int, anchor long, content long")
-    repeated = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # stored, so that the join has plain shuffles on both sides and a hot anchor's rows can be split
+    repeated = stored(found.groupBy("anchor").count().where("count > 1").select("anchor"), "repeated-anchors")
     found = stored(found.join(repeated, "anchor"), "segments")
 
     distinct = found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "windows")).alias("at"))
     distinct = stored(distinct, "distinct-segments")
-    several = distinct.groupBy("anchor").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x != y").select("anchor")
-    wanted = (distinct.join(several, "anchor").select("at.*", "anchor", (F.col("n") == 1).alias("single"))
-              .groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "windows", "anchor", "single")).alias("wanted")))
+    several = stored(distinct.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > HOT_SEGMENTS).alias("hot")), "anchors")
+    wanted = (distinct.join(several, "anchor").select("at.*", "anchor", "hot", (F.col("n") == 1).alias("single"))
+              .groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "windows", "anchor", "hot", "single")).alias("wanted")))
     wanted = stored(wanted, "wanted")  # a text's own segments: bounded by its length
     moving = _only(texts, wanted.select("t1", "t2")).dropDuplicates(["t1", "t2"]).join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "wanted")
-    moving = moving.mapInArrow(_segment_texts(least), "t1 long, t2 long, first int, anchor long, single boolean, words binary")
+    moving = moving.mapInArrow(_segment_texts(least), "t1 long, t2 long, first int, group long, single boolean, words binary")
     shards = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    single = moving.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(least), INTERVALS)
+    single = moving.repartition(shards, "group").sortWithinPartitions("group").mapInArrow(_shards(least), INTERVALS)
 
     copied = found.join(distinct.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select(
         "t1", "t2", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (least - 1)).alias("end"))

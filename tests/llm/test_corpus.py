@@ -357,6 +357,24 @@ def test_shards(spark, docs, corpus, empty):
     assert sharding.assign_shards(empty).count() == 0 and sharding.with_shard(empty).columns[-1] == "shard"
 
 
+def test_a_run_in_every_text_is_split_by_its_surroundings(spark, monkeypatch):
+    """One 8-word run in every text: distinct surroundings, and some windows that share it and are equal on either side."""
+    monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", 3)
+    rng = random.Random(31)
+    run, texts = words(rng, 8), []
+    for i in range(120):
+        texts.append(f"{words(rng, rng.randint(0, 50))} {run} {words(rng, rng.randint(0, 50))}")
+    for left, right in [(0, 27), (27, 0), (13, 14), (14, 13), (3, 24), (26, 1), (30, 30), (5, 21), (13, 13)]:
+        shared = f"{words(rng, left)} {run} {words(rng, right)}".strip()
+        texts += [f"{words(rng, 20)} {shared} {words(rng, 20)}" for _ in range(2)]
+    texts += [" ".join([run] * 12), f"{run} {run} {words(rng, 40)}"]
+    rows = list(enumerate(texts))
+    got = by_id(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    want = brute.repeats_removed(rows)
+    assert [(i, got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) for i, _ in rows] == want
+    assert sum(w[2] > 0 for w in want) >= 14
+
+
 def test_shards_equal_a_running_sum(spark, monkeypatch):
     """Rows in the order of their hashes, cut where the middle of a row's (or a small group's) bytes falls."""
     rng = random.Random(21)
