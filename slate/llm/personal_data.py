@@ -123,8 +123,23 @@ def _seeds(text: Column) -> Column:
     return F.sort_array(F.concat(*(of(k) for k in PATTERNS)))
 
 
+def _touching(kinds: Column, start: Column, end: Column) -> Column:
+    """Whether a seed overlaps [start, end): of each kind, the last one that starts ahead of ``end``, found by bisection.
+
+    Seeds of one kind are sorted and do not overlap, so that one also ends last.
+    """
+    def ahead(k: Column) -> Column:
+        return F.aggregate(k["halves"], F.lit(0), lambda n, half: F.when(F.get(k["spans"], n + half - 1)["start"] < end, n + half).otherwise(n))
+
+    return F.exists(kinds, lambda k: F.coalesce(F.get(k["spans"], ahead(k) - 1)["end"] > start, F.lit(False)))
+
+
 def _instances(text: Column, seeds: Column) -> Column:
     """Seeds, and the tokens that touch none: start, end, instance, pattern, and whether it is a seed."""
+    def of(kind: int) -> Column:
+        halves = F.filter(F.array(*(F.lit(1 << b) for b in range(30, -1, -1))), lambda half: half <= F.size(F.filter(seeds, lambda s: s["kind"] == kind)))
+        return F.struct(F.filter(seeds, lambda s: s["kind"] == kind).alias("spans"), halves.alias("halves"))
+
     def instance(x: Column, seed: bool) -> Column:
         return F.struct(*(x[c].alias(c) for c in ("start", "end", "instance", "pattern")), F.lit(seed).alias("seed"))
 
@@ -132,18 +147,19 @@ def _instances(text: Column, seeds: Column) -> Column:
     tokens = F.transform(_matches(text, TOKEN), lambda m: let(F.rtrim(m["found"], F.lit("._%+/-@")), lambda t: F.struct(
         m["start"].alias("start"), (m["start"] + F.length(t)).alias("end"), t.alias("instance"),
         _context(m["before"]).alias("pattern"))))
-    others = F.filter(tokens, lambda t: (t["end"] > t["start"]) & ~F.exists(seeds, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    others = let(F.array(*map(of, range(len(PATTERNS)))), lambda kinds: F.filter(
+        tokens, lambda t: (t["end"] > t["start"]) & ~_touching(kinds, t["start"], t["end"])))
     return F.concat(F.transform(seeds, lambda s: instance(s, True)),
                     F.when(text.rlike(HAS_TOKEN), F.transform(others, lambda t: instance(t, False))).otherwise(none))
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, spans (fixed patterns) and instances, for each row of ``docs``; written to the shared folder."""
+    """row (a number), doc_id, text_hash, spans (fixed patterns) and instances, for each row of ``docs``; written to the shared folder."""
     both = let(F.coalesce(F.col("text"), F.lit("")), lambda t: let(_seeds(t), lambda s: F.struct(
         F.transform(s, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "kind", "end")))).alias("spans"),
         _instances(t, s).alias("instances"))))
-    return stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), both.alias("b")).select(
-        "doc_id", "text_hash", "b.spans", "b.instances"), "entities")
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), both.alias("b")).select(
+        "row", "doc_id", "text_hash", "b.spans", "b.instances"), "entities")
 
 
 def confident_contexts(instances: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,27 +177,28 @@ def confident_contexts(instances: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """One row per distinct (doc_id, text): doc_id, text_hash, base and spans, arrays of (start, kind, end).
+    """One row per row of ``docs``: doc_id, text_hash, base and spans, arrays of (start, kind, end).
 
     Offsets are code points, ends exclusive; ``kind`` is a number in ``KINDS``.
-    Null and empty texts have no spans.  Repeated rows give one row.
+    Null and empty texts have no spans.  Rows that repeat are judged one by one.
     """
     rows = entities(docs)
-    tokens = rows.select("doc_id", "text_hash", F.explode("instances").alias("i")).select("doc_id", "text_hash", "i.*")
+    key = ["row", "doc_id", "text_hash"]
+    tokens = rows.select(*key, F.explode("instances").alias("i")).select(*key, "i.*")
     scores, patterns = confident_contexts(tokens.select("instance", "pattern", "seed"))
     new = (tokens.where(F.expr(f"not seed and length(instance) >= {LEAST_LENGTH}"))
            .join(scores.where(F.col("score") >= CONFIDENT).select("instance"), "instance")
            .join(patterns.where(F.col("confidence") >= CONFIDENT).select("pattern"), "pattern"))
     more = F.struct("start", F.lit(KINDS.index("context")).alias("kind"), "end")
-    found = rows.select("doc_id", "text_hash", "spans", F.lit(None).cast("struct<start:int,kind:int,end:int>").alias("more")).unionByName(
-        new.select("doc_id", "text_hash", F.lit(None).cast("array<struct<start:int,kind:int,end:int>>").alias("spans"), more.alias("more")))
-    return found.groupBy("doc_id", "text_hash").agg(
+    found = rows.select(*key, "spans", F.lit(None).cast("struct<start:int,kind:int,end:int>").alias("more")).unionByName(
+        new.select(*key, F.lit(None).cast("array<struct<start:int,kind:int,end:int>>").alias("spans"), more.alias("more")))
+    return found.groupBy(*key).agg(
         F.max("spans").alias("base"), F.collect_set("more").alias("more")).select(
         "doc_id", "text_hash", "base", F.sort_array(F.concat("base", "more")).alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, one row per distinct (doc_id, text)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, one row per row of ``docs``."""
     names = F.lit(list(KINDS))
 
     def joined(spans: str) -> Column:

@@ -298,6 +298,23 @@ def test_contexts_reach_over_numbers_and_lists(spark):
         assert r.m and all(r.text[m.start:m.end] == m.found and m.before == r.text[max(0, m.start - 60):m.start] for m in r.m)
 
 
+def test_tokens_that_touch_no_seed(spark, empty):
+    """In a text of thousands of seeds of all kinds, bisection finds the tokens that all comparisons find; repeated rows stay."""
+    rng = random.Random(4)
+    pieces = ["a.b{0}@x-y.co.uk", "10.0.{1}.7", "4111 1111 1111 1111", "+1 443 555 {0}", "ref-{0}", "x{0}.y", "word", "u{1}@10.1.2.{1}", "{0}"]
+    rows = [(i, " ".join(rng.choice(pieces).format(rng.randint(10000, 99999), rng.randint(0, 300)) for _ in range(n))) for i, n in enumerate([0, 1, 5, 40, 900, 4000])]
+    df = spark.createDataFrame(rows + rows[3:4], "doc_id long, text string")
+    tokens = df.select("doc_id", F.col("text"), personal_data._matches(F.col("text"), personal_data.TOKEN).alias("m")).collect()
+    wanted = {}
+    for r in tokens:
+        seeds = [x for spans in brute.personal_spans(r.text).values() for x in spans]
+        at = [(m.start, m.start + len(m.found.rstrip("._%+/-@"))) for m in r.m]
+        wanted[r.doc_id] = [(a, b) for a, b in at if a < b and not any(s < b and a < e for s, e in seeds)]
+    got = personal_data.entities(df).collect()
+    assert len(got) == 7 and {r.doc_id: [(i.start, i.end) for i in r.instances if not i.seed] for r in got} == wanted
+    assert len(wanted[5]) > 500 and personal_data.report(df).count() == 7
+
+
 def test_seeds_without_digits_induce_contexts(spark):
     names = ["anna.berg", "bo", "cy_d", "dee", "eva.f", "flo", "gus", "hal"]
     rows = [(i, f"{words(random.Random(i), 6)} write to {n}@mail.org end") for i, n in enumerate(names)]
