@@ -11,13 +11,15 @@ counts over the whole file, hashed into a table of fixed size.  The field is
 trained here by maximum likelihood on a bounded sample of chains, tagged by the
 fixed patterns (a hexadecimal run needs a letter to count: bare digits are more
 often card or phone numbers).  What it learns of shape and context then finds
-secrets that the patterns miss; the patterns' own spans always stay.
+secrets that the patterns miss; the patterns' own spans always stay, and the
+field's are those that overlap none of them.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from operator import itemgetter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,8 @@ WORD = re.compile(r"[A-Za-z0-9_]+")
 OUTSIDE, BEGIN, INSIDE = range(3)
 #: Chains (with a secret, without one) that training reads at most; the smallest hashes are drawn.
 SAMPLE_CHAINS = 3000
+#: Longer chains are cut into pieces of so many tokens for training; decoding takes them whole.
+PIECE = 64
 FEATURES = 1 << 15
 STEPS, RATE, PENALTY = 80, 0.1, 1e-3
 #: Features in fewer chains are not learned: the fixed patterns miss some secrets, and these must not be learned by heart.
@@ -105,10 +109,26 @@ def _file_features(text: str, chains: list[list[tuple[int, int]]]) -> list[str]:
             f"file-tokens={_bucket(1000 * sum(map(len, chains)) / (len(text) + 1), 0.3, 1, 3, 10)}"]
 
 
-def _weak_tags(text: str, chain: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[int]:
+def _covered(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Disjoint intervals with the characters of sorted spans."""
+    out: list[tuple[int, int]] = []
+    for start, _, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _overlaps(covered: list[tuple[int, int]], start: int, end: int) -> bool:
+    at = bisect_left(covered, end, key=itemgetter(0))  # disjoint: the last one ahead of the end also ends last
+    return at > 0 and covered[at - 1][1] > start
+
+
+def _weak_tags(chain: list[tuple[int, int]], covered: list[tuple[int, int]]) -> list[int]:
     tags = []
     for start, end in chain:
-        inside = any(a < end and start < b and (kind < 2 or not text[a:b].isdigit()) for a, kind, b in spans)
+        inside = _overlaps(covered, start, end)
         tags.append((INSIDE if tags and tags[-1] != OUTSIDE else BEGIN) if inside else OUTSIDE)
     return tags
 
@@ -120,12 +140,13 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             if not (chains := _chains(text or "")):
                 continue
-            spans, file = fixed_spans(text), _file_features(text, chains)
-            for chain in chains:
-                tags = _weak_tags(text, chain, spans)
+            file = _file_features(text, chains)
+            covered = _covered([s for s in fixed_spans(text) if s[1] < 2 or not text[s[0] : s[2]].isdigit()])
+            for chain in (whole[at : at + PIECE] for whole in chains for at in range(0, len(whole), PIECE)):
+                tags = _weak_tags(chain, covered)
                 seen = xxhash.xxh3_64_intdigest(text[max(0, chain[0][0] - 20) : chain[-1][1] + 20].encode()) >> 1
-                f = _features(text, chain[:64], file)
-                rows.append((seen, any(tags), tags[:64], [len(x) for x in f], np.concatenate(f).tolist()))
+                f = _features(text, chain, file)
+                rows.append((seen, any(tags), tags, [len(x) for x in f], np.concatenate(f).tolist()))
         yield pa.RecordBatch.from_pylist(
             [dict(zip(("seen", "secret", "tags", "sizes", "features"), r, strict=True)) for r in rows],
             pa.schema([("seen", pa.int64()), ("secret", pa.bool_()), ("tags", pa.list_(pa.int32())),
@@ -206,6 +227,12 @@ def viterbi(emissions: np.ndarray, moves: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
+def new_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray, moves: np.ndarray) -> list[tuple[int, int, int]]:
+    """The field's spans that overlap none of the fixed patterns'."""
+    covered = _covered(base)
+    return [s for s in tagged_spans(text, weights, moves) if not _overlaps(covered, s[0], s[2])]
+
+
 def tagged_spans(text: str, weights: np.ndarray, moves: np.ndarray) -> list[tuple[int, int, int]]:
     if not (chains := _chains(text)):
         return []
@@ -254,7 +281,7 @@ def scan(docs: DataFrame, sample_chains: int = SAMPLE_CHAINS) -> DataFrame:
     def find(texts: pd.Series) -> pd.DataFrame:
         named = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
         base = [fixed_spans(t or "") for t in texts]
-        more = [tagged_spans(t or "", *model.value) for t in texts]
+        more = [new_spans(t or "", b, *model.value) for t, b in zip(texts, base, strict=True)]
         return pd.DataFrame({"base": map(named, base), "spans": [named(sorted(a + b)) for a, b in zip(base, more, strict=True)]})
 
     return docs.select("doc_id", find(F.col("text")).alias("found")).select("doc_id", "found.base", "found.spans")

@@ -5,6 +5,7 @@ import re
 import warnings
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,30 @@ def test_secret_sample_holds_distinct_chains(spark, monkeypatch):
     assert len(drawn) == len({(tuple(tags), tuple(map(tuple, fs))) for tags, fs in drawn}) == 41
 
 
+def test_secret_field_adds_new_spans_only(spark):
+    """A find of the field over a find of the patterns is not listed again."""
+    rng = random.Random(7)
+    rows = [(i, f'{words(rng, 9)} token = "a{i}B2c3D4e5F6g7H8" {words(rng, 4)} {rng.randint(10**8, 10**9)} {words(rng, 5)}') for i in range(200)]
+    for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert len(r.base) == 1 and sorted(r.spans) == sorted(r.base)
+
+
+def test_long_chains_are_learned_whole():
+    """Pieces hold all tokens of a chain; each starts as a chain does."""
+    chain = " ".join(f"k{i}x9y8z7w6" for i in range(150)) + ' token="a1B2c3D4e5F6g7H8" ' + "0123456789abcdef" * 9
+    batch = pa.RecordBatch.from_pylist([{"text": chain}, {"text": None}, {"text": ""}])
+    pieces = pa.Table.from_batches(secrets._examples([batch])).to_pylist()
+    tokens = sum(len(c) for c in secrets._chains(chain))
+    assert sum(len(p["tags"]) for p in pieces) == tokens > 2 * secrets.PIECE and max(len(p["tags"]) for p in pieces) <= secrets.PIECE
+    assert any(p["secret"] for p in pieces) and all(p["tags"][0] != secrets.INSIDE for p in pieces)
+    spans = [(rng.randint(0, 300), 0) for rng in [random.Random(8)] for _ in range(40)]
+    spans = sorted((a, 0, a + 1 + a % 7) for a, _ in spans)
+    covered = secrets._covered(spans)
+    for a in range(320):
+        for b in (a + 1, a + 4, a + 30):
+            assert secrets._overlaps(covered, a, b) == any(s < b and a < e for s, _, e in spans)
+
+
 def test_viterbi_equals_all_paths():
     import itertools
 
