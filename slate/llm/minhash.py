@@ -18,10 +18,14 @@
    full sets.
 4. Lists whose members are then still in different components are searched
    again, on full sets: a pair must share one of the rarest values of both, at
-   places that leave enough values for the similarity.  (Lists of up to
-   ``SHORT_LIST`` members simply give their pairs, for step 3.)  Only pairs
-   across components count; pairs within one could not change it.  So the
-   components are exact.
+   places that leave enough values for the similarity.  The smaller set of a
+   pair holds that value among its first ninth (at 80 percent), so only such
+   rows are joined with all rows of the value.  (Lists of up to ``SHORT_LIST``
+   members simply give their pairs, for step 3.)  Only pairs across components
+   count; pairs within one could not change it.  They are left out before they
+   are formed: of a value whose rows lie in one component none are taken, and
+   else one side leaves out the component with most rows.  So the components
+   are exact, and a family costs what its pairs across components do.
 
 Rows with the same doc_id and different texts are judged one by one; a row
 without doc_id is linked with nothing and has no component.
@@ -210,6 +214,26 @@ def _histogram(buckets: DataFrame) -> np.ndarray:
 PAIR = "a long, b long"
 
 
+def _meetings(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node_a < node_b) of different labels that share a value at places that leave enough for the similarity.
+
+    With ``reach`` the size of the largest set that a row's place leaves enough
+    for, that is n_a <= reach_b and n_b <= reach_a.  So at least the row of the
+    smaller set reaches its own size: the ``near`` ones.
+    """
+    rows = rare.withColumn("reach", F.expr(f"((n - place) * {100 + percent} - n * {percent}) div {percent}"))
+    by_label = rows.groupBy("value", "label").agg(F.count("*").alias("rows"), F.count_if(F.expr("reach >= n")).alias("near"))
+    most = by_label.groupBy("value").agg(F.max(F.struct("rows", "label")).alias("most"), F.count("*").alias("labels"), F.sum("near").alias("near"))
+    most = most.where("labels > 1 and near > 0").select("value", F.col("most.label").alias("major"))
+    rows = stored(rows.join(most, "value").withColumn("minor", F.expr("label <> major")), "meeting")
+    side = lambda df, x: df.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "reach")))
+    # a near row outside the major component with any row, and one inside with the rows outside
+    met = side(rows.where("reach >= n and minor"), "x").join(side(rows, "y"), "value").union(
+        side(rows.where("reach >= n and not minor"), "x").join(side(rows.where("minor"), "y"), "value"))
+    return met.where("label_x <> label_y and n_x <= reach_y and n_y <= reach_x").select(
+        F.least("node_x", "node_y").alias("node_a"), F.greatest("node_x", "node_y").alias("node_b"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = SKETCH_SIZE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept.
 
@@ -262,18 +286,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: in
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
     mixed = stored(labelled.join(mixed, "key"), "mixed")
 
-    def across(rows: DataFrame, by: str, *more: str) -> DataFrame:
-        left, right = (rows.select(by, *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", *more))) for x in "ab")
-        return left.join(right, by).where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")))
+    def across(rows: DataFrame) -> DataFrame:
+        left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label"))) for x in "ab")
+        return left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")))
 
     as_pairs = [F.col("node_a").alias("a"), F.col("node_b").alias("b")]
-    short = across(mixed.where(F.col("n") <= SHORT_LIST), "key").select(*as_pairs).distinct()
+    short = across(mixed.where(F.col("n") <= SHORT_LIST)).select(*as_pairs).distinct()
     # long ones: on full sets, a pair must share a rare value at places that leave enough for the similarity
     unsure = stored(mixed.where(F.col("n") > SHORT_LIST).select("node", "label").distinct(), "unsure")
     counts = _histogram(texts(unsure).select("text").mapInArrow(_frequencies(width), "bucket long, n long"))
     rare = stored(texts(unsure).mapInArrow(_rarest(width, percent, counts), "value long, node long, label long, n long, place long"), "rare")
-    enough = F.expr(f"least(n_a - place_a, n_b - place_b) * {100 + percent} >= {percent} * (n_a + n_b)")
-    long = across(rare, "value", "n", "place").where(enough).select(*as_pairs).distinct()
+    long = _meetings(rare, percent).select(*as_pairs).distinct()
     label = connected(links.union(verified(short.union(long).distinct())))
 
     ids = (nodes.select("node", "content", "doc_id").join(label, "node", "left")

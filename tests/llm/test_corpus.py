@@ -1,5 +1,6 @@
 """Corpus operators on small tables: against plain Python versions, and on awkward rows."""
 
+import itertools
 import random
 import re
 import warnings
@@ -86,6 +87,21 @@ def test_near_duplicates_join_families_through_any_member(spark):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.near_duplicates(rows)
 
 
+def test_meetings_are_all_pairs_that_may_be_similar(spark):
+    """Against all pairs: same value, other label, places that leave enough; no row is left out with its pair."""
+    rng = random.Random(11)
+    rows = []
+    for value in range(12):
+        labels = [0] if value == 0 else range(rng.randint(1, 5))
+        for _ in range(rng.randint(1, 40)):
+            n = rng.randint(3, 40)
+            rows.append((value, len(rows), rng.choice(labels), n, rng.randrange(n - -(-80 * n // 100) + 1)))
+    got = minhash._meetings(spark.createDataFrame(rows, "value long, node long, label long, n long, place long"), 80)
+    wanted = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[2] != b[2]
+              and min(a[3] - a[4], b[3] - b[4]) * 180 >= 80 * (a[3] + b[3])}
+    assert {tuple(r) for r in got.distinct().collect()} == wanted and len(wanted) > 100
+
+
 def test_sketch_bounds():
     assert minhash.least_shared(64, 80) == 34 - 1 or 30 <= minhash.least_shared(64, 80) <= 36
     assert minhash.least_neighbours(64, 80) == 10
