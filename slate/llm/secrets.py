@@ -1,26 +1,33 @@
 """Secret scanning: fixed patterns plus a linear-chain conditional random field.
 
-Tokens are runs of characters that keys are made of.  A token that could not be
-a secret (under 8 characters, or a plain word) is outside by definition; the
-others form chains of neighbours, and the field tags each chain's tokens as
-begin, inside or outside.  As the tokens around a chain are known to be outside,
-chains are independent and Viterbi over a chain is exact.
+Tokens are all runs of characters between blanks, quotes, brackets and the marks
+``= : , ; | ` ``, whatever their length and letters; the marks around a token
+belong to its context.  The field tags every token of a text as begin, inside or
+outside.  A token whose state scores prove that no best path tags it other than
+outside (see ``uncertain``) needs no search; Viterbi runs on the rest, and so is
+exact for the whole text.
 
 Features are the token's shape, the words and marks before and after it, and
-counts over the whole file, hashed into a table of fixed size.  The field is
-trained here by maximum likelihood on a bounded sample of chains, tagged by the
-fixed patterns (a hexadecimal run needs a letter to count: bare digits are more
-often card or phone numbers).  What it learns of shape and context then finds
-secrets that the patterns miss; the patterns' own spans always stay, and the
-field's are those that overlap none of them.
+counts over the whole file, hashed into a table of fixed size.  Each comes from
+one token, one gap or the file, so the state scores of a text are sums of rows of
+small tables that each task fills as it meets new tokens and gaps.
+
+The field is trained here by maximum likelihood on a bounded sample of pieces of
+texts, tagged by the fixed patterns: the value of an assignment, access keys, and
+hexadecimal runs that have a letter (bare digits are more often card or phone
+numbers).  What it learns of shape and context then finds secrets that the
+patterns miss; the patterns' own spans always stay, and the field's are those
+that overlap none of them.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from bisect import bisect_left
-from operator import itemgetter
 from collections.abc import Iterator
+from functools import partial
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -36,18 +43,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is matched whole
 KINDS = ("assign", "access", "hex", "crf")
 
-TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_.-]{6,}[A-Za-z0-9+/_]={0,2}")
-WORD = re.compile(r"[A-Za-z0-9_]+")
+#: Splitting by it gives gap, token, gap, ..., token, gap.
+TOKEN = re.compile(r"([^\s\"'`=:,;()<>\[\]{}|]+)")
 OUTSIDE, BEGIN, INSIDE = range(3)
-#: Chains (with a secret, without one) that training reads at most; the smallest hashes are drawn.
+#: Pieces of each kind (with a secret; without one, but with a key-like token; others) that training reads at most; the
+#: smallest hashes are drawn.
 SAMPLE_CHAINS = 3000
-#: Longer chains are cut into pieces of so many tokens for training; decoding takes them whole.
-PIECE = 64
-FEATURES = 1 << 15
+#: Texts are cut into pieces of so many tokens for training; decoding takes them whole.
+PIECE = 16
+FEATURES = 1 << 18
 STEPS, RATE, PENALTY = 80, 0.1, 1e-3
-#: Features in fewer chains are not learned: the fixed patterns miss some secrets, and these must not be learned by heart.
+#: Features in fewer pieces are not learned: the fixed patterns miss some secrets, and these must not be learned by heart.
 LEAST_CHAINS = 5
 FORBIDDEN = -1e9
+#: Rows of a task's tables of scores, after which it starts new ones; longer tokens are not remembered.
+MEMORY, LONGEST = 200_000, 64
 
 
 def fixed_spans(text: str) -> list[tuple[int, int, int]]:
@@ -60,53 +70,124 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
-def _plain(token: str) -> bool:
-    return token.isalpha() and (token[1:].islower() or token.isupper())
+def _pieces(text: str) -> tuple[list[str], np.ndarray]:
+    """Gaps and tokens in turn, and where each starts."""
+    parts = TOKEN.split(text)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    return parts, ends - np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 def _chains(text: str) -> list[list[tuple[int, int]]]:
-    """Spans of tokens that may be secret, in runs with nothing but marks between them."""
-    chains: list[list[tuple[int, int]]] = []
-    for m in TOKEN.finditer(text):
-        if _plain(m[0]):
-            continue
-        if chains and not WORD.search(text, chains[-1][-1][1], m.start()):
-            chains[-1].append(m.span())
-        else:
-            chains.append([m.span()])
-    return chains
+    """The text's tokens as one chain of (start, end); none without tokens."""
+    parts, starts = _pieces(text)
+    chain = [(int(at), int(at) + len(t)) for at, t in zip(starts[1::2], parts[1::2], strict=True)]
+    return [chain] if chain else []
 
 
 def _bucket(x: float, *edges: float) -> int:
     return bisect_left(edges, x)
 
 
-def _features(text: str, chain: list[tuple[int, int]], file: list[str]) -> list[np.ndarray]:
-    out = []
-    for start, end in chain:
-        t, n = text[start:end], end - start
-        digits, upper = sum(c.isdigit() for c in t), sum(c.isupper() for c in t)
-        lower = sum(c.islower() for c in t)
-        turns = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in zip(t, t[1:], strict=False))
-        shape = f"{digits > 0:d}{upper > 0:d}{lower > 0:d}{digits + upper + lower < n:d}"
-        size = _bucket(n, 11, 15, 19, 31, 47)
-        before, after = text[max(0, start - 60) : start], text[end : end + 20]
-        words = [w.lower() for w in WORD.findall(before)][-2:]
-        mark = before.rstrip(" ")[-1:] if before.endswith(" ") else before[-1:]
-        f = ["bias", f"shape={shape}", f"size={size}", f"shape,size={shape},{size}", f"hex={not set(t) - set('0123456789abcdef')}",
-             f"digits={_bucket(digits / n, 0.0, 0.2, 0.5, 0.8, 0.99)}", f"turns={_bucket(turns / n, 0.05, 0.15, 0.3, 0.5)}",
-             f"varied={_bucket(len(set(t)) / n, 0.2, 0.4, 0.6, 0.8)}", f"dots={t.count('.')}", f"head={t[:4] if t[:4].isupper() else ''}",
-             f"mark={mark}", f"quoted={mark in '\"\'' and after[:1] in '\"\'' and mark != ''}", f"next={after[:1]}",
-             f"assigned={bool(re.search(r'[:=][ \"\']*$', before))}"]
-        f += [f"word-{i}={w}" for i, w in enumerate(reversed(words), 1)]
-        out.append(np.array([xxhash.xxh32_intdigest(x.encode()) % FEATURES for x in f + file]))
-    return out
+def _key_like(t: str) -> bool:
+    return len(t) >= 8 and any(c.isdigit() for c in t)
+
+
+def _token_features(token: str) -> list[str]:
+    t = token.rstrip(".?") or token
+    n = len(t)
+    digits, upper = sum(c.isdigit() for c in t), sum(c.isupper() for c in t)
+    lower = sum(c.islower() for c in t)
+    turns = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in zip(t, t[1:], strict=False))
+    shape = f"{digits > 0:d}{upper > 0:d}{lower > 0:d}{digits + upper + lower < n:d}"
+    size = _bucket(n, 3, 5, 7, 11, 15, 19, 31, 47)
+    return ["bias", f"shape={shape}", f"size={size}", f"shape,size={shape},{size}", f"hex={not set(t) - set('0123456789abcdef')}",
+            f"digits={_bucket(digits / n, 0.0, 0.2, 0.5, 0.8, 0.99)}", f"turns={_bucket(turns / n, 0.05, 0.15, 0.3, 0.5)}",
+            f"varied={_bucket(len(set(t)) / n, 0.2, 0.4, 0.6, 0.8)}", f"dots={_bucket(t.count('.'), 0, 1, 3)}",
+            f"head={t[:4] if t[:4].isupper() else ''}", f"known={t if n < 12 else ''}"]
+
+
+def _before_features(token: str) -> list[list[str]]:
+    """Of the next token, and of the one after it."""
+    w = token.lower()
+    return [[f"word-1={w}", f"first-1={w[:4]}", f"last-1={w[-3:]}"], [f"word-2={w}"]]
+
+
+def _gap_features(gap: str) -> list[list[str]]:
+    """Of the token after the gap, and of the one before it."""
+    mark = gap.strip()[-1:] or gap[-1:]
+    return [[f"mark={mark}", f"assigned={bool(re.search(r'[:=][ \"\']*$', gap))}"], [f"next={gap[:1]}"]]
 
 
-def _file_features(text: str, chains: list[list[tuple[int, int]]]) -> list[str]:
-    lines = text.count("\n") + 1
+def _file_features(text: str) -> list[str]:
+    lines, raw = text.count("\n") + 1, np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    digits = np.count_nonzero((raw >= 48) & (raw < 58)) / (len(raw) + 1)
     return [f"file-assignments={_bucket((text.count('=') + text.count(':')) / lines, 0.0, 0.1, 0.5, 1)}",
-            f"file-tokens={_bucket(1000 * sum(map(len, chains)) / (len(text) + 1), 0.3, 1, 3, 10)}"]
+            f"file-digits={_bucket(digits, 0.001, 0.005, 0.02, 0.1)}"]
+
+
+QUOTED = "quoted"
+
+
+def _quotes(gap: str) -> tuple[bool, bool]:
+    """Whether a token after the gap, and one before it, has a quote next to it."""
+    return gap[-1:] in ("\"", "'"), gap[:1] in ("\"", "'")
+
+
+def _numbers(features: list[str]) -> list[int]:
+    return [xxhash.xxh32_intdigest(x.encode("utf-8", "replace")) % FEATURES for x in features]
+
+
+def _features(parts: list[str], at: int, file: list[str], words: bool = True) -> list[int]:
+    """Feature numbers of the token ``parts[at]``, with or without those of the words before it."""
+    f = _token_features(parts[at]) + _gap_features(parts[at - 1])[0] + _gap_features(parts[at + 1])[1] + file
+    if words and at >= 3:
+        f += _before_features(parts[at - 2])[0]
+    if words and at >= 5:
+        f += _before_features(parts[at - 4])[1]
+    if _quotes(parts[at - 1])[0] and _quotes(parts[at + 1])[1]:
+        f.append(QUOTED)
+    return _numbers(f)
+
+
+class _Rows(dict):
+    """Key -> row of a table, computed when a key is first met."""
+
+    def __init__(self, width: int, row) -> None:
+        super().__init__()
+        self.table, self.used, self.row = np.empty((1024, width)), 0, row
+
+    def __missing__(self, key: str) -> int:
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        at, self.used = self.used, self.used + 1
+        self.table[at] = self.row(key)
+        if len(key) <= LONGEST:
+            self[key] = at
+        return at
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        if self.used > MEMORY:
+            self.clear()
+            self.table, self.used = np.empty((1024, self.table.shape[1])), 0
+        at = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+        return self.table[at]
+
+
+class Scorer:
+    """State scores of texts under given weights."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        total = lambda features: weights[_numbers(features)].sum(0)
+        self.total = total
+        self.tokens = _Rows(9, lambda t: np.concatenate([total(f) for f in (_token_features(t), *_before_features(t))]))
+        self.gaps = _Rows(8, lambda g: np.concatenate([*(total(f) for f in _gap_features(g)), _quotes(g)]))
+
+    def emissions(self, text: str, parts: list[str]) -> np.ndarray:
+        t, g = self.tokens.of(parts[1::2]), self.gaps.of(parts[0::2])
+        e = t[:, :3] + g[:-1, :3] + g[1:, 3:6] + self.total(_file_features(text))
+        e[1:] += t[:-1, 3:6]
+        e[2:] += t[:-2, 6:9]
+        return e + (g[:-1, 6] * g[1:, 7])[:, None] * self.total([QUOTED])
 
 
 def _covered(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -125,6 +206,13 @@ def _overlaps(covered: list[tuple[int, int]], start: int, end: int) -> bool:
     return at > 0 and covered[at - 1][1] > start
 
 
+def _secret_values(text: str) -> list[tuple[int, int, int]]:
+    """What the fixed patterns say is secret: of an assignment, its value."""
+    values = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 12] if "=" in text or ":" in text else []
+    rest = [s for s in fixed_spans(text) if s[1] == 1 or (s[1] == 2 and not text[s[0] : s[2]].isdigit())]
+    return sorted([(a, 0, b) for a, b in values] + rest)
+
+
 def _weak_tags(chain: list[tuple[int, int]], covered: list[tuple[int, int]]) -> list[int]:
     tags = []
     for start, end in chain:
@@ -133,24 +221,43 @@ def _weak_tags(chain: list[tuple[int, int]], covered: list[tuple[int, int]]) ->
     return tags
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains for training: hash, whether it has a secret, tags, number of features by token, features."""
+def _examples(batches: Iterator[pa.RecordBatch], bound: int = SAMPLE_CHAINS) -> Iterator[pa.RecordBatch]:
+    """Pieces for training: hash, kind, whether it has a secret, tags, number of features by token, features.
+
+    Half of the pieces (by hash) go without the words before a token, so that the
+    patterns' own key words do not carry all the weight.  Of each kind the ``bound`` distinct pieces of smallest hash in the task: no
+    other can be among those of all rows.
+    """
+    drawn: list[dict] = [{}, {}, {}]
+    heaps: list[list[int]] = [[], [], []]
+    odd = _Rows(1, lambda t: float(_key_like(t)))
     for batch in batches:
-        rows = []
         for text in batch.column("text").to_pylist():
-            if not (chains := _chains(text or "")):
+            parts, starts = _pieces(text or "")
+            n = len(parts) // 2
+            if not n:
                 continue
-            file = _file_features(text, chains)
-            covered = _covered([s for s in fixed_spans(text) if s[1] < 2 or not text[s[0] : s[2]].isdigit()])
-            for chain in (whole[at : at + PIECE] for whole in chains for at in range(0, len(whole), PIECE)):
-                tags = _weak_tags(chain, covered)
-                seen = xxhash.xxh3_64_intdigest(text[max(0, chain[0][0] - 20) : chain[-1][1] + 20].encode()) >> 1
-                f = _features(text, chain, file)
-                rows.append((seen, any(tags), tags, [len(x) for x in f], np.concatenate(f).tolist()))
-        yield pa.RecordBatch.from_pylist(
-            [dict(zip(("seen", "secret", "tags", "sizes", "features"), r, strict=True)) for r in rows],
-            pa.schema([("seen", pa.int64()), ("secret", pa.bool_()), ("tags", pa.list_(pa.int32())),
-                       ("sizes", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))]))
+            file, covered = None, _covered(_secret_values(text))
+            key_like = odd.of(parts[1::2])[:, 0] > 0
+            for at in range(0, n, PIECE):
+                end = min(n, at + PIECE)
+                span = int(starts[2 * at + 1]), int(starts[2 * end])
+                kind = 0 if _overlaps(covered, *span) else 1 if key_like[at:end].any() else 2
+                seen = xxhash.xxh3_64_intdigest("".join(parts[max(0, 2 * at - 4) : 2 * end + 1]).encode("utf-8", "replace")) >> 1
+                if seen in drawn[kind] or (len(heaps[kind]) == bound and seen > -heaps[kind][0]):
+                    continue
+                file = file or _file_features(text)
+                tags = _weak_tags([(int(starts[i]), int(starts[i]) + len(parts[i])) for i in range(2 * at + 1, 2 * end, 2)], covered)
+                f = [_features(parts, i, file, seen % 2 == 0) for i in range(2 * at + 1, 2 * end, 2)]
+                drawn[kind][seen] = (seen, kind, kind == 0, tags, [len(x) for x in f], [y for x in f for y in x])
+                heapq.heappush(heaps[kind], -seen)
+                if len(heaps[kind]) > bound:
+                    del drawn[kind][-heapq.heappop(heaps[kind])]
+    schema = pa.schema([("seen", pa.int64()), ("kind", pa.int32()), ("secret", pa.bool_()), ("tags", pa.list_(pa.int32())),
+                        ("sizes", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))])
+    rows = [dict(zip(schema.names, r, strict=True)) for kind in drawn for r in kind.values()]
+    for at in range(0, len(rows), 1000):
+        yield pa.RecordBatch.from_pylist(rows[at : at + 1000], schema)
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -227,19 +334,40 @@ def viterbi(emissions: np.ndarray, moves: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
-def new_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray, moves: np.ndarray) -> list[tuple[int, int, int]]:
-    """The field's spans that overlap none of the fixed patterns'."""
-    covered = _covered(base)
-    return [s for s in tagged_spans(text, weights, moves) if not _overlaps(covered, s[0], s[2])]
+def uncertain(e: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Numbers of the tokens that some best path may tag other than outside.
 
-
-def tagged_spans(text: str, weights: np.ndarray, moves: np.ndarray) -> list[tuple[int, int, int]]:
-    if not (chains := _chains(text)):
+    Take a path that tags token i begin or inside, make it outside there, and make
+    the next token begin if it was inside.  State scores then rise by at least the
+    first two terms below, and moves fall by at most ``most``, the greatest fall over
+    all tags around; where the sum is positive, no best path has such a tag.
+    """
+    tags = (OUTSIDE, BEGIN, INSIDE)
+    most = 0.0
+    for p in tags:
+        for t in (BEGIN, INSIDE):
+            if p == OUTSIDE and t == INSIDE:
+                continue
+            for n in tags:
+                new = BEGIN if n == INSIDE else n
+                after = 0.0 if n != INSIDE else max(moves[n, x] - moves[new, x] for x in tags)
+                most = max(most, moves[p, t] + moves[t, n] - moves[p, OUTSIDE] - moves[OUTSIDE, new] + after)
+    rise = e[:, OUTSIDE] - e[:, 1:].max(1)
+    rise[:-1] -= np.maximum(0, e[1:, INSIDE] - e[1:, BEGIN])
+    return np.flatnonzero(rise <= most + 1e-9)
+
+
+def tagged_spans(text: str, scorer: Scorer, moves: np.ndarray) -> list[tuple[int, int, int]]:
+    """Spans that the best path through all tokens of the text tags; end marks of a sentence are left out."""
+    parts, starts = _pieces(text)
+    if len(parts) < 3:
         return []
-    file, out = _file_features(text, chains), []
-    for chain in chains:
-        tags = viterbi(np.array([weights[f].sum(0) for f in _features(text, chain, file)]), moves)
-        for (start, end), tag in zip(chain, tags, strict=True):
+    e, out = scorer.emissions(text, parts), []
+    at = uncertain(e, moves)
+    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+        for i, tag in zip(run, viterbi(e[run], moves), strict=True):
+            token, start = parts[2 * i + 1], int(starts[2 * i + 1])
+            end = start + (len(token.rstrip(".?")) or len(token))
             if tag == BEGIN:
                 out.append((start, 3, end))
             elif tag == INSIDE:
@@ -247,21 +375,26 @@ def tagged_spans(text: str, weights: np.ndarray, moves: np.ndarray) -> list[tupl
     return out
 
 
+def new_spans(text: str, base: list[tuple[int, int, int]], scorer: Scorer, moves: np.ndarray) -> list[tuple[int, int, int]]:
+    """The field's spans that overlap none of the fixed patterns'."""
+    covered = _covered(base)
+    return [s for s in tagged_spans(text, scorer, moves) if not _overlaps(covered, s[0], s[2])]
+
+
 def train(docs: DataFrame, sample_chains: int = SAMPLE_CHAINS) -> tuple[np.ndarray, np.ndarray]:
-    """A field fitted to at most ``sample_chains`` distinct chains with a secret and as many without.
+    """A field fitted to at most ``sample_chains`` distinct pieces of each kind.
 
-    Copies are dropped before the bound: one copied text cannot fill the sample.
+    A piece counts once, however many copies it has: one copied text cannot fill the sample.
     """
-    rows = stored(docs.select("text").mapInArrow(
-        _examples, "seen long, secret boolean, tags array<int>, sizes array<int>, features array<int>"), "chains")
+    columns = "seen long, kind int, secret boolean, tags array<int>, sizes array<int>, features array<int>"
+    rows = stored(docs.select("text").mapInArrow(partial(_examples, bound=sample_chains), columns), "chains")
     drawn = []
-    for secret in (True, False):
-        part = rows.where(F.col("secret") == secret)
-        # so many distinct hashes are enough; only their rows move whole
+    for kind in range(3):
+        part = rows.where(F.col("kind") == kind)
         most = part.select("seen").distinct().orderBy("seen").limit(sample_chains).agg(F.max("seen")).first()[0]
-        part = part.where(F.col("seen") <= F.lit(most)).dropDuplicates(["seen", "tags", "features"])
-        drawn += part.orderBy("seen", "tags", "features").limit(sample_chains).collect()
-    return fit([(r.tags, np.split(np.array(r.features), np.cumsum(r.sizes)[:-1])) for r in drawn])
+        part = part.where(F.col("seen") <= F.lit(most)).groupBy("seen").agg(F.min(F.struct("tags", "sizes", "features")).alias("p"))
+        drawn += part.orderBy("seen").select("p.*").collect()
+    return fit([(r.tags, np.split(np.array(r.features, np.int64), np.cumsum(r.sizes)[:-1])) for r in drawn])
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -278,11 +411,14 @@ def scan(docs: DataFrame, sample_chains: int = SAMPLE_CHAINS) -> DataFrame:
     span = "array<struct<kind:string,start:int,end:int>>"
 
     @F.pandas_udf(f"struct<base:{span},spans:{span}>")
-    def find(texts: pd.Series) -> pd.DataFrame:
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         named = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
-        base = [fixed_spans(t or "") for t in texts]
-        more = [new_spans(t or "", b, *model.value) for t, b in zip(texts, base, strict=True)]
-        return pd.DataFrame({"base": map(named, base), "spans": [named(sorted(a + b)) for a, b in zip(base, more, strict=True)]})
+        weights, moves = model.value
+        scorer = Scorer(weights)
+        for texts in batches:
+            base = [fixed_spans(t or "") for t in texts]
+            more = [new_spans(t or "", b, scorer, moves) for t, b in zip(texts, base, strict=True)]
+            yield pd.DataFrame({"base": map(named, base), "spans": [named(sorted(a + b)) for a, b in zip(base, more, strict=True)]})
 
     return docs.select("doc_id", find(F.col("text")).alias("found")).select("doc_id", "found.base", "found.spans")
 
