@@ -15,7 +15,8 @@ small tables that each task fills as it meets new tokens and gaps.
 The field is trained here by maximum likelihood on a bounded sample of pieces of
 texts, tagged by the fixed patterns: the value of an assignment, access keys, and
 hexadecimal runs that have a letter (bare digits are more often card or phone
-numbers).  What it learns of shape and context then finds secrets that the
+numbers).  Half of these are learned in a form that the patterns do not know
+(short groups, plain letters, capitals, with marks).  What it learns of shape and context then finds secrets that the
 patterns miss; the patterns' own spans always stay, and the field's are those
 that overlap none of them.
 """
@@ -51,6 +52,7 @@ OUTSIDE, BEGIN, INSIDE = range(3)
 SAMPLE_CHAINS = 3000
 #: Texts are cut into pieces of so many tokens for training; decoding takes them whole.
 PIECE = 16
+KINDS_OF_PIECE = 3
 FEATURES = 1 << 18
 STEPS, RATE, PENALTY = 80, 0.1, 1e-3
 #: Features in fewer pieces are not learned: the fixed patterns miss some secrets, and these must not be learned by heart.
@@ -206,6 +208,35 @@ def _overlaps(covered: list[tuple[int, int]], start: int, end: int) -> bool:
     return at > 0 and covered[at - 1][1] > start
 
 
+#: Digits, as letters; and marks that rewritten values hold.
+_LETTERS, _MARKS = str.maketrans("0123456789", "gkmqrtvxyz"), "!$@#%&*^~?"
+
+
+def rewritten(value: str, number: int) -> str:
+    """A value in a form that the patterns do not know: short groups, letters, capitals, or with marks."""
+    plain = "".join(c for c in value if c.isalnum())
+    letters = plain.translate(_LETTERS)
+    if number % 8 < 4:  # of half of them the groups hold no digits
+        plain = letters
+    parts = [plain[i : i + 4] for i in range(0, len(plain), 4)]
+    form = number % 4
+    if form == 0:
+        return " ".join(parts[:6]).lower()
+    if form == 3:
+        return "".join(part + _MARKS[(number + i) % len(_MARKS)] for i, part in enumerate(parts[:4]))
+    return letters.lower() if form == 1 else letters.upper()
+
+
+def _rewritten_piece(text: str, span: tuple[int, int], number: int) -> tuple[list[str], list[int]]:
+    """Parts and tags of a secret's surroundings with the secret rewritten."""
+    start, end = span
+    value = rewritten(text[start:end], number)
+    left = max(0, start - 60)
+    parts, starts = _pieces(text[left:start] + value + text[end : end + 60])
+    chain = [(int(a), int(a) + len(t)) for a, t in zip(starts[1::2], parts[1::2], strict=True)]
+    return parts, _weak_tags(chain, [(start - left, start - left + len(value))])
+
+
 def _secret_values(text: str) -> list[tuple[int, int, int]]:
     """What the fixed patterns say is secret: of an assignment, its value."""
     values = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 12] if "=" in text or ":" in text else []
@@ -228,9 +259,23 @@ def _examples(batches: Iterator[pa.RecordBatch], bound: int = SAMPLE_CHAINS) ->
     patterns' own key words do not carry all the weight.  Of each kind the ``bound`` distinct pieces of smallest hash in the task: no
     other can be among those of all rows.
     """
-    drawn: list[dict] = [{}, {}, {}]
-    heaps: list[list[int]] = [[], [], []]
+    drawn: list[dict] = [{} for _ in range(KINDS_OF_PIECE)]
+    heaps: list[list[int]] = [[] for _ in drawn]
     odd = _Rows(1, lambda t: float(_key_like(t)))
+
+    def wanted(kind: int, seen: int) -> bool:
+        return seen not in drawn[kind] and (len(heaps[kind]) < bound or seen < -heaps[kind][0])
+
+    def draw(kind: int, seen: int, forms: list[tuple[list[int], list[list[int]]]]) -> None:
+        flat = [(tags, [len(x) for x in f], [y for x in f for y in x]) for tags, f in forms]
+        drawn[kind][seen] = (seen, kind, any(flat[0][0]), *flat[0], [dict(zip(("tags", "sizes", "features"), f, strict=True)) for f in flat[1:]])
+        heapq.heappush(heaps[kind], -seen)
+        if len(heaps[kind]) > bound:
+            del drawn[kind][-heapq.heappop(heaps[kind])]
+
+    def digest(piece: str) -> int:
+        return xxhash.xxh3_64_intdigest(piece.encode("utf-8", "replace")) >> 1
+
     for batch in batches:
         for text in batch.column("text").to_pylist():
             parts, starts = _pieces(text or "")
@@ -241,20 +286,20 @@ def _examples(batches: Iterator[pa.RecordBatch], bound: int = SAMPLE_CHAINS) ->
             key_like = odd.of(parts[1::2])[:, 0] > 0
             for at in range(0, n, PIECE):
                 end = min(n, at + PIECE)
-                span = int(starts[2 * at + 1]), int(starts[2 * end])
-                kind = 0 if _overlaps(covered, *span) else 1 if key_like[at:end].any() else 2
-                seen = xxhash.xxh3_64_intdigest("".join(parts[max(0, 2 * at - 4) : 2 * end + 1]).encode("utf-8", "replace")) >> 1
-                if seen in drawn[kind] or (len(heaps[kind]) == bound and seen > -heaps[kind][0]):
+                kind = 0 if _overlaps(covered, int(starts[2 * at + 1]), int(starts[2 * end])) else 1 if key_like[at:end].any() else 2
+                if not wanted(kind, seen := digest("".join(parts[max(0, 2 * at - 4) : 2 * end + 1]))):
                     continue
                 file = file or _file_features(text)
-                tags = _weak_tags([(int(starts[i]), int(starts[i]) + len(parts[i])) for i in range(2 * at + 1, 2 * end, 2)], covered)
-                f = [_features(parts, i, file, seen % 2 == 0) for i in range(2 * at + 1, 2 * end, 2)]
-                drawn[kind][seen] = (seen, kind, kind == 0, tags, [len(x) for x in f], [y for x in f for y in x])
-                heapq.heappush(heaps[kind], -seen)
-                if len(heaps[kind]) > bound:
-                    del drawn[kind][-heapq.heappop(heaps[kind])]
+                at_tokens = range(2 * at + 1, 2 * end, 2)
+                tags = _weak_tags([(int(starts[i]), int(starts[i]) + len(parts[i])) for i in at_tokens], covered)
+                forms = [(tags, [_features(parts, i, file, seen % 2 == 0) for i in at_tokens])]
+                for span in covered[max(0, bisect_left(covered, int(starts[2 * at + 1]), key=itemgetter(1))) :][:1] if kind == 0 else ():
+                    own, own_tags = _rewritten_piece(text, span, seen >> 2)
+                    forms.append((own_tags, [_features(own, i, file, seen % 2 == 0) for i in range(1, len(own), 2)]))
+                draw(kind, seen, forms)
     schema = pa.schema([("seen", pa.int64()), ("kind", pa.int32()), ("secret", pa.bool_()), ("tags", pa.list_(pa.int32())),
-                        ("sizes", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))])
+                        ("sizes", pa.list_(pa.int32())), ("features", pa.list_(pa.int32())),
+                        ("rewritten", pa.list_(pa.struct([(c, pa.list_(pa.int32())) for c in ("tags", "sizes", "features")])))])
     rows = [dict(zip(schema.names, r, strict=True)) for kind in drawn for r in kind.values()]
     for at in range(0, len(rows), 1000):
         yield pa.RecordBatch.from_pylist(rows[at : at + 1000], schema)
@@ -273,18 +318,20 @@ def _no_jump(transitions: np.ndarray) -> np.ndarray:
 
 def fit(chains: list[tuple[list[int], list[np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
     """State weights (feature, tag) and transitions (from, to) of highest penalised likelihood."""
-    weights, moves = np.zeros((FEATURES, 3)), np.zeros((3, 3))
+    learned, moves = np.zeros((FEATURES, 3)), np.zeros((3, 3))
     if not chains:
-        weights[:, OUTSIDE] = 1.0
-        return weights, _no_jump(moves)
+        learned[:, OUTSIDE] = 1.0
+        return learned, _no_jump(moves)
     frequent = np.bincount(np.concatenate([np.unique(np.concatenate(fs)) for _, fs in chains]), minlength=FEATURES) >= LEAST_CHAINS
+    number, weights = np.cumsum(frequent) - 1, np.zeros((np.count_nonzero(frequent), 3))  # the others stay 0
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, moves)]
     groups = []  # chains of one length at a time
     for n in sorted({len(tags) for tags, _ in chains}):
         own = [c for c in chains if len(c[0]) == n]
         sizes = np.array([len(f) for _, fs in own for f in fs])
-        groups.append((n, np.array([tags for tags, _ in own]), np.concatenate([f for _, fs in own for f in fs]),
-                       np.repeat(np.arange(len(sizes)), sizes)))
+        features, token = np.concatenate([f for _, fs in own for f in fs]), np.repeat(np.arange(len(sizes)), sizes)
+        kept = frequent[features]
+        groups.append((n, np.array([tags for tags, _ in own]), number[features[kept]], token[kept]))
     for step in range(1, STEPS + 1):
         grad_w, grad_m = PENALTY * len(chains) * weights, PENALTY * len(chains) * moves
         t = _no_jump(moves)
@@ -301,7 +348,7 @@ def fit(chains: list[tuple[list[int], list[np.ndarray]]]) -> tuple[np.ndarray, n
             total = _log_sum(forward[:, -1] + backward[:, -1], 1)
             gap = (np.exp(forward + backward - total[:, None, None]) - np.eye(3)[tags]).reshape(-1, 3)
             for k in range(3):
-                grad_w[:, k] += np.bincount(features, gap[token, k], FEATURES)
+                grad_w[:, k] += np.bincount(features, gap[token, k], len(weights))
             path = np.concatenate([np.zeros((count, 1), int), tags, np.zeros((count, 1), int)], 1)
             np.add.at(grad_m, (path[:, :-1], path[:, 1:]), -1.0)
             grad_m[OUTSIDE] += np.exp(forward[:, 0] + backward[:, 0] - total[:, None]).sum(0)
@@ -311,12 +358,11 @@ def fit(chains: list[tuple[list[int], list[np.ndarray]]]) -> tuple[np.ndarray, n
                 grad_m += np.exp(pair - total[:, None, None]).sum(0)
         for p, g, (m, v) in zip((weights, moves), (grad_w, grad_m), state, strict=True):
             g /= len(chains)
-            if g.ndim and len(g) == FEATURES:
-                g[~frequent] = 0
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return weights, _no_jump(moves)
+    learned[frequent] = weights
+    return learned, _no_jump(moves)
 
 
 def viterbi(emissions: np.ndarray, moves: np.ndarray) -> list[int]:
@@ -386,14 +432,18 @@ def train(docs: DataFrame, sample_chains: int = SAMPLE_CHAINS) -> tuple[np.ndarr
 
     A piece counts once, however many copies it has: one copied text cannot fill the sample.
     """
-    columns = "seen long, kind int, secret boolean, tags array<int>, sizes array<int>, features array<int>"
+    columns = ("seen long, kind int, secret boolean, tags array<int>, sizes array<int>, features array<int>, "
+               "rewritten array<struct<tags:array<int>,sizes:array<int>,features:array<int>>>")
     rows = stored(docs.select("text").mapInArrow(partial(_examples, bound=sample_chains), columns), "chains")
     drawn = []
-    for kind in range(3):
+    for kind in range(KINDS_OF_PIECE):
         part = rows.where(F.col("kind") == kind)
         most = part.select("seen").distinct().orderBy("seen").limit(sample_chains).agg(F.max("seen")).first()[0]
-        part = part.where(F.col("seen") <= F.lit(most)).groupBy("seen").agg(F.min(F.struct("tags", "sizes", "features")).alias("p"))
-        drawn += part.orderBy("seen").select("p.*").collect()
+        part = part.where(F.col("seen") <= F.lit(most)).groupBy("seen").agg(F.min(F.struct("tags", "sizes", "features", "rewritten")).alias("p"))
+        # half of the pieces that have one, by a bit of the hash, in the rewritten form
+        use = (F.size("p.rewritten") > 0) & (F.shiftright("seen", 1) % 2 == 0)
+        drawn += part.orderBy("seen").select(F.when(use, F.get("p.rewritten", F.lit(0)))
+                                             .otherwise(F.struct("p.tags", "p.sizes", "p.features")).alias("p")).select("p.*").collect()
     return fit([(r.tags, np.split(np.array(r.features, np.int64), np.cumsum(r.sizes)[:-1])) for r in drawn])
 
 
@@ -402,16 +452,21 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, sample_chains: int = SAMPLE_CHAINS) -> DataFrame:
+    """``find`` with a field trained on the rows themselves."""
+    return find(docs, train(docs, sample_chains))
+
+
+def find(docs: DataFrame, field: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, base (array of kind, start, end), spans (likewise, all).
 
     Offsets are code points, the end exclusive, ordered by start and kind.  A
     null or empty text has no spans.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, sample_chains))
+    model = docs.sparkSession.sparkContext.broadcast(field)
     span = "array<struct<kind:string,start:int,end:int>>"
 
     @F.pandas_udf(f"struct<base:{span},spans:{span}>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def spans_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         named = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
         weights, moves = model.value
         scorer = Scorer(weights)
@@ -420,7 +475,7 @@ def scan(docs: DataFrame, sample_chains: int = SAMPLE_CHAINS) -> DataFrame:
             more = [new_spans(t or "", b, scorer, moves) for t, b in zip(texts, base, strict=True)]
             yield pd.DataFrame({"base": map(named, base), "spans": [named(sorted(a + b)) for a, b in zip(base, more, strict=True)]})
 
-    return docs.select("doc_id", find(F.col("text")).alias("found")).select("doc_id", "found.base", "found.spans")
+    return docs.select("doc_id", spans_of(F.col("text")).alias("found")).select("doc_id", "found.base", "found.spans")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -485,3 +485,42 @@ def test_no_python_in_native_operators():
 
     for module in (quality_rules, mixing, personal_data, decontaminate, sharding):
         assert not re.search(r"udf|pandas|mapIn|rdd|pyarrow", inspect.getsource(module), re.IGNORECASE), module
+
+
+def test_secret_field_finds_forms_that_no_pattern_knows(spark):
+    """Plain letters, short groups, capitals and marks behind key words that the patterns do not know; plain prose stays clean."""
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    key = lambda n: "".join(rng.choices(letters + letters.upper() + "0123456789", k=n)) + "7aZ"
+    assign = lambda name, value: f'{words(rng, 9)} {rng.choice((f"{name} = ", f"{name}: "))}"{value}" {words(rng, 7)}'
+    rows = [(i, assign(rng.choice(("password", "secret", "token", "api_key", "passwd")), key(rng.randint(14, 30)))) for i in range(600)]
+    rows += [(1000 + i, f'{words(rng, 9)} {words(rng, 1)}: {words(rng, 3)} "{words(rng, 2)}" = {words(rng, 1)} {rng.randint(10**6, 10**9)}, {words(rng, 6)}')
+             for i in range(600)]
+    forms = {"letters": lambda: "".join(rng.choices(letters, k=24)), "capitals": lambda: "".join(rng.choices(letters.upper(), k=20)),
+             "groups": lambda: " ".join("".join(rng.choices(letters, k=4)) for _ in range(4)),
+             "marks": lambda: "Xy7!kq9$Zr2@" + "".join(rng.choices(letters, k=3)) + "&4"}
+    planted, unseen = {}, []
+    for i, (form, make) in enumerate((form, make) for form, make in forms.items() for _ in range(25)):
+        value = make()
+        text = assign(rng.choice(("passphrase", "app-key", "secrets", "my_password")), value)
+        planted[2000 + i] = (form, text.index(value), text.index(value) + len(value))
+        unseen.append((2000 + i, text))
+    known, unseen = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows, unseen))
+    got = by_id(secrets.find(known.union(unseen), secrets.train(known)))
+    found = {form: sum(any(s["start"] <= a and s["end"] >= b for s in got[i]["spans"]) for i, (f, a, b) in planted.items() if f == form) for form in forms}
+    assert all(n >= 0.9 * 25 for n in found.values()), found
+    assert sum(bool(got[1000 + i]["spans"]) for i in range(600)) <= 6
+
+
+def test_tokens_left_out_of_the_search_are_outside():
+    """The search over open tokens gives the path of a search over all tokens."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 3, 40, 200):
+        moves = secrets._no_jump(rng.normal(size=(3, 3)))
+        e = rng.normal(size=(n, 3)) * 2 + np.array([4, 0, 0])
+        tags, at = np.zeros(n, int), secrets.uncertain(e, moves)
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+            tags[run] = secrets.viterbi(e[run], moves)
+        assert tags.tolist() == secrets.viterbi(e, moves)
