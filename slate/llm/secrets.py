@@ -25,9 +25,10 @@ from __future__ import annotations
 
 import heapq
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
 from operator import itemgetter
 
 import numpy as np
@@ -94,18 +95,32 @@ def _key_like(t: str) -> bool:
     return len(t) >= 8 and any(c.isdigit() for c in t)
 
 
-def _token_features(token: str) -> list[str]:
+HEX_DIGITS = frozenset("0123456789abcdef")
+
+
+def _shape(token: str) -> tuple:
+    """What the shape features of a token depend on."""
     t = token.rstrip(".?") or token
     n = len(t)
-    digits, upper = sum(c.isdigit() for c in t), sum(c.isupper() for c in t)
-    lower = sum(c.islower() for c in t)
-    turns = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in zip(t, t[1:], strict=False))
-    shape = f"{digits > 0:d}{upper > 0:d}{lower > 0:d}{digits + upper + lower < n:d}"
-    size = _bucket(n, 3, 5, 7, 11, 15, 19, 31, 47)
-    return ["bias", f"shape={shape}", f"size={size}", f"shape,size={shape},{size}", f"hex={not set(t) - set('0123456789abcdef')}",
-            f"digits={_bucket(digits / n, 0.0, 0.2, 0.5, 0.8, 0.99)}", f"turns={_bucket(turns / n, 0.05, 0.15, 0.3, 0.5)}",
-            f"varied={_bucket(len(set(t)) / n, 0.2, 0.4, 0.6, 0.8)}", f"dots={_bucket(t.count('.'), 0, 1, 3)}",
-            f"head={t[:4] if t[:4].isupper() else ''}", f"known={t if n < 12 else ''}"]
+    size, letters = _bucket(n, 3, 5, 7, 11, 15, 19, 31, 47), set(t)
+    varied, hexadecimal = _bucket(len(letters) / n, 0.2, 0.4, 0.6, 0.8), letters <= HEX_DIGITS
+    if t.isalpha() and t.islower():
+        return size, varied, hexadecimal, "0010", 0, 0, 0, ""
+    digits, upper = sum(map(str.isdigit, t)), sum(map(str.isupper, t))
+    lower = sum(map(str.islower, t))
+    turns = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in pairwise(t))
+    return (size, varied, hexadecimal, f"{digits > 0:d}{upper > 0:d}{lower > 0:d}{digits + upper + lower < n:d}",
+            _bucket(digits / n, 0.0, 0.2, 0.5, 0.8, 0.99), _bucket(turns / n, 0.05, 0.15, 0.3, 0.5), _bucket(t.count("."), 0, 1, 3),
+            t[:4] if t[:4].isupper() else "")
+
+
+def _shape_features(size: int, varied: int, hexadecimal: bool, shape: str, digits: int, turns: int, dots: int, head: str) -> list[str]:
+    return ["bias", f"shape={shape}", f"size={size}", f"shape,size={shape},{size}", f"hex={hexadecimal}", f"digits={digits}",
+            f"turns={turns}", f"varied={varied}", f"dots={dots}", f"head={head}"]
+
+
+def _known(token: str) -> str:
+    return f"known={token if len(token) < 12 else ''}"
 
 
 def _before_features(token: str) -> list[list[str]]:
@@ -141,7 +156,7 @@ def _numbers(features: list[str]) -> list[int]:
 
 def _features(parts: list[str], at: int, file: list[str], words: bool = True) -> list[int]:
     """Feature numbers of the token ``parts[at]``, with or without those of the words before it."""
-    f = _token_features(parts[at]) + _gap_features(parts[at - 1])[0] + _gap_features(parts[at + 1])[1] + file
+    f = _shape_features(*_shape(parts[at])) + [_known(parts[at])] + _gap_features(parts[at - 1])[0] + _gap_features(parts[at + 1])[1] + file
     if words and at >= 3:
         f += _before_features(parts[at - 2])[0]
     if words and at >= 5:
@@ -167,10 +182,13 @@ class _Rows(dict):
             self[key] = at
         return at
 
-    def of(self, keys: list[str]) -> np.ndarray:
+    def trim(self) -> None:
         if self.used > MEMORY:
             self.clear()
             self.table, self.used = np.empty((1024, self.table.shape[1])), 0
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        self.trim()
         at = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
         return self.table[at]
 
@@ -179,12 +197,30 @@ class Scorer:
     """State scores of texts under given weights."""
 
     def __init__(self, weights: np.ndarray) -> None:
-        total = lambda features: weights[_numbers(features)].sum(0)
-        self.total = total
-        self.tokens = _Rows(9, lambda t: np.concatenate([total(f) for f in (_token_features(t), *_before_features(t))]))
-        self.gaps = _Rows(8, lambda g: np.concatenate([*(total(f) for f in _gap_features(g)), _quotes(g)]))
+        known = {int(i): tuple(weights[i].tolist()) for i in np.flatnonzero(weights.any(1))}
+
+        def total(features: list[str]) -> list[float]:
+            a = b = c = 0.0
+            for i in _numbers(features):
+                if i in known:
+                    x, y, z = known[i]
+                    a, b, c = a + x, b + y, c + z
+            return [a, b, c]
+
+        self.total = lambda features: np.array(total(features))
+        self.shapes = _Rows(3, lambda key: total(_shape_features(*key)))
+
+        def token_row(t: str) -> list[float]:
+            at = self.shapes[_shape(t)]  # may make the table anew
+            a, b, c = self.shapes.table[at].tolist()
+            own, after, second = (total(f) for f in ([_known(t)], *_before_features(t)))
+            return [a + own[0], b + own[1], c + own[2], *after, *second]
+
+        self.tokens = _Rows(9, token_row)
+        self.gaps = _Rows(8, lambda g: [*(x for f in _gap_features(g) for x in total(f)), *_quotes(g)])
 
     def emissions(self, text: str, parts: list[str]) -> np.ndarray:
+        self.shapes.trim()
         t, g = self.tokens.of(parts[1::2]), self.gaps.of(parts[0::2])
         e = t[:, :3] + g[:-1, :3] + g[1:, 3:6] + self.total(_file_features(text))
         e[1:] += t[:-1, 3:6]
@@ -252,30 +288,21 @@ def _weak_tags(chain: list[tuple[int, int]], covered: list[tuple[int, int]]) ->
     return tags
 
 
+_FORM = "struct<parts:array<string>,lead:int,tags:array<int>>"
+_PIECE = f"seen long, kind int, secret boolean, tags array<int>, forms array<{_FORM}>, file array<string>"
+
+
 def _examples(batches: Iterator[pa.RecordBatch], bound: int = SAMPLE_CHAINS) -> Iterator[pa.RecordBatch]:
-    """Pieces for training: hash, kind, whether it has a secret, tags, number of features by token, features.
+    """Pieces for training: hash, kind, whether it has a secret, tags, forms (as it is, rewritten), file features.
 
-    Half of the pieces (by hash) go without the words before a token, so that the
-    patterns' own key words do not carry all the weight.  Of each kind the ``bound`` distinct pieces of smallest hash in the task: no
-    other can be among those of all rows.
+    A form has its gaps and tokens, the first ``lead`` of them context only.  Of
+    each kind the ``bound`` distinct pieces of smallest hash in the task: no other
+    can be among those of all rows.
     """
     drawn: list[dict] = [{} for _ in range(KINDS_OF_PIECE)]
     heaps: list[list[int]] = [[] for _ in drawn]
     odd = _Rows(1, lambda t: float(_key_like(t)))
-
-    def wanted(kind: int, seen: int) -> bool:
-        return seen not in drawn[kind] and (len(heaps[kind]) < bound or seen < -heaps[kind][0])
-
-    def draw(kind: int, seen: int, forms: list[tuple[list[int], list[list[int]]]]) -> None:
-        flat = [(tags, [len(x) for x in f], [y for x in f for y in x]) for tags, f in forms]
-        drawn[kind][seen] = (seen, kind, any(flat[0][0]), *flat[0], [dict(zip(("tags", "sizes", "features"), f, strict=True)) for f in flat[1:]])
-        heapq.heappush(heaps[kind], -seen)
-        if len(heaps[kind]) > bound:
-            del drawn[kind][-heapq.heappop(heaps[kind])]
-
-    def digest(piece: str) -> int:
-        return xxhash.xxh3_64_intdigest(piece.encode("utf-8", "replace")) >> 1
-
+    form = lambda parts, lead, tags: {"parts": parts, "lead": lead, "tags": tags}
     for batch in batches:
         for text in batch.column("text").to_pylist():
             parts, starts = _pieces(text or "")
@@ -286,25 +313,49 @@ def _examples(batches: Iterator[pa.RecordBatch], bound: int = SAMPLE_CHAINS) ->
             key_like = odd.of(parts[1::2])[:, 0] > 0
             for at in range(0, n, PIECE):
                 end = min(n, at + PIECE)
-                kind = 0 if _overlaps(covered, int(starts[2 * at + 1]), int(starts[2 * end])) else 1 if key_like[at:end].any() else 2
-                if not wanted(kind, seen := digest("".join(parts[max(0, 2 * at - 4) : 2 * end + 1]))):
+                first, last = int(starts[2 * at + 1]), int(starts[2 * end])
+                kind = 0 if _overlaps(covered, first, last) else 1 if key_like[at:end].any() else 2
+                left = max(0, 2 * at - 4)
+                own = parts[left : 2 * end + 1]
+                seen = xxhash.xxh3_64_intdigest("".join(own).encode("utf-8", "replace")) >> 1
+                if seen in drawn[kind] or (len(heaps[kind]) == bound and seen > -heaps[kind][0]):
                     continue
                 file = file or _file_features(text)
-                at_tokens = range(2 * at + 1, 2 * end, 2)
-                tags = _weak_tags([(int(starts[i]), int(starts[i]) + len(parts[i])) for i in at_tokens], covered)
-                forms = [(tags, [_features(parts, i, file, seen % 2 == 0) for i in at_tokens])]
-                for span in covered[max(0, bisect_left(covered, int(starts[2 * at + 1]), key=itemgetter(1))) :][:1] if kind == 0 else ():
-                    own, own_tags = _rewritten_piece(text, span, seen >> 2)
-                    forms.append((own_tags, [_features(own, i, file, seen % 2 == 0) for i in range(1, len(own), 2)]))
-                draw(kind, seen, forms)
+                tags = _weak_tags([(int(starts[i]), int(starts[i]) + len(parts[i])) for i in range(2 * at + 1, 2 * end, 2)], covered)
+                forms = [form(own, 2 * at - left, tags)]
+                if kind == 0:
+                    span = covered[bisect_right(covered, first, key=itemgetter(1))]  # the first that ends in the piece
+                    other, other_tags = _rewritten_piece(text, span, seen >> 2)
+                    forms.append(form(other, 0, other_tags))
+                drawn[kind][seen] = (seen, kind, kind == 0, tags, forms, file)
+                heapq.heappush(heaps[kind], -seen)
+                if len(heaps[kind]) > bound:
+                    del drawn[kind][-heapq.heappop(heaps[kind])]
+    texts = pa.list_(pa.string())
     schema = pa.schema([("seen", pa.int64()), ("kind", pa.int32()), ("secret", pa.bool_()), ("tags", pa.list_(pa.int32())),
-                        ("sizes", pa.list_(pa.int32())), ("features", pa.list_(pa.int32())),
-                        ("rewritten", pa.list_(pa.struct([(c, pa.list_(pa.int32())) for c in ("tags", "sizes", "features")])))])
+                        ("forms", pa.list_(pa.struct([("parts", texts), ("lead", pa.int32()), ("tags", pa.list_(pa.int32()))]))),
+                        ("file", texts)])
     rows = [dict(zip(schema.names, r, strict=True)) for kind in drawn for r in kind.values()]
     for at in range(0, len(rows), 1000):
         yield pa.RecordBatch.from_pylist(rows[at : at + 1000], schema)
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of drawn pieces: hash, tags, number of features by token, features.
+
+    Half of the pieces go without the words before a token, so that the patterns'
+    own key words do not carry all the weight.
+    """
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            parts = r["form"]["parts"]
+            f = [_features(parts, i, r["file"], r["seen"] % 2 == 0) for i in range(r["form"]["lead"] + 1, len(parts), 2)]
+            rows.append({"seen": r["seen"], "tags": r["form"]["tags"], "sizes": [len(x) for x in f], "features": [y for x in f for y in x]})
+        ints = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("seen", pa.int64()), ("tags", ints), ("sizes", ints), ("features", ints)]))
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
@@ -432,18 +483,16 @@ def train(docs: DataFrame, sample_chains: int = SAMPLE_CHAINS) -> tuple[np.ndarr
 
     A piece counts once, however many copies it has: one copied text cannot fill the sample.
     """
-    columns = ("seen long, kind int, secret boolean, tags array<int>, sizes array<int>, features array<int>, "
-               "rewritten array<struct<tags:array<int>,sizes:array<int>,features:array<int>>>")
-    rows = stored(docs.select("text").mapInArrow(partial(_examples, bound=sample_chains), columns), "chains")
+    rows = stored(docs.select("text").mapInArrow(partial(_examples, bound=sample_chains), _PIECE), "chains")
     drawn = []
     for kind in range(KINDS_OF_PIECE):
         part = rows.where(F.col("kind") == kind)
         most = part.select("seen").distinct().orderBy("seen").limit(sample_chains).agg(F.max("seen")).first()[0]
-        part = part.where(F.col("seen") <= F.lit(most)).groupBy("seen").agg(F.min(F.struct("tags", "sizes", "features", "rewritten")).alias("p"))
-        # half of the pieces that have one, by a bit of the hash, in the rewritten form
-        use = (F.size("p.rewritten") > 0) & (F.shiftright("seen", 1) % 2 == 0)
-        drawn += part.orderBy("seen").select(F.when(use, F.get("p.rewritten", F.lit(0)))
-                                             .otherwise(F.struct("p.tags", "p.sizes", "p.features")).alias("p")).select("p.*").collect()
+        part = part.where(F.col("seen") <= F.lit(most)).groupBy("seen").agg(F.min(F.struct("forms", "file")).alias("p"))
+        # of half of the pieces, by a bit of the hash, the rewritten form if there is one
+        use = F.when(F.shiftright("seen", 1) % 2 == 0, F.size("p.forms") - 1).otherwise(0)
+        part = part.select("seen", F.get("p.forms", use).alias("form"), "p.file")
+        drawn += part.mapInArrow(_numbered, "seen long, tags array<int>, sizes array<int>, features array<int>").orderBy("seen").collect()
     return fit([(r.tags, np.split(np.array(r.features, np.int64), np.cumsum(r.sizes)[:-1])) for r in drawn])
 
 
