@@ -434,24 +434,19 @@ def viterbi(emissions: np.ndarray, moves: np.ndarray) -> list[int]:
 def uncertain(e: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Numbers of the tokens that some best path may tag other than outside.
 
-    Take a path that tags token i begin or inside, make it outside there, and make
-    the next token begin if it was inside.  State scores then rise by at least the
-    first two terms below, and moves fall by at most ``most``, the greatest fall over
-    all tags around; where the sum is positive, no best path has such a tag.
+    Take a longest run of such tags in a path and make it outside: the score falls
+    by at most the sum of ``gain`` over the run plus ``ends``.  A token none of whose
+    runs (the best one by running sums) has a sum above 0 is outside in every best path.
     """
-    tags = (OUTSIDE, BEGIN, INSIDE)
-    most = 0.0
-    for p in tags:
-        for t in (BEGIN, INSIDE):
-            if p == OUTSIDE and t == INSIDE:
-                continue
-            for n in tags:
-                new = BEGIN if n == INSIDE else n
-                after = 0.0 if n != INSIDE else max(moves[n, x] - moves[new, x] for x in tags)
-                most = max(most, moves[p, t] + moves[t, n] - moves[p, OUTSIDE] - moves[OUTSIDE, new] + after)
-    rise = e[:, OUTSIDE] - e[:, 1:].max(1)
-    rise[:-1] -= np.maximum(0, e[1:, INSIDE] - e[1:, BEGIN])
-    return np.flatnonzero(rise <= most + 1e-9)
+    inner = moves[1:, 1:].max() - moves[OUTSIDE, OUTSIDE]
+    ends = moves[OUTSIDE, BEGIN] + moves[1:, OUTSIDE].max() - 2 * moves[OUTSIDE, OUTSIDE] - inner
+    gain = e[:, 1:].max(1) - e[:, OUTSIDE] + inner
+
+    def up_to(x: np.ndarray) -> np.ndarray:  # greatest sum of a run that ends here
+        total = np.cumsum(x)
+        return total - np.minimum.accumulate(total - x)
+
+    return np.flatnonzero(up_to(gain) + up_to(gain[::-1])[::-1] - gain + ends >= -1e-6)
 
 
 def tagged_spans(text: str, scorer: Scorer, moves: np.ndarray) -> list[tuple[int, int, int]]:
