@@ -107,8 +107,8 @@ class Build:
     id: str = field(default_factory=lambda: f"build-{uuid.uuid4().hex}")
     written: dict[str, str] = field(default_factory=dict)
 
-    def write(self, df: DataFrame, table: str, partition_by=(), sort_by=()) -> str:
-        path = write_table(df, self.warehouse.path(f"{table}/{self.id}"), "error", partition_by, sort_by=sort_by)
+    def write(self, df: DataFrame, table: str, partition_by=(), sort_by=(), rebalance: bool = True) -> str:
+        path = write_table(df, self.warehouse.path(f"{table}/{self.id}"), "error", partition_by, sort_by=sort_by, rebalance=rebalance)
         self.written[table] = f"{table}/{self.id}"
         return path
 
@@ -147,7 +147,7 @@ def _write_mart(build: Build, as_of: dt.date) -> dict[str, str]:
     a file (:func:`slate.sources.tables.date_range_scan`)."""
     player, schedule = build.read("player"), build.read("schedule")
     return _write_all({
-        "proj_player_points": lambda: build.write(reports.player_schedule_mart(player, schedule), "proj_player_points", ["week"], ["date"]),
+        "proj_player_points": lambda: build.write(reports.player_schedule_mart(player, schedule), "proj_player_points", ["week"], ["date"], rebalance=False),
         "player_points_detailed": lambda: build.write(horizon_detailed(player, schedule, as_of, HORIZON_DAYS), "player_points_detailed"),
         "player_points_slim": lambda: build.write(horizon_slim(player, schedule, as_of, HORIZON_DAYS), "player_points_slim"),
     })

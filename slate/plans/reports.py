@@ -8,6 +8,7 @@ materialised when the mart itself is asked for (R1).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -21,21 +22,58 @@ from slate.operators.filters import ReportParams
 from slate.operators.joins import join_small
 from slate.operators.reshape import games_played, listed, weekday_pivot
 from slate.operators.windows import rest_days
+from slate.session import store
 
 
-def player_schedule_mart(player: DataFrame, schedule: DataFrame) -> DataFrame:
+#: Mart rows of a week that one task makes (about; a file of the stored mart).
+MART_TASK_ROWS = 2_000_000
+#: ISO weeks are numbered 1 to 53.
+WEEK_NUMBERS = 54
+
+
+def player_schedule_mart(player: DataFrame, schedule: DataFrame, task_rows: int = MART_TASK_ROWS) -> DataFrame:
     """R1 (J1 + P1): one row per player and game of the player's team.
 
     Many-to-many fan-out on ``team_abbrev``.  Only the needed columns of each
-    side are read.  The schedule side is finished first and broadcast if its
-    size allows, so the player side is neither shuffled nor skewed by a team
-    holding many players; beyond that size the join is salted.
+    side are read.  A task makes the rows of one week and one part of the
+    players, in the order of the dates, so a mart laid out by week is written
+    from there, without a shuffle or sort of its rows:
+
+    1. Both sides are finished first, and the rows of the largest week counted;
+       the players are dealt into as many parts as bring its tasks to about ``task_rows``.
+    2. Players meet the days on which their team plays.  That side (teams x days)
+       is broadcast if its size allows, so a team holding many players does no harm;
+       beyond that size the join is salted.  These rows, a fraction of the mart's,
+       are dealt by week and part.
+    3. There they meet the day's games in a merge join, which keeps its rows in the
+       order of its keys: week and date.
     """
     p_cols = [c for c in MART_COLS if c in player.columns and c not in ("team_abbrev",)]
     s_cols = ["date", "time", "week", "day_of_year", "day_of_week", "opponent_abbrev", "is_visitor"]
-    joined = join_small(player.select("team_abbrev", *p_cols), schedule.select("team_abbrev", *s_cols),
-                        "team_abbrev")
-    return joined.select(*MART_COLS)
+    player = store(player.select("team_abbrev", *p_cols), "mart-player")
+    schedule = store(schedule.select("team_abbrev", *s_cols), "mart-schedule")
+
+    games = schedule.groupBy("team_abbrev", "week").agg(
+        F.count(F.lit(1)).alias("games"), F.count_if(F.col("date").isNull() | F.col("week").isNull()).alias("undated"))
+    weeks = (player.groupBy("team_abbrev").agg(F.count(F.lit(1)).alias("players")).join(games, "team_abbrev")
+             .groupBy("week").agg(F.sum(F.col("players") * F.col("games")).alias("rows"), F.sum("undated").alias("undated")))
+    most = weeks.agg(F.max("rows").alias("rows"), F.sum("undated").alias("undated")).first()
+    parts = max(1, math.ceil((most.rows or 0) / task_rows))
+
+    cell = F.col("week") * parts + F.col("part")
+    dealt = player.withColumn("part", F.pmod(F.xxhash64(*player.columns), F.lit(parts)).cast("int"))
+    if parts > 1:
+        dealt = dealt.repartitionById(parts, "part")
+    days = schedule.select("team_abbrev", "week", "date").distinct()
+    playing = join_small(dealt, days, "team_abbrev").withColumn("cell", cell).drop("part")
+    games = schedule.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("cell", cell).drop("part")
+    cells = WEEK_NUMBERS * parts
+    joined = playing.repartitionById(cells, "cell").hint("merge").join(
+        games.repartitionById(cells, "cell"), ["week", "date", "team_abbrev", "cell"]).select(*MART_COLS)
+    if most.undated:  # games without a date or week are on no day's list
+        undated = schedule.where(F.col("date").isNull() | F.col("week").isNull())
+        joined = joined.union(join_small(player, undated, "team_abbrev").select(*MART_COLS))
+    return joined
 
 
 def _with_totals(base: DataFrame, agg: DataFrame, key: str) -> DataFrame:

@@ -28,7 +28,7 @@ def cast_dates_for_write(df: DataFrame, columns: Sequence[str] = DATE_LIKE) -> D
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in present}) if present else df
 
 
-def partitioned_writer(df: DataFrame, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()):
+def partitioned_writer(df: DataFrame, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), rebalance: bool = True):
     """A writer for ``df``, laid out by ``partition_by`` directories if given.
 
     With ``sort_by`` each file is in that order, so the least and greatest values
@@ -39,9 +39,11 @@ def partitioned_writer(df: DataFrame, partition_by: Sequence[str] = (), sort_by:
     holds (tasks x values small files).  The rebalance shuffles rows of one
     value together, and AQE then splits a value that is too large over several
     tasks (so a hot value does not land in one task) and coalesces small ones,
-    giving files of a reasonable size.
+    giving files of a reasonable size.  Without ``rebalance`` the rows stay in
+    the tasks they are in: for a frame whose tasks hold one value each.  The sort
+    is left out of the plan if the rows are known to be in that order.
     """
-    if partition_by:
+    if partition_by and rebalance:
         df = df.hint("rebalance", *partition_by)
     if sort_by:
         # the directory columns lead, as the partitioned write needs rows of one directory side by side
@@ -50,14 +52,15 @@ def partitioned_writer(df: DataFrame, partition_by: Sequence[str] = (), sort_by:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = (),
-                cast_dates: bool = False, sort_by: Sequence[str] = (), options: Mapping[str, str] | None = None) -> str:
+                cast_dates: bool = False, sort_by: Sequence[str] = (), options: Mapping[str, str] | None = None,
+                rebalance: bool = True) -> str:
     """Write (replace or append) a table as parquet; returns the path.
 
     ``options`` go to the parquet writer (for example ``parquet.block.size``)."""
     if mode not in ("overwrite", "append", "error", "ignore"):
         raise ValueError(f"bad mode {mode!r}")
     out = cast_dates_for_write(df) if cast_dates else df
-    partitioned_writer(out, partition_by, sort_by).options(**(options or {})).mode(mode).parquet(path)
+    partitioned_writer(out, partition_by, sort_by, rebalance).options(**(options or {})).mode(mode).parquet(path)
     return path
 
 

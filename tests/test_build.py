@@ -40,3 +40,52 @@ def test_build_from_feeds_is_idempotent(spark):
     second = {t: wh.read(spark, t).count() for t in first}
     assert first == second
     assert first["player"] == 5 and first["schedule"] == 6 and first["fantasy_roster"] == 2
+
+
+def test_mart_rows_are_made_by_week_and_part_in_order(spark):
+    """The fan-out is spread over weeks and parts of the players, however few files the players come in; a stored mart
+    is written by these tasks, one file each, without a shuffle or sort of its rows.  Repeated rows, players
+    without a team and games without a date are as in the plain join."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from slate.constants import MART_COLS
+    from slate.sources import sinks
+
+    n, days = 200, 21
+    pid = F.col("id")
+    players = spark.range(0, n, 1, 1).select(
+        pid.alias("player_id"), F.concat(F.lit("p"), pid.cast("string")).alias("name"),
+        F.when(pid % 9 != 0, F.concat(F.lit("T"), (pid % 4).cast("string"))).alias("team_abbrev"),
+        F.lit("R").alias("fantasy_roster_name"), F.lit(0).alias("is_free_agent"), F.lit("G").alias("position"),
+        F.lit(None).cast("string").alias("injury_status"), F.lit(0).alias("injured"), (pid % 7).cast("double").alias("total_points"),
+        F.lit(None).cast("double").alias("avg_points"), F.lit(1.0).alias("projected_total_points"), F.lit(1.0).alias("projected_avg_points"))
+    players = players.union(players.where("player_id < 20")).coalesce(1)
+    date = F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % days).cast("int"))
+    games = spark.range(0, 4 * 2 * days, 1, 1).select(
+        date.alias("date"), F.lit("19:30").alias("time"), F.weekofyear(date).alias("week"), F.dayofyear(date).alias("day_of_year"),
+        F.weekday(date).alias("day_of_week"), F.col("id").cast("string").alias("opponent_abbrev"),
+        F.concat(F.lit("T"), (pid % 4).cast("string")).alias("team_abbrev"), F.lit(0).alias("is_visitor"))
+    games = games.union(games.where("day_of_year < 3"))
+    undated = games.limit(3).select(*[F.lit(None).cast(t).alias(c) if c in ("date", "week") else F.col(c) for c, t in games.dtypes])
+
+    mart = reports.player_schedule_mart(players, games, task_rows=1000)
+    by_task = {}
+    for r in mart.select("week", "date", F.spark_partition_id().alias("task")).collect():
+        by_task.setdefault(r.task, []).append((r.week, r.date))
+    assert len(by_task) >= 6 and all(x == sorted(x) and x[0][0] == x[-1][0] for x in by_task.values())
+    plain = players.join(games, "team_abbrev").select(*MART_COLS)
+    assert rows(mart) == rows(plain) and len(rows(mart)) > 6000
+
+    path = sinks.write_table(mart, scratch_path(spark, "mart"), "error", ["week"], sort_by=["date"], rebalance=False)
+    stored = spark.read.parquet(path)
+    assert len(stored.inputFiles()) == len(by_task) and rows(stored.select(*MART_COLS)) == rows(plain)
+    ordered = mart.sortWithinPartitions("week", "date")
+    ordered._jdf.queryExecution().toRdd().count()
+    final = ordered._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not any(x in final.split("SortMergeJoin")[0] for x in ("Sort [", "Exchange"))
+
+    both = games.union(undated)
+    assert rows(reports.player_schedule_mart(players, both, task_rows=1000)) == rows(players.join(both, "team_abbrev").select(*MART_COLS))
+    assert rows(reports.player_schedule_mart(players.limit(0), games)) == []
