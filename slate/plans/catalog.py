@@ -161,7 +161,7 @@ def q_date_range_scan(spark, d):
     date within a file the rest."""
     mart = shared_table(spark, d, "mart", ["lineitem", "orders", "customer", "supplier", "nation"],
                         lambda: reports.player_schedule_mart(_player_shared(spark, d), _schedule_shared(spark, d)),
-                        partition_by=["week"], sort_by=["date"])
+                        partition_by=["week"], sort_by=["date"], rebalance=False)
     mart = date_range_scan(mart, AS_OF, HORIZON_DAYS, week_col="week").select(*MART_COLS)
     return run_sql(spark, "SELECT * FROM {mart} WHERE date >= :start", {"start": AS_OF}, mart=mart)
 

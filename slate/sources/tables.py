@@ -100,7 +100,7 @@ _SHARED: dict[tuple, DataFrame] = {}
 
 
 def shared_table(spark: SparkSession, sf_dir: str, name: str, inputs: Sequence[str], build: Callable[[], DataFrame],
-                 partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> DataFrame:
+                 partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), rebalance: bool = True) -> DataFrame:
     """A derived table, stored once per session and version of its inputs, then scanned.
 
     Several reports of a session read the same stored table.  A changed input
@@ -114,7 +114,7 @@ def shared_table(spark: SparkSession, sf_dir: str, name: str, inputs: Sequence[s
         return _SHARED[key]
     df = build()
     if partition_by or sort_by:
-        path = write_table(df, scratch_path(spark, name), "error", partition_by, sort_by=sort_by)
+        path = write_table(df, scratch_path(spark, name), "error", partition_by, sort_by=sort_by, rebalance=rebalance)
         _SHARED[key] = spark.read.parquet(path)
     else:
         _SHARED[key] = store(df, name)
