@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import partial
-from itertools import pairwise
+from itertools import filterfalse, pairwise
 from operator import itemgetter
 
 import numpy as np
@@ -60,7 +61,7 @@ STEPS, RATE, PENALTY = 80, 0.1, 1e-3
 LEAST_CHAINS = 5
 FORBIDDEN = -1e9
 #: Rows of a task's tables of scores, after which it starts new ones; longer tokens are not remembered.
-MEMORY, LONGEST = 200_000, 64
+MEMORY, LONGEST = 500_000, 64
 
 
 def fixed_spans(text: str) -> list[tuple[int, int, int]]:
@@ -76,8 +77,12 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
 def _pieces(text: str) -> tuple[list[str], np.ndarray]:
     """Gaps and tokens in turn, and where each starts."""
     parts = TOKEN.split(text)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-    return parts, ends - np.fromiter(map(len, parts), np.int64, len(parts))
+    return parts, _starts(parts)
+
+
+def _starts(parts: list[str]) -> np.ndarray:
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.cumsum(sizes) - sizes
 
 
 def _chains(text: str) -> list[list[tuple[int, int]]]:
@@ -92,25 +97,35 @@ def _bucket(x: float, *edges: float) -> int:
 
 
 def _key_like(t: str) -> bool:
-    return len(t) >= 8 and any(c.isdigit() for c in t)
+    return len(t) >= 8 and not t.isalpha() and any(map(str.isdigit, t))
 
 
 HEX_DIGITS = frozenset("0123456789abcdef")
+#: ASCII digits, capitals and small letters, each as one; turns are counted between the first two and the rest.
+_CLASSES = str.maketrans({c: "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "x" for c in map(chr, range(128))})
+_CHANGES = ("du", "ud", "dl", "ld", "dx", "xd", "ul", "lu", "ux", "xu")
+_SIZES, _VARIED, _TURNS = (3, 5, 7, 11, 15, 19, 31, 47), (0.2, 0.4, 0.6, 0.8), (0.05, 0.15, 0.3, 0.5)
 
 
 def _shape(token: str) -> tuple:
     """What the shape features of a token depend on."""
     t = token.rstrip(".?") or token
     n = len(t)
-    size, letters = _bucket(n, 3, 5, 7, 11, 15, 19, 31, 47), set(t)
-    varied, hexadecimal = _bucket(len(letters) / n, 0.2, 0.4, 0.6, 0.8), letters <= HEX_DIGITS
-    if t.isalpha() and t.islower():
-        return size, varied, hexadecimal, "0010", 0, 0, 0, ""
-    digits, upper = sum(map(str.isdigit, t)), sum(map(str.isupper, t))
-    lower = sum(map(str.islower, t))
-    turns = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in pairwise(t))
+    letters = set(t)
+    size, varied, hexadecimal = bisect_left(_SIZES, n), bisect_left(_VARIED, len(letters) / n), letters <= HEX_DIGITS
+    if t.isalpha():
+        if t.islower():
+            return size, varied, hexadecimal, "0010", 0, 0, 0, ""
+        if n > 1 and t.isascii() and t.istitle():
+            return size, varied, hexadecimal, "0110", 0, bisect_left(_TURNS, 1 / n), 0, ""
+    if t.isascii():
+        c = t.translate(_CLASSES)
+        digits, upper, lower, turns = c.count("d"), c.count("u"), c.count("l"), sum(map(c.count, _CHANGES))
+    else:
+        digits, upper, lower = (sum(map(kind, t)) for kind in (str.isdigit, str.isupper, str.islower))
+        turns = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in pairwise(t))
     return (size, varied, hexadecimal, f"{digits > 0:d}{upper > 0:d}{lower > 0:d}{digits + upper + lower < n:d}",
-            _bucket(digits / n, 0.0, 0.2, 0.5, 0.8, 0.99), _bucket(turns / n, 0.05, 0.15, 0.3, 0.5), _bucket(t.count("."), 0, 1, 3),
+            _bucket(digits / n, 0.0, 0.2, 0.5, 0.8, 0.99), bisect_left(_TURNS, turns / n), _bucket(t.count("."), 0, 1, 3),
             t[:4] if t[:4].isupper() else "")
 
 
@@ -167,30 +182,49 @@ def _features(parts: list[str], at: int, file: list[str], words: bool = True) ->
 
 
 class _Rows(dict):
-    """Key -> row of a table, computed when a key is first met."""
+    """Key -> row of a table; ``rows`` makes those of keys that are met for the first time."""
 
-    def __init__(self, width: int, row) -> None:
+    def __init__(self, width: int, rows) -> None:
         super().__init__()
-        self.table, self.used, self.row = np.empty((1024, width)), 0, row
-
-    def __missing__(self, key: str) -> int:
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        at, self.used = self.used, self.used + 1
-        self.table[at] = self.row(key)
-        if len(key) <= LONGEST:
-            self[key] = at
-        return at
+        self.table, self.used, self.rows = np.empty((1024, width)), 0, rows
 
-    def trim(self) -> None:
+    def of(self, keys: list[str]) -> np.ndarray:
         if self.used > MEMORY:
             self.clear()
             self.table, self.used = np.empty((1024, self.table.shape[1])), 0
+        if new := list(filterfalse(self.__contains__, set(keys))):
+            end = self.used + len(new)
+            if end > len(self.table):
+                self.table = np.concatenate([self.table, np.empty((max(len(self.table), len(new)), self.table.shape[1]))])
+            self.table[self.used : end] = self.rows(new)
+            self.update(zip(new, range(self.used, end)))
+            self.used = end
+        out = self.table[np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))]
+        for key in new:
+            if len(key) > LONGEST:
+                del self[key]
+        return out
+
+
+class _Numbers(dict):
+    """Key -> its number, and a table with a row of each; starts anew when there are too many."""
 
-    def of(self, keys: list[str]) -> np.ndarray:
-        self.trim()
-        at = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
-        return self.table[at]
+    def __init__(self, width: int, row) -> None:
+        super().__init__()
+        self.cells, self.width, self.row = array("d"), width, row
+
+    def __missing__(self, key) -> int:
+        self[key] = at = len(self)
+        self.cells.extend(self.row(key))
+        return at
+
+    def table(self) -> np.ndarray:
+        return np.frombuffer(self.cells).reshape(-1, self.width)
+
+    def trim(self) -> None:
+        if len(self) > MEMORY:
+            self.clear()
+            self.cells = array("d")
 
 
 class Scorer:
@@ -208,24 +242,35 @@ class Scorer:
             return [a, b, c]
 
         self.total = lambda features: np.array(total(features))
-        self.shapes = _Rows(3, lambda key: total(_shape_features(*key)))
-
-        def token_row(t: str) -> list[float]:
-            at = self.shapes[_shape(t)]  # may make the table anew
-            a, b, c = self.shapes.table[at].tolist()
-            own, after, second = (total(f) for f in ([_known(t)], *_before_features(t)))
-            return [a + own[0], b + own[1], c + own[2], *after, *second]
-
-        self.tokens = _Rows(9, token_row)
-        self.gaps = _Rows(8, lambda g: [*(x for f in _gap_features(g) for x in total(f)), *_quotes(g)])
+        shapes = _Numbers(3, lambda key: total(_shape_features(*key)))
+        heads, tails = _Numbers(3, lambda x: total([f"first-1={x}"])), _Numbers(3, lambda x: total([f"last-1={x}"]))
+        digest, unknown = xxhash.xxh32_intdigest, _numbers([_known(" " * 12)])[0]
+
+        def token_rows(tokens: list[str]) -> np.ndarray:
+            """Of each, the sums of ``_shape_features`` and ``_known``, and of both of ``_before_features``."""
+            for kept in (shapes, heads, tails):
+                kept.trim()
+            numbers, kinds = [], []
+            for t in tokens:
+                w = t.lower()
+                raw = w.encode("utf-8", "replace")
+                own = unknown if len(t) >= 12 else digest(b"known=" + (raw if w == t else t.encode("utf-8", "replace")))
+                numbers += own, digest(b"word-1=" + raw), digest(b"word-2=" + raw)
+                kinds += shapes[_shape(t)], heads[w[:4]], tails[w[-3:]]
+            own, before, second = weights[np.array(numbers) % FEATURES].reshape(-1, 3, 3).swapaxes(0, 1)
+            shape, head, tail = np.array(kinds).reshape(-1, 3).T
+            return np.concatenate([shapes.table()[shape] + own, before + heads.table()[head] + tails.table()[tail], second], 1)
+
+        self.tokens = _Rows(9, token_rows)
+        self.gaps = _Rows(8, lambda gaps: [[*(x for f in _gap_features(g) for x in total(f)), *_quotes(g)] for g in gaps])
+        self.quoted = self.total([QUOTED])
 
     def emissions(self, text: str, parts: list[str]) -> np.ndarray:
-        self.shapes.trim()
         t, g = self.tokens.of(parts[1::2]), self.gaps.of(parts[0::2])
         e = t[:, :3] + g[:-1, :3] + g[1:, 3:6] + self.total(_file_features(text))
         e[1:] += t[:-1, 3:6]
         e[2:] += t[:-2, 6:9]
-        return e + (g[:-1, 6] * g[1:, 7])[:, None] * self.total([QUOTED])
+        return e + (g[:-1, 6] * g[1:, 7])[:, None] * self.quoted
 
 
 def _covered(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -301,27 +346,30 @@ def _examples(batches: Iterator[pa.RecordBatch], bound: int = SAMPLE_CHAINS) ->
     """
     drawn: list[dict] = [{} for _ in range(KINDS_OF_PIECE)]
     heaps: list[list[int]] = [[] for _ in drawn]
-    odd = _Rows(1, lambda t: float(_key_like(t)))
     form = lambda parts, lead, tags: {"parts": parts, "lead": lead, "tags": tags}
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            parts, starts = _pieces(text or "")
+            parts = TOKEN.split(text or "")
             n = len(parts) // 2
             if not n:
                 continue
             file, covered = None, _covered(_secret_values(text))
-            key_like = odd.of(parts[1::2])[:, 0] > 0
+            starts = _starts(parts).tolist() if covered else []
             for at in range(0, n, PIECE):
                 end = min(n, at + PIECE)
-                first, last = int(starts[2 * at + 1]), int(starts[2 * end])
-                kind = 0 if _overlaps(covered, first, last) else 1 if key_like[at:end].any() else 2
                 left = max(0, 2 * at - 4)
                 own = parts[left : 2 * end + 1]
                 seen = xxhash.xxh3_64_intdigest("".join(own).encode("utf-8", "replace")) >> 1
+                if not covered and all(len(h) == bound and seen > -h[0] for h in heaps[1:]):
+                    continue  # of either kind, it is not drawn
+                first, last = (starts[2 * at + 1], starts[2 * end]) if covered else (0, 0)
+                kind = 0 if _overlaps(covered, first, last) else 1 if any(len(t) >= 8 and _key_like(t) for t in parts[2 * at + 1 : 2 * end : 2]) else 2
                 if seen in drawn[kind] or (len(heaps[kind]) == bound and seen > -heaps[kind][0]):
                     continue
                 file = file or _file_features(text)
-                tags = _weak_tags([(int(starts[i]), int(starts[i]) + len(parts[i])) for i in range(2 * at + 1, 2 * end, 2)], covered)
+                tags = [OUTSIDE] * (end - at)
+                if covered:
+                    tags = _weak_tags([(starts[i], starts[i] + len(parts[i])) for i in range(2 * at + 1, 2 * end, 2)], covered)
                 forms = [form(own, 2 * at - left, tags)]
                 if kind == 0:
                     span = covered[bisect_right(covered, first, key=itemgetter(1))]  # the first that ends in the piece
@@ -451,11 +499,12 @@ def uncertain(e: np.ndarray, moves: np.ndarray) -> np.ndarray:
 
 def tagged_spans(text: str, scorer: Scorer, moves: np.ndarray) -> list[tuple[int, int, int]]:
     """Spans that the best path through all tokens of the text tags; end marks of a sentence are left out."""
-    parts, starts = _pieces(text)
+    parts = TOKEN.split(text)
     if len(parts) < 3:
         return []
     e, out = scorer.emissions(text, parts), []
     at = uncertain(e, moves)
+    starts = _starts(parts) if len(at) else ()
     for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
         for i, tag in zip(run, viterbi(e[run], moves), strict=True):
             token, start = parts[2 * i + 1], int(starts[2 * i + 1])

@@ -524,3 +524,48 @@ def test_tokens_left_out_of_the_search_are_outside():
         for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
             tags[run] = secrets.viterbi(e[run], moves)
         assert tags.tolist() == secrets.viterbi(e, moves)
+
+
+def test_secret_shapes_are_those_of_single_characters():
+    """The quick ways to a token's shape against counts over its characters."""
+    rng = random.Random(8)
+    tokens = ["word", "Word", "W", "WORD", "wORD", "AKIA12", "a1B2-c3.d4", "..?", "12345678", "²abc12345", "ÉCOLE", "Élan", "漢字", "Ab漢", "ǅabc", "end.", "Ends?"]
+    tokens += ["".join(rng.choices("aB3-É²漢.ǅz_X9", k=rng.randint(1, 50))) for _ in range(3000)]
+    for token in tokens:
+        t = token.rstrip(".?") or token
+        n, counts = len(t), [sum(map(kind, t)) for kind in (str.isdigit, str.isupper, str.islower)]
+        size, varied, hexadecimal, shape, digits, turns, dots, head = secrets._shape(token)
+        assert size == sum(n > x for x in (3, 5, 7, 11, 15, 19, 31, 47)) and hexadecimal == all(c in "0123456789abcdef" for c in t)
+        assert varied == sum(len(set(t)) / n > x for x in (0.2, 0.4, 0.6, 0.8))
+        assert secrets._key_like(token) == (len(token) >= 8 and any(map(str.isdigit, token)))
+        if t.isalpha() and t.islower():
+            assert (shape, digits, turns, dots, head) == ("0010", 0, 0, 0, "")
+            continue
+        changes = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in itertools.pairwise(t))
+        assert shape == "".join(str(int(x > 0)) for x in (*counts, n - sum(counts)))
+        assert digits == sum(counts[0] / n > x for x in (0.0, 0.2, 0.5, 0.8, 0.99)) and turns == sum(changes / n > x for x in (0.05, 0.15, 0.3, 0.5))
+        assert dots == sum(t.count(".") > x for x in (0, 1, 3)) and head == (t[:4] if t[:4].isupper() else "")
+
+
+def test_secret_scores_are_sums_of_features_and_made_once_a_token(monkeypatch):
+    """State scores against the sum of each token's features; 300,000 tokens that come again are not scored again."""
+    import numpy as np
+
+    weights = np.random.default_rng(4).normal(size=(secrets.FEATURES, 3))
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("aB3-É².z", k=rng.randint(1, 14))) for _ in range(300)) + ' key="longer-than-twelve-1" ' + "x" * 90
+    parts, _ = secrets._pieces(text)
+    file = secrets._file_features(text)
+    plain = [sum(weights[i] for i in secrets._features(parts, at, file)) for at in range(1, len(parts), 2)]
+    scorer = secrets.Scorer(weights)
+    for _ in range(2):
+        np.testing.assert_allclose(scorer.emissions(text, parts), plain, atol=1e-9)
+
+    shape, seen = secrets._shape, []
+    monkeypatch.setattr(secrets, "_shape", lambda t: seen.append(t) or shape(t))
+    tokens = [f"w{i}" for i in range(300_000)]
+    scorer = secrets.Scorer(weights)
+    for _ in range(2):
+        for at in range(0, len(tokens), 1000):
+            scorer.tokens.of(tokens[at : at + 1000])
+    assert len(seen) == len(tokens)
