@@ -23,6 +23,7 @@ from slate.operators.joins import join_small
 from slate.operators.reshape import games_played, listed, weekday_pivot
 from slate.operators.windows import rest_days
 from slate.session import store
+from slate.sources.fan_out import FanOut
 
 
 #: Mart rows of a week that one task makes (about; a file of the stored mart).
@@ -47,6 +48,10 @@ def player_schedule_mart(player: DataFrame, schedule: DataFrame, task_rows: int
        are dealt by week and part.
     3. There they meet the day's games in a merge join, which keeps its rows in the
        order of its keys: week and date.
+
+    The frame carries the sides of a task's rows (``fan_out``): players by week and
+    part, and the week's games.  Stored by week and date, the rows are made from
+    them where they are written (:mod:`slate.sources.fan_out`).
     """
     p_cols = [c for c in MART_COLS if c in player.columns and c not in ("team_abbrev",)]
     s_cols = ["date", "time", "week", "day_of_year", "day_of_week", "opponent_abbrev", "is_visitor"]
@@ -70,9 +75,19 @@ def player_schedule_mart(player: DataFrame, schedule: DataFrame, task_rows: int
     cells = WEEK_NUMBERS * parts
     joined = playing.repartitionById(cells, "cell").hint("merge").join(
         games.repartitionById(cells, "cell"), ["week", "date", "team_abbrev", "cell"]).select(*MART_COLS)
+    rest = None
     if most.undated:  # games without a date or week are on no day's list
         undated = schedule.where(F.col("date").isNull() | F.col("week").isNull())
-        joined = joined.union(join_small(player, undated, "team_abbrev").select(*MART_COLS))
+        rest = join_small(player, undated, "team_abbrev").select(*MART_COLS)
+        joined = joined.union(rest)
+
+    def sides() -> FanOut:
+        dated = games.where(F.col("date").isNotNull() & F.col("week").isNotNull() & F.col("team_abbrev").isNotNull())
+        weeks = schedule.where(F.col("date").isNotNull() & F.col("week").isNotNull()).select("team_abbrev", "week").distinct()
+        left = join_small(dealt, weeks, "team_abbrev").withColumn("cell", cell).drop("part", "week")
+        return FanOut(left.repartitionById(cells, "cell"), dated.repartitionById(cells, "cell"), "cell", "team_abbrev", "week", "date", MART_COLS, rest)
+
+    joined.fan_out = sides
     return joined
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from slate.constants import BROADCAST_MAX_BYTES
 from slate.operators.dedup import replace_keys, rows_to_insert, upsert
 from slate.session import planned_bytes, remove_stored, store
+from slate.sources.fan_out import fan_out, write_fan_out
 
 #: Columns cast to timestamps on write when present.
 DATE_LIKE = ("date", "start_date", "end_date")
@@ -56,9 +57,18 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
                 rebalance: bool = True) -> str:
     """Write (replace or append) a table as parquet; returns the path.
 
-    ``options`` go to the parquet writer (for example ``parquet.block.size``)."""
+    ``options`` go to the parquet writer (for example ``parquet.block.size``).
+
+    A frame that carries the sides of its join and is stored as they are laid out is made and
+    written from them (:mod:`slate.sources.fan_out`), with the same rows."""
     if mode not in ("overwrite", "append", "error", "ignore"):
         raise ValueError(f"bad mode {mode!r}")
+    plain = mode == "error" and not (rebalance or cast_dates or options)
+    if plain and (fan := fan_out(df, path, partition_by, sort_by)):
+        write_fan_out(fan, path)
+        if fan.rest is not None:
+            partitioned_writer(fan.rest, partition_by, sort_by).mode("append").parquet(path)
+        return path
     out = cast_dates_for_write(df) if cast_dates else df
     partitioned_writer(out, partition_by, sort_by, rebalance).options(**(options or {})).mode(mode).parquet(path)
     return path

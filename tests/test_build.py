@@ -89,3 +89,112 @@ def test_mart_rows_are_made_by_week_and_part_in_order(spark):
     both = games.union(undated)
     assert rows(reports.player_schedule_mart(players, both, task_rows=1000)) == rows(players.join(both, "team_abbrev").select(*MART_COLS))
     assert rows(reports.player_schedule_mart(players.limit(0), games)) == []
+
+
+def _mart_sides(spark):
+    """Players (some repeated, some without a team) and games of 21 days (some repeated, some without a date or week)."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    pid = F.col("id")
+    players = spark.range(0, 300, 1, 2).select(
+        pid.alias("player_id"), F.when(pid % 11 != 0, F.concat(F.lit("p"), (pid % 50).cast("string"))).alias("name"),
+        F.when(pid % 9 != 0, F.concat(F.lit("T"), (pid % 5).cast("string"))).alias("team_abbrev"),
+        F.lit("R").alias("fantasy_roster_name"), F.lit(0).alias("is_free_agent"), F.lit("é").alias("position"),
+        F.lit(None).cast("string").alias("injury_status"), F.when(pid % 2 == 0, F.lit(1)).alias("injured"),
+        F.when(pid % 3 != 0, F.when(pid % 7 == 0, F.lit(float("nan"))).otherwise(pid / 7)).alias("total_points"),
+        F.lit(None).cast("double").alias("avg_points"), F.lit(-0.5).alias("projected_total_points"), F.lit(1.0).alias("projected_avg_points"))
+    date = F.date_add(F.lit(dt.date(2024, 12, 20)), (pid % 21).cast("int"))
+    games = spark.range(0, 4 * 8 * 21, 1, 2).select(
+        date.alias("date"), F.lit("19:30").alias("time"), F.weekofyear(date).alias("week"), F.dayofyear(date).alias("day_of_year"),
+        F.weekday(date).alias("day_of_week"), F.when(pid % 13 != 0, pid.cast("string")).alias("opponent_abbrev"),
+        F.when(pid % 17 != 0, F.concat(F.lit("T"), (pid % 4).cast("string"))).alias("team_abbrev"), F.lit(0).alias("is_visitor"))
+    games = games.union(games.where("day_of_year < 3"))
+    undated = games.limit(5).select(*[F.lit(None).cast(t).alias(c) if c == "date" else F.col(c) for c, t in games.dtypes])
+    weekless = games.limit(5).select(*[F.lit(None).cast(t).alias(c) if c == "week" else F.col(c) for c, t in games.dtypes])
+    return players.union(players.where("player_id < 20")), games, undated.union(weekless)
+
+
+def _same_rows(a, b):
+    """Compared as text: NaN is not equal to itself."""
+    return sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_stored_mart_rows_are_made_where_they_are_written(spark):
+    """The stored mart's rows do not pass the row-based writer: its Arrow tasks get players and games, pair them, and write files
+    in the order of dates; rows are those of the plain join, with what is repeated, null or without a date."""
+    import datetime as dt
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from slate.constants import MART_COLS
+    from slate.sources import sinks
+
+    players, games, undated = _mart_sides(spark)
+    plain = players.join(games, "team_abbrev").select(*MART_COLS)
+    mart = reports.player_schedule_mart(players, games, task_rows=2000)
+    path = sinks.write_table(mart, scratch_path(spark, "mart"), "error", ["week"], sort_by=["date"], rebalance=False)
+    stored = spark.read.parquet(path)
+    assert _same_rows(stored.select(*MART_COLS), plain) and stored.count() > 20_000
+    assert stored.select(*MART_COLS).dtypes == plain.dtypes
+    files = [f.removeprefix("file://") for f in stored.inputFiles()]
+    assert len(files) > 8
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        assert "arrow" in meta.created_by and meta.num_rows < 6000
+        dates = pq.read_table(f, partitioning=None).column("date").to_pylist()
+        assert dates == sorted(dates)
+    day = dt.date(2024, 12, 31)
+    assert _same_rows(date_range_scan(stored, day, 1, week_col="week").select(*MART_COLS), plain.where(F.col("date").between(day, day + dt.timedelta(days=1))))
+
+    # rows without a date or a week are stored beside them
+    both = games.union(undated)
+    mart = reports.player_schedule_mart(players, both, task_rows=2000)
+    path = sinks.write_table(mart, scratch_path(spark, "mart"), "error", ["week"], sort_by=["date"], rebalance=False)
+    assert _same_rows(spark.read.parquet(path).select(*MART_COLS), players.join(both, "team_abbrev").select(*MART_COLS))
+
+    # another layout, or a frame derived from the mart, is written from its own rows
+    late = mart.withColumn("week", F.col("week") + 1)
+    path = sinks.write_table(late, scratch_path(spark, "mart"), "error", ["week"], sort_by=["date"], rebalance=False)
+    assert _same_rows(spark.read.parquet(path).select(*MART_COLS), late)
+
+
+def test_pairs_come_in_bounded_groups_by_date():
+    import random
+
+    import pyarrow as pa
+
+    from slate.sources.fan_out import pairs
+
+    draw = random.Random(3)
+    left = [draw.choice("abcx") for _ in range(40)]
+    right = [(draw.choice("abcy"), draw.randrange(5)) for _ in range(60)]
+    groups = list(pairs(pa.array(left), pa.array([k for k, _ in right]), pa.array([d for _, d in right]), rows=50))
+    assert len(groups) > 5 and all(0 < len(p) == len(g) <= 50 for p, g in groups)
+    found = [(int(p), int(g)) for ps, gs in groups for p, g in zip(ps, gs)]
+    assert sorted(found) == [(p, g) for p, k in enumerate(left) for g, (r, _) in enumerate(right) if k == r]
+    dates = [right[g][1] for _, g in found]
+    assert dates == sorted(dates)
+    assert not list(pairs(pa.array(["a"]), pa.array(["b"]), pa.array([1])))
+
+
+def test_failed_mart_tasks_leave_no_rows(spark):
+    """A task attempt that fails, or whose result is not counted, leaves nothing that a reader finds."""
+    import dataclasses
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from slate.sources.fan_out import write_fan_out
+
+    players, games, _ = _mart_sides(spark)
+    fan = reports.player_schedule_mart(players, games, task_rows=2000).fan_out()
+    lost = F.when(F.col("player_id") < 290, F.col("player_id")).otherwise(F.raise_error(F.lit("lost")).cast("long"))
+    path = scratch_path(spark, "mart")
+    with pytest.raises(Exception, match="lost"):
+        write_fan_out(dataclasses.replace(fan, left=fan.left.withColumn("player_id", lost)), path)
+    assert spark.read.schema("player_id long").parquet(path).count() == 0
+    with pytest.raises(FileExistsError):
+        write_fan_out(fan, path)
