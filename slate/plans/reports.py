@@ -28,6 +28,8 @@ from slate.sources.fan_out import FanOut
 
 #: Mart rows of a week that one task makes (about; a file of the stored mart).
 MART_TASK_ROWS = 2_000_000
+#: Players that one task holds at most (about), however few games they have.
+MART_TASK_PLAYERS = 500_000
 #: ISO weeks are numbered 1 to 53.
 WEEK_NUMBERS = 54
 
@@ -40,8 +42,9 @@ def player_schedule_mart(player: DataFrame, schedule: DataFrame, task_rows: int
     players, in the order of the dates, so a mart laid out by week is written
     from there, without a shuffle or sort of its rows:
 
-    1. Both sides are finished first, and the rows of the largest week counted;
-       the players are dealt into as many parts as bring its tasks to about ``task_rows``.
+    1. Both sides are finished first, and the rows and players of the largest week counted;
+       the players are dealt into as many parts as bring its tasks to about ``task_rows``
+       rows and at most ``MART_TASK_PLAYERS`` players.
     2. Players meet the days on which their team plays.  That side (teams x days)
        is broadcast if its size allows, so a team holding many players does no harm;
        beyond that size the join is salted.  These rows, a fraction of the mart's,
@@ -61,9 +64,9 @@ def player_schedule_mart(player: DataFrame, schedule: DataFrame, task_rows: int
     games = schedule.groupBy("team_abbrev", "week").agg(
         F.count(F.lit(1)).alias("games"), F.count_if(F.col("date").isNull() | F.col("week").isNull()).alias("undated"))
     weeks = (player.groupBy("team_abbrev").agg(F.count(F.lit(1)).alias("players")).join(games, "team_abbrev")
-             .groupBy("week").agg(F.sum(F.col("players") * F.col("games")).alias("rows"), F.sum("undated").alias("undated")))
-    most = weeks.agg(F.max("rows").alias("rows"), F.sum("undated").alias("undated")).first()
-    parts = max(1, math.ceil((most.rows or 0) / task_rows))
+             .groupBy("week").agg(F.sum(F.col("players") * F.col("games")).alias("rows"), F.sum("players").alias("players"), F.sum("undated").alias("undated")))
+    most = weeks.agg(F.max("rows").alias("rows"), F.max("players").alias("players"), F.sum("undated").alias("undated")).first()
+    parts = max(1, math.ceil((most.rows or 0) / task_rows), math.ceil((most.players or 0) / MART_TASK_PLAYERS))
 
     cell = F.col("week") * parts + F.col("part")
     dealt = player.withColumn("part", F.pmod(F.xxhash64(*player.columns), F.lit(parts)).cast("int"))

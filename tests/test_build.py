@@ -198,3 +198,13 @@ def test_failed_mart_tasks_leave_no_rows(spark):
     assert spark.read.schema("player_id long").parquet(path).count() == 0
     with pytest.raises(FileExistsError):
         write_fan_out(fan, path)
+
+
+def test_a_mart_task_holds_a_part_of_the_players(spark, monkeypatch):
+    """Players with few games: a task's rows are few, but its players are bounded too."""
+    players, games, _ = _mart_sides(spark)
+    whole = reports.player_schedule_mart(players, games).fan_out().left.groupBy("cell").count()
+    monkeypatch.setattr(reports, "MART_TASK_PLAYERS", 60)
+    dealt = reports.player_schedule_mart(players, games).fan_out().left.groupBy("cell").count()
+    assert max(r["count"] for r in whole.collect()) > 200 and max(r["count"] for r in dealt.collect()) < 100
+    assert sum(r["count"] for r in whole.collect()) == sum(r["count"] for r in dealt.collect())
